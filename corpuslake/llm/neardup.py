@@ -3,21 +3,26 @@
 A document's set holds its distinct five-word shingles (64-bit hashes of them). Documents with equal
 sets are collapsed first. Every remaining set is a minwise signature; a tree sends a document from a
 node to the children named by the tokens at the positions which that node selects, so two sets of
-similarity s stay together along one edge with probability s. Nodes of at most ``leaf`` members are
-compared exhaustively; larger ones branch, and each member is also compared with the most typical
-member of its node, which is what removes masses of near copies that no token can separate. ``trees``
-independent trees are grown. With two children per node a pair of similarity 0.75 is lost by one tree
-with probability at most 1/9, by eight trees with probability below 1e-7. Every candidate is confirmed
-on the full sets. Members of nodes that are still large at the last level and that were not linked to
-their node's typical member are compared with all of that node, so nothing is capped.
+similarity s stay together along one edge with probability s. ``trees`` independent trees are grown, with
+two children per node: a pair of similarity 0.75 is lost by one tree with probability at most 1/9, by eight
+trees with probability below 1e-7.
+
+Small nodes are compared exhaustively: up to ``leaf`` members by a self-join of ids, whose pairs must agree
+in their signatures; up to ``block`` members inside one task, by sketches of 512 bytes that are made only for
+documents of such nodes. Such a task gives a spanning forest of the pairs that are surely similar and every
+uncertain pair between different trees of the forest, never all pairs of a group of near copies. Larger nodes
+branch; what is still larger at the last level is compared in pairs of chunks, so nothing is capped. Every
+candidate is confirmed on the full sets.
 
 Nulls: a null text is empty; an empty set is linked with nothing; a null id is never linked, is kept and
-has a null class. Repeated ids and rows: one output row for each input row.
+has a null class. Repeated ids and rows: one output row for each input row; an id with
+several texts is linked by any of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, stage
 
-WORDS, POSITIONS, BRANCHES = 5, 96, 2
+WORDS, POSITIONS, BRANCHES, FINE, SENT_IDS = 5, 96, 2, 512, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,6 +45,7 @@ def _splitmix(n: int, seed: int) -> np.ndarray:
 
 
 _FLIP, _ODD = _splitmix(POSITIONS, 1), _splitmix(POSITIONS, 1000) | np.uint64(1)
+_FINE_FLIP, _FINE_ODD = _splitmix(FINE, 5000), _splitmix(FINE, 9000) | np.uint64(1)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -57,11 +63,11 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(acc)
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
-    """The least 32-bit value of every permutation, POSITIONS of them."""
-    low = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
+def signature(tokens: np.ndarray, flip: np.ndarray = _FLIP, odd: np.ndarray = _ODD) -> np.ndarray:
+    """The least 32-bit value of every permutation."""
+    low = np.full(len(flip), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(tokens), 512):
-        np.minimum(low, ((tokens[at : at + 512, None] ^ _FLIP) * _ODD).min(axis=0), out=low)
+        np.minimum(low, ((tokens[at : at + 512, None] ^ flip) * odd).min(axis=0), out=low)
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -106,57 +112,88 @@ def _candidates(sigs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return pairs.distinct().join(left, "a").join(right, "b").where(_likeness("sig_a", "sig_b") >= least).select("a", "b")
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids`` (distinct). Up to SENT_IDS ids go to every task, so texts don't move; more are joined by a shuffle."""
+    return texts.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "id", "left_semi")
+
+
 def _confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * |intersection| >= percent * |union| on the full sets."""
-    involved = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    sets = stage(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(_sets, "id long, tokens array<bigint>"))
+    involved = stage(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"))
+    sets = stage(_only(texts, involved).mapInPandas(_sets, "id long, tokens array<bigint>"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 8, leaf: int = 24, depth: int = 3) -> DataFrame:
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"id": pdf["id"], "sketch": [signature(shingles(t), _FINE_FLIP, _FINE_ODD).astype(np.uint8).tobytes() for t in pdf["text"]]})
+
+
+def _compare(similarity: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Compares a node's members by sketches: pairs ``a < b`` that may be linked, four standard errors each way."""
+    error = 4 * (similarity * (1 - similarity) / FINE) ** 0.5
+    matches = lambda j: FINE * (j + (1 - j) / 256)
+    low, high = matches(similarity - error), matches(min(1.0, similarity + error))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id").sort_values("id")
+        ids, n = pdf["id"].to_numpy(), len(pdf)
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(n, FINE)
+        equal = np.zeros((n, n), np.uint16)
+        for i in range(0, n, 32):
+            equal[i : i + 32, i:] = np.count_nonzero(sketch[i : i + 32, None, :] == sketch[None, i:, :], axis=2)
+        equal = np.triu(equal, 1)
+        equal |= equal.T
+        group, out = np.arange(n), []
+        for i in range(n):
+            sure = equal[i] >= high
+            while True:
+                j = int(np.argmax(np.where(sure & (group != group[i]), equal[i], 0)))
+                if not sure[j] or group[j] == group[i]:
+                    break
+                out.append((min(i, j), max(i, j)))
+                group[group == group[j]] = group[i]
+        a, b = np.nonzero(np.triu((equal >= low) & (group[:, None] != group[None, :]), 1))
+        out = np.array(out, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[np.concatenate([out[:, 0], a])], "b": ids[np.concatenate([out[:, 1], b])]})
+
+    return compare
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 8, leaf: int = 24, block: int = 2000, depth: int = 3) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for every row of ``docs``."""
     texts = ids_and_text(docs, id_col, text_col)
     signed = stage(texts.mapInPandas(_sign, "id long, n_shingles long, set_key string, sig array<int>"))
     classes = stage(signed.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "sig")).alias("r")).select("set_key", "r.id", "r.sig"))
     sigs = classes.select("id", "sig")
 
-    positions = [(t, t * BRANCHES + b) for t in range(trees) for b in range(BRANCHES)]
-    keys = F.array(*[F.xxhash64(F.lit(t), F.lit(p), F.col("sig")[p % POSITIONS]) for t, p in positions])
-    level = sigs.select("id", F.explode(keys).alias("node"))
-    found, rest = [], None
+    keys = F.array(*[F.xxhash64(F.lit(p), F.col("sig")[p % POSITIONS]) for p in range(trees * BRANCHES)])
+    level, small, middle = sigs.select("id", F.explode(keys).alias("node")), [], []
     for step in range(depth):
         level = stage(level.join(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node"))
-        small, big = level.where(F.col("n") <= leaf), level.where(F.col("n") > leaf)
-        found.append(small.select(F.col("id").alias("a"), "node").join(small.select(F.col("id").alias("b"), "node"), "node").where("a < b").select("a", "b"))
-        if big.isEmpty():
-            rest = None
+        small.append(level.where(F.col("n") <= leaf).select("id", "node"))
+        middle.append(level.where((F.col("n") > leaf) & (F.col("n") <= block)).select("id", "node"))
+        large = level.where(F.col("n") > block)
+        if large.isEmpty():
             break
-        typical = big.groupBy("id").agg(F.sum("n").alias("typical"))
-        heads = big.join(typical, "id").groupBy("node").agg(F.max(F.struct("typical", (-F.col("id")).alias("other"))).alias("h")).select("node", (-F.col("h.other")).alias("head"))
-        rest = stage(big.select("id", "node").join(heads, "node"))
-        found.append(rest.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")))
-        if step < depth - 1:
+        if step == depth - 1:
+            chunks = F.ceil(F.col("n") * 2 / block).cast("int")
+            cut = large.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            middle.append(cut.select("id", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node")))
+        else:
             chosen = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POSITIONS)).cast("int") for b in range(BRANCHES)]
-            level = rest.join(sigs, "id").select("id", F.explode(F.array(*[F.xxhash64("node", p, F.col("sig")[p]) for p in chosen])).alias("node")).distinct()
-
-    least = percent / 100 - 0.2
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    links = stage(_confirm(texts, stage(_candidates(sigs, pairs, least)), percent))
-    roots = connected_components(links)
-    if rest is not None:
-        # What is still together at the last level and was not linked to its node's typical member meets its whole node.
-        rooted = rest.join(roots, "id", "left").join(roots.select(F.col("id").alias("head"), F.col("root").alias("head_root")), "head", "left")
-        rooted = stage(rooted.select("id", "node", F.coalesce("root", "id").alias("root"), F.coalesce("head_root", "head").alias("head_root")).join(sigs, "id"))
-        apart = rooted.where("root <> head_root")
-        if not apart.isEmpty():
-            other = rooted.select(F.col("id").alias("id2"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("sig").alias("sig2"))
-            late = apart.join(other, (F.col("node") == F.col("node2")) & (F.col("root") != F.col("root2")) & (_likeness("sig", "sig2") >= least)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-            links = links.union(_confirm(texts, stage(late), percent))
-            roots = connected_components(links)
+            level = large.join(sigs, "id").select("id", F.explode(F.array(*[F.xxhash64("node", p, F.col("sig")[p]) for p in chosen])).alias("node")).distinct()
+
+    together = reduce(DataFrame.union, small)
+    pairs = together.withColumnRenamed("id", "a").join(together.withColumnRenamed("id", "b"), "node").where("a < b").select("a", "b")
+    likely = _candidates(sigs, pairs, percent / 100 - 0.2)
+    crowded = stage(reduce(DataFrame.union, middle))
+    if not crowded.isEmpty():
+        sketches = stage(_only(texts, crowded.select("id").distinct()).mapInPandas(_sketches, "id long, sketch binary"))
+        likely = likely.union(crowded.join(sketches, "id").groupBy("node").applyInPandas(_compare(percent / 100), "a long, b long")).distinct()
+    roots = connected_components(_confirm(texts, stage(likely), percent))
     members = stage(classes.select("set_key", F.col("id").alias("first")).join(roots.withColumnRenamed("id", "first"), "first", "left").select("set_key", F.coalesce("root", "first").alias("root")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return signed.select("id", "n_shingles", "set_key").join(members, "set_key", "left").select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
