@@ -8,7 +8,7 @@ two children per node: a pair of similarity 0.75 is lost by one tree with probab
 trees with probability below 1e-7.
 
 Small nodes are compared exhaustively: up to ``leaf`` members by a self-join of ids, whose pairs must agree
-in their signatures; up to ``block`` members inside one task, by sketches of 512 bytes that are made only for
+in their signatures; up to ``block`` members inside one task, by sketches of 1024 bytes that are made only for
 documents of such nodes. Such a task gives a spanning forest of the pairs that are surely similar and every
 uncertain pair between different trees of the forest, never all pairs of a group of near copies. Larger nodes
 branch; what is still larger at the last level is compared in pairs of chunks, so nothing is capped. Every
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, stage
 
-WORDS, POSITIONS, BRANCHES, FINE, SENT_IDS = 5, 96, 2, 512, 1_000_000
+WORDS, POSITIONS, BRANCHES, FINE, SENT_IDS = 5, 96, 2, 1024, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
