@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpuslake.llm.common import WORD, stage
 
 AXES = ("source", "lang", "topic")
-SWEEPS, TEMPER = 8, 0.9
+SWEEPS, TEMPER, SENT_CELLS = 8, 0.9, 100_000
 
 
 def topic_of(text: Column) -> Column:
@@ -49,8 +49,13 @@ def tempered_targets(cells: DataFrame, axis: str, power: float = TEMPER) -> Data
     return sums.crossJoin(F.broadcast(sums.agg(F.sum("share").alias("whole")))).select(axis, (F.col("share") / F.col("whole")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """``source, lang, topic, factor``: cells (with ``tokens``) fitted to ``targets`` (axis, target) by ``sweeps`` rounds over the axes."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, sent_cells: int = SENT_CELLS) -> DataFrame:
+    """``source, lang, topic, factor``: cells (with ``tokens``) fitted to ``targets`` (axis, target) by ``sweeps`` rounds over the axes.
+
+    Up to ``sent_cells`` cells (sums, not rows) are raked on the driver; more by joins. Both give the same factors.
+    """
+    if cells.count() <= sent_cells and all(t.count() <= sent_cells for t in targets.values()):
+        return _rake_here(cells, {axis: dict(t.select(axis, "target").collect()) for axis, t in targets.items()}, sweeps)
     whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))
     fitted = stage(cells.crossJoin(F.broadcast(whole)).select(*AXES, (F.col("tokens") / F.col("whole")).alias("share"), F.lit(1.0).alias("factor")))
     for _ in range(sweeps):
@@ -59,7 +64,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
             step = now.join(targets[axis], axis, "left").select(axis, F.when(F.col("now") > 0, F.coalesce(F.col("target"), F.lit(0.0)) / F.col("now")).otherwise(F.lit(1.0)).alias("step"))
             fitted = fitted.join(step, axis).select(*AXES, "share", (F.col("factor") * F.col("step")).alias("factor"))
         fitted = stage(fitted)
-    return fitted
+    return fitted.select(*AXES, "factor")
+
+
+def _rake_here(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: int) -> DataFrame:
+    pdf = cells.orderBy(*AXES).toPandas()
+    share = pdf["tokens"].astype(float) / max(1.0, float(pdf["tokens"].sum()))
+    factor = share * 0 + 1.0
+    for _ in range(sweeps):
+        for axis in AXES:
+            now = (share * factor).groupby(pdf[axis]).transform("sum")
+            factor = factor * (pdf[axis].map(targets[axis]).fillna(0.0).astype(float) / now).where(now > 0, 1.0)
+    return cells.sparkSession.createDataFrame([(*key, float(f)) for key, f in zip(pdf[list(AXES)].itertuples(index=False), factor, strict=True)], "source string, lang string, topic string, factor double")
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, sweeps: int = SWEEPS) -> DataFrame:
