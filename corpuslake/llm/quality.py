@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, labelled_sample
 
-MAX_ROWS, BITS, ALPHA, COST, EPOCHS = 6_000, 20, 1.0, 1.0, 12
+MAX_ROWS, BITS, ALPHA, COST, EPOCHS = 4_000, 18, 1.0, 1.0, 12
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,16 +64,18 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.where(counts.sum(axis=0) >= 2, ratio, 0.0)
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and intercept of min |w|^2 / 2 + sum cost * max(0, 1 - y (w x + b))^2, one dual variable at a time."""
+def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and intercept of min |w|^2 / 2 + sum cost * max(0, 1 - y (w x + b))^2, one dual variable at a time; x: ``ratio`` at a row's indicators, at unit length."""
     w, b, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
     lean = 1 / (2 * cost)
-    square = np.array([float(v @ v) + 1 for v in values]) + lean
+    size = np.array([max(1e-9, float(np.linalg.norm(ratio[r]))) for r in rows])
+    square = np.array([float(ratio[r] @ ratio[r]) for r in rows]) / size**2 + 1 + lean
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            idx, v = rows[i], values[i]
+            idx = rows[i]
+            v = ratio[idx] / size[i]
             slope = y[i] * (float(w[idx] @ v) + b) - 1 + lean[i] * alpha[i]
             new = max(0.0, alpha[i] - slope / square[i])
             step = (new - alpha[i]) * y[i]
@@ -115,9 +117,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray) -> tuple[np
     def descend(pick: np.ndarray) -> tuple[np.ndarray, float]:
         chosen = [rows[i] for i in np.flatnonzero(pick)]
         ratio = log_count_ratios(chosen, y[pick])
-        values = [ratio[r] / max(1e-9, float(np.linalg.norm(ratio[r]))) for r in chosen]
         share = (y[pick] > 0).mean()
-        w, b = dual_coordinate_descent(chosen, values, y[pick], COST * np.where(y[pick] > 0, 0.5 / share, 0.5 / (1 - share)) * 2)
+        w, b = dual_coordinate_descent(chosen, ratio, y[pick], COST * np.where(y[pick] > 0, 0.5 / share, 0.5 / (1 - share)) * 2)
         return np.vstack([w, ratio]), b
 
     model, b = descend(~out)
