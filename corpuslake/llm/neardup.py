@@ -8,10 +8,9 @@ two children per node: a pair of similarity 0.75 is lost by one tree with probab
 trees with probability below 1e-7.
 
 Small nodes are compared exhaustively: up to ``leaf`` members by a self-join of ids, whose pairs must agree
-in their signatures; up to ``block`` members inside one task, by sketches of 1024 bytes that are made only for
-documents of such nodes. Such a task gives a spanning forest of the pairs that are surely similar and every
-uncertain pair between different trees of the forest, never all pairs of a group of near copies. Larger nodes
-branch; what is still larger at the last level is compared in pairs of chunks, so nothing is capped. Every
+in their signatures; up to ``block`` members inside one task, which is sent the members' sets (32 bits a
+shingle) and gives a spanning forest of the node's links, never all pairs of a group of near copies. Larger
+nodes branch; what is still larger at the last level is compared in pairs of chunks, so nothing is capped. Every
 candidate is confirmed on the full sets.
 
 Nulls: a null text is empty; an empty set is linked with nothing; a null id is never linked, is kept and
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, stage
 
-WORDS, POSITIONS, BRANCHES, FINE, SENT_IDS = 5, 96, 2, 1024, 1_000_000
+WORDS, POSITIONS, BRANCHES, SENT_IDS, RARE, COLUMNS = 5, 96, 2, 1_000_000, 16, 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,7 +44,6 @@ def _splitmix(n: int, seed: int) -> np.ndarray:
 
 
 _FLIP, _ODD = _splitmix(POSITIONS, 1), _splitmix(POSITIONS, 1000) | np.uint64(1)
-_FINE_FLIP, _FINE_ODD = _splitmix(FINE, 5000), _splitmix(FINE, 9000) | np.uint64(1)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -63,11 +61,11 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(acc)
 
 
-def signature(tokens: np.ndarray, flip: np.ndarray = _FLIP, odd: np.ndarray = _ODD) -> np.ndarray:
+def signature(tokens: np.ndarray) -> np.ndarray:
     """The least 32-bit value of every permutation."""
-    low = np.full(len(flip), np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(tokens), 512):
-        np.minimum(low, ((tokens[at : at + 512, None] ^ flip) * odd).min(axis=0), out=low)
+        np.minimum(low, ((tokens[at : at + 512, None] ^ _FLIP) * _ODD).min(axis=0), out=low)
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -126,38 +124,53 @@ def _confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _short_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "sketch": [signature(shingles(t), _FINE_FLIP, _FINE_ODD).astype(np.uint8).tobytes() for t in pdf["text"]]})
-
-
-def _compare(similarity: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Compares a node's members by sketches: pairs ``a < b`` that may be linked, four standard errors each way."""
-    error = 4 * (similarity * (1 - similarity) / FINE) ** 0.5
-    matches = lambda j: FINE * (j + (1 - j) / 256)
-    low, high = matches(similarity - error), matches(min(1.0, similarity + error))
+        yield pd.DataFrame({"id": pdf["id"], "tokens": [np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in pdf["text"]]})
+
+
+def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections. Rare tokens are counted pair by pair, frequent ones by matrix products of COLUMNS at a time."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    owner, first = owner[order], np.concatenate([[0], np.cumsum(counts)])[:-1]
+    common = np.zeros(n * n, np.float32)
+    for k in range(2, RARE + 1):
+        rows = owner[first[counts == k][:, None] + np.arange(k)]
+        for x in range(k):
+            for y in range(x + 1, k):
+                np.add.at(common, rows[:, x] * n + rows[:, y], 1)
+    common = common.reshape(n, n)
+    common += common.T
+    often = np.flatnonzero(counts > RARE)
+    for at in range(0, len(often), COLUMNS):
+        part = often[at : at + COLUMNS]
+        has = np.zeros((n, len(part)), np.float32)
+        for k, c in enumerate(part):
+            has[owner[first[c] : first[c] + counts[c]], k] = 1
+        common += has @ has.T
+    return common
+
+
+def _compare(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Compares all members of a node and gives a spanning forest ``a < b`` of its links, so fewer pairs than members."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
         ids, n = pdf["id"].to_numpy(), len(pdf)
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(n, FINE)
-        equal = np.zeros((n, n), np.uint16)
-        for i in range(0, n, 32):
-            equal[i : i + 32, i:] = np.count_nonzero(sketch[i : i + 32, None, :] == sketch[None, i:, :], axis=2)
-        equal = np.triu(equal, 1)
-        equal |= equal.T
+        sets = [np.frombuffer(x, np.uint32) for x in pdf["tokens"]]
+        size, common = np.array([len(x) for x in sets], np.float32), common_tokens(sets)
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
         group, out = np.arange(n), []
         for i in range(n):
-            sure = equal[i] >= high
-            while True:
-                j = int(np.argmax(np.where(sure & (group != group[i]), equal[i], 0)))
-                if not sure[j] or group[j] == group[i]:
-                    break
-                out.append((min(i, j), max(i, j)))
-                group[group == group[j]] = group[i]
-        a, b = np.nonzero(np.triu((equal >= low) & (group[:, None] != group[None, :]), 1))
-        out = np.array(out, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": ids[np.concatenate([out[:, 0], a])], "b": ids[np.concatenate([out[:, 1], b])]})
+            for j in np.flatnonzero(linked[i]):
+                if group[j] != group[i]:
+                    out.append((min(i, j), max(i, j)))
+                    group[group == group[j]] = group[i]
+        edges = np.array(out, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
 
     return compare
 
@@ -191,8 +204,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = _candidates(sigs, pairs, percent / 100 - 0.2)
     crowded = stage(reduce(DataFrame.union, middle))
     if not crowded.isEmpty():
-        sketches = stage(_only(texts, crowded.select("id").distinct()).mapInPandas(_sketches, "id long, sketch binary"))
-        likely = likely.union(crowded.join(sketches, "id").groupBy("node").applyInPandas(_compare(percent / 100), "a long, b long")).distinct()
+        short = stage(_only(texts, crowded.select("id").distinct()).mapInPandas(_short_sets, "id long, tokens binary"))
+        likely = likely.union(crowded.join(short, "id").groupBy("node").applyInPandas(_compare(percent), "a long, b long")).distinct()
     roots = connected_components(_confirm(texts, stage(likely), percent))
     members = stage(classes.select("set_key", F.col("id").alias("first")).join(roots.withColumnRenamed("id", "first"), "first", "left").select("set_key", F.coalesce("root", "first").alias("root")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
