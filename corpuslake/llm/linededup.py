@@ -92,8 +92,8 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def references(posted: DataFrame) -> DataFrame:
-    """The exact table: ``key, n_docs, owner``. Counts are partly added up before the shuffle, so a line of a third of all documents is no hot spot."""
-    return posted.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("owner"))
+    """The exact table: ``key, n_docs, owner, last`` (smallest and largest id; they differ if several documents hold the key). Counts are partly added up before the shuffle, so a line of a third of all documents is no hot spot."""
+    return posted.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("owner"), F.max("id").alias("last"))
 
 
 def insert_documents(posted: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +151,7 @@ def probe(posted: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_lines, n_dropped, kept_text, row`` for every row of ``docs`` (``row``: the input row): repeated lines stay only in the smallest id that holds them."""
     posted = postings(docs, id_col, text_col)
-    repeated = stage(references(posted).where("n_docs >= 2"))
+    repeated = stage(references(posted).where("owner <> last"))
     shards = max(1, -(-repeated.count() // SHARD_KEYS))
     held = probe(posted, stage(build_filters(repeated, shards)), shards)
     lost = held.join(repeated.select("key", "owner"), "key").where("id <> owner").groupBy("id").agg(F.collect_list("key").alias("lost"))
