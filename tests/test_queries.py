@@ -4,7 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslake.functions import passages as G
 from corpuslake.functions import text as T
+from corpuslake.operators import answers as A
 from corpuslake.plans import registry
 from corpuslake.streaming import sessions
 
@@ -45,13 +47,30 @@ def test_stream_rollup_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.table("rollup").collect()} == batch
 
 
-@pytest.mark.parametrize("name", ["r2_lexical", "p10_pack_chunks", "j14_related", "s5_consent_gate", "a1_facet_tally", "u2_supersede"])
+@pytest.mark.parametrize("name", ["r2_lexical", "p10_pack_chunks", "j14_related", "s5_consent_gate", "a1_facet_tally", "u2_supersede", "n2_html_to_text", "n11_shorten", "p8_keep_first_substantial", "j11_resolve_cite", "f24_confidence", "u10_classify", "io9_export_drift", "a15_twin_agreement"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "part", "events"):
+    for t in ("documents", "benchmark", "part", "events", "pages", "lineitem", "orders", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = con.execute(registry.oracle_sql()[name])
     cols = [d[0] for d in found.description]
     want = sorted(map(repr, found.fetchall()))
     got = registry.queries()[name](spark, SF).select(*cols)
     assert sorted(repr(tuple(r)) for r in got.collect()) == want
+
+
+def test_shorten_cuts_at_line_breaks(spark):
+    rows = [("x" * 12, "x" * 12), ("first\nsecond\nthird\nlast", "first\n[…]\nlast"), ("y" * 30, "y" * 5 + "\n[…]\n" + "y" * 5), ("", ""), (None, None)]
+    df = spark.createDataFrame(rows, "text string, want string").select("want", G.shorten(F.col("text"), 10).alias("got"))
+    assert all(r["got"] == r["want"] for r in df.collect())
+
+
+def test_decision_list_asks_for_unknown_answers(spark):
+    df = spark.createDataFrame([(True, None, "a"), (False, None, "ask two"), (None, True, "ask one"), (False, True, "b"), (False, False, "none")], "one boolean, two boolean, want string")
+    got = df.select("want", A.decide([("one", F.col("one"), "a"), ("two", F.col("two"), "b")], "none").alias("got"))
+    assert all(r["got"] == r["want"] for r in got.collect())
+
+
+def test_confidence_without_hits_is_low(spark):
+    df = spark.createDataFrame([(0, 0, False, 0, 0, 0, False, 0.0, "low"), (4, 4, True, 2, 2, 0, True, 1.0, "high"), (4, 0, False, 2, 2, 1, False, 0.32, "low")], "hits long, agreed long, named boolean, total long, verified long, flags long, top boolean, want double, label string")
+    assert all(abs(r["score"] - r["want"]) < 1e-9 and r["band"] == r["label"] for r in A.confidence(df).collect())
