@@ -148,5 +148,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, id_co
     held = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(4)) == 0
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=3, seed=11, featuresCol="features", labelCol="label").fit(learned.where(~held).repartition(4).cache())
     raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("rawPrediction")[1])
-    steps = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw(learned.where(held)))
+    # many clean rows share one raw value: they meet as one weighted row, not as one task's hot key
+    tied = raw(learned.where(held)).groupBy("raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    steps = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="score").fit(tied)
     return steps.transform(raw(_vectors(texts, lexicons, "id long")).select("id", "raw")).select("id", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
