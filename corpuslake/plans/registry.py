@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslake.plans import answers  # noqa: F401  (registers its queries)
+from corpuslake.plans import answers, evidence  # noqa: F401  (they register their queries)
 from corpuslake.plans import queries as Q
 
 

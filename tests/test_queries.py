@@ -47,7 +47,7 @@ def test_stream_rollup_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.table("rollup").collect()} == batch
 
 
-@pytest.mark.parametrize("name", ["r2_lexical", "p10_pack_chunks", "j14_related", "s5_consent_gate", "a1_facet_tally", "u2_supersede", "n2_html_to_text", "n11_shorten", "p8_keep_first_substantial", "j11_resolve_cite", "f24_confidence", "u10_classify", "io9_export_drift", "a15_twin_agreement"])
+@pytest.mark.parametrize("name", ["r8_select_documents", "f18_search_query", "p14_prose", "v4_check_golden", "r2_lexical", "p10_pack_chunks", "j14_related", "s5_consent_gate", "a1_facet_tally", "u2_supersede", "n2_html_to_text", "n11_shorten", "p8_keep_first_substantial", "j11_resolve_cite", "f24_confidence", "u10_classify", "io9_export_drift", "a15_twin_agreement"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "part", "events", "pages", "lineitem", "orders", "customer"):
