@@ -80,9 +80,12 @@ def citations(answers: DataFrame, key: str, text: str) -> DataFrame:
     return each.select(key, "at", F.trim("c.id").alias("cited"), F.col("c.span").alias("span"))
 
 
-def routed(question: Column, table: dict[str, list[str]] = REGIME_WORDS) -> Column:
-    """Keys of ``table`` of whose words the question holds one, in the table's order."""
-    low = F.concat(F.lit(" "), F.lower(question), F.lit(" "))
+def padded(question: Column) -> Column:
+    return F.concat(F.lit(" "), F.lower(question), F.lit(" "))
+
+
+def routed(low: Column, table: dict[str, list[str]] = REGIME_WORDS) -> Column:
+    """Keys of ``table`` of whose words a ``padded`` question holds one, in the table's order. Give a column of its own, so that it's made once."""
     named = [F.when(reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words]), F.lit(r)) for r, words in table.items()]
     return F.array_compact(F.array(*named))
 

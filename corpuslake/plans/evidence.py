@@ -92,7 +92,7 @@ def _routed_sql(table: dict[str, list[str]]) -> str:
 def f10_keyword_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions, and documents as longer ones (their ids are below zero)."""
     asked = V.questions(spark, sf_dir).select(F.col("question_id").alias("id"), "text").union(V.table(spark, sf_dir, "documents").select(-1 - F.col("doc_id"), "text"))
-    found = asked.select("id", E.routed(F.col("text")).alias("r"), E.routed(F.col("text"), E.MATERIAL_WORDS).alias("m"))
+    found = asked.select("id", E.padded(F.col("text")).alias("low")).select("id", E.routed(F.col("low")).alias("r"), E.routed(F.col("low"), E.MATERIAL_WORDS).alias("m"))
     return found.select("id", F.array_join("r", ",").alias("regimes"), F.array_join("m", ",").alias("kinds"), F.array_contains("r", "drug_licensing").alias("needs_classification"), F.array_contains("r", "abs").alias("needs_abs"))
 
 

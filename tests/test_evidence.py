@@ -33,7 +33,7 @@ def test_markers_in_their_variants(spark):
 
 def test_routing_search_and_authority(spark):
     row = spark.range(1).select(
-        E.routed(F.lit("A patent on food, GI tag")).alias("r"), E.routed(F.lit("Root and honey"), E.MATERIAL_WORDS).alias("m"), E.search_query(F.array(F.lit("Aloe vera (old), ab"), F.lit("aloe; ALOE VERA / x1 /ghee"))).alias("q"),
+        E.routed(E.padded(F.lit("A patent on food, GI tag"))).alias("r"), E.routed(E.padded(F.lit("Root and honey")), E.MATERIAL_WORDS).alias("m"), E.search_query(F.array(F.lit("Aloe vera (old), ab"), F.lit("aloe; ALOE VERA / x1 /ghee"))).alias("q"),
         E.authority(F.lit("rules")).alias("a"), E.authority(F.lit("poster")).alias("b"), E.authority(F.lit(None).cast("string")).alias("c"),
     ).first()
     assert row["r"] == ["patent", "gi", "food"] and row["m"] == ["animal", "plant"] and row["q"] == '"ALOE VERA" OR aloe OR ghee' and (row["a"], row["b"], row["c"]) == (1, 5, 5)
