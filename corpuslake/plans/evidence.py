@@ -256,3 +256,47 @@ def u11_abs_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x6_lookup_material(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = V.table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     return V.table(spark, sf_dir, "lineitem").join(known, "l_partkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("p_name", F.lit("no verified profile")).alias("profile"))
+
+
+@query(f"""WITH {ITEMS}, tiers AS (SELECT unnest(['rare', 'common', 'frequent', 'absent']) AS tier, unnest([3, 2, 1, 0]) AS difficulty)
+SELECT tier, count(item_id) AS members, count(*) FILTER (regexp_matches(type, 'STEEL|BRASS|(?i)tin')) AS flagged FROM tiers t LEFT JOIN items i ON i.difficulty = t.difficulty GROUP BY 1""")
+def a5_conservation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tier of a fixed ladder, also one without members."""
+    tiers = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(d).alias("difficulty")) for t, d in (("rare", 3), ("common", 2), ("frequent", 1), ("absent", 0))])).alias("t")).select("t.*")
+    counts = V.catalogue(spark, sf_dir).groupBy("difficulty").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("type").rlike("STEEL|BRASS|(?i)tin")).alias("flagged"))
+    return tiers.join(counts, "difficulty", "left").select("tier", F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("flagged", F.lit(0)).alias("flagged"))
+
+
+@query(f"""WITH {CHUNKS}, best AS (SELECT doc_id % 50 AS query_id, chunk_id, length(text) AS score FROM chunks QUALIFY row_number() OVER (PARTITION BY doc_id % 50, source_id, locator ORDER BY length(text) DESC, chunk_id) = 1)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM best QUALIFY rank <= {R.CANDIDATES}""")
+def r4_dedupe_by_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk is a hit of one of fifty questions, its length the score."""
+    chunks = V.chunks(spark, sf_dir)
+    hits = chunks.select((F.col("doc_id") % 50).alias("query_id"), "chunk_id", F.char_length("text").alias("score"))
+    return R.one_per_locator(hits, chunks).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part QUALIFY place <= 3),
+x AS (SELECT p_brand, place, unnest(['name', 'type', 'size']) AS axis, unnest([p_name, p_type, p_size::VARCHAR]) AS v FROM p)
+SELECT p_brand, axis, max(v) FILTER (place = 1) AS first, max(v) FILTER (place = 2) AS second, max(v) FILTER (place = 3) AS third FROM x GROUP BY 1, 2""")
+def r18_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three items of each brand side by side, one row an axis; three is the feature's own limit."""
+    items = V.table(spark, sf_dir, "part").withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("place <= 3")
+    axes = items.select("p_brand", "place", F.expr("stack(3, 'name', p_name, 'type', p_type, 'size', CAST(p_size AS STRING)) AS (axis, v)"))
+    return axes.groupBy("p_brand", "axis").agg(*[F.max(F.when(F.col("place") == i, F.col("v"))).alias(n) for i, n in ((1, "first"), (2, "second"), (3, "third"))])
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, bool_or(contains(c.text, substr(d.text, 1, 60))) AS quoted FROM documents d JOIN chunks c USING (doc_id) WHERE c.locator = 's.1' GROUP BY 1")
+def v5_check_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's first sixty characters must sit in its chunk s.1; not so where they cross a line break."""
+    form = V.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("quote"))
+    chunks = V.chunks(spark, sf_dir).where("locator = 's.1'").select("doc_id", F.col("text").alias("body"))
+    return form.join(chunks, "doc_id").groupBy("doc_id").agg(F.bool_or(F.contains("body", F.col("quote"))).alias("quoted"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END")
+def v6_check_profile_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as filed profiles: their flag is the filed kind, the part's size tells the profile's own."""
+    kind = F.when(F.col("p_size") % 3 == 0, "A").when(F.col("p_size") % 3 == 1, "N").otherwise("R")
+    own = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), kind.alias("kind"))
+    return V.table(spark, sf_dir, "lineitem").join(own, "l_partkey").where("l_returnflag <> kind").select("l_orderkey", "l_linenumber", "l_partkey")
