@@ -6,7 +6,8 @@ of its smoothed shares in the two classes; rows have unit length. The linear mod
 hinge loss with an L2 penalty by dual coordinate descent. A logistic curve fitted to the margins of rows
 left out of the descent turns margins into scores.
 
-Learning uses at most MAX_ROWS labelled rows (``max_rows``), the ones with the smallest id hashes.
+Learning uses at most MAX_ROWS labelled rows (``max_rows``), the ones with the smallest id hashes. Bins of
+fewer than two of them have ratio 0, so the model keeps the others only; rows travel as packed numbers.
 
 Nulls and edge cases: a null or empty text has no indicator and gets the intercept's score; null labels and
 ids are not learned from; with no labelled row, or one class only, every score is that class's share (1
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, labelled_sample
 
-MAX_ROWS, BITS, ALPHA, COST, EPOCHS = 4_000, 18, 1.0, 1.0, 12
+MAX_ROWS, BITS, ALPHA, COST, EPOCHS = 6_000, 20, 1.0, 1.0, 12
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,20 +54,21 @@ def indicators(text: str) -> np.ndarray:
     return np.unique(np.concatenate([word, pairs, shape, two, three]) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Of 2 ** BITS features; 0 for those of fewer than two rows."""
-    counts = np.zeros((2, 1 << BITS))
+def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of two rows or more and their ratios; all other ratios are 0."""
+    counts = np.zeros((2, 1 << BITS), np.int32)
     for idx, label in zip(rows, y, strict=True):
         counts[int(label > 0), idx] += 1
-    shares = (counts + ALPHA) / (counts + ALPHA).sum(axis=1, keepdims=True)
-    scale = np.log((ALPHA + np.array([(y <= 0).sum(), (y > 0).sum()])) / (counts + ALPHA).sum(axis=1))
-    ratio = np.log(shares[1] / shares[0]) - (scale[0] - scale[1])
-    return np.where(counts.sum(axis=0) >= 2, ratio, 0.0)
+    total = counts.sum(axis=1) + ALPHA * (1 << BITS)
+    scale = np.log((ALPHA + np.array([(y <= 0).sum(), (y > 0).sum()])) / total)
+    bins = np.flatnonzero(counts.sum(axis=0) >= 2).astype(np.int32)
+    shares = (counts[:, bins] + ALPHA) / total[:, None]
+    return bins, np.log(shares[1] / shares[0]) - (scale[0] - scale[1])
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and intercept of min |w|^2 / 2 + sum cost * max(0, 1 - y (w x + b))^2, one dual variable at a time; x: ``ratio`` at a row's indicators, at unit length."""
-    w, b, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
+    w, b, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     lean = 1 / (2 * cost)
     size = np.array([max(1e-9, float(np.linalg.norm(ratio[r]))) for r in rows])
     square = np.array([float(ratio[r] @ ratio[r]) for r in rows]) / size**2 + 1 + lean
@@ -106,27 +108,39 @@ def logistic_curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(c)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, float, float, float]:
-    """Scaled weights (per indicator), intercept, and the curve's slope and offset."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray) -> tuple[tuple[np.ndarray, ...], float, float, float]:
+    """Sparse model (bins, weights, ratios), intercept, and the curve's slope and offset."""
     y = np.where(labels > 0, 1.0, -1.0)
     # The curve needs margins of unseen rows: every fifth by id hash, if both classes are on both sides.
     out = np.array([xxhash.xxh3_64_intdigest(str(i)) % 5 == 0 for i in ids])
     if len(set(y[out])) < 2 or len(set(y[~out])) < 2:
         out[:] = False
 
-    def descend(pick: np.ndarray) -> tuple[np.ndarray, float]:
+    def descend(pick: np.ndarray) -> tuple[tuple[np.ndarray, ...], float]:
         chosen = [rows[i] for i in np.flatnonzero(pick)]
-        ratio = log_count_ratios(chosen, y[pick])
+        bins, ratio = log_count_ratios(chosen, y[pick])
+        place = np.full(1 << BITS, -1, np.int32)
+        place[bins] = np.arange(len(bins), dtype=np.int32)
+        chosen = [(at := place[r])[at >= 0] for r in chosen]
         share = (y[pick] > 0).mean()
         w, b = dual_coordinate_descent(chosen, ratio, y[pick], COST * np.where(y[pick] > 0, 0.5 / share, 0.5 / (1 - share)) * 2)
-        return np.vstack([w, ratio]), b
+        return (bins, w.astype(np.float32), ratio.astype(np.float32)), b
 
     model, b = descend(~out)
     test = out if out.any() else ~out
-    slope, offset = logistic_curve(np.array([margin(rows[i], model, b) for i in np.flatnonzero(test)]), y[test])
+    wide = spread(model)
+    slope, offset = logistic_curve(np.array([margin(rows[i], wide, b) for i in np.flatnonzero(test)]), y[test])
     return model, b, slope, offset
 
 
+def spread(model: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Weights and ratios at all 2 ** BITS bins."""
+    bins, w, ratio = model
+    wide = np.zeros((2, 1 << BITS), np.float32)
+    wide[0, bins], wide[1, bins] = w, ratio
+    return wide
+
+
 def margin(idx: np.ndarray, model: np.ndarray, intercept: float) -> float:
     w, ratio = model
     r = ratio[idx]
@@ -139,19 +153,20 @@ def quality_scorer(docs: DataFrame, labels: DataFrame, learn_from: Column, id_co
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": [indicators(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": [indicators(t).tobytes() for t in pdf["text"]]})
 
     sample = labelled_sample(texts.withColumnsRenamed({"id": "doc_id"}), labels, label, learn_from, max_rows)
-    learned = sample.mapInPandas(read, "id long, y int, x array<int>").toPandas().sort_values("id", kind="stable")
-    y = learned["y"].to_numpy(int)
+    learned = sorted(sample.mapInPandas(read, "id long, y int, x binary").collect(), key=lambda r: r["id"])
+    y = np.array([r["y"] for r in learned], int)
     if len(set(y.tolist())) < 2:
         return lambda text: F.lit(float(y.mean()) if len(y) else 1.0)
-    model, intercept, slope, offset = fit([np.asarray(x) for x in learned["x"]], y, learned["id"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast((model.astype(np.float32), intercept, slope, offset))
+    model, intercept, slope, offset = fit([np.frombuffer(r["x"], np.int32) for r in learned], y, np.array([r["id"] for r in learned], np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast((model, intercept, slope, offset))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         model, b, slope, offset = shared.value
+        model = spread(model)
         return pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, slope * margin(indicators(t), model, b) + offset)))) for t in texts], dtype=float)
 
     return lambda text: score(F.coalesce(text, F.lit("")))

@@ -192,3 +192,17 @@ def test_classifiers_learn_and_bear_edges(spark, docs, none):
         assert sum((r["score"] >= 0.5) == good(r["id"]) for r in held) >= 0.95 * len(held)
         assert score(docs, labels(spark, []), fold("id", 4) != 2).count() == len(ROWS)
         assert score(none, marks, fold("id", 4) != 2).count() == 0
+
+
+def test_quality_of_a_very_long_text_sees_few_words_that_are_not_there():
+    learned = quality.indicators(" ".join(f"known{i}" for i in range(2000)))
+    wide = quality.indicators(" ".join(f"other{i}" for i in range(60_000)))
+    assert len(np.intersect1d(learned, wide)) < 0.2 * len(learned)
+
+
+def test_quality_model_keeps_the_bins_of_two_rows():
+    rows = [np.array(r, np.int32) for r in ([1, 2, 9], [1, 3], [2, 3, 7], [1, 5])]
+    bins, ratio = quality.log_count_ratios(rows, np.array([1, 1, -1, -1]))
+    assert bins.tolist() == [1, 2, 3] and np.allclose(ratio[1:], ratio[1]) and ratio[0] > ratio[1]
+    wide = quality.spread((bins, ratio, ratio))
+    assert np.count_nonzero(wide[1]) <= 3 and np.allclose(wide[1, bins], ratio)
