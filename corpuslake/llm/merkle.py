@@ -4,12 +4,13 @@ A paragraph is a line; its node hashes the whole line. A section is a run of par
 whose hash is divisible by SECTION (or at a blank line), so an insertion moves one section's border only.
 The root hashes the sections' nodes: equal roots, equal texts. Where roots differ, ``locate_edits`` follows
 the differing branches down to the paragraphs. Below the paragraphs lie phrases of up to six words, so that
-an edit inside one long line still leaves most leaves equal; the fingerprint carries their SKETCH smallest
-hashes, which estimate the likeness of any two trees.
+an edit inside one long line still leaves most leaves equal.
 
-Fingerprint: ``root|sections|paragraphs|phrases``, hex, the last three as lists of eight digits a node.
-Likeness: 1 for equal roots; else 2J / (1 + J), the share of common phrases, with J estimated from the
-phrase sketches.
+Fingerprint: ``root|sections|paragraphs|phrases``, hex: the whole tree. A section or paragraph is 16 digits of
+hash and 8 of how many children it has, a phrase 8 digits; children come in the order of their parents.
+Likeness: 1 for equal roots; else the share of common phrases, counted as often as they occur, of both texts'
+phrases. Equal sections, then equal paragraphs leave in pairs; only phrases below differing paragraphs are
+compared. Where roots differ at least one phrase counts as different, so it is 1 for equal texts only.
 
 Nulls and edge cases: a null text is empty, with one empty paragraph; the next document is the next row by
 (id, text), a null id coming first; after the last row comes the first; a single row is its own next one.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +31,15 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text
 
-SECTION, SKETCH = 4, 64
+SECTION = 4
+_NODE = np.dtype([("hash", ">u8"), ("children", ">u4")])
 _PHRASE = re.compile(r"(?:[^\s.,;:!?]{1,40}\s*){1,6}[.,;:!?]*|[.,;:!?]+")
 
 
 class Tree:
-    """Nodes of one text. ``sections``: (first paragraph, last + 1, hash)."""
+    """Nodes of one text. ``sections``: (first paragraph, last + 1, hash); ``counts``: phrases of each paragraph."""
 
-    __slots__ = ("text", "paragraphs", "sections", "root", "sketch")
+    __slots__ = ("text", "paragraphs", "sections", "root", "counts", "phrases")
 
     def __init__(self, text: str):
         self.text = text
@@ -50,27 +53,59 @@ class Tree:
         nodes = np.array([s[2] for s in self.sections], np.uint64).tobytes() + len(lines).to_bytes(8, "little")
         # The text's own digest takes part in the root, so 64-bit inner nodes never make different texts equal.
         self.root = hashlib.blake2b(nodes + hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), digest_size=16).hexdigest()
-        found = _PHRASE.findall(text)
-        leaves = np.fromiter(map(xxhash.xxh32_intdigest, map(str.strip, found)), np.uint32, len(found))
-        self.sketch = np.unique(leaves)[:SKETCH]
+        found = [_PHRASE.findall(x) for x in lines]
+        self.counts = [len(x) for x in found]
+        self.phrases = np.array([xxhash.xxh32_intdigest(x.strip()) for line in found for x in line], np.uint32)
+
+    def levels(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sections = np.array([(h, last - first) for first, last, h in self.sections], _NODE)
+        return sections, np.array(list(zip(self.paragraphs, self.counts, strict=True)), _NODE), self.phrases.astype(">u4")
 
     def fingerprint(self) -> str:
-        part = lambda nodes: "".join(f"{h & 0xFFFFFFFF:08x}" for h in nodes)
-        return "|".join((self.root, part(s[2] for s in self.sections), part(self.paragraphs), part(self.sketch.tolist())))
+        return "|".join((self.root, *(x.tobytes().hex() for x in self.levels())))
+
+
+def _unpaired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which nodes of ``x`` are left when each of ``y`` takes an equal one away."""
+    have, left = Counter(y["hash"].tolist()), np.ones(len(x), bool)
+    for i, h in enumerate(x["hash"].tolist()):
+        if have[h] > 0:
+            have[h] -= 1
+            left[i] = False
+    return left
+
+
+def _below(levels: tuple[np.ndarray, ...], keep: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The levels under the kept nodes of the first one."""
+    out = []
+    for nodes, children in zip(levels, levels[1:]):
+        keep = np.repeat(keep, nodes["children"])
+        out.append(children[keep])
+    return tuple(out)
+
+
+def _descend(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Both trees' phrases below their differing sections and paragraphs."""
+    while len(a) > 1:
+        a, b = _below(a, _unpaired(a[0], b[0])), _below(b, _unpaired(b[0], a[0]))
+    return a[0], b[0]
+
+
+def _share(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
+    """Of two trees with different roots."""
+    total = len(a[2]) + len(b[2])
+    if not total:
+        return 0.0
+    (x, n), (y, m) = (np.unique(p, return_counts=True) for p in _descend(a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return 1 - max(1, int(n.sum() + m.sum() - 2 * np.minimum(n[i], m[j]).sum())) / total
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1, from two fingerprints alone."""
-    (ra, *_, sa), (rb, *_, sb) = a.split("|"), b.split("|")
-    if ra == rb:
-        return 1.0
-    x, y = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (sa, sb))
-    # Hex of equal length sorts as the numbers do: the least SKETCH of the union are a sample of the union.
-    union = sorted(x | y)[:SKETCH]
-    if not union:
-        return 0.0
-    j = len(x & y & set(union)) / len(union)
-    return 2 * j / (1 + j)
+    (ra, *x), (rb, *y) = a.split("|"), b.split("|")
+    read = lambda levels: tuple(np.frombuffer(bytes.fromhex(t), d) for t, d in zip(levels, (_NODE, _NODE, ">u4"), strict=True))
+    return 1.0 if ra == rb else _share(read(x), read(y))
 
 
 def locate_edits(a: str, b: str) -> list[tuple[int, int]]:

@@ -1,6 +1,7 @@
 """The training-data operators on small fixtures: brute force, exact round trips, edge cases."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -206,3 +207,21 @@ def test_quality_model_keeps_the_bins_of_two_rows():
     assert bins.tolist() == [1, 2, 3] and np.allclose(ratio[1:], ratio[1]) and ratio[0] > ratio[1]
     wide = quality.spread((bins, ratio, ratio))
     assert np.count_nonzero(wide[1]) <= 3 and np.allclose(wide[1, bins], ratio)
+
+
+def test_merkle_likeness_counts_every_phrase():
+    lines = [f"paragraph number {i} with words, and some more of them; the end of {i % 9}" for i in range(400)]
+    text = "\n".join(lines)
+    print_ = merkle.Tree(text).fingerprint()
+
+    def flat(x, y):
+        x, y = (Counter(p.strip() for line in t.split("\n") for p in merkle._PHRASE.findall(line)) for t in (x, y))
+        return 2 * (x & y).total() / (x.total() + y.total())
+
+    for i in range(0, 400, 40):
+        edited = "\n".join([*lines[:i], "changed here", *lines[i + 1 :]])
+        assert 0.99 < merkle.likeness(print_, merkle.Tree(edited).fingerprint()) < 1.0
+    for other in (text[: len(text) // 2], "\n".join(lines[::2]), "\n".join(lines + lines[:50]), "\n".join(lines[::-1]).replace("words", "terms", 100), "a b"):
+        assert merkle.likeness(print_, merkle.Tree(other).fingerprint()) == pytest.approx(flat(text, other))
+    assert merkle.likeness(print_, merkle.Tree("\n".join(lines[::-1])).fingerprint()) < 1.0
+    assert merkle.likeness(merkle.Tree("").fingerprint(), merkle.Tree(" ").fingerprint()) == 0.0
