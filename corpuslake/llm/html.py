@@ -2,11 +2,12 @@
 
 Markup is stripped to lines, one for each block element, in page order. Regions that are never main text
 (scripts, styles, forms, navigation, headers, footers, sidebars, and elements whose class, id or role names
-an advert, notice, menu, comment list or the like) and link lists leave BLANK lines without text in their place. Over the lines runs a
-sliding window of WIDTH lines that sums text lengths, links' text not counted; main text surges where the
-sum rises from 0 and dives where it falls back to 0. Of the stretches between surge and dive those are
-kept that reach SHARE of the longest; if the page marks an article or main element, only stretches inside it
-compete. Nothing inside a kept stretch is dropped, however short a line is.
+an advert, notice, menu, comment list or the like) leave BLANK lines without text in their place. If the page
+marks an article or main element, every other line inside it is kept, links too; there headings are never taken for
+such regions, and no element is by its id alone. Else a sliding window of WIDTH lines runs over the lines and sums text
+lengths, links' text not counted; main text surges where the sum rises from 0 and dives where it falls back
+to 0. Stretches between surge and dive whose text stands in one parent element count as one; those are kept
+that reach SHARE of the longest. Nothing inside a kept stretch is dropped, however short a line is.
 
 Nulls and edge cases: null or empty html gives an empty text; unclosed elements end with their parent or the
 page; a null id or url is passed on; repeated rows are extracted once each.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,18 +26,22 @@ from pyspark.sql import functions as F
 
 WIDTH, BLANK, SHARE = 3, 4, 0.2
 # Element names of the HTML standard, by what they mean here.
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title|xmp"
+RAW = "script|style|noscript|template|svg|annotation|annotation-xml|iframe|object|canvas|textarea|select|title|xmp"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)"
+    rf"|<({RAW})(?![\w-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-OUTSIDE = frozenset("nav header footer aside form button dialog menu label fieldset head figcaption".split())
+OUTSIDE = frozenset("nav header footer aside form button dialog menu label fieldset head".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that the start of another block ends.
 LOOSE = frozenset("p li dt dd td th tr option".split())
+#: Blocks of running text; a line's parent is the nearest open block besides these.
+TEXT = LOOSE | frozenset("address blockquote dir dl figure figcaption h1 h2 h3 h4 h5 h6 hgroup legend ol pre summary table tbody tfoot thead ul".split())
+_HEADING = re.compile(r"h[1-6]\Z")
+_CLASSED = re.compile(r"\b(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _AWAY = re.compile(
@@ -46,39 +52,44 @@ _AWAY = re.compile(
 )
 
 
-def _away(name: str, attributes: str) -> bool:
+def _away(name: str, attributes: str, inside: bool) -> bool:
     if name in OUTSIDE:
         return True
     if not attributes:
         return False
     if _HIDDEN.search(attributes):
         return True
-    return name not in ("html", "body", "article", "main") and any(_AWAY.search(next(x for x in m.groups() if x is not None)) for m in _NAMED.finditer(attributes))
+    if name in ("html", "body", "article", "main") or inside and _HEADING.match(name):
+        return False
+    return any(_AWAY.search(next(x for x in m.groups() if x is not None)) for m in (_CLASSED if inside else _NAMED).finditer(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length without links, inside an article or main element) for each line."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, length without links, inside an article or main element, number of the parent) for each line."""
+    out: list[tuple[str, int, bool, int]] = []
     stack: list[tuple[str, bool]] = []  # open elements and whether they are away
+    parents = [0]
     parts: list[str] = []
-    linked, inside, away, anchors = 0, 0, 0, 0
+    linked, inside, away, anchors, met = 0, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, max(0, len(text) - linked), inside > 0))
+                out.append((text, max(0, len(text) - linked), inside > 0, parents[-1]))
             parts.clear()
         linked = 0
 
     def close() -> None:
         nonlocal inside, away, anchors
         name, was_away = stack.pop()
+        if name in BLOCKS and name not in TEXT:
+            parents.pop()
         if was_away:
             away -= 1
             if not away:
-                out.extend([("", 0, inside > 0)] * BLANK)
+                out.extend([("", 0, inside > 0, parents[-1])] * BLANK)
         inside -= name in ("article", "main")
         anchors -= name == "a"
 
@@ -119,8 +130,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     break
         if name in VOID or m.group(4).rstrip().endswith("/") and not block:
             continue
-        gone = _away(name, m.group(4))
+        gone = _away(name, m.group(4), inside > 0)
         stack.append((name, gone))
+        if block and name not in TEXT:
+            met += 1
+            parents.append(met)
         away += gone
         inside += name in ("article", "main")
         anchors += name == "a"
@@ -131,10 +145,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    if any(marked and size for _, size, marked in lines):
-        lines = [x if x[2] else ("", 0, False) for x in lines]
+    if any(text and marked for text, _, marked, _ in lines):
+        return "\n\n".join(text for text, _, marked, _ in lines if text and marked)
     n = len(lines)
-    sizes = [size for _, size, _ in lines]
+    sizes = [size for _, size, _, _ in lines]
     run = sum(sizes[:WIDTH])
     stretches, first = [], None
     # sums[i] covers lines i .. i + WIDTH - 1; a stretch goes on while the window holds any text.
@@ -147,10 +161,15 @@ def main_text(page: str) -> str:
         run += (sizes[i + WIDTH] if i + WIDTH < n else 0) - sizes[i]
     if first is not None:
         stretches.append((first, n))
-    weight = [sum(sizes[a:b]) for a, b in stretches]
-    least = SHARE * max(weight, default=0)
-    marked = any(m for _, _, m in lines)
-    return "\n\n".join(text for (a, b), w in zip(stretches, weight, strict=True) if marked or w >= least for text, _, _ in lines[a:b] if text)
+    parent, weight = [], Counter()
+    for a, b in stretches:
+        held = Counter()
+        for _, size, _, p in lines[a:b]:
+            held[p] += size
+        parent.append(max(held, key=lambda p: (held[p], -p)))
+        weight[parent[-1]] += sum(sizes[a:b])
+    least = SHARE * max(weight.values(), default=0)
+    return "\n\n".join(text for (a, b), p in zip(stretches, parent, strict=True) if weight[p] >= least for text, *_ in lines[a:b] if text)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

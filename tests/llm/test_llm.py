@@ -225,3 +225,18 @@ def test_merkle_likeness_counts_every_phrase():
         assert merkle.likeness(print_, merkle.Tree(other).fingerprint()) == pytest.approx(flat(text, other))
     assert merkle.likeness(print_, merkle.Tree("\n".join(lines[::-1])).fingerprint()) < 1.0
     assert merkle.likeness(merkle.Tree("").fingerprint(), merkle.Tree(" ").fingerprint()) == 0.0
+
+
+def test_html_keeps_all_of_a_marked_article():
+    links = "".join(f"<li><a href=/{i}>Source {i}</a></li>" for i in range(6))
+    page = f"""<body><nav><a href=/>Home</a></nav><article><h2 class="search">Search methods</h2><section id="legal"><p>Long text of the section.</p></section>
+    <div class="ad"><p>Buy now and save a lot of money today</p></div><figure><img src=x><figcaption>A caption.</figcaption></figure><p>Energy is <math><mi>E</mi></math>.</p>
+    <ul>{links}</ul><p><a href=/next>Read the whole report</a></p></article><footer>&copy; x</footer></body>"""
+    want = ["Search methods", "Long text of the section.", "A caption.", "Energy is E.", *(f"Source {i}" for i in range(6)), "Read the whole report"]
+    assert html.main_text(page).split("\n\n") == want
+
+
+def test_html_joins_stretches_of_one_parent():
+    story, end = "<p>" + "Many words of the story. " * 40 + "</p>", "<p>Short closing words.</p>"
+    page = f"<body><div>{story}<div class=ad><p>Buy now</p></div>{end}</div><nav>x</nav><div><p>Elsewhere.</p></div></body>"
+    assert html.main_text(page).endswith("story.\n\nShort closing words.")
