@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TARGET, LONGEST = 2400, 3200
 
@@ -28,17 +32,25 @@ def corpus_version(versions: DataFrame) -> DataFrame:
 def pack_chunks(lines: DataFrame, target: int = TARGET) -> DataFrame:
     """Greedy packing of a unit's lines (unit, k, n_chars) into chunks of at most ``target`` characters: ``unit, k, chunk_no``.
 
-    The fold is a bounded sequential one over one unit's lines; units are independent, so one shuffle does.
+    The fold is an ordered one over a unit's lines that holds one batch of rows, however long a unit is; units are independent, so one shuffle does.
     """
-    rows = lines.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("k", "n_chars"))).alias("lines"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("no"), F.array().cast("array<struct<k:int,no:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = (s["used"] > 0) & (s["used"] + x["n_chars"] > target)
-        no = s["no"] + F.when(fresh, 1).otherwise(0)
-        return F.struct((F.when(fresh, 0).otherwise(s["used"]) + x["n_chars"]).cast("long").alias("used"), no.cast("int").alias("no"), F.concat(s["out"], F.array(F.struct(x["k"].cast("int").alias("k"), no.cast("int").alias("no")))).alias("out"))
 
-    return rows.select("unit", F.explode(F.aggregate("lines", start, step, lambda s: s["out"])).alias("o")).select("unit", F.col("o.k").alias("k"), F.col("o.no").alias("chunk_no"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, used, no, first = None, 0, 0, True
+        for batch in batches:
+            out = []
+            for now, n in zip(batch["unit"].to_pylist(), batch["n_chars"].to_pylist(), strict=True):
+                if first or now != unit:
+                    unit, used, no, first = now, 0, 0, False
+                if used > 0 and used + (n or 0) > target:
+                    used, no = 0, no + 1
+                used += n or 0
+                out.append(no)
+            yield pa.RecordBatch.from_arrays([batch["unit"], batch["k"], pa.array(out, pa.int32())], ["unit", "k", "chunk_no"])
+
+    rows = lines.select("unit", F.col("k").cast("int").alias("k"), F.col("n_chars").cast("long").alias("n_chars"))
+    schema = T.StructType([rows.schema["unit"], rows.schema["k"], T.StructField("chunk_no", T.IntegerType())])
+    return rows.repartition("unit").sortWithinPartitions("unit", "k", "n_chars").mapInArrow(fold, schema)
 
 
 def sections(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,17 +46,23 @@ def revoke(log: DataFrame) -> DataFrame:
 
 
 def rate_limit(log: DataFrame, per_day: float = 2.0, burst: float = 2.0) -> DataFrame:
-    """Token bucket for each session: ``event_id, allowed``. An ordered fold over one session's events."""
-    rows = log.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), "event_id"))).alias("e"))
+    """Token bucket for each session: ``event_id, allowed``. An ordered fold that holds one bucket and one batch of rows, however long a session is."""
     rate = per_day / 86_400e6
-    start = F.struct(F.lit(burst).alias("tokens"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        have = F.least(F.lit(burst), s["tokens"] + F.coalesce((x["us"] - s["last"]) * F.lit(rate), F.lit(0.0)))
-        ok = have >= 1
-        return F.struct((have - F.when(ok, 1.0).otherwise(0.0)).alias("tokens"), x["us"].alias("last"), F.concat(s["out"], F.array(F.struct(x["event_id"].alias("event_id"), ok.alias("allowed")))).alias("out"))
 
-    return rows.select(F.explode(F.aggregate("e", start, step, lambda s: s["out"])).alias("o")).select("o.*")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, tokens, last, fresh = None, burst, None, True
+        for batch in batches:
+            out = []
+            for now, us in zip(batch["session_id"].to_pylist(), batch["us"].to_pylist(), strict=True):
+                if fresh or now != session:
+                    session, tokens, last, fresh = now, burst, None, False
+                have = min(burst, tokens + (0.0 if us is None or last is None else (us - last) * rate))
+                out.append(have >= 1)
+                tokens, last = have - out[-1], us
+            yield pa.RecordBatch.from_arrays([batch["event_id"], pa.array(out, pa.bool_())], ["event_id", "allowed"])
+
+    rows = log.select("session_id", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"))
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "us", "event_id").mapInArrow(fold, "event_id long, allowed boolean")
 
 
 def purge_counts(log: DataFrame, now: Column, days: int = 20) -> DataFrame:

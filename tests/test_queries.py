@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions import passages as G
 from corpuslake.functions import text as T
 from corpuslake.operators import answers as A
+from corpuslake.operators import corpus as P
 from corpuslake.plans import registry
 from corpuslake.streaming import sessions
 
@@ -74,3 +75,15 @@ def test_decision_list_asks_for_unknown_answers(spark):
 def test_confidence_without_hits_is_low(spark):
     df = spark.createDataFrame([(0, 0, False, 0, 0, 0, False, 0.0, "low"), (4, 4, True, 2, 2, 0, True, 1.0, "high"), (4, 0, False, 2, 2, 1, False, 0.32, "low")], "hits long, agreed long, named boolean, total long, verified long, flags long, top boolean, want double, label string")
     assert all(abs(r["score"] - r["want"]) < 1e-9 and r["band"] == r["label"] for r in A.confidence(df).collect())
+
+
+def test_folds_gather_no_group_in_one_row(spark, capsys):
+    log = spark.range(30_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 3 * F.when(F.col("id") < 9, 1).otherwise(0)).alias("session_id"))
+    lines = spark.range(30_000).select((F.col("id") % 2).alias("unit"), F.col("id").cast("int").alias("k"), F.lit(100).alias("n_chars"))
+    limited, packed = sessions.rate_limit(log, per_day=1440.0, burst=1.0), P.pack_chunks(lines, 250)
+    for df in (limited, packed):
+        df.explain()
+        assert "collect_list" not in capsys.readouterr().out
+    # One event a minute at one token a minute: each is allowed, over many batches.
+    assert limited.where("allowed").count() == limited.count() == 30_000
+    assert packed.groupBy("unit").agg(F.max("chunk_no").alias("m")).select("m").collect() == [(7499,), (7499,)]
