@@ -63,17 +63,22 @@ def one_per_locator(hits: DataFrame, chunks: DataFrame, k: int = CANDIDATES) ->
 
 
 def overlap_rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = SHOWN) -> DataFrame:
-    """Default reranker: the share of the query's words that the passage has. Texts are joined after the cut to few hits."""
-    words = hits.join(queries.select("query_id", T.words3(F.col("text")).alias("q")), "query_id").join(chunks.select("chunk_id", T.words3(F.col("text")).alias("c")), "chunk_id")
+    """Default reranker: the share of the query's words that the passage has. Texts are joined after the cut to few hits; ``named`` hits, if marked, stay on top."""
+    named = F.col("named") if "named" in hits.columns else F.lit(False)
+    words = hits.withColumn("named", named).join(queries.select("query_id", T.words3(F.col("text")).alias("q")), "query_id").join(chunks.select("chunk_id", T.words3(F.col("text")).alias("c")), "chunk_id")
     share = F.round(F.size(F.array_intersect("q", "c")) / F.greatest(F.size("q"), F.lit(1)), 6)
-    return top(words.select("query_id", "chunk_id", share.alias("score")), k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("named"), F.desc("score"), "chunk_id")
+    return words.select("query_id", "chunk_id", "named", share.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("named")
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, k: int = SHOWN) -> DataFrame:
-    lexical = bm25(queries, chunks)
-    named = by_locator(queries, chunks)
-    hits = one_per_locator(fuse({"lexical": lexical, "locator": named}), chunks)
-    return overlap_rerank(hits, queries, chunks, k)
+    """BM25 and exact-locator lists, and the dense one where both sides carry ``embedding`` and ``model``; provisions that the query names come first."""
+    lists = {"lexical": bm25(queries, chunks), "locator": by_locator(queries, chunks)}
+    if all({"embedding", "model"} <= set(df.columns) for df in (queries, chunks)):
+        lists = {"dense": cosine(queries, chunks), **lists}
+    named = lists["locator"].select("query_id", "chunk_id", F.lit(True).alias("named"))
+    marked = fuse(lists).join(named, ["query_id", "chunk_id"], "left").fillna(False, ["named"])
+    return overlap_rerank(one_per_locator(marked, chunks), queries, chunks, k)
 
 
 def by_locator(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
