@@ -1,27 +1,32 @@
 """Near-duplicate classes by a chosen-path set similarity join.
 
 A document's set holds its distinct five-word shingles (64-bit hashes of them). Documents with equal
-sets are collapsed first. Every remaining set is a minwise signature; a tree sends a document from a
+sets are collapsed into one class first. Every class has a minwise signature; a tree sends a class from a
 node to the children named by the tokens at the positions which that node selects, so two sets of
 similarity s stay together along one edge with probability s. ``trees`` independent trees are grown, with
-two children per node: a pair of similarity 0.75 is lost by one tree with probability at most 1/9, by eight
-trees with probability below 1e-7.
+two children per node: a pair of similarity 0.75 is lost by one tree with probability at most 1/9 at any depth,
+by eight trees with probability at most 2.4e-8. Pairs of level-0 nodes of up to ``leaf`` members must also agree
+in LIKELY of their signature positions, which loses 2e-10 at 0.75 (binomial, 96 positions).
 
-Small nodes are compared exhaustively: up to ``leaf`` members by a self-join of ids, whose pairs must agree
-in their signatures; up to ``block`` members inside one task, which is sent the members' sets (32 bits a
-shingle) and gives a spanning forest of the node's links, never all pairs of a group of near copies. Larger
-nodes branch; what is still larger at the last level is compared in pairs of chunks, so nothing is capped. Every
-candidate is confirmed on the full sets.
+Links are confirmed on full 64-bit sets before anything is built on them. Small nodes are compared pair by
+pair. In a crowded node every member is first held against the node's least member: that unites a mass of
+near copies with one pair a member. A node whose members are united is done; only nodes that still mix
+components go on: up to ``block`` members (and ``weight`` shingles) are compared exhaustively inside one task,
+across components only, which gives at most one link a member; larger ones branch again. What is still larger at
+the last level is compared in pairs of chunks, so nothing is capped.
+
+Hot groups: a member that many others are held against is replicated to slices of SLICE pairs each; counts
+and least members are partly aggregated before the shuffle; joins on a node's or a component's number carry
+narrow rows and are split by Spark's skew handling.
 
 Nulls: a null text is empty; an empty set is linked with nothing; a null id is never linked, is kept and
-has a null class. Repeated ids and rows: one output row for each input row; an id with
-several texts is linked by any of them.
+has a null class. Repeated ids and rows: one output row for each input row; an id with several texts is
+linked by any of them. An empty table gives an empty result; further columns of the input are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, stage
 
-WORDS, POSITIONS, BRANCHES, SENT_IDS, RARE, COLUMNS = 5, 96, 2, 1_000_000, 16, 2048
+WORDS, POSITIONS, BRANCHES, LIKELY, SLICE = 5, 96, 2, 0.45, 2000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,20 +74,27 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _key(tokens: np.ndarray) -> str | None:
+    return xxhash.xxh3_128_hexdigest(tokens.tobytes()) if len(tokens) else None
+
+
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         n, key, sig = [], [], []
         for text in pdf["text"]:
             s = shingles(text)
             n.append(len(s))
-            key.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
+            key.append(_key(s))
             sig.append(signature(s) if len(s) else None)
-        yield pd.DataFrame({"id": pdf["id"], "n_shingles": n, "set_key": key, "sig": sig})
+        yield pd.DataFrame({"id": pdf["id"], "text_key": pdf["text_key"], "n_shingles": n, "set_key": key, "sig": sig})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sets of classes, from the texts of their least ids; another text of the same id is passed over."""
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "tokens": [shingles(t).view(np.int64) for t in pdf["text"]]})
+        made = [shingles(t) for t in pdf["text"]]
+        own = [_key(s) == key for s, key in zip(made, pdf["set_key"], strict=True)]
+        yield pd.DataFrame({"c": pdf["c"][own], "tokens": [s.view(np.int64) for s, ok in zip(made, own, strict=True) if ok]})
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -100,113 +112,109 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _likeness(a: str, b: str) -> F.Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {POSITIONS}D")
-
-
-def _candidates(sigs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs whose signatures agree in at least ``least`` of the positions."""
-    left, right = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.distinct().join(left, "a").join(right, "b").where(_likeness("sig_a", "sig_b") >= least).select("a", "b")
+def _likely(sigs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distinct pairs whose signatures agree in at least LIKELY of the positions."""
+    left, right = sigs.select(F.col("c").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("c").alias("b"), F.col("sig").alias("sig_b"))
+    agree = F.expr(f"aggregate(zip_with(sig_a, sig_b, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {POSITIONS}D")
+    return pairs.distinct().join(left, "a").join(right, "b").where(agree >= LIKELY).select("a", "b")
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ``ids`` (distinct). Up to SENT_IDS ids go to every task, so texts don't move; more are joined by a shuffle."""
-    return texts.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "id", "left_semi")
-
-
-def _confirm(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * |intersection| >= percent * |union| on the full sets."""
-    involved = stage(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"))
-    sets = stage(_only(texts, involved).mapInPandas(_sets, "id long, tokens array<bigint>"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b; staged) with 100 * |intersection| >= percent * |union| on the full sets. An ``a`` of many pairs is replicated to slices."""
+    slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    left = slices.join(sets, F.col("a") == F.col("c")).select("a", F.col("tokens").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    dealt = pairs.join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slices").cast("long")).cast("int").alias("slice"))
+    both = dealt.join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b").join(left, ["a", "slice"])
     common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
-
-
-def _short_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "tokens": [np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in pdf["text"]]})
-
-
-def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections. Rare tokens are counted pair by pair, frequent ones by matrix products of COLUMNS at a time."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(x) for x in sets])
-    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.argsort(column, kind="stable")
-    owner, first = owner[order], np.concatenate([[0], np.cumsum(counts)])[:-1]
-    common = np.zeros(n * n, np.float32)
-    for k in range(2, RARE + 1):
-        rows = owner[first[counts == k][:, None] + np.arange(k)]
-        for x in range(k):
-            for y in range(x + 1, k):
-                np.add.at(common, rows[:, x] * n + rows[:, y], 1)
-    common = common.reshape(n, n)
-    common += common.T
-    often = np.flatnonzero(counts > RARE)
-    for at in range(0, len(often), COLUMNS):
-        part = often[at : at + COLUMNS]
-        has = np.zeros((n, len(part)), np.float32)
-        for k, c in enumerate(part):
-            has[owner[first[c] : first[c] + counts[c]], k] = 1
-        common += has @ has.T
-    return common
+    return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct()
+
+
+def links_across(comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, compared exhaustively; each one unites two components, so there are fewer than members.
+
+    Members of the largest component aren't compared among themselves: all others are held against everyone.
+    """
+    _, group = np.unique(comp, return_inverse=True)
+    most = np.bincount(group).argmax()
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, out = np.zeros(int(code.max()) + 1, np.int32), []
+    for i in np.flatnonzero(group != most):
+        own = code[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[code], starts[:-1])
+        mark[own] = 0
+        for j in np.flatnonzero((100 * common >= percent * (sizes[i] + sizes - common)) & (group != group[i])):
+            if group[j] != group[i]:
+                out.append((i, j))
+                group[group == group[j]] = group[i]
+    return out
 
 
 def _compare(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Compares all members of a node and gives a spanning forest ``a < b`` of its links, so fewer pairs than members."""
-
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
-        ids, n = pdf["id"].to_numpy(), len(pdf)
-        sets = [np.frombuffer(x, np.uint32) for x in pdf["tokens"]]
-        size, common = np.array([len(x) for x in sets], np.float32), common_tokens(sets)
-        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
-        group, out = np.arange(n), []
-        for i in range(n):
-            for j in np.flatnonzero(linked[i]):
-                if group[j] != group[i]:
-                    out.append((min(i, j), max(i, j)))
-                    group[group == group[j]] = group[i]
-        edges = np.array(out, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
+        pdf = pdf.drop_duplicates("c")
+        ids, found = pdf["c"].to_numpy(), links_across(pdf["comp"].to_numpy(), list(pdf["tokens"]), percent)
+        return pd.DataFrame({"a": [min(ids[i], ids[j]) for i, j in found], "b": [max(ids[i], ids[j]) for i, j in found]}, dtype="int64")
 
     return compare
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 8, leaf: int = 24, block: int = 2000, depth: int = 3) -> DataFrame:
-    """``id, n_shingles, component_id, kept`` for every row of ``docs``."""
+def _crowds(level: DataFrame) -> DataFrame:
+    """``level`` (c, size, node) with each node's members ``n``, shingles ``w`` and least member ``lead``; nodes of one member go."""
+    return level.join(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), F.min("c").alias("lead")).where("n > 1"), "node")
+
+
+def _mixed(level: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of nodes whose members aren't all of one component, with ``comp``."""
+    placed = level.join(comps.select(F.col("id").alias("c"), "root"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
+    return placed.join(placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node"), "node", "left_semi")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 8, leaf: int = 24, block: int = 2000, weight: int = 2_000_000, depth: int = 8) -> DataFrame:
+    """``id, text_key, n_shingles, component_id, kept`` for every row of ``docs``; ``text_key``: MD5 of the text (null: empty)."""
     texts = ids_and_text(docs, id_col, text_col)
-    signed = stage(texts.mapInPandas(_sign, "id long, n_shingles long, set_key string, sig array<int>"))
-    classes = stage(signed.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "sig")).alias("r")).select("set_key", "r.id", "r.sig"))
-    sigs = classes.select("id", "sig")
+    signed = stage(texts.withColumn("text_key", F.md5("text")).mapInPandas(_sign, "id long, text_key string, n_shingles long, set_key string, sig array<int>"))
+    known = signed.where("set_key is not null and id is not null")
+    first = F.min(F.struct("id", "n_shingles", "sig")).alias("r")
+    classes = stage(known.groupBy("set_key").agg(first).select("set_key", "r.id", F.col("r.n_shingles").alias("size"), "r.sig", F.monotonically_increasing_id().alias("c")))
+    sigs = classes.select("c", "sig")
 
     keys = F.array(*[F.xxhash64(F.lit(p), F.col("sig")[p % POSITIONS]) for p in range(trees * BRANCHES)])
-    level, small, middle = sigs.select("id", F.explode(keys).alias("node")), [], []
+    level = stage(_crowds(classes.select("c", "size", F.explode(keys).alias("node"))))
+    small, crowd = level.where(F.col("n") <= leaf).select("c", "node"), level.where(F.col("n") > leaf)
+    pairs = small.withColumnRenamed("c", "a").join(small.withColumnRenamed("c", "b"), "node").where("a < b").select("a", "b")
+    stars = lambda rows: _likely(sigs, rows.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")))
+    likely = stage(_likely(sigs, pairs).union(stars(crowd)).distinct())
+    involved = stage(likely.select("a").union(likely.select("b")).union(crowd.select("c")).distinct().withColumnRenamed("a", "c").join(classes.select("c", "id", "set_key"), "c"))
+    sets = stage(texts.join(involved, "id").select("c", "set_key", "text").mapInPandas(_sets, "c long, tokens array<bigint>"))
+
+    several = known.join(classes.select("set_key", "c"), "set_key").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
+    again = known.select("id", "set_key").join(several.select("id", "a"), "id").join(classes.select("set_key", F.col("c").alias("b")), "set_key").where("a <> b").select("a", "b")
+    comps = connected_components(_confirm(sets, likely, percent).union(again))
+    level = stage(_mixed(crowd, comps))
     for step in range(depth):
-        level = stage(level.join(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node"))
-        small.append(level.where(F.col("n") <= leaf).select("id", "node"))
-        middle.append(level.where((F.col("n") > leaf) & (F.col("n") <= block)).select("id", "node"))
-        large = level.where(F.col("n") > block)
-        if large.isEmpty():
-            break
-        if step == depth - 1:
-            chunks = F.ceil(F.col("n") * 2 / block).cast("int")
-            cut = large.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            middle.append(cut.select("id", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node")))
-        else:
+        fits = (F.col("n") <= block) & (F.col("w") <= weight)
+        middle, large = level.where(fits).select("c", "comp", "node"), level.where(~fits)
+        more = not large.isEmpty()
+        if more and step == depth - 1:
+            chunks = F.greatest(F.ceil(F.col("n") * 2 / block), F.ceil(F.col("w") * 2 / weight)).cast("int")
+            cut = large.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("c"), F.col("chunks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            middle = middle.union(cut.select("c", "comp", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node")))
+        found = stage(middle.join(sets, "c").groupBy("node").applyInPandas(_compare(percent), "a long, b long"))
+        if more and step < depth - 1:
             chosen = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POSITIONS)).cast("int") for b in range(BRANCHES)]
-            level = large.join(sigs, "id").select("id", F.explode(F.array(*[F.xxhash64("node", p, F.col("sig")[p]) for p in chosen])).alias("node")).distinct()
-
-    together = reduce(DataFrame.union, small)
-    pairs = together.withColumnRenamed("id", "a").join(together.withColumnRenamed("id", "b"), "node").where("a < b").select("a", "b")
-    likely = _candidates(sigs, pairs, percent / 100 - 0.2)
-    crowded = stage(reduce(DataFrame.union, middle))
-    if not crowded.isEmpty():
-        short = stage(_only(texts, crowded.select("id").distinct()).mapInPandas(_short_sets, "id long, tokens binary"))
-        likely = likely.union(crowded.join(short, "id").groupBy("node").applyInPandas(_compare(percent), "a long, b long")).distinct()
-    roots = connected_components(_confirm(texts, stage(likely), percent))
-    members = stage(classes.select("set_key", F.col("id").alias("first")).join(roots.withColumnRenamed("id", "first"), "first", "left").select("set_key", F.coalesce("root", "first").alias("root")))
-    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
-    return signed.select("id", "n_shingles", "set_key").join(members, "set_key", "left").select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+            children = F.explode(F.array_distinct(F.array(*[F.xxhash64("node", p, F.col("sig")[p]) for p in chosen])))
+            crowd = stage(_crowds(large.select("c", "size", "node").join(sigs, "c").select("c", "size", children.alias("node"))))
+            found = found.union(_confirm(sets, stage(stars(_mixed(crowd, comps))), percent))
+        if not found.isEmpty():
+            comps = connected_components(comps.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found))
+        if not more or step == depth - 1:
+            break
+        level = stage(_mixed(crowd, comps))
+
+    rooted = classes.select("set_key", "c", F.col("id").alias("first")).join(comps.withColumnRenamed("id", "c"), "c", "left").select("set_key", "first", F.coalesce("root", "c").alias("root"))
+    members = stage(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("set_key", "component"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return signed.select("id", "text_key", "n_shingles", "set_key").join(members, "set_key", "left").select("id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

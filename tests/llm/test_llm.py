@@ -59,17 +59,36 @@ def test_near_duplicates_equal_brute_force_through_every_kind_of_node(spark):
             if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
-    for leaf, block in ((24, 2000), (4, 10)):
-        got = {r["id"]: r["component_id"] for r in neardup.near_duplicates(df, leaf=leaf, block=block, depth=2).collect()}
+    # nodes in a task; deeper levels; chunks of what is too large at the last level
+    for leaf, block, weight, depth in ((4, 2000, 10**6, 2), (4, 10, 10**6, 3), (4, 10, 10**6, 1)):
+        got = {r["id"]: r["component_id"] for r in neardup.near_duplicates(df, leaf=leaf, block=block, weight=weight, depth=depth).collect()}
         assert got == root
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 60), min_size=1, max_size=40), min_size=2, max_size=30))
-def test_common_tokens(raw):
-    sets = [np.unique(np.array(x, np.uint32)) for x in raw]
-    got = neardup.common_tokens(sets)
-    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(len(sets)) if i != j)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=12), min_size=2, max_size=25), st.data())
+def test_links_across_unite_what_brute_force_unites(raw, data):
+    sets = [np.unique(np.array(x, np.int64)) for x in raw]
+    n = len(sets)
+    linked = {(i, j) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    given_links = data.draw(st.sets(st.sampled_from(sorted(linked)))) if linked else set()
+
+    def classes(edges):
+        root = list(range(n))
+        for i, j in edges:
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+        return root
+
+    found = neardup.links_across(np.array(classes(given_links)), sets, 75)
+    assert len(found) < n and all((max(x), min(x)) in linked for x in found)
+    assert classes([*given_links, *found]) == classes(linked)
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(50))
+    rows = [(1, text("a")), (2, text("b") + " x"), (2, text("a") + " y"), (3, text("b")), (4, text("c")), (4, text("c")), (5, " "), (6, None)]
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_shingles", "component_id", "kept").collect())
+    assert got == sorted([(1, 46, 1, True), (2, 47, 1, False), (2, 47, 1, False), (3, 46, 1, False), (4, 46, 4, True), (4, 46, 4, True), (5, 0, 5, True), (6, 0, 6, True)])
 
 
 def test_line_dedup_and_reversal(docs, none):
