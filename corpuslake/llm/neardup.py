@@ -11,9 +11,13 @@ in LIKELY of their signature positions, which loses 2e-10 at 0.75 (binomial, 96
 Links are confirmed on full 64-bit sets before anything is built on them. Small nodes are compared pair by
 pair. In a crowded node every member is first held against the node's least member: that unites a mass of
 near copies with one pair a member. A node whose members are united is done; only nodes that still mix
-components go on: up to ``block`` members (and ``weight`` shingles) are compared exhaustively inside one task,
-across components only, which gives at most one link a member; larger ones branch again. What is still larger at
-the last level is compared in pairs of chunks, so nothing is capped.
+components go on. Up to ``block`` members meet in one task: first their signatures (a byte a position), which leave
+the members with a likely partner in another component, then the sets of these, across components only, which gives at
+most one link a member. Larger nodes branch again. What is still larger at the last level is compared in pairs of
+chunks, so nothing is capped; so are members of more than ``weight`` shingles together.
+
+Sets are made for the documents that need them only: up to ``sent`` ids go to every task, so texts don't move; more
+are joined by a shuffle, with the same result.
 
 Hot groups: a member that many others are held against is replicated to slices of SLICE pairs each; counts
 and least members are partly aggregated before the shuffle; joins on a node's or a component's number carry
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, stage
 
-WORDS, POSITIONS, BRANCHES, LIKELY, SLICE = 5, 96, 2, 0.45, 2000
+WORDS, POSITIONS, BRANCHES, LIKELY, SLICE, SENT_IDS = 5, 96, 2, 0.45, 2000, 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,8 +78,9 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _key(tokens: np.ndarray) -> str | None:
-    return xxhash.xxh3_128_hexdigest(tokens.tobytes()) if len(tokens) else None
+def _key(tokens: np.ndarray) -> tuple[int | None, int | None]:
+    """128 bits that name a set, as two signed numbers."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64).tolist()) if len(tokens) else (None, None)
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,14 +91,15 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n.append(len(s))
             key.append(_key(s))
             sig.append(signature(s) if len(s) else None)
-        yield pd.DataFrame({"id": pdf["id"], "text_key": pdf["text_key"], "n_shingles": n, "set_key": key, "sig": sig})
+        out = pd.DataFrame({"id": pdf["id"], "n_shingles": n, "key": [k for k, _ in key], "key2": [k for _, k in key], "sig": sig})
+        yield out.astype({"id": "Int64", "key": "Int64", "key2": "Int64"})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The sets of classes, from the texts of their least ids; another text of the same id is passed over."""
     for pdf in batches:
         made = [shingles(t) for t in pdf["text"]]
-        own = [_key(s) == key for s, key in zip(made, pdf["set_key"], strict=True)]
+        own = [_key(s)[0] == key for s, key in zip(made, pdf["key"], strict=True)]
         yield pd.DataFrame({"c": pdf["c"][own], "tokens": [s.view(np.int64) for s, ok in zip(made, own, strict=True) if ok]})
 
 
@@ -112,13 +118,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _likely(sigs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _likely(marks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Distinct pairs whose signatures agree in at least LIKELY of the positions."""
-    left, right = sigs.select(F.col("c").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("c").alias("b"), F.col("sig").alias("sig_b"))
-    agree = F.expr(f"aggregate(zip_with(sig_a, sig_b, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {POSITIONS}D")
+    left, right = marks.select(F.col("c").alias("a"), F.col("mark").alias("mark_a")), marks.select(F.col("c").alias("b"), F.col("mark").alias("mark_b"))
+    agree = F.expr(f"aggregate(zip_with(mark_a, mark_b, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {POSITIONS}D")
     return pairs.distinct().join(left, "a").join(right, "b").where(agree >= LIKELY).select("a", "b")
 
 
+def likely_across(comp: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which members have a partner in another component whose signature agrees in at least LIKELY of the positions."""
+    out, (_, group) = np.zeros(len(comp), bool), np.unique(comp, return_inverse=True)
+    others = np.flatnonzero(group != np.bincount(group).argmax())  # the largest component's members only meet these
+    least = int(np.ceil(LIKELY * marks.shape[1]))
+    for at in range(0, len(others), 64):
+        rows = others[at : at + 64]
+        agree = (marks[rows, None, :] == marks[None, :, :]).view(np.uint8).sum(axis=2, dtype=np.uint8) >= least
+        agree &= group[rows, None] != group[None, :]
+        out[rows] |= agree.any(axis=1)
+        out |= agree.any(axis=0)
+    return out
+
+
+def _close(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The ``rows`` (c, size, comp, node) that have a likely partner in another component of their node."""
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.loc[likely_across(pdf["comp"].to_numpy(), np.stack(pdf["mark"].to_list()).astype(np.int8)), ["c", "size", "comp", "node"]]
+
+    return rows.select("c", "size", "comp", "node").join(marks, "c").groupBy("node").applyInPandas(close, "c long, size long, comp long, node long")
+
+
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b; staged) with 100 * |intersection| >= percent * |union| on the full sets. An ``a`` of many pairs is replicated to slices."""
     slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
@@ -162,59 +191,69 @@ def _compare(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def _crowds(level: DataFrame) -> DataFrame:
-    """``level`` (c, size, node) with each node's members ``n``, shingles ``w`` and least member ``lead``; nodes of one member go."""
-    return level.join(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), F.min("c").alias("lead")).where("n > 1"), "node")
+    """``level`` (c, size, node) with each node's members ``n`` and least member ``lead``; nodes of one member go."""
+    return level.join(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lead")).where("n > 1"), "node")
 
 
 def _mixed(level: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows of nodes whose members aren't all of one component, with ``comp``."""
-    placed = level.join(comps.select(F.col("id").alias("c"), "root"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
+    placed = level.drop("comp").join(comps.select(F.col("id").alias("c"), "root"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
     return placed.join(placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node"), "node", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 8, leaf: int = 24, block: int = 2000, weight: int = 2_000_000, depth: int = 8) -> DataFrame:
-    """``id, text_key, n_shingles, component_id, kept`` for every row of ``docs``; ``text_key``: MD5 of the text (null: empty)."""
+def _cut(rows: DataFrame, block: int, weight: int) -> DataFrame:
+    """``rows`` (c, size, comp, node) of nodes beyond ``block`` members or ``weight`` shingles dealt to pairs of chunks; each pair is a node of its own."""
+    over = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+    chunks = F.when((F.col("n") <= block) & (F.col("w") <= weight), 1).otherwise(F.greatest(F.ceil(F.col("n") * 2 / block), F.ceil(F.col("w") * 2 / weight))).cast("int")
+    dealt = rows.join(over.select("node", chunks.alias("chunks")), "node").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("chunks").cast("long")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    return dealt.withColumn("other", other).select("c", "comp", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 8, leaf: int = 24, block: int = 2000, weight: int = 2_000_000, depth: int = 8, sent: int = SENT_IDS) -> DataFrame:
+    """``id, n_shingles, component_id, kept`` for every row of ``docs``."""
     texts = ids_and_text(docs, id_col, text_col)
-    signed = stage(texts.withColumn("text_key", F.md5("text")).mapInPandas(_sign, "id long, text_key string, n_shingles long, set_key string, sig array<int>"))
-    known = signed.where("set_key is not null and id is not null")
+    signed = stage(texts.mapInPandas(_sign, "id long, n_shingles long, key long, key2 long, sig array<int>"))
+    known = signed.where("key is not null and id is not null")
     first = F.min(F.struct("id", "n_shingles", "sig")).alias("r")
-    classes = stage(known.groupBy("set_key").agg(first).select("set_key", "r.id", F.col("r.n_shingles").alias("size"), "r.sig", F.monotonically_increasing_id().alias("c")))
-    sigs = classes.select("c", "sig")
+    mark = F.transform("r.sig", lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint")).alias("mark")
+    classes = stage(known.groupBy("key", "key2").agg(first).select("key", "key2", "r.id", F.col("r.n_shingles").alias("size"), "r.sig", mark, F.monotonically_increasing_id().alias("c")))
+    marks = classes.select("c", "mark")
 
     keys = F.array(*[F.xxhash64(F.lit(p), F.col("sig")[p % POSITIONS]) for p in range(trees * BRANCHES)])
     level = stage(_crowds(classes.select("c", "size", F.explode(keys).alias("node"))))
-    small, crowd = level.where(F.col("n") <= leaf).select("c", "node"), level.where(F.col("n") > leaf)
+    small, crowd = level.where(F.col("n") <= leaf).select("c", "node"), level.where(F.col("n") > leaf).withColumn("comp", F.col("c"))
     pairs = small.withColumnRenamed("c", "a").join(small.withColumnRenamed("c", "b"), "node").where("a < b").select("a", "b")
-    stars = lambda rows: _likely(sigs, rows.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")))
-    likely = stage(_likely(sigs, pairs).union(stars(crowd)).distinct())
-    involved = stage(likely.select("a").union(likely.select("b")).union(crowd.select("c")).distinct().withColumnRenamed("a", "c").join(classes.select("c", "id", "set_key"), "c"))
-    sets = stage(texts.join(involved, "id").select("c", "set_key", "text").mapInPandas(_sets, "c long, tokens array<bigint>"))
-
-    several = known.join(classes.select("set_key", "c"), "set_key").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
-    again = known.select("id", "set_key").join(several.select("id", "a"), "id").join(classes.select("set_key", F.col("c").alias("b")), "set_key").where("a <> b").select("a", "b")
+    stars = lambda rows: rows.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b"))
+    likely = stage(_likely(marks, pairs.union(stars(crowd))))
+    middle, large = stage(_close(crowd.where(F.col("n") <= block), marks)), crowd.where(F.col("n") > block)
+    involved = stage(likely.select("a").union(likely.select("b")).union(middle.select("c")).union(large.select("c")).distinct().withColumnRenamed("a", "c").join(classes.select("c", "id", "key"), "c"))
+    needed = texts.join(F.broadcast(involved) if involved.count() <= sent else involved, "id")
+    sets = stage(needed.select("c", "key", "text").mapInPandas(_sets, "c long, tokens array<bigint>"))
+
+    named = classes.select("key", "key2", "c")
+    several = known.join(named, ["key", "key2"]).groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
+    again = known.select("id", "key", "key2").join(several.select("id", "a"), "id").join(named.withColumnRenamed("c", "b"), ["key", "key2"]).where("a <> b").select("a", "b")
     comps = connected_components(_confirm(sets, likely, percent).union(again))
-    level = stage(_mixed(crowd, comps))
     for step in range(depth):
-        fits = (F.col("n") <= block) & (F.col("w") <= weight)
-        middle, large = level.where(fits).select("c", "comp", "node"), level.where(~fits)
+        large = stage(_mixed(large, comps).select("c", "size", "comp", "node"))
         more = not large.isEmpty()
+        middle = _mixed(middle, comps).select("c", "size", "comp", "node")
         if more and step == depth - 1:
-            chunks = F.greatest(F.ceil(F.col("n") * 2 / block), F.ceil(F.col("w") * 2 / weight)).cast("int")
-            cut = large.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("c"), F.col("chunks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            middle = middle.union(cut.select("c", "comp", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node")))
-        found = stage(middle.join(sets, "c").groupBy("node").applyInPandas(_compare(percent), "a long, b long"))
-        if more and step < depth - 1:
-            chosen = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POSITIONS)).cast("int") for b in range(BRANCHES)]
-            children = F.explode(F.array_distinct(F.array(*[F.xxhash64("node", p, F.col("sig")[p]) for p in chosen])))
-            crowd = stage(_crowds(large.select("c", "size", "node").join(sigs, "c").select("c", "size", children.alias("node"))))
-            found = found.union(_confirm(sets, stage(stars(_mixed(crowd, comps))), percent))
-        if not found.isEmpty():
-            comps = connected_components(comps.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found))
+            middle = middle.union(large)
+        found = stage(_cut(middle, block, weight).join(sets, "c").groupBy("node").applyInPandas(_compare(percent), "a long, b long"))
         if not more or step == depth - 1:
             break
-        level = stage(_mixed(crowd, comps))
-
-    rooted = classes.select("set_key", "c", F.col("id").alias("first")).join(comps.withColumnRenamed("id", "c"), "c", "left").select("set_key", "first", F.coalesce("root", "c").alias("root"))
-    members = stage(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("set_key", "component"))
+        chosen = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POSITIONS)).cast("int") for b in range(BRANCHES)]
+        children = F.explode(F.array_distinct(F.array(*[F.xxhash64("node", p, F.col("sig")[p]) for p in chosen])))
+        crowd = stage(_mixed(_crowds(large.select("c", "size", "node").join(classes.select("c", "sig"), "c").select("c", "size", children.alias("node"))), comps))
+        found = found.union(_confirm(sets, stage(_likely(marks, stars(crowd))), percent))
+        comps = connected_components(comps.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found))
+        middle, large = stage(_close(_mixed(crowd.where(F.col("n") <= block), comps), marks)), crowd.where(F.col("n") > block)
+    if not found.isEmpty():
+        comps = connected_components(comps.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found))
+
+    rooted = classes.select("key", "key2", "c", F.col("id").alias("first")).join(comps.withColumnRenamed("id", "c"), "c", "left").select("key", "key2", "first", F.coalesce("root", "c").alias("root"))
+    members = stage(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("key", "key2", "component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return signed.select("id", "text_key", "n_shingles", "set_key").join(members, "set_key", "left").select("id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return signed.select("id", "n_shingles", "key", "key2").join(members, ["key", "key2"], "left").select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
