@@ -1,41 +1,49 @@
 """Reversible line dedup: exact reference counts behind sharded cuckoo filters.
 
-Two tables make the index. ``postings`` has one row for each (line key, document); ``references`` counts
-them: key, number of documents, smallest document. Documents are inserted by appending postings and
-deleted by removing theirs; both keep the counts exact, so a deletion brings back the lines that the
-deleted document had taken from others. Over the keys that more than one document holds stand cuckoo
-filters, one for each shard of the key space: 16-bit fingerprints, four slots in a bucket, two buckets for
-each key, with insertion and deletion. A line that misses its shard's filter is certainly not repeated and
-needs no look-up, so only hits are shuffled to the exact table, which has the last word.
-
-A line's key is the line with ASCII blanks stripped at both ends and A-Z in lower case; it is stored as
-its 128-bit MD5. Keys under ten code points are never dropped.
+Three tables make an index. ``postings`` has one row for each (line key, document). ``references`` counts them
+exactly: key, number of documents, smallest document (the owner, which keeps the line). Before the stored
+references stand cuckoo filters, some for each shard of the key space: 16-bit fingerprints, four slots
+in a bucket, two buckets for each key, one entry for each key that a document holds. Documents are inserted in
+batches: a batch's keys meet their shard's filters in that shard's task; keys that miss are certainly new and
+go to the references as they are, only hits are looked up and added up. Deleting documents takes
+their postings away, lowers the counts, finds new owners and takes keys that nobody holds out of the filters.
+So a deletion brings back the lines that the deleted document had taken from others, and inserting it again
+gives the first state back. Both return the ids of documents whose kept lines may have changed.
+
+``dedup_lines`` loads all documents in WAVES insertions and drops the lines that another document owns. Texts
+are read twice and never exploded back: lines travel as (id, line number, 128-bit MD5 of the key).
+
+A line's key is the line with ASCII blanks stripped at both ends and A-Z in lower case. Keys under MIN_CHARS code
+points are never dropped.
 
 Nulls and edge cases: a null or empty text is one empty line; a null id neither holds nor loses lines;
-repeated rows of one id count as one document and all keep or lose the same lines.
+repeated rows of one id count as one document and all lose the lines that another document owns; an empty
+table gives an empty result; further columns are passed on in ``row``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import BLANKS, ids_and_text, stage
+from corpuslake.llm.common import ids_and_text, stage
 
-MIN_CHARS, SLOTS, SHARD_KEYS, FILTER_LIMIT = 10, 4, 200_000, 64 << 20
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MIN_CHARS, SLOTS, SHARD_KEYS, WAVES = 10, 4, 200_000, 2
+_UPPER, _LOWER, _BLANK = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, rf"^{BLANKS}+|{BLANKS}+\z", ""), _UPPER, _LOWER)
+    """``lower`` is the same as ``translate`` on ASCII alone, and much faster."""
+    bare = F.btrim(line, F.lit(_BLANK))
+    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
 class CuckooFilter:
-    """A set of 64-bit hashes with deletions; ``add`` is False when the table is full (then build a larger one)."""
+    """A multiset of 64-bit hashes with deletions: no false negatives, false positives with probability below 2^-12."""
 
     def __init__(self, buckets: int, table: np.ndarray | None = None):
         self.mask = buckets - 1
@@ -55,22 +63,38 @@ class CuckooFilter:
         first = h & np.uint64(self.mask)
         return prints, first.astype(np.int64), ((first ^ self._spread(prints)) & np.uint64(self.mask)).astype(np.int64)
 
-    def add(self, hashes: np.ndarray) -> bool:
-        table, mask = self.table, self.mask
+    def _fill(self, prints: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Puts prints[rows] into free slots of their buckets, all at once; returns the rows that found none."""
+        rows = rows[np.argsort(at[rows], kind="stable")]
+        bucket = at[rows]
+        rank = np.arange(len(rows)) - np.searchsorted(bucket, bucket)
+        free = self.table[bucket] == 0
+        ok = rank < free.sum(axis=1)
+        slot = np.argsort(~free, axis=1, kind="stable")[np.arange(len(rows)), np.minimum(rank, SLOTS - 1)]
+        self.table[bucket[ok], slot[ok]] = prints[rows[ok]]
+        return rows[~ok]
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Adds the hashes; returns those for which there is no place (they are not in the filter then)."""
+        prints, a, b = self.places(hashes)
+        left = self._fill(prints, b, self._fill(prints, a, np.arange(len(prints))))
         rng = np.random.default_rng(5)
-        for p, a, b in zip(*(x.tolist() for x in self.places(hashes)), strict=True):
-            at = a if (table[a] == 0).any() else b
+        for n, i in enumerate(left.tolist()):
+            p, at, path = int(prints[i]), int(b[i]), []
             for _ in range(500):
-                free = np.flatnonzero(table[at] == 0)
+                slot = int(rng.integers(SLOTS))
+                path.append((at, slot, int(self.table[at, slot])))
+                p, self.table[at, slot] = int(self.table[at, slot]), p
+                at = (at ^ ((p * 0x5BD1E995) >> 8)) & self.mask
+                free = np.flatnonzero(self.table[at] == 0)
                 if len(free):
-                    table[at, free[0]] = p
+                    self.table[at, free[0]] = p
                     break
-                slot = rng.integers(SLOTS)
-                p, table[at, slot] = int(table[at, slot]), p
-                at = (at ^ ((p * 0x5BD1E995) >> 8)) & mask
             else:
-                return False
-        return True
+                for at, slot, held in reversed(path):
+                    self.table[at, slot] = held
+                return hashes[left[n:]]
+        return hashes[:0]
 
     def remove(self, hashes: np.ndarray) -> None:
         for p, a, b in zip(*(x.tolist() for x in self.places(hashes)), strict=True):
@@ -84,82 +108,128 @@ class CuckooFilter:
         prints, a, b = self.places(hashes)
         return ((self.table[a] == prints[:, None]) | (self.table[b] == prints[:, None])).any(axis=1)
 
+SCHEMA_POSTINGS, SCHEMA_REFERENCES, SCHEMA_FILTERS = "key binary, id long", "key binary, n_docs long, owner long", "shard int, buckets long, cells binary"
+
+
+@dataclass(frozen=True)
+class LineIndex:
+    postings: DataFrame
+    references: DataFrame
+    filters: DataFrame
+    shards: int
+
+
+def empty_index(spark: SparkSession, keys: int = SHARD_KEYS) -> LineIndex:
+    """An index meant for about ``keys`` keys; it holds more, with more filters to a shard."""
+    return LineIndex(*[spark.createDataFrame([], s) for s in (SCHEMA_POSTINGS, SCHEMA_REFERENCES, SCHEMA_FILTERS)], max(1, -(-keys // SHARD_KEYS)))
+
+
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, t, at, key``: the lines that can be dropped, with their number in the text whose hash is ``t``."""
+    lines = ids_and_text(docs, id_col, text_col).where("id is not null").select("id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    keyed = lines.select("id", "t", "at", line_key(F.col("line")).alias("key"))
+    return keyed.where(F.char_length("key") >= MIN_CHARS).withColumn("key", F.unhex(F.md5("key")))
+
+
+def _hashed(keys: DataFrame, shards: int) -> DataFrame:
+    h = F.xxhash64("key")
+    return keys.select("key", h.alias("h"), F.pmod(h, F.lit(shards)).cast("int").alias("shard"))
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key, id``: one row for each document and distinct line key of at least MIN_CHARS."""
-    keys = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), line_key), lambda k: F.char_length(k) >= MIN_CHARS), lambda k: F.unhex(F.md5(k))))
-    return ids_and_text(docs, id_col, text_col).where("id is not null").select("id", F.explode(keys).alias("key")).select("key", "id")
 
+def _read(rows: pd.DataFrame) -> list[CuckooFilter]:
+    return [CuckooFilter(n, np.frombuffer(c, np.uint16).reshape(-1, SLOTS).copy()) for n, c in zip(rows["buckets"], rows["cells"], strict=True)]
 
-def references(posted: DataFrame) -> DataFrame:
-    """The exact table: ``key, n_docs, owner, last`` (smallest and largest id; they differ if several documents hold the key). Counts are partly added up before the shuffle, so a line of a third of all documents is no hot spot."""
-    return posted.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("owner"), F.max("id").alias("last"))
 
+def probe(keys: DataFrame, index: LineIndex) -> DataFrame:
+    """The keys that may be among the index's: every shard's keys meet that shard's filters in one task."""
 
-def insert_documents(posted: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return posted.union(postings(docs, id_col, text_col)).distinct()
+    def hits(mine: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        h, found = mine["h"].to_numpy().view(np.uint64), np.zeros(len(mine), bool)
+        for f in _read(held):
+            found |= f.has(h)
+        return mine.loc[found, ["key"]]
 
+    return _hashed(keys, index.shards).groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(hits, "key binary")
 
-def delete_documents(posted: DataFrame, ids: DataFrame) -> DataFrame:
-    return posted.join(ids.select(F.col(ids.columns[0]).cast("long").alias("id")), "id", "left_anti").select("key", "id")
 
+def edit_filters(index: LineIndex, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """The index's filters with one entry more for each added key (none of them in it yet) and without those of removed keys."""
 
-def _hash(key: Column) -> Column:
-    return F.xxhash64(key)
+    def edit(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        shard, filters = (rows if len(rows) else held)["shard"].iloc[0], _read(held)
+        h = rows["h"].to_numpy(np.int64).view(np.uint64)
+        for gone in h[~rows["more"].to_numpy(bool)]:
+            next(f for f in filters if f.has(np.array([gone])).any()).remove(np.array([gone]))
+        new = h[rows["more"].to_numpy(bool)]
+        for f in filters:
+            new = f.add(new)
+        while len(new):
+            filters.append(CuckooFilter.for_keys(len(new)))
+            new = filters[-1].add(new)
+        return pd.DataFrame({"shard": [shard] * len(filters), "buckets": [f.mask + 1 for f in filters], "cells": [f.table.tobytes() for f in filters]})
 
+    changes = _hashed(added, index.shards).withColumn("more", F.lit(True))
+    if removed is not None:
+        changes = changes.union(_hashed(removed, index.shards).withColumn("more", F.lit(False)))
+    return changes.drop("key").groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(edit, SCHEMA_FILTERS)
 
-def build_filters(repeated: DataFrame, shards: int) -> DataFrame:
-    """``shard, buckets, cells``: a filter for each shard of the ``key`` column, built by that shard's task."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = pdf["h"].to_numpy().view(np.uint64)
-        made = CuckooFilter.for_keys(len(hashes))
-        while not made.add(hashes):
-            made = CuckooFilter(2 * (made.mask + 1))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "buckets": [made.mask + 1], "cells": [made.table.tobytes()]})
+def insert_postings(index: LineIndex, new: DataFrame) -> tuple[LineIndex, DataFrame]:
+    """The index with further (key, id), and ``id`` of documents whose kept lines may have changed. Counts are partly added up before the shuffle, so a line of a third of all documents is no hot spot."""
+    new = stage(new.select("key", "id").distinct().join(index.postings, ["key", "id"], "left_anti"))
+    batch = stage(new.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")))
+    hits = stage(probe(batch.select("key"), index))
+    fresh = batch.join(hits, "key", "left_anti").select("key", F.col("n").alias("n_docs"), F.col("low").alias("owner"))
+    met = stage(batch.join(hits, "key", "left_semi").join(index.references, "key", "left"))
+    added_up = met.select("key", (F.col("n") + F.coalesce("n_docs", F.lit(0))).alias("n_docs"), F.least("low", "owner").alias("owner"))
+    untouched = index.references.join(met.select("key"), "key", "left_anti")
+    references = stage(fresh.union(added_up).union(untouched.select("key", "n_docs", "owner")))
+    filters = edit_filters(index, fresh.select("key").union(met.where("owner is null").select("key")))
+    changed = new.select("id").union(met.where("low < owner").select(F.col("owner").alias("id"))).distinct()
+    return LineIndex(index.postings.union(new), references, filters, index.shards), changed
 
-    hashed = repeated.select(_hash(F.col("key")).alias("h")).select("h", F.pmod("h", F.lit(shards)).cast("int").alias("shard"))
-    return hashed.groupBy("shard").applyInPandas(build, "shard int, buckets long, cells binary")
 
+def insert_documents(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[LineIndex, DataFrame]:
+    made, changed = insert_postings(index, lines_of(docs, id_col, text_col))
+    return LineIndex(made.postings, made.references, stage(made.filters), made.shards), changed
 
-def probe(posted: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The postings whose key may be among the filters' keys, probed where the postings are.
 
-    The filters go to every task while they are under FILTER_LIMIT bytes in all; beyond that nothing is
-    probed and the exact join sees every posting.
-    """
-    if (filters.agg(F.sum(F.length("cells"))).first()[0] or 0) > FILTER_LIMIT:
-        return posted
-    tables = posted.sparkSession.sparkContext.broadcast([(r["shard"], r["buckets"], bytes(r["cells"])) for r in filters.collect()])
+def delete_documents(index: LineIndex, ids: DataFrame) -> tuple[LineIndex, DataFrame]:
+    """The index without the documents named in the first column of ``ids``, and ``id`` of documents that get lines back."""
+    gone_ids = ids.select(F.col(f"`{ids.columns[0]}`").cast("long").alias("id")).distinct()
+    gone, left = stage(index.postings.join(gone_ids, "id", "left_semi").select("key", "id")), stage(index.postings.join(gone_ids, "id", "left_anti").select("key", "id"))
+    less = gone.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    met = stage(index.references.join(less, "key").select("key", (F.col("n_docs") - F.col("n")).alias("n_docs"), F.col("owner").alias("old")))
+    owners = left.join(met.where("n_docs > 0").select("key"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("owner"))
+    lowered = stage(met.join(owners, "key").select("key", "n_docs", "owner", "old"))
+    references = stage(index.references.join(met.select("key"), "key", "left_anti").select("key", "n_docs", "owner").union(lowered.drop("old")))
+    filters = stage(edit_filters(index, met.limit(0).select("key"), met.where("n_docs = 0").select("key")))
+    return LineIndex(left, references, filters, index.shards), lowered.where("owner <> old").select(F.col("owner").alias("id")).distinct()
 
-    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {s: CuckooFilter(n, np.frombuffer(c, np.uint16).reshape(-1, SLOTS)) for s, n, c in tables.value}
-        for pdf in batches:
-            h, ok = pdf["h"].to_numpy(), np.zeros(len(pdf), bool)
-            shard = h % shards
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.unique(shard):
-                rows = order[edges[s] : edges[s + 1]]
-                if s in held:
-                    ok[rows] = held[s].has(h[rows].view(np.uint64))
-            yield pdf.loc[ok, ["key", "id"]]
 
-    return posted.select("key", "id", _hash(F.col("key")).alias("h")).mapInPandas(hits, "key binary, id long")
+def _without(text: pd.Series, lost: pd.Series) -> pd.Series:
+    def kept(t: str, gone: set[int]) -> str:
+        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
 
+    return pd.Series([None if t is None else kept(t, set(at)) for t, at in zip(text, lost, strict=True)], dtype=object)
+
+
+def kept_texts(docs: DataFrame, references: DataFrame, lines: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_lines, n_dropped, kept_text, row`` for every row of ``docs`` (``row``: the input row): lines that a smaller id owns are dropped."""
+    lines = lines_of(docs, id_col, text_col) if lines is None else lines
+    dropped = lines.join(references.where("n_docs > 1").select("key", "owner"), "key").where("id <> owner")
+    lost = stage(dropped.groupBy("id", "t").agg(F.collect_set("at").alias("lost")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("row")).withColumn("t", F.xxhash64("text"))
+    out = rows.join(lost, ["id", "t"], "left").withColumn("cut", F.pandas_udf(_without, "string")(F.when(F.col("lost").isNotNull(), F.col("text")), F.col("lost")))
+    return out.select("id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"), F.coalesce("cut", "text").alias("kept_text"), "row")
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_lines, n_dropped, kept_text, row`` for every row of ``docs`` (``row``: the input row): repeated lines stay only in the smallest id that holds them."""
-    posted = postings(docs, id_col, text_col)
-    repeated = stage(references(posted).where("owner <> last"))
-    shards = max(1, -(-repeated.count() // SHARD_KEYS))
-    held = probe(posted, stage(build_filters(repeated, shards)), shards)
-    lost = held.join(repeated.select("key", "owner"), "key").where("id <> owner").groupBy("id").agg(F.collect_list("key").alias("lost"))
-    lines = F.split("text", "\n")
-    stays = F.when(F.col("lost").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: (F.char_length(line_key(x)) < MIN_CHARS) | ~F.array_contains("lost", F.unhex(F.md5(line_key(x)))))
-    )
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"))
-    out = rows.join(lost, "id", "left").withColumn("text", F.coalesce(F.col("row")[text_col], F.lit("")))
-    out = out.select("id", F.size(lines).cast("long").alias("n_lines"), stays.alias("stays"), "row")
-    return out.select("id", "n_lines", (F.col("n_lines") - F.size("stays")).cast("long").alias("n_dropped"), F.array_join("stays", "\n").alias("kept_text"), "row")
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", waves: int = WAVES) -> DataFrame:
+    """``kept_texts`` of all documents against an index of them, loaded in ``waves`` insertions."""
+    lines = stage(lines_of(docs, id_col, text_col))
+    index = empty_index(docs.sparkSession, lines.count())
+    for k in range(waves):
+        index, _ = insert_postings(index, lines.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == k))
+        if k + 1 < waves:
+            index = LineIndex(index.postings, index.references, stage(index.filters), index.shards)
+    return kept_texts(docs, index.references, lines, id_col, text_col)
