@@ -2,15 +2,21 @@
 
 Markup is stripped to lines, one for each block element, in page order. Regions that are never main text
 (scripts, styles, forms, navigation, headers, footers, sidebars, and elements whose class, id or role names
-an advert, notice, menu, comment list or the like) leave BLANK lines without text in their place. If the page
-marks an article or main element, every other line inside it is kept, links too; there headings are never taken for
-such regions, and no element is by its id alone. Else a sliding window of WIDTH lines runs over the lines and sums text
-lengths, links' text not counted; main text surges where the sum rises from 0 and dives where it falls back
-to 0. Stretches between surge and dive whose text stands in one parent element count as one; those are kept
-that reach SHARE of the longest. Nothing inside a kept stretch is dropped, however short a line is.
+an advert, notice, menu, comment list or the like) leave BLANK lines of no weight in their place. Every other line
+weighs as much as its text is long, links' text not counted; if the page marks an article or main element, links'
+text counts inside it, and lines outside weigh OUTSIDE times as much. There headings are never taken for such
+regions, and no element is by its id alone.
+
+A window of WIDTH lines runs over all lines and sums weights. A stretch begins where the sum surges from 0 and
+ends where it dives back to 0. Stretches of one article, or else of one parent element, weigh together; those are
+kept that reach SHARE of the heaviest. Nothing inside a kept stretch is dropped, however short a line is.
+
+One pass over the page, in time in proportion to its length: no tag, quote, comment or stack of open elements is
+scanned twice.
 
 Nulls and edge cases: null or empty html gives an empty text; unclosed elements end with their parent or the
-page; a null id or url is passed on; repeated rows are extracted once each.
+page; a tag that never ends is text; a quote that never ends is none; a null id or url is passed on; repeated
+rows are extracted once each; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -19,27 +25,25 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, BLANK, SHARE = 3, 4, 0.2
+WIDTH, BLANK, SHARE, OUTSIDE = 3, 4, 0.2, 0.001
 # Element names of the HTML standard, by what they mean here.
-RAW = "script|style|noscript|template|svg|annotation|annotation-xml|iframe|object|canvas|textarea|select|title|xmp"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<({RAW})(?![\w-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-OUTSIDE = frozenset("nav header footer aside form button dialog menu label fieldset head".split())
+RAW = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas textarea select title xmp".split())
+NEVER = frozenset("nav header footer aside form button dialog menu label fieldset head".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that the start of another block ends.
+#: Elements that the start of another of their kind ends, up to the nearest of SCOPES.
 LOOSE = frozenset("p li dt dd td th tr option".split())
+SCOPES = frozenset("ul ol dl table div article section main body".split())
 #: Blocks of running text; a line's parent is the nearest open block besides these.
 TEXT = LOOSE | frozenset("address blockquote dir dl figure figcaption h1 h2 h3 h4 h5 h6 hgroup legend ol pre summary table tbody tfoot thead ul".split())
+_NAME = re.compile(r"[a-zA-Z][\w:-]*")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _HEADING = re.compile(r"h[1-6]\Z")
 _CLASSED = re.compile(r"\b(?:class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -53,7 +57,7 @@ _AWAY = re.compile(
 
 
 def _away(name: str, attributes: str, inside: bool) -> bool:
-    if name in OUTSIDE:
+    if name in NEVER:
         return True
     if not attributes:
         return False
@@ -64,33 +68,103 @@ def _away(name: str, attributes: str, inside: bool) -> bool:
     return any(_AWAY.search(next(x for x in m.groups() if x is not None)) for m in (_CLASSED if inside else _NAMED).finditer(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, length without links, inside an article or main element, number of the parent) for each line."""
-    out: list[tuple[str, int, bool, int]] = []
+class _Finder:
+    """The next place of one character, remembered, so that a page is searched once for it."""
+
+    def __init__(self, page: str, char: str):
+        self.page, self.char, self.at = page, char, -1
+
+    def after(self, start: int) -> int:
+        if self.at < start:
+            self.at = self.page.find(self.char, start)
+            if self.at < 0:
+                self.at = len(self.page)
+        return self.at
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, is a closing tag, attributes) of every tag; the name is empty for comments, declarations and raw elements as a whole."""
+    n, at = len(page), 0
+    ends, quotes = _Finder(page, ">"), (_Finder(page, '"'), _Finder(page, "'"))
+    while (at := page.find("<", at)) >= 0:
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+            if page.startswith(opening, at):
+                stop = page.find(closing, at + len(opening))
+                stop = n if stop < 0 else stop + len(closing)
+                yield at, stop, "", False, ""
+                at = stop
+                break
+        else:
+            back = page.startswith("/", at + 1)
+            name = _NAME.match(page, at + 1 + back)
+            if not name:
+                at += 1
+                continue
+            stop = name.end()
+            while (first := min(q.after(stop) for q in quotes)) < ends.after(stop):
+                which = quotes[page[first] == "'"]
+                closed = which.after(first + 1)
+                stop = closed + 1 if closed < n else first + 1
+                if closed >= n:
+                    which.at = n
+            end = ends.after(stop)
+            if end >= n:
+                return
+            low, attributes = name.group().lower(), page[name.end() : end]
+            end += 1
+            if low in RAW and not back:
+                close = _CLOSE[low].search(page, end)
+                end, low = close.end() if close else n, ""
+            yield at, end, low, back, attributes
+            at = end
+
+
+class Line(NamedTuple):
+    text: str
+    size: int  # length of the text, and without that of links
+    unlinked: int
+    inside: bool  # an article or main element
+    group: int  # the outermost such element, or else the parent
+
+
+def lines_of(page: str) -> list[Line]:
+    out: list[Line] = []
     stack: list[tuple[str, bool]] = []  # open elements and whether they are away
-    parents = [0]
-    parts: list[str] = []
-    linked, inside, away, anchors, met = 0, 0, 0, 0, 0
+    opened: Counter = Counter()
+    scopes: list[Counter] = [Counter()]  # loose elements that are open since the nearest of SCOPES
+    parents, parts = [0], []
+    linked = inside = away = anchors = met = article = 0
+
+    def gap() -> None:
+        out.extend([Line("", 0, 0, inside > 0, article if inside else parents[-1])] * BLANK)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, max(0, len(text) - linked), inside > 0, parents[-1]))
+                out.append(Line(text, len(text), max(0, len(text) - linked), inside > 0, article if inside else parents[-1]))
             parts.clear()
         linked = 0
 
     def close() -> None:
         nonlocal inside, away, anchors
         name, was_away = stack.pop()
+        opened[name] -= 1
+        if name in SCOPES:
+            scopes.pop()
+        elif name in LOOSE:
+            scopes[-1][name] -= 1
         if name in BLOCKS and name not in TEXT:
             parents.pop()
         if was_away:
             away -= 1
             if not away:
-                out.extend([("", 0, inside > 0, parents[-1])] * BLANK)
-        inside -= name in ("article", "main")
+                gap()
+        if name in ("article", "main"):
+            inside -= 1
+            if not inside:
+                gap()
         anchors -= name == "a"
 
     def words(text: str) -> None:
@@ -101,10 +175,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 linked += len(" ".join(text.split()))
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        words(page[at : m.start()])
-        at = m.end()
-        name = (m.group(3) or "").lower()
+    for start, end, name, back, attributes in tokens(page):
+        words(page[at:start])
+        at = end
         if not name:
             continue
         block = name in BLOCKS
@@ -112,64 +185,70 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             flush()
         elif name == "br":
             words(" ")
-        if m.group(2):
-            if any(n == name for n, _ in stack):
+        if back:
+            if opened[name]:
                 while stack[-1][0] != name:
                     close()
                 close()
             continue
         if block and stack and stack[-1][0] == "p":
             close()
-        if name in LOOSE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "body"):
-                    break
-        if name in VOID or m.group(4).rstrip().endswith("/") and not block:
+        if name in LOOSE and scopes[-1][name]:
+            while stack[-1][0] != name:
+                close()
+            close()
+        if name in VOID or attributes.rstrip().endswith("/") and not block:
             continue
-        gone = _away(name, m.group(4), inside > 0)
+        if name in ("article", "main"):
+            if not inside:
+                met += 1
+                gap()
+                article = met
+            inside += 1
+        gone = _away(name, attributes, inside > 0)
         stack.append((name, gone))
+        opened[name] += 1
+        if name in SCOPES:
+            scopes.append(Counter())
+        elif name in LOOSE:
+            scopes[-1][name] += 1
         if block and name not in TEXT:
             met += 1
             parents.append(met)
         away += gone
-        inside += name in ("article", "main")
         anchors += name == "a"
     words(page[at:])
     flush()
     return out
 
 
-def main_text(page: str) -> str:
-    lines = lines_of(page)
-    if any(text and marked for text, _, marked, _ in lines):
-        return "\n\n".join(text for text, _, marked, _ in lines if text and marked)
-    n = len(lines)
-    sizes = [size for _, size, _, _ in lines]
-    run = sum(sizes[:WIDTH])
-    stretches, first = [], None
-    # sums[i] covers lines i .. i + WIDTH - 1; a stretch goes on while the window holds any text.
+def stretches(weights: list[float]) -> list[tuple[int, int]]:
+    """[first, last + 1) of lines between a surge of the window's sum from 0 and its dive back to 0. A window covers lines i to i + WIDTH - 1."""
+    found, first, n = [], None, len(weights)
+    heavy = sum(w > 0 for w in weights[:WIDTH])
     for i in range(n):
-        if run and first is None:
+        if heavy and first is None:
             first = i
-        if not run and first is not None:
-            stretches.append((first, i))
+        if not heavy and first is not None:
+            found.append((first, i))
             first = None
-        run += (sizes[i + WIDTH] if i + WIDTH < n else 0) - sizes[i]
-    if first is not None:
-        stretches.append((first, n))
-    parent, weight = [], Counter()
-    for a, b in stretches:
+        heavy += (i + WIDTH < n and weights[i + WIDTH] > 0) - (weights[i] > 0)
+    return found + [(first, n)] * (first is not None)
+
+
+def main_text(page: str) -> str:
+    lines = lines_of(page)
+    marked = any(x.text and x.inside for x in lines)
+    weights = [(x.size if x.inside else OUTSIDE * x.unlinked) if marked else x.unlinked for x in lines]
+    found, of, total = stretches(weights), [], Counter()
+    for a, b in found:
         held = Counter()
-        for _, size, _, p in lines[a:b]:
-            held[p] += size
-        parent.append(max(held, key=lambda p: (held[p], -p)))
-        weight[parent[-1]] += sum(sizes[a:b])
-    least = SHARE * max(weight.values(), default=0)
-    return "\n\n".join(text for (a, b), p in zip(stretches, parent, strict=True) if weight[p] >= least for text, *_ in lines[a:b] if text)
+        for x, w in zip(lines[a:b], weights[a:b], strict=True):
+            held[x.group] += w
+        of.append(max(held, key=lambda g: (held[g], -g)))
+        total[of[-1]] += sum(weights[a:b])
+    least = SHARE * max(total.values(), default=0)
+    return "\n\n".join(x.text for (a, b), g in zip(found, of, strict=True) if total[g] >= least for x in lines[a:b] if x.text)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
