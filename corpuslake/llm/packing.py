@@ -8,7 +8,8 @@ packing across groups is far below one percent of a window for each document. On
 shuffled, never token ids.
 
 Nulls and edge cases: a null text is empty and gives the end token alone; a null id is packed like any
-other; repeated rows are packed once each; an empty table gives an empty result.
+other; repeated rows are packed once each; an empty table gives an empty result; further columns are not read.
+A run of white space that is too long for the rank file's regular expression goes to the tokenizers file.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from corpuslake.llm.common import ids_and_text, stage
 
@@ -40,9 +42,18 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
 
 
+@lru_cache(2)
+def whole_tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
-    """The text's ids and the end token, as little-endian 32-bit numbers."""
-    return np.array([*encoding(path).encode(text, allowed_special="all"), END], dtype="<u4")
+    """The text's ids and the end token, as little-endian 32-bit numbers. ``path``: the rank file; the tokenizers file lies beside it."""
+    try:
+        ids = encoding(path).encode(text, allowed_special="all")
+    except ValueError:  # white space beyond the stack of the rank file's regular expression
+        ids = whole_tokenizer(path.removesuffix(".tiktoken") + ".json").encode(text, add_special_tokens=False).ids
+    return np.array([*ids, END], dtype="<u4")
 
 
 class OpenWindows:
