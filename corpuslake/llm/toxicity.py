@@ -8,12 +8,14 @@ associated with label 1 by a log-likelihood ratio of at least MIN_RATIO. Lexicon
 use counts of the other folds only, so the trees don't see a row's own label in its features. A hash keeps a
 quarter of the learning rows for the isotonic calibration.
 
-Learning uses at most MAX_ROWS labelled rows (``max_rows``), the ones with the smallest id hashes; lexicons
-hold at most MAX_TERMS terms. Everything else covers all rows.
+Learning uses at most MAX_ROWS labelled rows (``max_rows``), the ones with the smallest id hashes; a lexicon
+holds at most MAX_TERMS terms, those of the largest ratios; ratios are taken of every term of these rows. Everything
+else covers all rows. All regular expressions read a text once, however long its runs of letters are.
 
 Nulls and edge cases: null and empty texts have all features 0 and get a score like any other; null labels
 and ids are not learned from; with no labelled row, or one class only, every score is that class's share
-(0 without rows); repeated rows are scored once each.
+(0 without rows); repeated rows are scored once each; an empty table gives an empty result; further columns are
+not read.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ MAX_ROWS, MAX_TERMS, MIN_RATIO, FOLDS, NEAR = 12_000, 4_000, 18.0, 4, 4
 TREES, DEPTH = 20, 4
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine sie ihr euch tu te toi ton ta tes vous votre tú ti tuyo usted ustedes vos".split())
 _WORD = re.compile(r"[^\W\d_]+")
-_SWAPPED = re.compile(r"[^\W\d_]+(?:[@$*013457!|+.\-_][^\W\d_]+)+")
+# A letter run is read once, from its start on: no backtracking, so time grows with the text only.
+_SWAPPED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[@$*013457!|+.\-_][^\W\d_]++)+")
 _UNDO = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "|": "l", "+": "t", "*": None, ".": None, "-": None, "_": None})
 _MARKS = re.compile(r"[^\w\s]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -82,12 +85,13 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     ]
 
 
-def _ratio(p: float, n: float, whole_p: float, whole_n: float) -> tuple[float, float]:
-    """Signed log-likelihood ratio of a term present in p of whole_p and n of whole_n rows; its log odds."""
-    share = (p + n) / (whole_p + whole_n)
-    part = lambda k, m: (k * math.log(k / (m * share)) if k else 0.0) + ((m - k) * math.log((m - k) / (m * (1 - share))) if m > k and share < 1 else 0.0)
-    weight = math.log((p + 0.5) / (whole_p + 1)) - math.log((n + 0.5) / (whole_n + 1))
-    return (2 * (part(p, whole_p) + part(n, whole_n)) if weight > 0 else 0.0), weight
+def _ratio(p: Column, n: Column, whole_p: int, whole_n: int) -> tuple[Column, Column]:
+    """Log-likelihood ratio (0 unless the term leans to label 1) of a term present in p of whole_p and n of whole_n rows; its log odds."""
+    share = (p + n) / F.lit(float(whole_p + whole_n))
+    term = lambda k, of: F.when(k > 0, k * F.ln(F.try_divide(k, of))).otherwise(0.0)
+    part = lambda k, m: term(k, m * share) + term(m - k, m * (1 - share))
+    weight = F.ln((p + 0.5) / F.lit(whole_p + 1.0)) - F.ln((n + 0.5) / F.lit(whole_n + 1.0))
+    return F.when(weight > 0, 2 * (part(p, F.lit(float(whole_p))) + part(n, F.lit(float(whole_n))))).otherwise(0.0), weight
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,21 +110,17 @@ def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
     """One lexicon without each fold's rows, and at the end one of all rows."""
     sizes = Counter({(r["fold"], r["y"]): r["n"] for r in sample.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()})
     at = lambda f, y: F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"c{f}{y}")
-    wide = sample.select("text", "fold", "y").mapInPandas(_term_counts, "term string, fold int, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("all"), *[at(f, y) for f in range(FOLDS) for y in (0, 1)])
-    likely = wide.where("p >= 4 and p > 2 * (`all` - p) * {:.6f}".format(sum(sizes[f, 1] for f in range(FOLDS)) / max(1, sum(sizes[f, 0] for f in range(FOLDS)))))
-    found = likely.orderBy(F.desc("p"), "term").limit(MAX_TERMS * 4).collect()
-    out = []
+    wide = sample.select("text", "fold", "y").mapInPandas(_term_counts, "term string, fold int, y int, n long").groupBy("term").agg(*[at(f, y) for f in range(FOLDS) for y in (0, 1)])
+    views = []
     for left_out in [*range(FOLDS), None]:
         folds = [f for f in range(FOLDS) if f != left_out]
         whole = [sum(sizes[f, y] for f in folds) for y in (0, 1)]
-        scored = []
-        for r in found:
-            n, p = (sum(r[f"c{f}{y}"] for f in folds) for y in (0, 1))
-            ratio, weight = _ratio(p, n, whole[1], whole[0]) if p >= 3 and all(whole) else (0.0, 0.0)
-            if ratio >= MIN_RATIO:
-                scored.append((ratio, r["term"], weight))
-        out.append({t: w for _, t, w in sorted(scored, reverse=True)[:MAX_TERMS]})
-    return out
+        n, p = (sum((F.col(f"c{f}{y}") for f in folds), F.lit(0)).cast("double") for y in (0, 1))
+        views.append(F.struct(*(c.alias(k) for c, k in zip(_ratio(p, n, whole[1], whole[0]), ("ratio", "weight"), strict=True)), (p >= 3).alias("often")) if all(whole) else F.struct(F.lit(0.0).alias("ratio"), F.lit(0.0).alias("weight"), F.lit(False).alias("often")))
+    scored = wide.select("term", F.array(*views).alias("v")).where(F.exists("v", lambda x: x["often"] & (x["ratio"] >= MIN_RATIO)))
+    rows = scored.collect()
+    best = lambda k: sorted(((r["v"][k]["ratio"], r["term"], r["v"][k]["weight"]) for r in rows if r["v"][k]["often"] and r["v"][k]["ratio"] >= MIN_RATIO), reverse=True)[:MAX_TERMS]
+    return [{t: w for _, t, w in best(k)} for k in range(FOLDS + 1)]
 
 
 def _vectors(rows: DataFrame, lexicons: list[dict[str, float]], cols: str) -> DataFrame:
@@ -146,7 +146,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, id_co
     lexicons = learn_lexicons(sample)
     learned = stage(_vectors(sample, lexicons, "id long, y int, fold int").withColumn("label", F.col("y").cast("double")))
     held = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(4)) == 0
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=3, seed=11, featuresCol="features", labelCol="label").fit(learned.where(~held).repartition(4).cache())
+    fitting = learned.where(~held).repartition(4).persist()
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=3, seed=11, featuresCol="features", labelCol="label").fit(fitting)
+    fitting.unpersist()
     raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("rawPrediction")[1])
     # many clean rows share one raw value: they meet as one weighted row, not as one task's hot key
     tied = raw(learned.where(held)).groupBy("raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
