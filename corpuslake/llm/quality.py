@@ -2,16 +2,19 @@
 
 Indicators: words and word pairs, and one to three neighbouring word shapes (lower, capitalised, upper,
 digits, the same word again, punctuation as it stands), hashed to 2 ** BITS. Each is scaled by the log ratio
-of its smoothed shares in the two classes; rows have unit length. The linear model minimises the squared
-hinge loss with an L2 penalty by dual coordinate descent. A logistic curve fitted to the margins of rows
+of its smoothed shares in the two classes; rows have unit length. The linear model minimises the hinge loss with
+an L2 penalty by dual coordinate descent. A logistic curve fitted to the margins of rows
 left out of the descent turns margins into scores.
 
-Learning uses at most MAX_ROWS labelled rows (``max_rows``), the ones with the smallest id hashes. Bins of
-fewer than two of them have ratio 0, so the model keeps the others only; rows travel as packed numbers.
+Learning uses at most MAX_ROWS labelled rows (``max_rows``), the ones with the smallest id hashes, and of these the
+first that hold MAX_CHARS characters together (``max_chars``), so the driver, where the descent runs, gets a bounded
+number of bytes. Bins of fewer than two rows have ratio 0, so the model keeps the others only; rows travel as packed
+numbers. Everything else covers all rows.
 
 Nulls and edge cases: a null or empty text has no indicator and gets the intercept's score; null labels and
 ids are not learned from; with no labelled row, or one class only, every score is that class's share (1
-without rows, so nothing is rejected unlearned); repeated rows are scored once each.
+without rows, so nothing is rejected unlearned); repeated rows are scored once each; an empty table gives an empty
+result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.llm.common import ids_and_text, labelled_sample
+from corpuslake.llm.common import ids_and_text, labelled_sample, stage
 
-MAX_ROWS, BITS, ALPHA, COST, EPOCHS = 6_000, 20, 1.0, 1.0, 12
+MAX_ROWS, MAX_CHARS, BITS, ALPHA, COST, EPOCHS = 6_000, 40_000_000, 20, 1.0, 1.0, 12
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,19 +70,18 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray,
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and intercept of min |w|^2 / 2 + sum cost * max(0, 1 - y (w x + b))^2, one dual variable at a time; x: ``ratio`` at a row's indicators, at unit length."""
+    """Weights and intercept of min (|w|^2 + b^2) / 2 + sum cost * max(0, 1 - y (w x + b)), one dual variable (0 to cost) at a time; x: ``ratio`` at a row's indicators, at unit length."""
     w, b, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
-    lean = 1 / (2 * cost)
     size = np.array([max(1e-9, float(np.linalg.norm(ratio[r]))) for r in rows])
-    square = np.array([float(ratio[r] @ ratio[r]) for r in rows]) / size**2 + 1 + lean
+    square = np.array([float(ratio[r] @ ratio[r]) for r in rows]) / size**2 + 1
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
             idx = rows[i]
             v = ratio[idx] / size[i]
-            slope = y[i] * (float(w[idx] @ v) + b) - 1 + lean[i] * alpha[i]
-            new = max(0.0, alpha[i] - slope / square[i])
+            slope = y[i] * (float(w[idx] @ v) + b) - 1
+            new = min(cost[i], max(0.0, alpha[i] - slope / square[i]))
             step = (new - alpha[i]) * y[i]
             if step:
                 w[idx] += step * v
@@ -147,7 +149,7 @@ def margin(idx: np.ndarray, model: np.ndarray, intercept: float) -> float:
     return float(w[idx] @ r) / max(1e-9, float(np.linalg.norm(r))) + intercept
 
 
-def quality_scorer(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> Callable[[Column], Column]:
+def quality_scorer(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Callable[[Column], Column]:
     """A function from a text column to its score; labels are read only where ``learn_from`` (over ``id``) holds."""
     texts = ids_and_text(docs, id_col, text_col)
 
@@ -155,7 +157,9 @@ def quality_scorer(docs: DataFrame, labels: DataFrame, learn_from: Column, id_co
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": [indicators(t).tobytes() for t in pdf["text"]]})
 
-    sample = labelled_sample(texts.withColumnsRenamed({"id": "doc_id"}), labels, label, learn_from, max_rows)
+    sample = stage(labelled_sample(texts.withColumnsRenamed({"id": "doc_id"}), labels, label, learn_from, max_rows))
+    fits = sample.select("id", F.char_length("text").alias("n")).groupBy("id").agg(F.sum("n").alias("n")).withColumn("sum", F.sum("n").over(Window.orderBy(F.xxhash64("id", F.lit(17)), "id")))
+    sample = sample.join(F.broadcast(fits.where(F.col("sum") <= max_chars).select("id")), "id", "left_semi")
     learned = sorted(sample.mapInPandas(read, "id long, y int, x binary").collect(), key=lambda r: r["id"])
     y = np.array([r["y"] for r in learned], int)
     if len(set(y.tolist())) < 2:
