@@ -11,11 +11,14 @@ A draw is a hash of the document's id: the same documents are kept on every run
 
 Nulls and edge cases: null source, language or topic form a cell value of their own (empty string); null
 texts have no tokens and a document without tokens is kept with its cell's probability; targets that name
-no present value are ignored and the rest are scaled to add up to 1; an empty table gives an empty result.
+no present value are ignored; an empty table gives an empty result; rows are judged one by one, so repeated rows
+are all kept or all dropped, and all rows without an id share one draw; further columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,14 +81,45 @@ def _rake_here(cells: DataFrame, targets: dict[str, dict[str, float]], sweeps: i
     return cells.sparkSession.createDataFrame([(*key, float(f)) for key, f in zip(pdf[list(AXES)].itertuples(index=False), factor, strict=True)], "source string, lang string, topic string, factor double")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """``id, source, lang, topic, tokens, factor, probability, kept`` for every row of ``docs``."""
+def residual(cells: DataFrame, factors: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """``axis, value, target, fitted``: what raking has left between the marginals and their targets."""
+    whole = cells.agg(F.sum("tokens").alias("whole"))
+    fitted = cells.join(factors, list(AXES)).crossJoin(F.broadcast(whole)).withColumn("share", F.col("tokens") / F.col("whole") * F.col("factor"))
+    parts = [fitted.groupBy(a).agg(F.sum("share").alias("fitted")).join(targets[a], a).select(F.lit(a).alias("axis"), F.col(a).alias("value"), "target", "fitted") for a in AXES]
+    return reduce(DataFrame.union, parts)
+
+
+def described(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> list[Column]:
+    """The columns ``source, lang, topic, tokens`` of a document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = stage(docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"),
-        (F.coalesce(F.col(topic_col), F.lit("")) if topic_col else topic_of(text)).alias("topic"), token_count(text).alias("tokens"),
-    ))
+    topic = F.coalesce(F.col(topic_col), F.lit("")) if topic_col else topic_of(text)
+    return [F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), topic.alias("topic"), token_count(text).alias("tokens")]
+
+
+def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, budget: float | None = None) -> DataFrame:
+    """``source, lang, topic, factor, probability`` for every cell of ``rows`` (with AXES and ``tokens``).
+
+    Without a budget the largest factor has probability 1. A budget of tokens scales the probabilities so that it is met
+    in expectation; a budget beyond what the factors admit gives the same as none, so the marginals always hold.
+    """
     cells = stage(rows.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")))
     fitted = rake(cells, {axis: (targets or {}).get(axis) or tempered_targets(cells, axis) for axis in AXES}, sweeps)
-    factors = fitted.crossJoin(F.broadcast(fitted.agg(F.max("factor").alias("top")))).select(*AXES, "factor", F.when(F.col("top") > 0, F.col("factor") / F.col("top")).otherwise(F.lit(1.0)).alias("probability"))
-    return rows.join(factors, list(AXES)).select("id", *AXES, "tokens", "factor", "probability", (draw(F.col("id")) < F.col("probability")).alias("kept"))
+    scale = fitted.join(cells, list(AXES)).agg(F.max("factor").alias("top"), F.sum(F.col("factor") * F.col("tokens")).alias("expected"))
+    most = F.when(F.col("top") > 0, F.col("factor") / F.col("top")).otherwise(F.lit(1.0))
+    least = F.lit(1.0) if budget is None else F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(float(budget)) * F.col("top"), F.col("expected")), F.lit(1.0)))
+    return fitted.crossJoin(F.broadcast(scale)).select(*AXES, "factor", (most * least).alias("probability"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, sweeps: int = SWEEPS, budget: float | None = None) -> DataFrame:
+    """``id, source, lang, topic, tokens, factor, probability, kept`` for every row of ``docs``."""
+    rows = stage(docs.select(F.col(id_col).cast("long").alias("id"), *described(docs, text_col, source_col, lang_col, topic_col)))
+    return rows.join(probabilities(rows, targets, sweeps, budget), list(AXES)).select("id", *AXES, "tokens", "factor", "probability", (draw(F.col("id")) < F.col("probability")).alias("kept"))
+
+
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, sweeps: int = SWEEPS, budget: float | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` keeps, each judged by itself, so rows of equal or missing ids never stand for one another. Texts aren't shuffled."""
+    about = described(docs, text_col, source_col, lang_col, topic_col)
+    cells = stage(docs.select(*about))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), *about[:3])
+    chosen = whole.join(probabilities(cells, targets, sweeps, budget), list(AXES)).where(draw(F.col("id")) < F.col("probability"))
+    return chosen.select("row.*")
