@@ -65,27 +65,35 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+_UNSPACED = "".join(rf"\p{{{x}}}" for x in chat.UNSPACED)
+_TOKENS = rf"[{_UNSPACED}]|[^\x20\x09-\x0D{_UNSPACED}]{{1,8}}"
 OP5_SQL = rf"""
 WITH base AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{ESCAPE_CASE}' UNION ALL SELECT -1, 1, 'assistant', '{ESCAPE_CASE}'
 ), sized AS (
-  SELECT *, len({_WORDS.format("text")}) + {chat.OVERHEAD} AS n, row_number() OVER w AS k,
+  SELECT *, len(regexp_extract_all(text, '{_TOKENS}')) + {chat.OVERHEAD} AS n, row_number() OVER w AS k,
     length(replace(replace(replace(role, '&', '&a;'), '<|', '&l;|'), chr(10), '&n;')) + length(replace(replace(text, '&', '&a;'), '<|', '&l;|')) + {len(chat.START) + 1 + len(chat.STOP)} AS chars
   FROM base WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
 ), counted AS (
   SELECT *, k = 1 AND role = 'system' AS lead, CASE WHEN k = 1 AND role = 'system' THEN 0 ELSE n END AS cost FROM sized
+), roomy AS (
+  SELECT *, {chat.BUDGET} - coalesce(max(n) FILTER (lead) OVER (PARTITION BY conv_id), 0) AS room FROM counted
+), shared AS (
+  SELECT *, greatest(least({chat.HISTORY}, CAST(floor(room / 4.0) AS BIGINT)), 0) AS again_most FROM roomy
 ), summed AS (
-  SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY k) AS ends FROM counted
+  SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY k) AS ends, greatest(CAST(floor((room - again_most) / 2.0) AS BIGINT), 1) AS width FROM shared
 ), dealt AS (
-  SELECT *, ends - cost AS begins, CAST(floor(greatest(ends - 1, 0) / {chat.SPAN}.0) AS BIGINT) AS span FROM summed
+  SELECT *, ends - cost AS begins, CAST(floor(greatest(ends - 1, 0) / width::DOUBLE) AS BIGINT) AS own_span FROM summed
+), joined AS (
+  SELECT *, coalesce(CASE WHEN lead THEN lead(own_span) OVER (PARTITION BY conv_id ORDER BY k) END, own_span) AS span FROM dealt
 ), ranked AS (
-  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) AS nth FROM dealt
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY span) AS nth FROM joined
 ), starts AS (
   SELECT conv_id, nth, min(begins) AS at FROM ranked GROUP BY ALL
 ), again AS (
   SELECT r.conv_id, sum(r.chars) AS chars FROM ranked r JOIN starts s ON s.conv_id = r.conv_id AND s.nth = r.nth + 1
-  WHERE NOT r.lead AND s.at - r.begins <= {chat.HISTORY} GROUP BY 1
+  WHERE NOT r.lead AND s.at - r.begins <= r.again_most GROUP BY 1
 ), opening AS (
   SELECT r.conv_id, any_value(r.chars) * (count(*) - 1) AS chars FROM ranked r JOIN starts s ON s.conv_id = r.conv_id WHERE r.lead GROUP BY 1
 )
