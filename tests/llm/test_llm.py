@@ -60,8 +60,8 @@ def test_near_duplicates_equal_brute_force_through_every_kind_of_node(spark):
                 a, b = root[i], root[j]
                 root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
     # nodes in a task; deeper levels; chunks of what is too large at the last level
-    for leaf, block, weight, depth in ((4, 2000, 10**6, 2), (4, 10, 10**6, 3), (4, 10, 10**6, 1)):
-        got = {r["id"]: r["component_id"] for r in neardup.near_duplicates(df, leaf=leaf, block=block, weight=weight, depth=depth).collect()}
+    for leaf, block, weight, depth, sent in ((4, 2000, 900, 2, 0), (4, 10, 10**6, 3, 10**6), (4, 10, 10**6, 1, 10**6)):
+        got = {r["id"]: r["component_id"] for r in neardup.near_duplicates(df, leaf=leaf, block=block, weight=weight, depth=depth, sent=sent).collect()}
         assert got == root
 
 
@@ -84,6 +84,15 @@ def test_links_across_unite_what_brute_force_unites(raw, data):
     assert classes([*given_links, *found]) == classes(linked)
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(2, 150), st.integers(1, 6), st.integers(0, 2**32 - 1))
+def test_likely_across(n, k, seed):
+    rng = np.random.default_rng(seed)
+    comp, marks = rng.integers(0, k, n), rng.integers(0, 3, (n, neardup.POSITIONS)).astype(np.int8)
+    want = [any(comp[i] != comp[j] and (marks[i] == marks[j]).mean() >= neardup.LIKELY for j in range(n)) for i in range(n)]
+    assert neardup.likely_across(comp, marks).tolist() == want
+
+
 def test_near_duplicates_of_an_id_with_several_texts(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(50))
     rows = [(1, text("a")), (2, text("b") + " x"), (2, text("a") + " y"), (3, text("b")), (4, text("c")), (4, text("c")), (5, " "), (6, None)]
@@ -91,23 +100,65 @@ def test_near_duplicates_of_an_id_with_several_texts(spark):
     assert got == sorted([(1, 46, 1, True), (2, 47, 1, False), (2, 47, 1, False), (3, 46, 1, False), (4, 46, 4, True), (4, 46, 4, True), (5, 0, 5, True), (6, 0, 6, True)])
 
 
-def test_line_dedup_and_reversal(docs, none):
+def plain_line_dedup(rows):
+    """Kept texts by plain Python: {(id, text): kept}."""
+    blank = " \t\n\x0b\x0c\r"
+    key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(blank))
+    holders = {}
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if i is not None and len(key(line)) >= 10:
+                holders.setdefault(key(line), set()).add(i)
+    lost = lambda i, line: i is not None and len(holders.get(key(line), ())) > 1 and min(holders[key(line)]) != i
+    return {(i, text): "\n".join(x for x in (text or "").split("\n") if not lost(i, x)) for i, text in rows}
+
+
+def test_line_dedup(spark, docs, none):
     got = {r["id"]: r["kept_text"] for r in linededup.dedup_lines(docs).collect()}
     assert got[1] == ROWS[0][1] and got[2] == "other" and got[3] == "" and got[None] == ROWS[-1][1]
     assert linededup.dedup_lines(none).count() == 0
-    posted = linededup.insert_documents(linededup.postings(none), docs)
-    less = linededup.delete_documents(posted, docs.where("doc_id = 1").select("doc_id"))
-    assert linededup.references(less).where("owner <> last").count() == 0
-    again = linededup.insert_documents(less, docs.where("doc_id = 1"))
-    assert {tuple(r) for r in linededup.references(again).collect()} == {tuple(r) for r in linededup.references(posted).collect()}
+    pool = ["A line of text", "\ta LINE of text \x0b", "ÜBER line of TEXT", "über line of text", "short", "", " ", "exactly 10", "x\ry z of ten", "日本語の行はここにあります"]
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 12)) or None, "\n".join(rng.choice(pool, rng.integers(0, 7)))) for _ in range(40)] + [(3, None), (5, pool[0]), (5, pool[0])]
+    clash = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "`doc_id` long, text string, `a.b` string, row string, t int")
+    for waves in (1, 3):
+        got = linededup.dedup_lines(clash, waves=waves).collect()
+        want = plain_line_dedup(rows)
+        assert len(got) == len(rows) and all(r["kept_text"] == want[r["id"], r["row"]["text"]] for r in got)
+        assert all(r["n_lines"] - r["n_dropped"] == (0 if r["n_lines"] == r["n_dropped"] else r["kept_text"].count("\n") + 1) for r in got)
+
+
+def test_line_index_is_reversible(spark):
+    text = {1: "line number one of all\nline number two of all", 2: "line number two of all\nline number three", 3: "LINE number two of all\nline number three", 4: "only the fourth has this"}
+    frame = lambda ids: spark.createDataFrame([(i, text[i]) for i in ids], "doc_id long, text string")
+    rows = lambda df: sorted((bytes(r[0]), *r[1:]) for r in df.collect())
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    kept = lambda index, i: linededup.kept_texts(frame([i]), index.references).first()["kept_text"]
+    whole, _ = linededup.insert_documents(linededup.empty_index(spark), frame([1, 2, 3, 4]))
+    part, changed = linededup.insert_documents(linededup.empty_index(spark), frame([2, 3]))
+    assert ids(changed) == [2, 3] and kept(part, 3) == "" and kept(part, 2) == text[2]
+    more, changed = linededup.insert_documents(part, frame([1, 4]))
+    assert ids(changed) == [1, 2, 4] and kept(more, 2) == "line number three" and rows(more.references) == rows(whole.references)
+    less, changed = linededup.delete_documents(more, frame([1, 4]).select("doc_id"))
+    assert ids(changed) == [2] and kept(less, 2) == text[2] and rows(less.references) == rows(part.references) and rows(less.postings) == rows(part.postings)
+    again, _ = linededup.insert_documents(less, frame([4, 1]))
+    assert rows(again.references) == rows(whole.references) and rows(again.postings) == rows(whole.postings)
+    cells = lambda index: sum(int(np.count_nonzero(np.frombuffer(r["cells"], np.uint16))) for r in index.filters.collect())
+    assert cells(whole) == cells(again) == 4 and cells(part) == cells(less) == 2
+    bare, _ = linededup.delete_documents(again, frame([1, 2, 3, 4]).select("doc_id"))
+    assert cells(bare) == 0 and bare.references.count() == 0
+    assert linededup.probe(again.references.select("key"), again).count() == 4 and linededup.probe(again.references.select("key"), bare).count() == 0
 
 
 def test_cuckoo_filter():
     keys = np.random.default_rng(3).integers(0, 2**63, 5000, dtype=np.uint64)
     f = linededup.CuckooFilter.for_keys(len(keys))
-    assert f.add(keys) and f.has(keys).all()
+    assert len(f.add(keys)) == 0 and f.has(keys).all() and np.count_nonzero(f.table) == len(keys)
     f.remove(keys)
     assert not f.table.any()
+    small = linededup.CuckooFilter(16)
+    left = small.add(keys[:100])
+    assert 30 < len(left) < 60 and small.has(np.setdiff1d(keys[:100], left)).all() and np.count_nonzero(small.table) == 100 - len(left)
 
 
 def test_packing(docs, none):
@@ -144,6 +195,27 @@ def test_ids_equal_the_tokenizers_file():
         assert t.encode(text, add_special_tokens=False).ids == packing.token_ids(text, public_tokenizers.path("byte_bpe_50k.tiktoken"))[:-1].tolist()
 
 
+def test_ids_of_very_long_runs():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("x" + " " * 1_000_000, "\n" * 300_000 + "b", "a" * 300_000, "漢字" * 100_000):
+        assert t.encode(text, add_special_tokens=False).ids == packing.token_ids(text, public_tokenizers.path("byte_bpe_50k.tiktoken"))[:-1].tolist()
+
+
+def test_sequences_hold_the_documents_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = {i: f"word{i} " * (1 + i * i % 700) for i in range(60)}
+    rows = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "doc_id long, text string, start int")
+    packed = packing.pack(rows)
+    laid = {r["sequence_id"]: r["input_ids"] for r in packing.sequences(rows, packed).collect()}
+    got = {i: [] for i in texts}
+    for r in sorted(packed.collect(), key=lambda r: (r["doc_id"], r["start"])):
+        assert len(laid[r["sequence_id"]]) == packing.WINDOW and len(got[r["doc_id"]]) == r["start"]
+        got[r["doc_id"]] += laid[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+    assert all(got[i] == packing.token_ids(t, path).tolist() for i, t in texts.items())
+
+
 def test_mixing_marginals_and_both_ways(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.mix(docs).count() == len(ROWS)
     rows = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.lit("t").alias("topic"), F.lit(10).cast("long").alias("tokens"))
@@ -152,19 +224,57 @@ def test_mixing_marginals_and_both_ways(docs, none):
     one = {tuple(r)[:3]: r["factor"] for r in mixing.rake(cells, targets).collect()}
     two = {tuple(r)[:3]: r["factor"] for r in mixing.rake(cells, targets, sent_cells=0).collect()}
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+    left = mixing.residual(cells, mixing.rake(cells, targets), targets).collect()
+    assert {r["axis"] for r in left} == set(mixing.AXES) and all(abs(r["target"] - r["fitted"]) < 1e-3 for r in left)
+
+
+def test_mixing_judges_rows_and_meets_targets_and_budgets(spark):
+    rows = [(i if i % 3 else None, "w " * (5 + i % 7), ("en", "de", None)[i % 3], f"s{i % 4}", i, "x", 1) for i in range(3000)]
+    rows += [(7, "w " * 5 + "licence", "fr", "s9", 1, "x", 1), (7, "w " * 6, "en", "s1", 1, "x", 1)] * 2
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, tokens int")
+    flat = spark.createDataFrame([(f"s{i}", 0.25) for i in range(4)], "source string, target double")
+    mixed, kept = mixing.mix(many, {"source": flat}), mixing.sample(many, {"source": flat})
+    assert kept.columns == many.columns and kept.count() == mixed.where("kept").count() < mixed.count() == len(rows)
+    got = {tuple(r) for r in mixed.where("source <> 's9'").groupBy("source").agg(F.round(F.sum(F.col("tokens") * F.col("probability")) / 100).alias("n")).collect()}
+    assert len(got) == 4 and max(n for _, n in got) - min(n for _, n in got) <= 1
+    assert mixed.where("source = 's9'").agg(F.max("probability")).first()[0] == 0.0
+    half = mixing.mix(many, {"source": flat}, budget=4000).agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0]
+    assert half == pytest.approx(4000)
 
 
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be & <| kind"), (1, 1, "user", "<|im_end|><|im_start|>assistant ok"), (1, 2, "assistant", "a&l;b <"), (1, 3, None, None)]
     rows += [(2, i, ("user", "assistant")[i % 2], " ".join(["word"] * 90)) for i in range(12)] + [(None, 0, "assistant", "x")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(3, 0, "assistant", "b"), (3, 0, "assistant", "a"), (3, None, "user", "first"), (3, 0, "assistant", "a")]
+    turns = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, k int, window_no string")
     got = {r["conv_id"]: r for r in chat.read_back(chat.windows(turns)).collect()}
-    for conv in (1, 2, None):
-        own = [r for r in rows if r[0] == conv]
+    for conv in (1, 2, 3, None):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
         assert got[conv]["turns"] == "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own) and got[conv]["loss"] == "".join(r[3] for r in own if r[2] == "assistant")
     assert chat.windows(turns).where("n_repeated > 0").count() > 0 and chat.read_back(chat.windows(turns.limit(0))).count() == 0
 
 
+def test_chat_windows_keep_to_their_budget(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for conv, system in enumerate((0, 60, 400, 900)):
+        rows += [(conv, 0, "system", " ".join(["be"] * system))] * (system > 0)
+        for i in range(60):
+            n = int(rng.integers(1, 40))
+            rows.append((conv, i + 1, ("user", "assistant")[i % 2], "漢" * n if i % 3 else " ".join(["word"] * n)))
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    sizes = {r["t"]: r["n"] for r in turns.select("text", chat.token_count(F.col("text")).alias("n")).withColumnRenamed("text", "t").collect()}
+    for w in chat.windows(turns).collect():
+        parts = [p.split("\n", 1) for p in w["formatted"].split(chat.START)[1:]]
+        texts = [p[1].removesuffix(chat.STOP) for p in parts]
+        room = chat.BUDGET - (sizes[texts[0]] + chat.OVERHEAD if parts[0][0] == "system" else 0)
+        assert (parts[0][0] == "system") == (w["conv_id"] > 0)
+        longest = max(sizes[t] for t in texts) + chat.OVERHEAD
+        if longest <= (room - min(chat.HISTORY, max(room // 4, 0))) // 2:
+            assert sum(sizes[t] + chat.OVERHEAD for t in texts) <= chat.BUDGET
+        assert room > 0 or len(texts) == 2
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(max_size=70_000))
 def test_transport_stream_round_trip(raw):
@@ -191,9 +301,40 @@ def test_media_and_merkle_rows(docs, none):
 
 
 def test_merkle_locates_edits():
+    print_ = lambda lines: merkle.Tree("\n".join(lines)).fingerprint()
     lines = [f"paragraph number {i} with words" for i in range(40)]
-    edited = [*lines[:7], "changed", *lines[8:]]
-    assert merkle.locate_edits("\n".join(lines), "\n".join(edited)) == [(7, 8)] and merkle.likeness(merkle.Tree("a b").fingerprint(), merkle.Tree("a b").fingerprint()) == 1.0
+    edited = [*lines[:7], "changed", *lines[8:20], "new", "new too", *lines[20:]]
+    assert merkle.locate_edits(print_(lines), print_(edited)) == [(7, 8)] and merkle.locate_edits(print_(edited), print_(lines)) == [(7, 8), (20, 22)]
+    assert merkle.locate_edits(print_(lines), print_(lines)) == [] and merkle.likeness(print_(["a b"]), print_(["a b"])) == 1.0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["", "a b c", "d, e. f", "x" * 50, "a b c d e f g h i"]), min_size=1, max_size=14), st.lists(st.sampled_from(["", "a b c", "d, e. f", "q"]), min_size=1, max_size=14))
+def test_merkle_against_whole_texts(x, y):
+    a, b = merkle.Tree("\n".join(x)), merkle.Tree("\n".join(y))
+    assert (a.root == b.root) == (x == y)
+    near = merkle.likeness(a.fingerprint(), b.fingerprint())
+    count = lambda t: Counter(p.strip() for line in t for p in merkle._PHRASE.findall(line))
+    both, common = count(x).total() + count(y).total(), 2 * (count(x) & count(y)).total()
+    assert near == pytest.approx(1.0 if x == y else 0.0 if not both else min(common, both - 1) / both)
+    where = merkle.locate_edits(a.fingerprint(), b.fingerprint())
+    assert not where or all(0 <= i < j <= len(x) for i, j in where)
+    if not set(x) & set(y):
+        assert where == [(0, len(x))]
+
+
+def test_merkle_rows_with_more_partitions_than_rows(spark):
+    rows = [(i * 7 % 40, f"text {i % 5}\nof {i}" if i % 9 else None) for i in range(40)] + [(None, "x"), (3, "again"), (3, "again")]
+    got = merkle.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), parts=1000).collect()
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for k, (i, t) in enumerate(ordered):
+        following = ordered[(k + 1) % len(ordered)][1]
+        edited = merkle.edited_text(t, following)
+        a, b, c = (merkle.Tree(v).fingerprint() for v in (t, edited, following))
+        want.append((i, len(t), a, b, merkle.likeness(a, b), merkle.likeness(a, c), ",".join(f"{x}-{y}" for x, y in merkle.locate_edits(a, b))))
+    key = lambda r: (r[0] is not None, *map(str, r))
+    assert sorted(((r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"], r["edits"]) for r in got), key=key) == sorted(want, key=key)
 
 
 def test_html_main_text():
@@ -255,6 +396,59 @@ def test_html_keeps_all_of_a_marked_article():
     assert html.main_text(page).split("\n\n") == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 5, 90]), max_size=40))
+def test_html_stretches_by_definition(weights):
+    sums = [sum(weights[i : i + html.WIDTH]) for i in range(len(weights))]
+    want, i = [], 0
+    while i < len(sums):
+        j = i
+        while j < len(sums) and sums[j] > 0:
+            j += 1
+        if j > i:
+            want.append((i, j))
+        i = j + 1
+    assert html.stretches(weights) == want
+
+
+_WORDS = st.text("ab &<c", min_size=1, max_size=12).map(lambda t: t.replace("&", "&amp;").replace("<", "&lt;"))
+_BLOCK = st.one_of(_WORDS.map(lambda t: f"<p>{t}</p>"), _WORDS.map(lambda t: f"<div><p>{t * 30}<p>{t}</div>"), st.just('<div class="ad"><p>Buy now</p></div>'), st.just("<ul><li><a href=/>Home<li><a href=/>News</a></ul>"), st.just("<script>x='<p>'</script>"))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(_BLOCK, max_size=8), st.lists(_BLOCK, max_size=8), st.booleans())
+def test_html_main_text_by_definition(before, body, marked):
+    page = "<body><nav><li>Menu</nav>" + "".join(before) + ("<article>" if marked else "<div>") + "".join(body) + ("</article>" if marked else "</div>") + "<footer>end</footer>"
+    lines = html.lines_of(page)
+    has = any(x.text and x.inside for x in lines)
+    weigh = lambda x: (x.size if x.inside else x.unlinked * html.OUTSIDE) if has else x.unlinked
+    runs, k = [], 0
+    for i, x in enumerate(lines):  # lines from which a window of WIDTH lines sees any weight
+        if any(weigh(y) for y in lines[i : i + html.WIDTH]):
+            k += not runs or runs[-1][1] != i - 1
+            runs.append((k, i))
+    total, of = {}, {}
+    for run in {r for r, _ in runs}:
+        held = {}
+        for i in (i for r, i in runs if r == run):
+            held[lines[i].group] = held.get(lines[i].group, 0) + weigh(lines[i])
+        of[run] = max(sorted(held), key=lambda g: held[g])
+        total[of[run]] = total.get(of[run], 0) + sum(held.values())
+    want = [lines[i].text for r, i in runs if lines[i].text and total[of[r]] >= html.SHARE * max(total.values())]
+    assert html.main_text(page).split("\n\n") == (want or [""])
+    if has:
+        assert want == [x.text for x in lines if x.text and x.inside]
+
+
+def test_html_table_and_long_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>Some text &amp; more of it</p>", 1), (None, None, None, 2), (2, "v", "", 3), (1, "u", "<p>Some text &amp; more of it</p>", 4)], "page_id long, url string, html string, text int")
+    got = sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html.extract_pages(pages).collect()), key=str)
+    assert got == sorted([(1, "u", "Some text & more of it", 22), (None, None, "", 0), (2, "v", "", 0), (1, "u", "Some text & more of it", 22)], key=str)
+    assert html.extract_pages(pages.limit(0)).count() == 0
+    for part in ("<svg ", '<a "x ', "<div>", "</span><div>", "<p>x", "<b>", "<!--", "<", "&", "word ", "<p class='ad", "<table><tr><td>"):
+        assert isinstance(html.main_text(part * 40_000), str)
+
+
 def test_html_joins_stretches_of_one_parent():
     story, end = "<p>" + "Many words of the story. " * 40 + "</p>", "<p>Short closing words.</p>"
     page = f"<body><div>{story}<div class=ad><p>Buy now</p></div>{end}</div><nav>x</nav><div><p>Elsewhere.</p></div></body>"
