@@ -17,37 +17,39 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least 0.5; the classifier is the one of query op3."""
+    """Documents that score at least 0.5; the classifier is the one of query op3. Rows are judged one by one: a null text like an
+    empty one, repeated rows alike. Without labels of both classes nothing is rejected unless all labels are bad."""
     score = quality.quality_scorer(docs, table(spark, sf_dir, "labels"), fold("id", 3) != 1)
     return docs.where(score(F.col("text")) >= 0.5).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that a document of smaller id holds; n_chars is counted anew."""
+    """Every row, without the lines that a document of smaller id holds; n_chars is counted anew. A null text becomes an empty one;
+    rows without an id keep their lines; repeated rows of one id lose the same lines."""
     kept = linededup.dedup_lines(docs)
     return kept.select(F.col("row.doc_id").alias("doc_id"), F.col("kept_text").alias("text"), "row.lang", "row.source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of near duplicates."""
+    """The rows of the document of smallest id of each class of near duplicates, and all rows without words or without an id.
+    An id with several texts is one document, linked by any of them; its rows stay or go together."""
     gone = neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their calibrated probabilities."""
-    gone = mixing.mix(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows drawn by their cells' calibrated probabilities, each judged by itself; a null source or language is a value of its own."""
+    return mixing.sample(docs).select(*COLUMNS)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences of 1024 tokens."""
+    """Pieces of all rows with their places in sequences of 1024 tokens; a row without text is its end token alone."""
     return packing.pack(docs)
 
 
 STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("near-dedup", near_stage), ("mixing", mix_stage), ("packing", pack_stage)]
 
-#: The classifier and the tokenizer have no SQL form; tests/llm holds the stages against plain Python instead.
+#: The classifier and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds the stages against plain Python instead.
 ORACLE_SQL = None
 
 
