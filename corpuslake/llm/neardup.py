@@ -91,16 +91,16 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n.append(len(s))
             key.append(_key(s))
             sig.append(signature(s) if len(s) else None)
-        out = pd.DataFrame({"id": pdf["id"], "n_shingles": n, "key": [k for k, _ in key], "key2": [k for _, k in key], "sig": sig})
-        yield out.astype({"id": "Int64", "key": "Int64", "key2": "Int64"})
+        whole = lambda at: pd.array([k[at] for k in key], dtype="Int64")  # noqa: E731  (a missing key would make floats of all)
+        yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "n_shingles": n, "key": whole(0), "key2": whole(1), "sig": pd.Series(sig, dtype=object)})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The sets of classes, from the texts of their least ids; another text of the same id is passed over."""
     for pdf in batches:
         made = [shingles(t) for t in pdf["text"]]
-        own = [_key(s)[0] == key for s, key in zip(made, pdf["key"], strict=True)]
-        yield pd.DataFrame({"c": pdf["c"][own], "tokens": [s.view(np.int64) for s, ok in zip(made, own, strict=True) if ok]})
+        own = np.array([_key(s)[0] == key for s, key in zip(made, pdf["key"], strict=True)], bool)
+        yield pd.DataFrame({"c": pdf["c"].to_numpy()[own], "tokens": pd.Series([s.view(np.int64) for s, ok in zip(made, own, strict=True) if ok], dtype=object)})
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -95,9 +95,12 @@ def test_likely_across(n, k, seed):
 
 def test_near_duplicates_of_an_id_with_several_texts(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(50))
+    text_of_many = lambda i: text(f"m{i}_")
     rows = [(1, text("a")), (2, text("b") + " x"), (2, text("a") + " y"), (3, text("b")), (4, text("c")), (4, text("c")), (5, " "), (6, None)]
-    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_shingles", "component_id", "kept").collect())
-    assert got == sorted([(1, 46, 1, True), (2, 47, 1, False), (2, 47, 1, False), (3, 46, 1, False), (4, 46, 4, True), (4, 46, 4, True), (5, 0, 5, True), (6, 0, 6, True)])
+    more = [(100 + i, text_of_many(i // 2) + " z" * (i % 2)) for i in range(20)]
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows + more, "doc_id long, text string").coalesce(1)).collect())
+    assert [r for r in got if r[0] >= 100] == [(100 + i, 46 + i % 2, 100 + i - i % 2, i % 2 == 0) for i in range(20)]
+    assert [r for r in got if r[0] < 100] == sorted([(1, 46, 1, True), (2, 47, 1, False), (2, 47, 1, False), (3, 46, 1, False), (4, 46, 4, True), (4, 46, 4, True), (5, 0, 5, True), (6, 0, 6, True)])
 
 
 def plain_line_dedup(rows):
