@@ -5,8 +5,8 @@ sets are collapsed into one class first. Every class has a minwise signature; a
 node to the children named by the tokens at the positions which that node selects, so two sets of
 similarity s stay together along one edge with probability s. ``trees`` independent trees are grown, with
 two children per node: a pair of similarity 0.75 is lost by one tree with probability at most 1/9 at any depth,
-by eight trees with probability at most 2.4e-8. Pairs of level-0 nodes of up to ``leaf`` members must also agree
-in LIKELY of their signature positions, which loses 2e-10 at 0.75 (binomial, 96 positions).
+by eight trees with probability at most 2.4e-8. Pairs must also agree in LIKELY of their signature positions
+before their sets are compared, which loses 1.3e-9 of the pairs at 0.75 (binomial, 64 positions).
 
 Links are confirmed on full 64-bit sets before anything is built on them. Small nodes are compared pair by
 pair. In a crowded node every member is first held against the node's least member: that unites a mass of
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, stage
 
-WORDS, POSITIONS, BRANCHES, LIKELY, SLICE, SENT_IDS = 5, 96, 2, 0.45, 2000, 500_000
+WORDS, POSITIONS, BRANCHES, LIKELY, SLICE, SENT_IDS = 5, 64, 2, 0.4, 2000, 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,11 +118,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _agree(x: str, y: str) -> F.Column:
+    return F.expr(f"aggregate(zip_with({x}, {y}, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {POSITIONS}D") >= LIKELY
+
+
 def _likely(marks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distinct pairs whose signatures agree in at least LIKELY of the positions."""
+    """The pairs whose signatures agree in at least LIKELY of the positions."""
     left, right = marks.select(F.col("c").alias("a"), F.col("mark").alias("mark_a")), marks.select(F.col("c").alias("b"), F.col("mark").alias("mark_b"))
-    agree = F.expr(f"aggregate(zip_with(mark_a, mark_b, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {POSITIONS}D")
-    return pairs.distinct().join(left, "a").join(right, "b").where(agree >= LIKELY).select("a", "b")
+    return pairs.distinct().join(left, "a").join(right, "b").where(_agree("mark_a", "mark_b")).select("a", "b")
+
+
+def _likely_within(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``_likely`` of all pairs inside small nodes (c, node): signatures go to the nodes, so pairs that don't agree are never moved."""
+    signed = rows.join(marks, "c")
+    left, right = signed.select("node", F.col("c").alias("a"), F.col("mark").alias("mark_a")), signed.select("node", F.col("c").alias("b"), F.col("mark").alias("mark_b"))
+    return left.join(right, "node").where("a < b").where(_agree("mark_a", "mark_b")).select("a", "b").distinct()
 
 
 def likely_across(comp: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -222,19 +232,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = F.array(*[F.xxhash64(F.lit(p), F.col("sig")[p % POSITIONS]) for p in range(trees * BRANCHES)])
     level = stage(_crowds(classes.select("c", "size", F.explode(keys).alias("node"))))
-    small, crowd = level.where(F.col("n") <= leaf).select("c", "node"), level.where(F.col("n") > leaf).withColumn("comp", F.col("c"))
-    pairs = small.withColumnRenamed("c", "a").join(small.withColumnRenamed("c", "b"), "node").where("a < b").select("a", "b")
     stars = lambda rows: rows.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b"))
-    likely = stage(_likely(marks, pairs.union(stars(crowd))))
-    middle, large = stage(_close(crowd.where(F.col("n") <= block), marks)), crowd.where(F.col("n") > block)
-    involved = stage(likely.select("a").union(likely.select("b")).union(middle.select("c")).union(large.select("c")).distinct().withColumnRenamed("a", "c").join(classes.select("c", "id", "key"), "c"))
-    needed = texts.join(F.broadcast(involved) if involved.count() <= sent else involved, "id")
-    sets = stage(needed.select("c", "key", "text").mapInPandas(_sets, "c long, tokens array<bigint>"))
+    small, crowd = level.where(F.col("n") <= leaf).select("c", "node"), level.where(F.col("n") > leaf)
+    likely = stage(_likely_within(small, marks).union(_likely(marks, stars(crowd))).distinct())
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = stage(ids.join(classes.select("c", "id", "key"), "c"))
+        needed = texts.join(F.broadcast(wanted) if wanted.count() <= sent else wanted, "id")
+        return stage(needed.select("c", "key", "text").mapInPandas(_sets, "c long, tokens array<bigint>"))
 
+    paired = stage(likely.select("a").union(likely.select("b")).distinct().withColumnRenamed("a", "c"))
+    sets = sets_of(paired)
     named = classes.select("key", "key2", "c")
     several = known.join(named, ["key", "key2"]).groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
     again = known.select("id", "key", "key2").join(several.select("id", "a"), "id").join(named.withColumnRenamed("c", "b"), ["key", "key2"]).where("a <> b").select("a", "b")
     comps = connected_components(_confirm(sets, likely, percent).union(again))
+    crowd = stage(_mixed(crowd, comps))
+    middle, large = stage(_close(crowd.where(F.col("n") <= block), marks)), crowd.where(F.col("n") > block)
+    others = stage(middle.select("c").union(large.select("c")).distinct().join(paired, "c", "left_anti"))
+    if not others.isEmpty():
+        sets = sets.union(sets_of(others))
     for step in range(depth):
         large = stage(_mixed(large, comps).select("c", "size", "comp", "node"))
         more = not large.isEmpty()
