@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named patterns that mark an attempt to steer the answering side, questions for medical advice,
+# How questions and prose name provisions (two patterns on purpose), named patterns that mark an attempt to steer the answering side, questions for medical advice,
 # personal data with their labels, and scripts with their languages in order of precedence.
 INJECTIONS = {
     "ignore_instructions": r"(?i)\b(ignore|disregard|forget|override)\s+(all\s+|any\s+|the\s+)?(previous|prior|above|earlier|your|system)\s+(instructions|rules|prompts?|guidelines)",
+    "role_override": r"(?i)\b(you are now|from now on,? you|pretend (to be|you are)|act as (an? |if you)(?!.{0,20}\b(licen[cs]|agent|authority|distributor)))",
     "system_prompt_probe": r"(?i)\b(reveal|show|print|repeat)\b.{0,30}\b(system prompt|your (instructions|rules|prompt))\b",
     "fake_citation": r"(?i)\b(cite|say|state|claim)\b.{0,60}\b(section|article|rule)\s*\d+.{0,60}\b(even if|regardless|anyway|whether or not)\b",
     "delimiter_spoof": r"(?i)</?(source|document|system)\b|\[\[c:|【c:",
@@ -22,6 +26,16 @@ WORD3 = "[A-Za-z][A-Za-z0-9]{2,}"
 MAX_QUESTION, SCRIPT_CHARS, MIN_PIECE = 2000, 3, 12
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility forms composed (NFKC). Only texts beyond ASCII go through Arrow."""
+
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    compose.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.coalesce(F.pandas_udf(compose, "string")(F.when(F.octet_length(text) != F.char_length(text), text)), text)
+
+
 def clean(text: Column) -> Column:
     """Control and format characters out, tabs to blanks, words rejoined over hyphened line ends, blanks and blank lines collapsed."""
     out = F.regexp_replace(text, r"[\p{Cc}\p{Cf}&&[^\n\t]]", "")
@@ -98,9 +112,13 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when(needle == "", 0).otherwise(((F.char_length(text) - F.char_length(F.replace(text, needle, F.lit("")))) / F.char_length(needle)).cast("long"))
 
 
+def pieces(quote: Column) -> Column:
+    """A quotation's parts around its ellipses, as they are compared."""
+    return F.filter(F.transform(F.split(quote, r"\.{3,}|…"), for_match), lambda p: p != "")
+
+
 def quote_in(quote: Column, source: Column) -> Column:
     """Are the quote's pieces (cut at ellipses) in the source, in order? The longest must have MIN_PIECE characters."""
-    pieces = F.filter(F.transform(F.split(quote, r"\.{3,}|…"), for_match), lambda p: p != "")
-    hay = for_match(source)
+    parts, hay = pieces(quote), for_match(source)
     step = lambda at, p: F.when((at > 0) & (F.call_function("locate", p, hay, at) > 0), F.call_function("locate", p, hay, at) + F.char_length(p)).otherwise(F.lit(0))
-    return (F.coalesce(F.array_max(F.transform(pieces, F.char_length)), F.lit(0)) >= MIN_PIECE) & (F.aggregate(pieces, F.lit(1), step) > 0)
+    return (F.coalesce(F.array_max(F.transform(parts, F.char_length)), F.lit(0)) >= MIN_PIECE) & (F.aggregate(parts, F.lit(1), step) > 0)

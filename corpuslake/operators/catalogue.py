@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslake.operators.blocks import containing
+
 
 def facet_tally(items: DataFrame, facets: list[str]) -> DataFrame:
-    """Counts by value of every facet at once (GROUPING SETS): one scan, one shuffle."""
-    tagged = items.select(*facets, F.explode("tags").alias("tag"), "item_id")
-    plain = items.select(F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets])).alias("x")).select("x.*")
-    return plain.union(tagged.select(F.lit("tag"), "tag")).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Counts by value of every facet at once: one row a facet and value, tags one row each, counted in one shuffle."""
+    pair = lambda facet, value: F.struct(F.lit(facet).alias("facet"), value.alias("value"))
+    each = F.concat(F.array(*[pair(f, F.col(f).cast("string")) for f in facets]), F.transform("tags", lambda t: pair("tag", t)))
+    return items.select(F.explode(each).alias("x")).select("x.*").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def related(items: DataFrame, k: int = 4) -> DataFrame:
@@ -50,3 +52,31 @@ def search(items: DataFrame, query: str) -> DataFrame:
         one = F.when(name == w, 1000).when(F.startswith(name, F.lit(w)), 620).when(F.contains(name, F.lit(w)), 380).when(F.array_contains("tags", w), 240).when(F.contains(F.lower("family"), F.lit(w)), 150).otherwise(0)
         score, ok = score + one, ok & (one > 0)
     return items.where(ok).select("item_id", score.cast("long").alias("score"))
+
+
+def federated(queries: DataFrame, items: DataFrame, materials: DataFrame, pages: tuple[str, ...], most: tuple[int, int] = (7, 4)) -> DataFrame:
+    """``query_id, section, entry, place``: the best items (section 1), materials (2: item_id, name, hay), pages (4), and an entry to ask for queries of three words or more (5).
+
+    Every word of a query must score: a name's match, a tag, the type add up. Distinct query texts are few beside queries, so each is searched once; a
+    word meets the items by one automaton over their texts, not pair by pair.
+    """
+    texts = queries.select("text").distinct().withColumn("words", F.array_distinct(F.split(F.lower("text"), " ")))
+    words = texts.select("text", F.size("words").alias("n"), F.explode("words").alias("word"))
+    needles = words.select("word").distinct().withColumn("w", F.xxhash64("word"))
+
+    def holding(rows: DataFrame) -> DataFrame:
+        return containing(rows, "item_id", "hay", needles, "w", "word").join(needles, "w").join(words, "word").select("item_id", "text", "n", "word")
+
+    about = items.select("item_id", F.lower("name").alias("name"), "tags", F.lower("type").alias("type"))
+    met = holding(about.select("item_id", F.concat_ws("\n", "name", "type", F.array_join("tags", "\n")).alias("hay"))).join(about, "item_id")
+    word, name = F.col("word"), F.col("name")
+    score = F.when(name == word, 1000).when(F.startswith(name, word), 620).when(F.contains(name, word), 380).otherwise(0) + F.when(F.array_contains("tags", word), 240).otherwise(0) + F.when(F.contains("type", word), 150).otherwise(0)
+    scored = met.withColumn("score", score).where("score > 0").groupBy("text", "n", "item_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("hit")).where("hit = n")
+    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "item_id"))).where(F.col("place") <= most[0])
+    found = best.select("text", F.lit(1).alias("section"), F.col("item_id").cast("string").alias("entry"), "place")
+    matched = holding(materials.select("item_id", F.lower("hay").alias("hay"))).groupBy("text", "n", "item_id").agg(F.count(F.lit(1)).alias("hit")).where("hit = n").join(materials.select("item_id", "name"), "item_id")
+    shelf = matched.withColumn("place", F.row_number().over(Window.partitionBy("text").orderBy("item_id"))).where(F.col("place") <= most[1])
+    listed = texts.select("text", F.posexplode(F.array(*[F.lit(p) for p in pages])).alias("place", "entry")).where(F.contains(F.lower("entry"), F.lower("text")))
+    asks = texts.where(F.size(F.split("text", " ")) >= 3)
+    found = found.union(shelf.select("text", F.lit(2), "name", "place")).union(listed.select("text", F.lit(4), "entry", F.col("place") + 1)).union(asks.select("text", F.lit(5), F.col("text"), F.lit(1)))
+    return queries.select("query_id", "text").join(found, "text").select("query_id", "section", "entry", "place")

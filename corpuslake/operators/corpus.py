@@ -19,12 +19,24 @@ def superseded(versions: DataFrame) -> DataFrame:
 
 
 def upsert_outcome(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """unchanged, re_embedded (model differs) or new_version for each incoming (source_id, sha256, model); versions are known by hash alone."""
-    old = stored.select("sha256", F.col("model").alias("old_model"))
-    outcome = F.when(F.col("old_model").isNull(), "new_version").when(F.col("old_model") != F.col("model"), "re_embedded").otherwise("unchanged")
+    """new_version, rechunked (asked for), re_embedded (another model, or none) or unchanged for each incoming (source_id, sha256, model, rechunk); versions are known by hash alone."""
+    old = stored.groupBy("sha256").agg(F.min("model").alias("old_model"), F.lit(True).alias("known"))
+    other = F.col("old_model").isNull() | (F.col("old_model") != F.col("model"))
+    outcome = F.when(F.col("known").isNull(), "new_version").when(F.col("rechunk"), "rechunked").when(other, "re_embedded").otherwise("unchanged")
     return incoming.join(old, "sha256", "left").select("source_id", "sha256", outcome.alias("outcome"))
 
 
+def seed_graph(entities: DataFrame, edges: DataFrame, stored_entities: DataFrame, stored_edges: DataFrame) -> DataFrame:
+    """``what, n``: what an idempotent seeding of entities (name) and edges (subject, predicate, object) adds to the stored ones, and edges left out because an end is unknown."""
+    keys = ["subject", "predicate", "object"]
+    known = entities.select("name").union(stored_entities.select("name")).distinct()
+    unknown = unresolved_edges(edges.select(*keys), known)
+    fresh = edges.select(*keys).distinct().join(unknown, keys, "left_anti").join(stored_edges.select(*keys), keys, "left_anti")
+    count = lambda rows, what: rows.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    added = entities.select("name").distinct().join(stored_entities.select("name"), "name", "left_anti")
+    return count(added, "new entities").union(count(fresh, "new edges")).union(count(unknown, "unknown ends"))
+
+
 def corpus_version(versions: DataFrame) -> DataFrame:
     return versions.where("not superseded").agg(F.coalesce(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256), 1, 12), F.lit("empty")).alias("corpus_version"))
 
@@ -84,9 +96,18 @@ def unresolved_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return edges.join(known, F.col("subject") == F.col("name"), "left_anti").union(edges.join(known, F.col("object") == F.col("name"), "left_anti")).distinct()
 
 
-def chrf_counts(pairs: DataFrame, n: int) -> DataFrame:
-    """Character n-gram precision and recall of (pair_id, hyp, ref) for one n."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    count = lambda c, as_: pairs.where(F.char_length(c) >= n).select("pair_id", F.explode(grams(F.col(c))).alias("g")).groupBy("pair_id", "g").agg(F.count(F.lit(1)).alias(as_))
-    both = count("hyp", "h").join(count("ref", "r"), ["pair_id", "g"], "full_outer").fillna(0, ["h", "r"])
-    return both.groupBy("pair_id").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r"))
+def chrf(pairs: DataFrame, n: int = 6, beta: float = 2.0) -> DataFrame:
+    """``pair_id, chrf``: character n-gram F-score of (pair_id, hyp, ref), blanks removed, precision and recall averaged over 1 to ``n``; 0 if a side is empty."""
+    bare = pairs.select("pair_id", *[F.regexp_replace(c, r"\s+", "").alias(c) for c in ("hyp", "ref")])
+
+    def counts(c: str, name: str) -> DataFrame:
+        size = F.char_length(c)
+        each = bare.select("pair_id", c, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).where(size >= F.col("k"))
+        grams = each.select("pair_id", "k", F.explode(F.transform(F.sequence(F.lit(1), size - F.col("k") + 1), lambda i: F.substring(F.col(c), i, F.col("k")))).alias("g"))
+        return grams.groupBy("pair_id", "k", "g").agg(F.count(F.lit(1)).alias(name))
+
+    both = counts("hyp", "h").join(counts("ref", "r"), ["pair_id", "k", "g"], "full_outer").fillna(0, ["h", "r"])
+    per = both.groupBy("pair_id", "k").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r"))
+    mean = per.groupBy("pair_id").agg(F.avg(F.when(F.col("h") > 0, F.col("m") / F.col("h"))).alias("p"), F.avg(F.when(F.col("r") > 0, F.col("m") / F.col("r"))).alias("q"))
+    score = F.when(F.coalesce(F.col("p") + F.col("q"), F.lit(0.0)) > 0, (1 + beta**2) * F.col("p") * F.col("q") / (beta**2 * F.col("p") + F.col("q"))).otherwise(0.0)
+    return pairs.select("pair_id").join(mean, "pair_id", "left").select("pair_id", F.round(score, 6).alias("chrf"))

@@ -88,11 +88,11 @@ def f15_material_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.catalogue(spark, sf_dir).where(F.forall(F.split(F.lit("brand e"), " "), lambda w: F.contains(hay, w))).select("item_id")
 
 
-@query(f"WITH {ITEMS} SELECT item_id FROM items WHERE difficulty IN (1, 3) AND list_has_any(tags, (SELECT list(DISTINCT string_split(name, ' ')[1]) FROM items WHERE item_id <= 20))")
+@query(f"WITH {ITEMS} SELECT item_id FROM items WHERE difficulty IN (1, 3) AND list_has_any(tags, (SELECT list(tag) FROM (SELECT string_split(name, ' ')[1] AS tag FROM items GROUP BY 1 HAVING count(*) % 2 = 0)))")
 def f14_facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Any of the values within a facet, and across facets; the tags asked for are the first words of the first twenty items."""
+    """Any of the values within a facet, and across facets; the tags asked for are the first words that an even number of items has."""
     items = V.catalogue(spark, sf_dir)
-    wanted = items.where("item_id <= 20").select(F.col("tags")[0].alias("tag")).distinct()
+    wanted = items.groupBy(F.col("tags")[0].alias("tag")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0").select("tag")
     return items.where("difficulty IN (1, 3)").select("item_id", F.explode("tags").alias("tag")).join(wanted, "tag", "left_semi").select("item_id").distinct()
 
 
@@ -102,12 +102,6 @@ def f26_deep_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "pages").select("page_id", G.deep_link(url, F.col("page_id") % 9).alias("link"))
 
 
-@query(f"WITH {CHUNKS}, k AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY NOT contains(c.text, substr(b.text, 1, 20)), locator <> 's.2', chunk_id) AS pos, contains(c.text, substr(b.text, 1, 20)) AS quoted FROM benchmark b JOIN chunks c ON c.doc_id = item_id) SELECT item_id AS cite_id, chunk_id, quoted FROM k WHERE pos = 1")
-def j11_resolve_cite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cites = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cite_id"), F.col("item_id").alias("doc_id"), F.lit("s.2").alias("locator"), F.substring("text", 1, 20).alias("quote"))
-    return A.resolve_cites(cites, V.chunks(spark, sf_dir))
-
-
 @query("SELECT c_custkey, coalesce(n, 0) AS n_orders, coalesce(last, TIMESTAMP '1970-01-01') AS last FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def j13_attach_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = V.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last"))
@@ -133,18 +127,6 @@ def v3_check_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("item_id", F.when(F.col("body").isNull(), "unknown source").when(F.contains(T.flat(F.col("body")), T.flat(F.col("text"))), "ok").otherwise("quote missing").alias("state"))
 
 
-@query(f"WITH {QUESTIONS}, p AS (SELECT question_id, regexp_extract_all(text, '(?i)\\b(sections?|secs?\\.|s\\.|rules?|articles?|art\\.)\\s*(\\d{{1,4}}[A-Z]{{0,3}})', 2) AS named FROM questions) SELECT question_id, array_to_string(list_sort(list_distinct([upper(x) FOR x IN named IF upper(x) <> '3'])), ',') AS unbacked FROM p WHERE len([x FOR x IN named IF upper(x) <> '3']) > 0")
-def v10_unbacked_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provision 3 stands for what the cited text backs."""
-    left = F.array_except(T.provisions(F.col("text")), F.array(F.lit("3")))
-    return V.questions(spark, sf_dir).select("question_id", left.alias("left")).where(F.size("left") > 0).select("question_id", F.array_join(F.array_sort("left"), ",").alias("unbacked"))
-
-
-@query(f"WITH {LINES} SELECT doc_id, count(*) FILTER (regexp_matches(line, '{G.ASSERTION}')) AS n FROM lines GROUP BY 1")
-def v12_unsupported_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").select("doc_id", G.assertions(F.col("text")).alias("n"))
-
-
 @query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 1")
 def v13_repeated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
@@ -241,19 +223,6 @@ def r17_latest_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by(body, F.struct("ts", "event_id")).alias("note")).where(F.trim("note") != "")
 
 
-@query("SELECT vec_id, CASE WHEN label % 2 = 1 THEN 'stale' ELSE 'kept' END AS state FROM embeddings")
-def u3_reembed_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = V.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("model"))
-    return e.select("vec_id", F.when(F.col("model") == 1, "stale").otherwise("kept").alias("state"))
-
-
-@query(f"WITH {EDGES} SELECT predicate, count(*) AS inserted FROM edges WHERE predicate <> 'supplied_from' GROUP BY 1")
-def u4_seed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supply edges are there already; seeding the whole graph inserts the rest."""
-    edges = V.edges(spark, sf_dir)
-    return edges.join(edges.where("predicate = 'supplied_from'"), ["subject", "predicate", "object"], "left_anti").groupBy("predicate").agg(F.count(F.lit(1)).alias("inserted"))
-
-
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def u5_seed_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = V.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
@@ -287,13 +256,6 @@ def io9_export_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.drift(stored, now).groupBy("side", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {LOG} SELECT session_id, kind, date_trunc('day', ts) AS day, min(event_id) AS answered, count(*) - 1 AS repeats FROM log GROUP BY ALL")
-def s4_dedupe_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same question of a session is answered once a day."""
-    log = V.sessions(spark, sf_dir)
-    return log.groupBy("session_id", "kind", F.date_trunc("day", "ts").alias("day")).agg(F.min("event_id").alias("answered"), (F.count(F.lit(1)) - 1).alias("repeats"))
-
-
 @query(f"WITH {LOG} SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS latency_us FROM log")
 def s8_stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.unix_micros("ts")

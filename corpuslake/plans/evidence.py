@@ -171,13 +171,6 @@ def v4_check_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.near_locators(missing, chunks).select("item_id", "locator", "suggestions")
 
 
-@query("SELECT l_orderkey AS list_id, max(l_linenumber)::BIGINT AS declared, count(*) AS listed, count(*) = max(l_linenumber) AS complete FROM lineitem WHERE l_quantity > 3 GROUP BY 1")
-def v8_complete_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as lists: the highest line number is the declared total, lines of small quantity have got lost."""
-    line = V.table(spark, sf_dir, "lineitem").where("l_quantity > 3").groupBy(F.col("l_orderkey").alias("list_id"))
-    return line.agg(F.max("l_linenumber").cast("long").alias("declared"), F.count(F.lit(1)).alias("listed"), (F.count(F.lit(1)) == F.max("l_linenumber")).alias("complete"))
-
-
 @query("""WITH a AS (SELECT l_orderkey AS answer_id, bool_or(l_returnflag = 'R' AND l_linestatus <> 'F') AS named_uncited, bool_or(l_quantity > 25) AND bool_or(l_linestatus = 'F') AND NOT bool_or(l_quantity > 25 AND l_linestatus = 'F') AS guidance_only FROM lineitem GROUP BY 1) SELECT * FROM a WHERE named_uncited OR guidance_only""")
 def v9_missing_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines are shown passages: flag R is named by the question, status F is cited, quantity over 25 is primary law."""
@@ -286,14 +279,6 @@ def r18_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axes.groupBy("p_brand", "axis").agg(*[F.max(F.when(F.col("place") == i, F.col("v"))).alias(n) for i, n in ((1, "first"), (2, "second"), (3, "third"))])
 
 
-@query(f"WITH {CHUNKS} SELECT doc_id, bool_or(contains(c.text, substr(d.text, 1, 60))) AS quoted FROM documents d JOIN chunks c USING (doc_id) WHERE c.locator = 's.1' GROUP BY 1")
-def v5_check_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first sixty characters must sit in its chunk s.1; not so where they cross a line break."""
-    form = V.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("quote"))
-    chunks = V.chunks(spark, sf_dir).where("locator = 's.1'").select("doc_id", F.col("text").alias("body"))
-    return form.join(chunks, "doc_id").groupBy("doc_id").agg(F.bool_or(F.contains("body", F.col("quote"))).alias("quoted"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END")
 def v6_check_profile_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as filed profiles: their flag is the filed kind, the part's size tells the profile's own."""

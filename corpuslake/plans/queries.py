@@ -17,10 +17,10 @@ from corpuslake.streaming import sessions as S
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-CHUNKS = """chunks AS (SELECT doc_id * 100000 + i AS chunk_id, doc_id, source_id, 's.' || i AS locator, CASE WHEN lang = 'en' THEN 'IN' ELSE 'INTL' END AS jurisdiction, line AS text
+CHUNKS = """chunks AS (SELECT doc_id * 2147483648 + i AS chunk_id, doc_id, source_id, 's.' || i AS locator, CASE WHEN lang = 'en' THEN 'IN' ELSE 'INTL' END AS jurisdiction, line AS text
   FROM (SELECT doc_id, source AS source_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line, ' ') <> '')"""
-QUESTIONS = "questions AS (SELECT conv_id * 1000 + turn AS question_id, text || (CASE conv_id % 6 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(V.SUFFIXES)) + " END) AS text FROM conversations WHERE role = 'user')"
-VERSIONS = """versions AS (SELECT source AS source_id, lang, min(doc_id) AS first_doc, count(*) AS n_docs FROM documents GROUP BY ALL)"""
+QUESTIONS = "questions AS (SELECT conv_id * 2147483648 + turn AS question_id, text || (CASE conv_id % " + str(len(V.SUFFIXES)) + " " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(V.SUFFIXES)) + " END) AS text FROM conversations WHERE role = 'user')"
+VERSIONS = """versions AS (SELECT source_id, lang, first_doc, n_docs, sha256(concat_ws('|', source_id, lang, n_docs, s)) AS sha256 FROM (SELECT source AS source_id, lang, min(doc_id) AS first_doc, count(*) AS n_docs, sum(('0x' || substr(md5(doc_id || ':' || text), 1, 15))::BIGINT) AS s FROM documents GROUP BY ALL))"""
 EDGES = """edges AS (SELECT DISTINCT p_brand AS subject, 'supplied_from' AS predicate, n_name AS object FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT n_name, 'belongs_to_region', r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 ITEMS = "items AS (SELECT p_partkey AS item_id, p_name AS name, p_brand AS family, p_type AS type, string_split(p_name, ' ') AS tags, p_size % 3 + 1 AS difficulty FROM part)"
@@ -28,6 +28,12 @@ LOG = "log AS (SELECT event_id, ts, user_id AS session_id, CASE event_type WHEN
 TERMS = "list_distinct([lower(x) FOR x IN regexp_extract_all({}, '[A-Za-z][A-Za-z0-9]{{2,}}')])"
 
 
+#: The injection patterns for an engine without look-ahead: what follows a role is tested by itself.
+INJECTED = [f"regexp_matches(text, '{p}')" for n, p in T.INJECTIONS.items() if n != "role_override"] + [
+    r"(regexp_matches(text, '(?i)\b(you are now|from now on,? you|pretend (to be|you are))') OR len(list_filter(regexp_extract_all(text, '(?i)\bact as (an? |if you)(.{0,40})', 2), lambda t: NOT regexp_matches(t, '(?i)^.{0,20}\b(licen[cs]|agent|authority|distributor)'))) > 0)"
+]
+
+
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
@@ -51,24 +57,17 @@ def _text_query(name: str, expr: Callable, sql: str, view: str = "documents", ke
 
 
 _trim = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-_text_query("n1_clean_text", T.clean, _trim.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f-\x9f\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]', '', 'g'), chr(9), ' '), '([\pL\pN_])-\n([\pL\pN_])', '\1\2', 'g'), '[ ]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"))
-_text_query("n9_norm_for_match", T.for_match, r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[“”"''‘’`\[\]\x{ad}]', '', 'g'), '[‐‑‒–—―−-]', '-', 'g'), '\s*-\s*', '-', 'g'), '\s+', ' ', 'g'), '^[ .;:,]+|[ .;:,]+$', '', 'g')""")
+_text_query("n1_clean_text", lambda c: T.clean(T.nfkc(c)), _trim.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f-\x9f\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]', '', 'g'), chr(9), ' '), '([\pL\pN_])-\n([\pL\pN_])', '\1\2', 'g'), '[ ]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"))
+_text_query("n9_norm_for_match", lambda c: T.for_match(T.nfkc(c)), r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[“”"''‘’`\[\]\x{ad}]', '', 'g'), '[‐‑‒–—―−-]', '-', 'g'), '\s*-\s*', '-', 'g'), '\s+', ' ', 'g'), '^[ .;:,]+|[ .;:,]+$', '', 'g')""")
 _text_query("n10_flat", T.flat, r"trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')")
 _text_query("f3_or_query", lambda c: F.array_join(F.array_sort(T.words3(c)), " | "), f"array_to_string(list_sort({TERMS.format('text')}), ' | ')")
 _text_query("f4_provisions_in", lambda c: F.array_join(F.array_sort(T.provisions(c)), ","), r"coalesce(array_to_string(list_sort(list_distinct([upper(x) FOR x IN regexp_extract_all(text, '(?i)\b(sections?|secs?\.|s\.|rules?|articles?|art\.)\s*(\d{1,4}[A-Z]{0,3})(?:\.\d{1,2})?(?:\s?\([a-z0-9]{1,4}\))*', 2)])), ','), '')", "questions", "question_id")
-_text_query("f6_injection_flags", lambda c: F.size(T.injection_flags(c)).cast("long"), "(" + " + ".join(f"regexp_matches(text, '{p}')::BIGINT" for p in T.INJECTIONS.values()) + ")", "questions", "question_id")
+_text_query("f6_injection_flags", lambda c: F.size(T.injection_flags(c)).cast("long"), "(" + " + ".join(f"{p}::BIGINT" for p in INJECTED) + ")", "questions", "question_id")
 _text_query("f7_scrub_pii", T.scrub, "regexp_replace(" * 4 + "text" + "".join(f", '{p}', '{label}', 'g')" for p, label in T.PERSONAL), "questions", "question_id")
-_text_query("f8_screen", T.screen, f"CASE WHEN length(text) > 2000 THEN 'too_long' WHEN trim(text, ' ') = '' THEN 'empty' WHEN {' OR '.join(f'''regexp_matches(text, '{p}')''' for p in T.INJECTIONS.values())} THEN 'unsafe' WHEN regexp_matches(text, '{T.MEDICAL}') THEN 'medical_advice' ELSE 'ok' END", "questions", "question_id")
+_text_query("f8_screen", T.screen, f"CASE WHEN length(text) > 2000 THEN 'too_long' WHEN trim(text, ' ') = '' THEN 'empty' WHEN {' OR '.join(INJECTED)} THEN 'unsafe' WHEN regexp_matches(text, '{T.MEDICAL}') THEN 'medical_advice' ELSE 'ok' END", "questions", "question_id")
 _text_query("f9_detect_language", T.language, "CASE " + " ".join(f"WHEN len(regexp_extract_all(text, '{s}')) >= 3 THEN '{c}'" for s, c in T.SCRIPTS) + " ELSE 'en' END", "questions", "question_id")
 _text_query("f12_question_hash", T.question_hash, "substr(sha256(lower(trim(text, ' '))), 1, 32)", "questions", "question_id")
 _text_query("f17_occurrences", lambda c: T.occurrences(c, F.lit("the")), "(length(text) - length(replace(text, 'the', ''))) // 3")
-_text_query("f1_locators_in", lambda c: F.array_join(T.locators(c), ","), "CASE WHEN contains(text, 'section 3(p) and Art. 27.3 or Rule 16') THEN 's.3(p),s.3,Art. 27.3,Art. 27,Rule 16' ELSE '' END", "questions", "question_id")
-
-
-@query("SELECT item_id, d.doc_id, contains(d.text, substr(b.text, 1, 40)) AS found FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
-def f5_quote_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, d = V.table(spark, sf_dir, "benchmark"), V.table(spark, sf_dir, "documents")
-    return b.select("item_id", F.col("text").alias("quote")).join(d, F.col("doc_id") == F.col("item_id")).select("item_id", "doc_id", T.quote_in(F.substring("quote", 1, 40), F.col("text")).alias("found"))
 
 
 @query(f"WITH {QUESTIONS} SELECT md5(regexp_replace(lower(trim(text, ' ')), '\\s+', ' ', 'g') || '|IN|en') AS cache_key, count(*) AS n, min(question_id) AS first_id FROM questions GROUP BY 1")
@@ -119,18 +118,6 @@ def u2_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.superseded(V.versions(spark, sf_dir)).select("source_id", "lang", "n_docs", "superseded")
 
 
-@query(f"""WITH {VERSIONS} SELECT source_id, lang, CASE WHEN first_doc % 3 = 0 THEN 'new_version' WHEN first_doc % 3 = 1 THEN 're_embedded' ELSE 'unchanged' END AS outcome FROM versions""")
-def u1_upsert_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = V.versions(spark, sf_dir)
-    stored = v.where("first_doc % 3 > 0").select("sha256", F.when(F.col("first_doc") % 3 == 1, "old").otherwise("now").alias("model"))
-    return P.upsert_outcome(v.withColumn("model", F.lit("now")), stored).join(v.select("sha256", "lang"), "sha256").select("source_id", "lang", "outcome")
-
-
-@query()
-def a11_corpus_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.corpus_version(P.superseded(V.versions(spark, sf_dir)))
-
-
 @query(f"WITH {VERSIONS}, {CHUNKS}, counts AS (SELECT source_id, count(*) AS n_chunks FROM chunks GROUP BY 1) SELECT v.source_id, count(*) AS n_versions, any_value(coalesce(n_chunks, 0)) AS n_chunks, array_to_string(list(lang ORDER BY first_doc DESC), ',') AS newest_first FROM versions v LEFT JOIN counts c ON c.source_id = v.source_id GROUP BY v.source_id")
 def a9_source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = V.chunks(spark, sf_dir).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_chunks"))
@@ -166,13 +153,6 @@ def j7_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.neighbourhood(V.edges(spark, sf_dir))
 
 
-@query(f"WITH {EDGES} SELECT DISTINCT e.* FROM edges e WHERE predicate = 'belongs_to_region'")
-def v2_check_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = V.edges(spark, sf_dir)
-    known = edges.where("predicate = 'supplied_from'")
-    return P.unresolved_edges(edges, known.select(F.col("subject").alias("name")).union(known.select(F.col("object").alias("name"))))
-
-
 @query(f"WITH {EDGES}, ends AS (SELECT subject AS node, 'tag' AS side FROM edges UNION ALL SELECT object, 'item' FROM edges) SELECT node, side, count(*) AS degree FROM ends GROUP BY ALL")
 def a8_bipartite_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.edges(spark, sf_dir)
@@ -222,52 +202,6 @@ def r10_catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.search(V.catalogue(spark, sf_dir), "al Brand")
 
 
-_BM25 = f"""WITH {CHUNKS}, posted AS (SELECT chunk_id, lower(w) AS term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]{{2,}}')) AS w FROM chunks) GROUP BY ALL),
-len AS (SELECT chunk_id, sum(tf) AS dl FROM posted GROUP BY 1), whole AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len), df AS (SELECT term, count(*) AS df FROM posted GROUP BY 1),
-wanted AS (SELECT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark),
-scored AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {R.K1 + 1} / (tf + {R.K1} * ({1 - R.B} + {R.B} * dl / avgdl))), 6) AS score FROM wanted JOIN posted USING (term) JOIN df USING (term) JOIN len USING (chunk_id), whole GROUP BY ALL),
-lexical AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= {R.CANDIDATES})"""
-
-
-def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-
-
-@query(_BM25 + " SELECT query_id, chunk_id, score, rank FROM lexical")
-def r2_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(_benchmark(spark, sf_dir), V.chunks(spark, sf_dir))
-
-
-@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e, label % 2 AS model FROM embeddings WHERE vec_id < 40), s AS (SELECT query_id, vec_id AS chunk_id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM q JOIN embeddings ON label % 2 = model)
-SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= {R.CANDIDATES}""")
-def r1_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 vectors are the question batch; every vector is searched."""
-    e = V.table(spark, sf_dir, "embeddings").withColumn("model", F.col("label") % 2)
-    return R.cosine(e.where("vec_id < 40").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"))
-
-
-_HYBRID = _BM25 + f""", fused AS (SELECT query_id, chunk_id, round(1.0 / ({R.RRF_K} + rank), 9) AS score FROM lexical),
-best AS (SELECT f.*, c.text FROM fused f JOIN chunks c USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id, source_id, locator ORDER BY score DESC, chunk_id) = 1),
-cut AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {R.CANDIDATES}),
-reranked AS (SELECT query_id, chunk_id, round(len(list_intersect({TERMS.format('b.text')}, {TERMS.format('c.text')})) / greatest(len({TERMS.format('b.text')}), 1), 6) AS score FROM cut c JOIN benchmark b ON b.item_id = query_id),
-shown AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM reranked QUALIFY rank <= {R.SHOWN})"""
-
-
-@query(_HYBRID + " SELECT * FROM shown")
-def r7_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.hybrid(_benchmark(spark, sf_dir), V.chunks(spark, sf_dir))
-
-
-@query(_HYBRID + """, golden AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-hit AS (SELECT DISTINCT g.query_id FROM golden g JOIN shown s ON s.query_id = g.query_id AND s.chunk_id // 100000 = g.doc_id)
-SELECT round((SELECT count(*) FROM hit) / (SELECT count(DISTINCT query_id) FROM golden), 6) AS recall""")
-def a12_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = r7_hybrid_search(spark, sf_dir).withColumn("doc_id", F.floor(F.col("chunk_id") / 100000))
-    b, d = V.table(spark, sf_dir, "benchmark"), V.table(spark, sf_dir, "documents")
-    golden = d.select("doc_id", F.col("text").alias("body")).join(b, F.expr("contains(body, text)")).select(F.col("item_id").alias("query_id"), "doc_id")
-    return R.recall(shown, golden)
-
-
 @query(f"WITH {LOG} SELECT date_trunc('hour', ts) AS start, kind, count(*) AS n FROM log GROUP BY ALL")
 def s2_audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.audit_rollup(V.sessions(spark, sf_dir))
@@ -293,11 +227,6 @@ def u8_consent_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.revoke(V.sessions(spark, sf_dir))
 
 
-@query(f"WITH {LOG} SELECT kind, count(*) FILTER (ts < TIMESTAMP '2024-02-01' - INTERVAL 20 DAYS AND kind <> 'grant') AS purged, count(*) FILTER (NOT (ts < TIMESTAMP '2024-02-01' - INTERVAL 20 DAYS AND kind <> 'grant')) AS kept FROM log GROUP BY 1")
-def u6_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.purge_counts(V.sessions(spark, sf_dir), F.lit("2024-02-01").cast("timestamp"))
-
-
 @query(f"""WITH RECURSIVE {LOG}, o AS (SELECT event_id, session_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS k FROM log),
 b AS (SELECT event_id, session_id, us, k, true AS allowed, 1.0::DOUBLE AS tokens FROM o WHERE k = 1
   UNION ALL SELECT o.event_id, o.session_id, o.us, o.k, least(2.0, b.tokens + (o.us - b.us) * (2.0::DOUBLE / 86400e6)) >= 1, least(2.0, b.tokens + (o.us - b.us) * (2.0::DOUBLE / 86400e6)) - CASE WHEN least(2.0, b.tokens + (o.us - b.us) * (2.0::DOUBLE / 86400e6)) >= 1 THEN 1.0 ELSE 0.0 END FROM b JOIN o ON o.session_id = b.session_id AND o.k = b.k + 1)
@@ -306,13 +235,6 @@ def s1_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rate_limit(V.sessions(spark, sf_dir))
 
 
-@query(f"WITH {LOG}, gone AS (SELECT DISTINCT session_id FROM log WHERE session_id % 10 = 0) SELECT kind, count(*) AS n FROM log l WHERE session_id NOT IN (SELECT session_id FROM gone) GROUP BY 1")
-def u7_erase_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions on the erase list (every tenth) leave the log; what stays is counted."""
-    log = V.sessions(spark, sf_dir)
-    return log.join(log.where("session_id % 10 = 0").select("session_id").distinct(), "session_id", "left_anti").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("WITH b AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type FROM b WHERE n % 2 = 1")
 def r16_bookmark_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("user_id", "event_type")
@@ -327,12 +249,3 @@ def r15_recently_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id FROM embeddings WHERE len(embedding) <> 64")
 def v7_embedding_dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "embeddings").where(F.size("embedding") != 64).select("vec_id")
-
-
-@query("""WITH p AS (SELECT a.item_id AS pair_id, a.text AS hyp, b.text AS ref FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
-h AS (SELECT pair_id, g, count(*) AS h FROM (SELECT pair_id, unnest([substr(hyp, i, 3) FOR i IN range(1, length(hyp) - 1)]) AS g FROM p) GROUP BY ALL), r AS (SELECT pair_id, g, count(*) AS r FROM (SELECT pair_id, unnest([substr(ref, i, 3) FOR i IN range(1, length(ref) - 1)]) AS g FROM p) GROUP BY ALL)
-SELECT pair_id, sum(least(coalesce(h, 0), coalesce(r, 0)))::BIGINT AS m, sum(coalesce(h, 0))::BIGINT AS h, sum(coalesce(r, 0))::BIGINT AS r FROM h FULL JOIN r USING (pair_id, g) GROUP BY 1""")
-def a16_chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.table(spark, sf_dir, "benchmark")
-    pairs = b.select(F.col("item_id").alias("pair_id"), F.col("text").alias("hyp")).join(b.select((F.col("item_id") - 1).alias("pair_id"), F.col("text").alias("ref")), "pair_id")
-    return P.chrf_counts(pairs, 3)

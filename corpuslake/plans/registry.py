@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslake.plans import answers, evidence  # noqa: F401  (they register their queries)
+from corpuslake.plans import answers, evidence, ingest, law, search, store, verify  # noqa: F401  (they register their queries)
 from corpuslake.plans import queries as Q
 
 
@@ -19,5 +19,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid retrieval of the benchmark passages over all chunks."""
-    return Q.r7_hybrid_search(spark, sf_dir)
+    """Hybrid retrieval of all benchmark questions over all passages, in both jurisdictions."""
+    return search.r7_hybrid_search(spark, sf_dir)

@@ -1,8 +1,9 @@
-"""Session logs: rate limits, windows, consent in force, retention. Each batch form has a streaming form."""
+"""Session logs in batch: rate limits, windows, consent in force, repeated questions, retention, erasure. Stateful streaming forms are in ``streams``."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,11 +21,6 @@ def session_activity(log: DataFrame, gap: str = "6 hours", late: str | None = No
     return log.groupBy(F.session_window("ts", gap).alias("w"), "session_id").agg(F.count(F.lit(1)).alias("n")).select("session_id", F.col("w.start").alias("start"), "n")
 
 
-def dedupe_questions(log: DataFrame, key: str = "cache_key", late: str = "1 hour") -> DataFrame:
-    """The first of equal questions within the horizon (streams)."""
-    return log.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
-
-
 def latest_consent(log: DataFrame) -> DataFrame:
     """Each session's last grant or revocation decides: ``session_id, active``."""
     marks = log.where("kind in ('grant', 'revoke')").groupBy("session_id").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("last"))
@@ -65,12 +61,44 @@ def rate_limit(log: DataFrame, per_day: float = 2.0, burst: float = 2.0) -> Data
     return rows.repartition("session_id").sortWithinPartitions("session_id", "us", "event_id").mapInArrow(fold, "event_id long, allowed boolean")
 
 
-def purge_counts(log: DataFrame, now: Column, days: int = 20) -> DataFrame:
-    """Rows of each kind past the window and kept; grants are kept while no later revocation closes them."""
-    old = (F.col("ts") < now - F.expr(f"interval {days} days")) & (F.col("kind") != "grant")
-    return log.groupBy("kind").agg(F.count_if(old).alias("purged"), F.count_if(~old).alias("kept"))
+def dedupe_questions(log: DataFrame, key: str, horizon_us: int = 86_400_000_000) -> DataFrame:
+    """``event_id, answered_by``: equal questions are answered once within the horizon, by the first; the next one after it is answered anew. An ordered fold that holds one question."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        question, since, by, fresh = None, 0, None, True
+        for batch in batches:
+            out = []
+            for now, us, event in zip(batch["key"].to_pylist(), batch["us"].to_pylist(), batch["event_id"].to_pylist(), strict=True):
+                if fresh or now != question or us - since >= horizon_us:
+                    question, since, by, fresh = now, us, event, False
+                out.append(by)
+            yield pa.RecordBatch.from_arrays([batch["event_id"], pa.array(out, pa.int64())], ["event_id", "answered_by"])
+
+    rows = log.select(F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"))
+    return rows.repartition("key").sortWithinPartitions("key", "us", "event_id").mapInArrow(fold, "event_id long, answered_by long")
+
+
+def expired(now: Column, days: int, audit_days: int) -> dict[str, Column]:
+    """What each table loses: answers, closed escalations and revoked grants past the window, audit rows past a longer one. Open escalations and grants in force stay."""
+    old, older = now - F.make_dt_interval(F.lit(days)), now - F.make_dt_interval(F.lit(audit_days))
+    past = {"answers": F.col("created_at") < old, "escalations": (F.col("created_at") < old) & (F.col("status") == "closed"), "consent_grants": F.col("revoked_at") < old, "audit_events": F.col("created_at") < older}
+    return {name: F.coalesce(when, F.lit(False)) for name, when in past.items()}
+
+
+def purge(tables: dict[str, DataFrame], now: Column, days: int = 30, audit_days: int = 180) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What stays of each table, and ``table_name, purged, kept``: the counts alone are the dry run."""
+    past = expired(now, days, audit_days)
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count_if(past[name]).alias("purged"), F.count_if(~past[name]).alias("kept")) for name, df in tables.items()]
+    return {name: df.where(~past[name]) for name, df in tables.items()}, reduce(DataFrame.union, counts)
+
+
+def erase(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables without the rows of erased sessions (session_id), and ``table_name, erased, kept``, which names no session."""
+    ids = gone.select("session_id").distinct()
+    counts = [df.join(ids.withColumn("gone", F.lit(True)), "session_id", "left").agg(F.lit(name).alias("table_name"), F.count("gone").alias("erased"), F.count_if(F.col("gone").isNull()).alias("kept")) for name, df in tables.items()]
+    return {name: df.join(ids, "session_id", "left_anti") for name, df in tables.items()}, reduce(DataFrame.union, counts)
 
 
-def read_stream(spark, path: str, schema, **options) -> DataFrame:
-    """Parquet files as they arrive."""
-    return spark.readStream.schema(schema).options(**options).parquet(path)
+def audit(counts: DataFrame, now: Column, what: str) -> DataFrame:
+    """The one audit row of a purge or erasure: its counts, and no id."""
+    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(counts.columns[0], counts.columns[1])))).alias("m")).select(F.lit("system").alias("session_id"), F.lit("purge").alias("kind"), now.alias("created_at"), F.to_json(F.create_map(F.lit(what), F.col("m"))).alias("payload"))
