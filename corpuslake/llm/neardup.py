@@ -118,44 +118,49 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _agree(x: str, y: str) -> F.Column:
-    return F.expr(f"aggregate(zip_with({x}, {y}, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {POSITIONS}D") >= LIKELY
+def _alike(percent: int) -> F.Column:
+    """Of sides a and b: sizes that admit ``percent`` (no pair is lost by that), and signatures that agree in at least LIKELY of the positions."""
+    agree = F.expr(f"aggregate(zip_with(mark_a, mark_b, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {POSITIONS}D") >= LIKELY
+    return (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & agree
 
 
-def _likely(marks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in at least LIKELY of the positions."""
-    left, right = marks.select(F.col("c").alias("a"), F.col("mark").alias("mark_a")), marks.select(F.col("c").alias("b"), F.col("mark").alias("mark_b"))
-    return pairs.distinct().join(left, "a").join(right, "b").where(_agree("mark_a", "mark_b")).select("a", "b")
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.withColumnsRenamed({"c": side, "size": f"size_{side}", "mark": f"mark_{side}"})
 
 
-def _likely_within(rows: DataFrame, marks: DataFrame) -> DataFrame:
+def _likely(marks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that ``_alike`` admits. ``marks``: c, size, mark."""
+    return pairs.distinct().join(_side(marks, "a"), "a").join(_side(marks, "b"), "b").where(_alike(percent)).select("a", "b")
+
+
+def _likely_within(rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """``_likely`` of all pairs inside small nodes (c, node): signatures go to the nodes, so pairs that don't agree are never moved."""
     signed = rows.join(marks, "c")
-    left, right = signed.select("node", F.col("c").alias("a"), F.col("mark").alias("mark_a")), signed.select("node", F.col("c").alias("b"), F.col("mark").alias("mark_b"))
-    return left.join(right, "node").where("a < b").where(_agree("mark_a", "mark_b")).select("a", "b").distinct()
+    return _side(signed, "a").join(_side(signed, "b"), "node").where("a < b").where(_alike(percent)).select("a", "b").distinct()
 
 
-def likely_across(comp: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Which members have a partner in another component whose signature agrees in at least LIKELY of the positions."""
+def likely_across(comp: np.ndarray, sizes: np.ndarray, marks: np.ndarray, percent: int) -> np.ndarray:
+    """Which members have a partner in another component that ``_alike`` admits."""
     out, (_, group) = np.zeros(len(comp), bool), np.unique(comp, return_inverse=True)
     others = np.flatnonzero(group != np.bincount(group).argmax())  # the largest component's members only meet these
     least = int(np.ceil(LIKELY * marks.shape[1]))
     for at in range(0, len(others), 64):
         rows = others[at : at + 64]
         agree = (marks[rows, None, :] == marks[None, :, :]).view(np.uint8).sum(axis=2, dtype=np.uint8) >= least
-        agree &= group[rows, None] != group[None, :]
+        agree &= (group[rows, None] != group[None, :]) & (100 * np.minimum(sizes[rows, None], sizes[None, :]) >= percent * np.maximum(sizes[rows, None], sizes[None, :]))
         out[rows] |= agree.any(axis=1)
         out |= agree.any(axis=0)
     return out
 
 
-def _close(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """The ``rows`` (c, size, comp, node) that have a likely partner in another component of their node."""
+def _close(rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The ``rows`` (c, comp, node) that have a likely partner in another component of their node, with ``size``."""
 
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.loc[likely_across(pdf["comp"].to_numpy(), np.stack(pdf["mark"].to_list()).astype(np.int8)), ["c", "size", "comp", "node"]]
+        alike = likely_across(pdf["comp"].to_numpy(), pdf["size"].to_numpy(), np.stack(pdf["mark"].to_list()).astype(np.int8), percent)
+        return pdf.loc[alike, ["c", "size", "comp", "node"]]
 
-    return rows.select("c", "size", "comp", "node").join(marks, "c").groupBy("node").applyInPandas(close, "c long, size long, comp long, node long")
+    return rows.select("c", "comp", "node").join(marks, "c").groupBy("node").applyInPandas(close, "c long, size long, comp long, node long")
 
 
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -201,7 +206,7 @@ def _compare(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def _crowds(level: DataFrame) -> DataFrame:
-    """``level`` (c, size, node) with each node's members ``n`` and least member ``lead``; nodes of one member go."""
+    """``level`` (c, node) with each node's members ``n`` and least member ``lead``; nodes of one member go."""
     return level.join(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lead")).where("n > 1"), "node")
 
 
@@ -228,13 +233,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct("id", "n_shingles", "sig")).alias("r")
     mark = F.transform("r.sig", lambda x: (F.pmod(x, F.lit(256)) - 128).cast("tinyint")).alias("mark")
     classes = stage(known.groupBy("key", "key2").agg(first).select("key", "key2", "r.id", F.col("r.n_shingles").alias("size"), "r.sig", mark, F.monotonically_increasing_id().alias("c")))
-    marks = classes.select("c", "mark")
+    marks = classes.select("c", "size", "mark")
 
     keys = F.array(*[F.xxhash64(F.lit(p), F.col("sig")[p % POSITIONS]) for p in range(trees * BRANCHES)])
-    level = stage(_crowds(classes.select("c", "size", F.explode(keys).alias("node"))))
+    level = stage(_crowds(classes.select("c", F.explode(keys).alias("node"))))
     stars = lambda rows: rows.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b"))
     small, crowd = level.where(F.col("n") <= leaf).select("c", "node"), level.where(F.col("n") > leaf)
-    likely = stage(_likely_within(small, marks).union(_likely(marks, stars(crowd))).distinct())
+    likely = stage(_likely_within(small, marks, percent).union(_likely(marks, stars(crowd), percent)).distinct())
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = stage(ids.join(classes.select("c", "id", "key"), "c"))
@@ -248,25 +253,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = known.select("id", "key", "key2").join(several.select("id", "a"), "id").join(named.withColumnRenamed("c", "b"), ["key", "key2"]).where("a <> b").select("a", "b")
     comps = connected_components(_confirm(sets, likely, percent).union(again))
     crowd = stage(_mixed(crowd, comps))
-    middle, large = stage(_close(crowd.where(F.col("n") <= block), marks)), crowd.where(F.col("n") > block)
+    middle, large = stage(_close(crowd.where(F.col("n") <= block), marks, percent)), crowd.where(F.col("n") > block)
     others = stage(middle.select("c").union(large.select("c")).distinct().join(paired, "c", "left_anti"))
     if not others.isEmpty():
         sets = sets.union(sets_of(others))
     for step in range(depth):
-        large = stage(_mixed(large, comps).select("c", "size", "comp", "node"))
+        large = stage(_mixed(large, comps).select("c", "comp", "node"))
         more = not large.isEmpty()
         middle = _mixed(middle, comps).select("c", "size", "comp", "node")
         if more and step == depth - 1:
-            middle = middle.union(large)
+            middle = middle.union(large.join(marks.select("c", "size"), "c").select("c", "size", "comp", "node"))
         found = stage(_cut(middle, block, weight).join(sets, "c").groupBy("node").applyInPandas(_compare(percent), "a long, b long"))
         if not more or step == depth - 1:
             break
         chosen = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POSITIONS)).cast("int") for b in range(BRANCHES)]
         children = F.explode(F.array_distinct(F.array(*[F.xxhash64("node", p, F.col("sig")[p]) for p in chosen])))
-        crowd = stage(_mixed(_crowds(large.select("c", "size", "node").join(classes.select("c", "sig"), "c").select("c", "size", children.alias("node"))), comps))
-        found = found.union(_confirm(sets, stage(_likely(marks, stars(crowd))), percent))
+        crowd = stage(_crowds(stage(large.select("c", "node").join(classes.select("c", "sig"), "c").select("c", children.alias("node")))))
+        crowd = stage(_mixed(crowd, comps))
+        found = found.union(_confirm(sets, stage(_likely(marks, stars(crowd), percent)), percent))
         comps = connected_components(comps.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found))
-        middle, large = stage(_close(_mixed(crowd.where(F.col("n") <= block), comps), marks)), crowd.where(F.col("n") > block)
+        middle, large = stage(_close(_mixed(crowd.where(F.col("n") <= block), comps), marks, percent)), crowd.where(F.col("n") > block)
     if not found.isEmpty():
         comps = connected_components(comps.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found))
 

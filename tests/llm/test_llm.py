@@ -88,9 +88,10 @@ def test_links_across_unite_what_brute_force_unites(raw, data):
 @given(st.integers(2, 150), st.integers(1, 6), st.integers(0, 2**32 - 1))
 def test_likely_across(n, k, seed):
     rng = np.random.default_rng(seed)
-    comp, marks = rng.integers(0, k, n), rng.integers(0, 3, (n, neardup.POSITIONS)).astype(np.int8)
-    want = [any(comp[i] != comp[j] and (marks[i] == marks[j]).mean() >= neardup.LIKELY for j in range(n)) for i in range(n)]
-    assert neardup.likely_across(comp, marks).tolist() == want
+    comp, sizes, marks = rng.integers(0, k, n), rng.integers(1, 9, n), rng.integers(0, 3, (n, neardup.POSITIONS)).astype(np.int8)
+    fits = lambda i, j: 100 * min(sizes[i], sizes[j]) >= 75 * max(sizes[i], sizes[j])
+    want = [any(comp[i] != comp[j] and fits(i, j) and (marks[i] == marks[j]).mean() >= neardup.LIKELY for j in range(n)) for i in range(n)]
+    assert neardup.likely_across(comp, sizes, marks, 75).tolist() == want
 
 
 def test_near_duplicates_of_an_id_with_several_texts(spark):
