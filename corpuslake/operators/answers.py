@@ -25,11 +25,14 @@ def resolve_cites(cites: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def confidence(rows: DataFrame) -> DataFrame:
-    """``score, band`` from hits, agreed, named, total, verified, flags, top (a cited chunk is among the first three hits)."""
+    """``score, band, reasons`` from hits, agreed, named, total, verified, flags, top (a cited chunk is among the first three hits)."""
     retrieval = F.least(F.lit(1.0), 0.5 + 0.5 * F.col("agreed") / F.col("hits") + F.when(F.col("named"), 0.2).otherwise(0.0))
     coverage = F.when(F.col("total") > 0, F.col("verified") / F.col("total")).otherwise(0.0)
     score = F.when(F.col("hits") == 0, 0.0).otherwise(retrieval * coverage * (1 - F.least(F.lit(0.6), 0.2 * F.col("flags"))) * F.when(F.col("top"), 1.0).otherwise(0.8))
-    return rows.withColumn("score", F.round(score, 6)).withColumn("band", F.when(F.col("score") >= 0.7, "high").when(F.col("score") >= 0.45, "medium").otherwise("low"))
+    verified = F.when(F.col("total") > 0, F.format_string("%d of %d citations verified", F.col("verified"), F.col("total"))).otherwise("no citations")
+    reasons = F.array_compact(F.array(F.when(F.col("named"), "the provision you named was found"), verified, F.when(F.col("flags") > 0, F.format_string("%d verifier warning(s)", F.col("flags")))))
+    rows = rows.withColumn("reasons", F.when(F.col("hits") == 0, F.array(F.lit("no sources found"))).otherwise(reasons))
+    return rows.withColumn("score", F.round(score, 3)).withColumn("band", F.when(F.col("score") >= 0.7, "high").when(F.col("score") >= 0.45, "medium").otherwise("low"))
 
 
 def decide(questions: list[tuple[str, Column, str]], fallback: str) -> Column:

@@ -85,9 +85,9 @@ def edges_of(edges: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame) -> DataFrame:
-    """Every entity with its labelled neighbours."""
-    both = edges.select(F.col("subject").alias("entity"), F.concat("predicate", F.lit(" "), "object").alias("edge")).union(edges.select(F.col("object").alias("entity"), F.concat("predicate", F.lit(" of "), "subject").alias("edge")))
-    return both.groupBy("entity").agg(F.count(F.lit(1)).alias("degree"), F.array_join(F.array_sort(F.collect_set("edge")), "; ").alias("edges"))
+    """``entity, edge``: every entity with its labelled neighbours, one row an edge, so a hub is many rows and never one."""
+    one = edges.select(F.col("subject").alias("entity"), F.concat("predicate", F.lit(" "), "object").alias("edge"))
+    return one.union(edges.select(F.col("object").alias("entity"), F.concat("predicate", F.lit(" of "), "subject").alias("edge"))).distinct()
 
 
 def unresolved_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:

@@ -154,9 +154,9 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("l_quantity") > 25).alias("agreed"), F.bool_or(F.col("l_returnflag") == "R").alias("named"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("l_linestatus") == "F").alias("verified"), F.count_if(F.col("l_discount") > 0.08).alias("flags"), F.bool_or((F.col("l_linenumber") <= 3) & (F.col("l_tax") > 0.05)).alias("top"))
 
 
-@query(f"WITH {_ANSWERS}, s AS (SELECT answer_id, round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.5::DOUBLE * agreed / hits + CASE WHEN named THEN 0.2::DOUBLE ELSE 0 END) * (verified / total) * (1 - least(0.6::DOUBLE, 0.2::DOUBLE * flags)) * CASE WHEN top THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END, 6) AS score FROM ans) SELECT answer_id, score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS band FROM s")
+@query(f"WITH {_ANSWERS}, s AS (SELECT answer_id, round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.5::DOUBLE * agreed / hits + CASE WHEN named THEN 0.2::DOUBLE ELSE 0 END) * (verified / total) * (1 - least(0.6::DOUBLE, 0.2::DOUBLE * flags)) * CASE WHEN top THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END, 3) AS score, concat_ws('; ', CASE WHEN named THEN 'the provision you named was found' END, verified || ' of ' || total || ' citations verified', CASE WHEN flags > 0 THEN flags || ' verifier warning(s)' END) AS reasons FROM ans) SELECT answer_id, score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS band, reasons FROM s")
 def f24_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.confidence(_answers(spark, sf_dir)).select("answer_id", "score", "band")
+    return A.confidence(_answers(spark, sf_dir)).select("answer_id", "score", "band", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query(f"WITH {_ANSWERS} SELECT o_orderpriority AS category, round(avg((verified = total AND named)::INT), 6) AS correct FROM ans JOIN orders ON o_orderkey = answer_id GROUP BY 1")

@@ -80,9 +80,11 @@ def lens_hits(responses: DataFrame, text_col: str = "value") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a new one of its own where that is unset (tests on one machine)."""
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a new one of its own where that is unset and all run on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
