@@ -97,11 +97,17 @@ def screen(text: Column) -> Column:
     return F.when(F.char_length(text) > MAX_QUESTION, "too_long").when(F.trim(text) == "", "empty").when(F.size(injection_flags(text)) > 0, "unsafe").when(text.rlike(MEDICAL), "medical_advice").otherwise("ok")
 
 
-def language(text: Column) -> Column:
+def language(text: Column, chosen: Column | None = None) -> Column:
+    """The language chosen, unless that is null or 'auto'; else the first script of which the text has enough characters; else English."""
     out = F.lit("en")
     for script, code in reversed(SCRIPTS):
         out = F.when(F.regexp_count(text, F.lit(script)) >= SCRIPT_CHARS, code).otherwise(out)
-    return out
+    return out if chosen is None else F.when(chosen != "auto", chosen).otherwise(out)
+
+
+def cache_key(question: Column, mode: Column, person: Column, language: Column, context: Column, version: Column) -> Column:
+    """One key for all that decides an answer; blanks and case of the question don't."""
+    return F.md5(F.concat_ws("|", F.regexp_replace(F.lower(F.trim(question)), r"\s+", " "), mode, person, language, context, version))
 
 
 def question_hash(text: Column, digits: int = 32) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUBSTANTIAL = 150
@@ -53,3 +53,17 @@ def drift(target: DataFrame, rows: DataFrame) -> DataFrame:
 
 def score_band(share: Column) -> Column:
     return F.when(share >= 0.9, "gold").when(share >= 0.7, "silver").when(share >= 0.5, "bronze").otherwise("none")
+
+
+def repeated_calls(calls: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Calls (run, tool, arguments as a flat JSON object) that their run has made before with the same arguments, in any order of keys."""
+    pairs = F.array_sort(F.map_entries(F.from_json("arguments", "map<string,string>")))
+    same = Window.partitionBy("run", "tool", F.coalesce(F.md5(F.to_json(pairs)), F.lit(""))).orderBy(*order)
+    return calls.withColumn("nth", F.row_number().over(same)).where("nth > 1").drop("nth")
+
+
+def compare_runs(metrics: DataFrame) -> DataFrame:
+    """``metric, run, mean, before, change``: null-skipping means of (run, metric, value) beside those of the run before."""
+    means = metrics.groupBy("metric", "run").agg(F.round(F.avg("value"), 3).alias("mean"))
+    before = F.lag("mean").over(Window.partitionBy("metric").orderBy("run"))
+    return means.withColumn("before", before).withColumn("change", F.round(F.col("mean") - F.col("before"), 3))

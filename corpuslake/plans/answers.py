@@ -127,10 +127,11 @@ def v3_check_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("item_id", F.when(F.col("body").isNull(), "unknown source").when(F.contains(T.flat(F.col("body")), T.flat(F.col("text"))), "ok").otherwise("quote missing").alias("state"))
 
 
-@query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 1")
+@query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, coalesce((props::JSON->>'k')::BIGINT, -1) ORDER BY ts, event_id) > 1")
 def v13_repeated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return V.table(spark, sf_dir, "events").withColumn("at", F.row_number().over(order)).where("at > 1").select("event_id")
+    """Events as tool calls of a run with JSON arguments; the same call again is one too many, whatever the order of its arguments."""
+    calls = V.table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("run"), F.col("event_type").alias("tool"), F.col("props").alias("arguments"))
+    return A.repeated_calls(calls, ("ts", "event_id")).select("event_id")
 
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")

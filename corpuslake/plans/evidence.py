@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
+from corpuslake.operators import answers as A
 from corpuslake.operators import evidence as E
 from corpuslake.operators import retrieval as R
 from corpuslake.plans.answers import LINES, _lines
@@ -285,3 +286,11 @@ def v6_check_profile_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("p_size") % 3 == 0, "A").when(F.col("p_size") % 3 == 1, "N").otherwise("R")
     own = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), kind.alias("kind"))
     return V.table(spark, sf_dir, "lineitem").join(own, "l_partkey").where("l_returnflag <> kind").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""WITH m AS (SELECT year(o_orderdate) AS run, unnest(['answered', 'urgent']) AS metric, unnest([CASE WHEN o_orderstatus <> 'P' THEN (o_orderstatus = 'F')::INT END, (o_orderpriority = '1-URGENT')::INT]) AS v FROM orders), a AS (SELECT metric, run, round(avg(v), 3) AS mean FROM m GROUP BY 1, 2)
+SELECT *, lag(mean) OVER (PARTITION BY metric ORDER BY run) AS before, round(mean - lag(mean) OVER (PARTITION BY metric ORDER BY run), 3) AS change FROM a""")
+def a17_compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order years as runs, each beside the one before."""
+    metrics = F.array(F.struct(F.lit("answered").alias("metric"), F.when(F.col("o_orderstatus") != "P", (F.col("o_orderstatus") == "F").cast("int")).alias("value")), F.struct(F.lit("urgent").alias("metric"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("value")))
+    return A.compare_runs(V.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("run"), F.explode(metrics).alias("m")).select("run", "m.*"))

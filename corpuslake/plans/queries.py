@@ -70,12 +70,22 @@ _text_query("f12_question_hash", T.question_hash, "substr(sha256(lower(trim(text
 _text_query("f17_occurrences", lambda c: T.occurrences(c, F.lit("the")), "(length(text) - length(replace(text, 'the', ''))) // 3")
 
 
-@query(f"WITH {QUESTIONS} SELECT md5(regexp_replace(lower(trim(text, ' ')), '\\s+', ' ', 'g') || '|IN|en') AS cache_key, count(*) AS n, min(question_id) AS first_id FROM questions GROUP BY 1")
+@query(f"WITH {QUESTIONS}, k AS (SELECT question_id, md5(concat_ws('|', regexp_replace(lower(trim(text, ' ')), '\\s+', ' ', 'g'), ['ask', 'agent'][question_id % 2 + 1], ['maker', 'citizen', 'official'][question_id % 3 + 1], CASE {' '.join(f"WHEN len(regexp_extract_all(text, '{s}')) >= 3 THEN '{c}'" for s, c in T.SCRIPTS)} ELSE 'en' END, '', 'v1')) AS cache_key FROM questions) SELECT cache_key, count(*) AS n, min(question_id) AS first_id FROM k GROUP BY 1")
 def f13_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.md5(F.concat_ws("|", F.regexp_replace(F.lower(F.trim("text")), r"\s+", " "), F.lit("IN"), F.lit("en")))
+    """Equal questions in one mode, for one kind of person, in one language, without context, over one version of the corpus."""
+    n = F.col("question_id")
+    mode, person = (F.element_at(F.array(*[F.lit(v) for v in vs]), (n % len(vs) + 1).cast("int")) for vs in (("ask", "agent"), ("maker", "citizen", "official")))
+    key = T.cache_key(F.col("text"), mode, person, T.language(F.col("text")), F.lit(""), F.lit("v1"))
     return V.questions(spark, sf_dir).groupBy(key.alias("cache_key")).agg(F.count(F.lit(1)).alias("n"), F.min("question_id").alias("first_id"))
 
 
+@query(f"WITH {QUESTIONS} SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'hi' {' '.join(f"WHEN len(regexp_extract_all(text, '{s}')) >= 3 THEN '{c}'" for s, c in T.SCRIPTS)} ELSE 'en' END AS language FROM questions")
+def f9_chosen_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the questions come with a language chosen, a third with 'auto', the others without a choice."""
+    chosen = F.when(F.col("question_id") % 3 == 0, "hi").when(F.col("question_id") % 3 == 1, "auto")
+    return V.questions(spark, sf_dir).select("question_id", T.language(F.col("text"), chosen).alias("language"))
+
+
 _STATUTE = "lines AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 1 THEN line_no || '. ' || split_part(line, ' ', 1) || ' unit.—' || line ELSE line END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) WHERE trim(line, ' ') <> '')"
 
 
