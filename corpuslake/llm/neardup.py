@@ -6,7 +6,7 @@ node to the children named by the tokens at the positions which that node select
 similarity s stay together along one edge with probability s. ``trees`` independent trees are grown, with
 two children per node: a pair of similarity 0.75 is lost by one tree with probability at most 1/9 at any depth,
 by eight trees with probability at most 2.4e-8. Pairs must also agree in LIKELY of their signature positions
-before their sets are compared, which loses 1.3e-9 of the pairs at 0.75 (binomial, 64 positions).
+before their sets are compared, which loses 1.0e-7 of the pairs at 0.75 (binomial, 64 positions).
 
 Links are confirmed on full 64-bit sets before anything is built on them. Small nodes are compared pair by
 pair. In a crowded node every member is first held against the node's least member: that unites a mass of
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, stage
 
-WORDS, POSITIONS, BRANCHES, LIKELY, SLICE, SENT_IDS = 5, 64, 2, 0.4, 2000, 500_000
+WORDS, POSITIONS, BRANCHES, LIKELY, SLICE, SENT_IDS = 5, 64, 2, 0.45, 2000, 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -258,9 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not others.isEmpty():
         sets = sets.union(sets_of(others))
     for step in range(depth):
-        large = stage(_mixed(large, comps).select("c", "comp", "node"))
         more = not large.isEmpty()
-        middle = _mixed(middle, comps).select("c", "size", "comp", "node")
         if more and step == depth - 1:
             middle = middle.union(large.join(marks.select("c", "size"), "c").select("c", "size", "comp", "node"))
         found = stage(_cut(middle, block, weight).join(sets, "c").groupBy("node").applyInPandas(_compare(percent), "a long, b long"))
@@ -272,7 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         crowd = stage(_mixed(crowd, comps))
         found = found.union(_confirm(sets, stage(_likely(marks, stars(crowd), percent)), percent))
         comps = connected_components(comps.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found))
-        middle, large = stage(_close(_mixed(crowd.where(F.col("n") <= block), comps), marks, percent)), crowd.where(F.col("n") > block)
+        crowd = stage(_mixed(crowd, comps))
+        middle, large = stage(_close(crowd.where(F.col("n") <= block), marks, percent)), crowd.where(F.col("n") > block)
     if not found.isEmpty():
         comps = connected_components(comps.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found))
 
