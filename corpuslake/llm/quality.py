@@ -176,7 +176,7 @@ def quality_scorer(docs: DataFrame, labels: DataFrame, learn_from: Column, id_co
     return lambda text: score(F.coalesce(text, F.lit("")))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
     """``id, score`` for every row of ``docs``."""
-    score = quality_scorer(docs, labels, learn_from, id_col, text_col, label, max_rows)
+    score = quality_scorer(docs, labels, learn_from, id_col, text_col, label, max_rows, max_chars)
     return docs.select(F.col(id_col).cast("long").alias("id"), score(F.col(text_col)).alias("score"))
