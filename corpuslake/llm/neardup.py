@@ -124,19 +124,24 @@ def _alike(percent: int) -> F.Column:
     return (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & agree
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that grow with the corpus: one plan at every size, so neither is ever sent to all tasks, however small it is in a test."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _side(rows: DataFrame, side: str) -> DataFrame:
     return rows.withColumnsRenamed({"c": side, "size": f"size_{side}", "mark": f"mark_{side}"})
 
 
 def _likely(marks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs that ``_alike`` admits. ``marks``: c, size, mark."""
-    return pairs.distinct().join(_side(marks, "a"), "a").join(_side(marks, "b"), "b").where(_alike(percent)).select("a", "b")
+    return _meet(_meet(pairs.distinct(), _side(marks, "a"), "a"), _side(marks, "b"), "b").where(_alike(percent)).select("a", "b")
 
 
 def _likely_within(rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """``_likely`` of all pairs inside small nodes (c, node): signatures go to the nodes, so pairs that don't agree are never moved."""
-    signed = rows.join(marks, "c")
-    return _side(signed, "a").join(_side(signed, "b"), "node").where("a < b").where(_alike(percent)).select("a", "b").distinct()
+    signed = _meet(rows, marks, "c")
+    return _meet(_side(signed, "a"), _side(signed, "b"), "node").where("a < b").where(_alike(percent)).select("a", "b").distinct()
 
 
 def likely_across(comp: np.ndarray, sizes: np.ndarray, marks: np.ndarray, percent: int) -> np.ndarray:
@@ -160,15 +165,15 @@ def _close(rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
         alike = likely_across(pdf["comp"].to_numpy(), pdf["size"].to_numpy(), np.stack(pdf["mark"].to_list()).astype(np.int8), percent)
         return pdf.loc[alike, ["c", "size", "comp", "node"]]
 
-    return rows.select("c", "comp", "node").join(marks, "c").groupBy("node").applyInPandas(close, "c long, size long, comp long, node long")
+    return _meet(rows.select("c", "comp", "node"), marks, "c").groupBy("node").applyInPandas(close, "c long, size long, comp long, node long")
 
 
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b; staged) with 100 * |intersection| >= percent * |union| on the full sets. An ``a`` of many pairs is replicated to slices."""
     slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    left = slices.join(sets, F.col("a") == F.col("c")).select("a", F.col("tokens").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    dealt = pairs.join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slices").cast("long")).cast("int").alias("slice"))
-    both = dealt.join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b").join(left, ["a", "slice"])
+    left = _meet(slices, sets.withColumnRenamed("c", "a"), "a").select("a", F.col("tokens").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    dealt = _meet(pairs, slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slices").cast("long")).cast("int").alias("slice"))
+    both = _meet(_meet(dealt, sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b"), left, ["a", "slice"])
     common = F.size(F.array_intersect("x", "y"))
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct()
 
@@ -207,20 +212,20 @@ def _compare(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def _crowds(level: DataFrame) -> DataFrame:
     """``level`` (c, node) with each node's members ``n`` and least member ``lead``; nodes of one member go."""
-    return level.join(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lead")).where("n > 1"), "node")
+    return _meet(level, level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lead")).where("n > 1"), "node")
 
 
 def _mixed(level: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows of nodes whose members aren't all of one component, with ``comp``."""
-    placed = level.drop("comp").join(comps.select(F.col("id").alias("c"), "root"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
-    return placed.join(placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node"), "node", "left_semi")
+    placed = _meet(level.drop("comp"), comps.select(F.col("id").alias("c"), "root"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
+    return _meet(placed, placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node"), "node", "left_semi")
 
 
 def _cut(rows: DataFrame, block: int, weight: int) -> DataFrame:
     """``rows`` (c, size, comp, node) of nodes beyond ``block`` members or ``weight`` shingles dealt to pairs of chunks; each pair is a node of its own."""
     over = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
     chunks = F.when((F.col("n") <= block) & (F.col("w") <= weight), 1).otherwise(F.greatest(F.ceil(F.col("n") * 2 / block), F.ceil(F.col("w") * 2 / weight))).cast("int")
-    dealt = rows.join(over.select("node", chunks.alias("chunks")), "node").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("chunks").cast("long")).cast("int"))
+    dealt = _meet(rows, over.select("node", chunks.alias("chunks")), "node").withColumn("mine", F.pmod(F.xxhash64("c"), F.col("chunks").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     return dealt.withColumn("other", other).select("c", "comp", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"))
 
@@ -242,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = stage(_likely_within(small, marks, percent).union(_likely(marks, stars(crowd), percent)).distinct())
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = stage(ids.join(classes.select("c", "id", "key"), "c"))
+        wanted = stage(_meet(ids, classes.select("c", "id", "key"), "c"))
         needed = texts.join(F.broadcast(wanted) if wanted.count() <= sent else wanted, "id")
         return stage(needed.select("c", "key", "text").mapInPandas(_sets, "c long, tokens array<bigint>"))
 
@@ -261,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = not large.isEmpty()
         if more and step == depth - 1:
             middle = middle.union(large.join(marks.select("c", "size"), "c").select("c", "size", "comp", "node"))
-        found = stage(_cut(middle, block, weight).join(sets, "c").groupBy("node").applyInPandas(_compare(percent), "a long, b long"))
+        found = stage(_meet(_cut(middle, block, weight), sets, "c").groupBy("node").applyInPandas(_compare(percent), "a long, b long"))
         if not more or step == depth - 1:
             break
         chosen = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(POSITIONS)).cast("int") for b in range(BRANCHES)]
@@ -275,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not found.isEmpty():
         comps = connected_components(comps.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found))
 
-    rooted = classes.select("key", "key2", "c", F.col("id").alias("first")).join(comps.withColumnRenamed("id", "c"), "c", "left").select("key", "key2", "first", F.coalesce("root", "c").alias("root"))
-    members = stage(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("key", "key2", "component"))
+    rooted = _meet(classes.select("key", "key2", "c", F.col("id").alias("first")), comps.withColumnRenamed("id", "c"), "c", "left").select("key", "key2", "first", F.coalesce("root", "c").alias("root"))
+    members = stage(_meet(rooted, rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("key", "key2", "component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return signed.select("id", "n_shingles", "key", "key2").join(members, ["key", "key2"], "left").select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return _meet(signed.select("id", "n_shingles", "key", "key2"), members, ["key", "key2"], "left").select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
