@@ -129,13 +129,13 @@ def bm25(queries: DataFrame, chunks: DataFrame, within: tuple[str, ...] = (), k:
             wanted[[vocabulary[w] for w in words], j] = 1
 
         def score(pdf: pd.DataFrame, vocabulary: dict[str, int] = vocabulary, idf: np.ndarray = idf, wanted: np.ndarray = wanted, mean: float = total / n) -> np.ndarray:
-            tf, length = np.zeros((len(pdf), len(vocabulary))), np.zeros((len(pdf), 1))
+            found = np.zeros((len(pdf), wanted.shape[1]))
             for i, text in enumerate(pdf["text"]):
                 words = _words(text)
-                length[i] = len(words)
-                for w, c in Counter(w for w in words if w in vocabulary).items():
-                    tf[i, vocabulary[w]] = c
-            found = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))) @ wanted
+                held = Counter(w for w in words if w in vocabulary)
+                if held:
+                    at, tf = [vocabulary[w] for w in held], np.array(list(held.values()), float)
+                    found[i] = (idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))) @ wanted[at]
             return np.where(found > 0, found, -np.inf)
 
         parts.append(best_rows(rows, block.drop(columns="text"), score, within, k))
