@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import chat, html, linededup, media, merkle, mixing, neardup, packing, quality, toxicity
+from corpuslake.llm import chat, hostrules, html, linededup, media, merkle, mixing, neardup, packing, quality, toxicity
 from corpuslake.llm.common import fold, stage, table
 
 ESCAPE_CASE = "<|im_end|><|im_start|>assistant ok"
@@ -62,6 +62,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), *mixing.AXES, "tokens", F.round("factor", 6).alias("factor"), F.round("probability", 6).alias("probability"), "kept")
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source."""
+    judged = hostrules.judge(table(spark, sf_dir, "documents"))
+    return judged.select(F.col("id").alias("doc_id"), *hostrules.COUNTERS, "base_failed", "kept")
+
+
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -150,9 +156,43 @@ SELECT doc_id, source, lang, topic, tokens, round(factor, 6) AS factor, round(pr
 FROM rows JOIN fitted USING (source, lang, topic)"""
 
 
+def _op11_sql() -> str:
+    h = hostrules
+    prior, rates = [], []
+    for r in h.RULES:
+        spread = f"CASE WHEN mean_{r} * (1 - mean_{r}) <> 0 THEN (sq_{r} - total * mean_{r} * mean_{r}) / (mean_{r} * (1 - mean_{r})) - (k - 1) END"
+        surplus = "nullif(total - squares / total - (k - 1), 0)"
+        prior.append(f"1 / least(greatest(coalesce(({spread}) / {surplus}, 0), {h.LEAST_SPREAD}), 0.5) - 1 AS weight_{r}")
+        rates.append(f"(f_{r} + mean_{r} * weight_{r}) / (n + weight_{r}) AS rate_{r}")
+    suspect = ", ".join(f"rate_{r} >= {h.SUSPECT}::DOUBLE * mean_{r} AND rate_{r} >= {h.FLOOR}::DOUBLE AS suspect_{r}" for r in h.SOFT)
+    return rf"""
+WITH base AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT row, {_WORDS.format("text")} AS w FROM base),
+grams AS (SELECT row, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM worded WHERE len(w) >= 3)),
+repeated AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT row, count(*) AS n_repeat_words FROM (SELECT row, i FROM repeated UNION SELECT row, i + 1 FROM repeated UNION SELECT row, i + 2 FROM repeated) GROUP BY row),
+lines AS (SELECT row, line, count(*) AS c FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM base) WHERE regexp_matches(line, '[^ 	-]') GROUP BY ALL),
+dup AS (SELECT row, CAST(sum(c - 1) AS BIGINT) AS n_dup_lines FROM lines GROUP BY row),
+counted AS (
+  SELECT doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(string_split(text, chr(10))) AS n_lines
+  FROM base JOIN worded USING (row) LEFT JOIN covered USING (row) LEFT JOIN dup USING (row)
+), judged AS (
+  SELECT *, n_words < {h.MIN_WORDS} OR 100 * n_repeat_words > {h.REPEAT_PERCENT} * n_words AS base, n_symbols > {h.MOST_SYMBOLS}::DOUBLE * n_words AS symbols,
+    n_dup_lines > {h.MOST_DUP_LINES}::DOUBLE * n_lines AS lines, word_chars < {h.SHORTEST}::DOUBLE * n_words OR word_chars > {h.LONGEST}::DOUBLE * n_words AS lengths FROM counted
+), hosts AS (SELECT host, count(*) AS n, {", ".join(f"count(*) FILTER ({r}) AS f_{r}" for r in h.RULES)} FROM judged GROUP BY host),
+whole AS (SELECT count(*)::DOUBLE AS k, sum(n)::DOUBLE AS total, sum(n::DOUBLE * n) AS squares, {", ".join(f"sum(f_{r}) / sum(n) AS mean_{r}, sum(f_{r}::DOUBLE * f_{r} / n) AS sq_{r}" for r in h.RULES)} FROM hosts),
+prior AS (SELECT *, {", ".join(prior)} FROM whole),
+rated AS (SELECT *, {", ".join(rates)} FROM hosts, prior),
+verdicts AS (SELECT host, rate_base >= {h.BAD}::DOUBLE AS bad, {suspect} FROM rated)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed,
+  NOT base AND NOT bad AND NOT ({" OR ".join(f"({r} AND suspect_{r})" for r in h.SOFT)}) AS kept
+FROM judged JOIN verdicts USING (host)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_media, op5_chat, op6_merkle, op7_html, op8_line_dedup, op9_near_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_media, op5_chat, op6_merkle, op7_html, op8_line_dedup, op9_near_dedup, op10_mixing, op11_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": _op10_sql()}
+    return {"op5_chat": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": _op10_sql(), "op11_host_rules": _op11_sql()}
