@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import chat, hostrules, html, linededup, media, merkle, mixing, neardup, packing, quality, toxicity
+from corpuslake.llm import chat, hostrules, html, linededup, media, merkle, mixing, neardup, packing, quality, toxicity, whiten
 from corpuslake.llm.common import fold, stage, table
 
 ESCAPE_CASE = "<|im_end|><|im_start|>assistant ok"
@@ -68,6 +68,12 @@ def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), *hostrules.COUNTERS, "base_failed", "kept")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contour integration has no SQL form; tests/llm/test_whiten.py holds the rows against a dense solver."""
+    out = whiten.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -171,7 +177,8 @@ worded AS (SELECT row, {_WORDS.format("text")} AS w FROM base),
 grams AS (SELECT row, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM worded WHERE len(w) >= 3)),
 repeated AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS c FROM grams) WHERE c > 1),
 covered AS (SELECT row, count(*) AS n_repeat_words FROM (SELECT row, i FROM repeated UNION SELECT row, i + 1 FROM repeated UNION SELECT row, i + 2 FROM repeated) GROUP BY row),
-lines AS (SELECT row, line, count(*) AS c FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM base) WHERE regexp_matches(line, '[^ 	-]') GROUP BY ALL),
+lines AS (SELECT row, line, count(*) AS c FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM base) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY ALL),
 dup AS (SELECT row, CAST(sum(c - 1) AS BIGINT) AS n_dup_lines FROM lines GROUP BY row),
 counted AS (
   SELECT doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -191,7 +198,7 @@ FROM judged JOIN verdicts USING (host)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_media, op5_chat, op6_merkle, op7_html, op8_line_dedup, op9_near_dedup, op10_mixing, op11_host_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_media, op5_chat, op6_merkle, op7_html, op8_line_dedup, op9_near_dedup, op10_mixing, op11_host_rules, op12_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
