@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.llm import chat, hostrules, html, linededup, media, merkle, mixing, neardup, packing, quality, toxicity, whiten
+from corpuslake.llm import chat, hostrules, html, linededup, media, merkle, mixing, neardup, packing, prefixtrie, quality, toxicity, whiten
 from corpuslake.llm.common import fold, stage, table
 
 ESCAPE_CASE = "<|im_end|><|im_start|>assistant ok"
@@ -74,6 +74,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -197,9 +201,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged JOIN verdicts USING (host)"""
 
 
+OP13_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, len({_WORDS.format("coalesce(text, '')")}) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT conv_id, list({{'id': id, 'words': words}} ORDER BY turn NULLS FIRST, role, id) AS own FROM turns GROUP BY conv_id),
+shared AS (
+  SELECT conv_id, own, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS crc FROM own
+), rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(b.own, [])[1:h], s.own[h + 1:]) AS t
+  FROM (SELECT *, xor(crc, 4294967295::BIGINT) % {prefixtrie.MOST_SHARED} AS h FROM shared) s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % {prefixtrie.SHARE}
+), keyed AS (SELECT conv_id, len(t) AS n, list_transform(t, lambda x: x.words) AS w, array_to_string(list_transform(t, lambda x: x.id), '') AS key FROM rebuilt),
+prefixes AS (SELECT conv_id, d, substr(key, 1, 32 * d) AS path, coalesce(w[d], 0) AS words, d = n AS ended FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM keyed)),
+nodes AS (
+  SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM prefixes GROUP BY path
+), kids AS (SELECT substr(path, 1, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+sums AS (
+  SELECT substr(path, 1, 32 * a) AS path, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT n.path, (n_convs - 1) * words AS saved, k.path IS NULL AS leaf, unnest(range(0, depth + 1)) AS a FROM nodes n LEFT JOIN kids k USING (path)) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (path) LEFT JOIN kids USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = substr(n.path, 1, 32 * (n.depth - 1))
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_media, op5_chat, op6_merkle, op7_html, op8_line_dedup, op9_near_dedup, op10_mixing, op11_host_rules, op12_whitening)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_media, op5_chat, op6_merkle, op7_html, op8_line_dedup, op9_near_dedup, op10_mixing, op11_host_rules, op12_whitening, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": _op10_sql(), "op11_host_rules": _op11_sql()}
+    return {"op5_chat": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": _op10_sql(), "op11_host_rules": _op11_sql(), "op13_prefix_trie": OP13_SQL}
