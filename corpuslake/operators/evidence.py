@@ -58,7 +58,8 @@ def clauses(lines: DataFrame) -> DataFrame:
     """Pieces of ``unit, k, line``: a line that begins a clause or paragraph opens one; what precedes has an empty id."""
     found = lines.withColumn("id", F.greatest(F.regexp_extract("line", CLAUSE, 1), F.regexp_extract("line", PARAGRAPH, 1)))
     piece = F.sum((F.col("id") != "").cast("int")).over(Window.partitionBy("unit").orderBy("k"))
-    return found.withColumn("piece", piece).groupBy("unit", "piece").agg(F.max("id").alias("clause_id"), F.count(F.lit(1)).alias("n_lines"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n")
+    return found.withColumn("piece", piece).groupBy("unit", "piece").agg(F.max("id").alias("clause_id"), F.count(F.lit(1)).alias("n_lines"), text.alias("text"))
 
 
 def clause_locator(base: Column, first: Column, last: Column, pieces: Column) -> Column:

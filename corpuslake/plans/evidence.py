@@ -41,7 +41,7 @@ def n6_skip_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLAUSES = rf"""{LINES}, marked AS (SELECT doc_id, line_no, CASE line_no % 4 WHEN 0 THEN '(' || substr('abcdefghijklmnopqrstuvwxyz', (line_no // 4 % 26 + 1)::INT, 1) || ') ' || line WHEN 3 THEN (line_no % 90)::VARCHAR || '.' ELSE line END AS line FROM lines),
 ided AS (SELECT *, greatest(regexp_extract(line, '{E.CLAUSE}', 1), regexp_extract(line, '{E.PARAGRAPH}', 1)) AS id FROM marked),
 cut AS (SELECT *, sum((id <> '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS piece FROM ided),
-pieces AS (SELECT doc_id AS unit, piece, max(id) AS clause_id, count(*) AS n_lines FROM cut GROUP BY 1, 2)"""
+pieces AS (SELECT doc_id AS unit, piece, max(id) AS clause_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS text FROM cut GROUP BY 1, 2)"""
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +52,9 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.clauses(_lines(spark, sf_dir).select(F.col("doc_id").alias("unit"), n.alias("k"), line.alias("line")))
 
 
-@query(f"WITH {_CLAUSES} SELECT * FROM pieces")
+@query(f"WITH {_CLAUSES} SELECT unit, piece, clause_id, n_lines, md5(text) AS text_md5, length(text) AS n_chars FROM pieces")
 def p9_split_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(spark, sf_dir)
+    return _pieces(spark, sf_dir).select("unit", "piece", "clause_id", "n_lines", F.md5("text").alias("text_md5"), F.char_length("text").alias("n_chars"))
 
 
 @query(f"""WITH {_CLAUSES}, s AS (SELECT unit, min_by(clause_id, piece) FILTER (clause_id <> '') AS a, max_by(clause_id, piece) FILTER (clause_id <> '') AS z, count(*) FILTER (clause_id <> '') AS n FROM pieces GROUP BY 1)

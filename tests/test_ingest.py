@@ -1,6 +1,9 @@
 """From marked lines to units and chunks, tables, sources and sinks, on literal rows."""
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuslake.operators import ingest as I
@@ -80,12 +83,62 @@ def test_first_substantial_or_longest(spark):
     assert sorted(r["unit"] for r in I.tidy(df, F.lit(False)).collect()) == [2, 5] and sorted(r["unit"] for r in I.tidy(df, F.lit(True)).collect()) == [1, 4]
 
 
-def test_units_are_cut_at_clauses_then_lines():
-    assert I.groups_of("short") == [([], "short")]
-    text = "head\n" + "\n".join(f"({c}) " + "x" * 1100 for c in "abcd")
-    assert [ids for ids, _ in I.groups_of(text)] == [["", "a", "b"], ["c", "d"]] and "\n".join(t for _, t in I.groups_of(text)) == text
+def chunked(spark, texts, base="s.1"):
+    df = spark.createDataFrame([(f"x{i}", i, base, t) for i, t in enumerate(texts)], "source_id string, unit int, locator string, text string")
+    out = {}
+    for r in I.chunk_units(df).orderBy("unit", "part").collect():
+        out.setdefault(r["unit"], []).append((r["locator"], r["text"]))
+    return [out[i] for i in range(len(texts))]
+
+
+def test_units_are_cut_at_clauses_then_lines(spark):
+    clauses = "head\n" + "\n".join(f"({c}) " + "x" * 1100 for c in "abcd")
     lines = "\n".join(["y" * 1000] * 5)
-    assert [len(p) for p in I.cut(lines)] == [2001, 2001, 1000] and I.cut("z" * 9000) == ["z" * 9000]
+    short, packed, wide, whole, blank = chunked(spark, [" short ", clauses, lines, "z" * 9000, ""])
+    assert short == [("s.1", "short")] and whole == [("s.1", "z" * 9000)] and blank == [("s.1", "")]
+    assert [loc for loc, _ in packed] == ["s.1(a)–(b)", "s.1(c)–(d)"] and "\n".join(t for _, t in packed) == clauses
+    assert [len(t) for _, t in wide] == [2001, 2001, 1000]
+    one = chunked(spark, ["(a) " + "x" * 3000 + "\n" + "w" * 600 + "\n1.\nshort"], "Art. 2")[0]
+    assert [loc for loc, _ in one] == ["Art. 2.a", "Art. 2.a", "Art. 2.1"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0, 1, 30, 700, 1199, 1200, 2399, 2400, 2401, 3300]), st.booleans()), min_size=1, max_size=14))
+def test_spans_are_as_long_as_the_rules_let_them(lines):
+    """Every chunk obeys the limits, no next clause or line would still have fitted, and all text is in one chunk, in order."""
+    sizes, opens = np.array([n for n, _ in lines]), np.array([o and n > 0 for n, o in lines])
+    got = I.spans(sizes, opens)
+    size = lambda a, b: int(sizes[a:b].sum()) + max(b - a - 1, 0)
+    if size(0, len(lines)) <= I.LONGEST:
+        assert got == [{"start": 0, "n": len(lines), "first": -1, "last": -1}]
+        return
+    held = [i for s in got for i in range(s["start"], s["start"] + s["n"])]
+    assert held == sorted(set(held)) and all(sizes[i] == 0 for i in set(range(len(lines))) - set(held))
+    bounds = sorted({0, len(lines), *np.flatnonzero(opens).tolist()})
+    for s in got:
+        a, b = s["start"], s["start"] + s["n"]
+        inside = [i for i in np.flatnonzero(opens) if a <= i < b]
+        assert not inside or s["first"] <= inside[0] and s["last"] >= inside[-1]
+        later = [x for x in bounds if x > b]
+        if a in bounds and b in bounds:  # whole clauses
+            assert size(a, b) <= I.TARGET + 1 or len([x for x in bounds if a < x < b]) == 0
+            assert not later or size(a, later[0]) > I.TARGET + 1
+        else:
+            assert size(a, b) <= I.TARGET or s["n"] == 1 or size(a, b) == size(a, a + 1) + s["n"] - 1
+
+
+def test_clauses_have_their_text(spark):
+    df = spark.createDataFrame([("x", 1, "lead\nmore\n(a) one\n1.\ntwo\n"), ("y", 2, "(b) all"), ("z", 3, "")], "source_id string, unit int, text string")
+    assert sorted(tuple(r) for r in I.split_clauses(df).collect()) == [("x", 1, 0, "", "lead\nmore"), ("x", 1, 1, "a", "(a) one"), ("x", 1, 2, "1", "1.\ntwo\n"), ("y", 2, 0, "b", "(b) all"), ("z", 3, 0, "", "")]
+
+
+def test_joined_lines_in_a_row(spark):
+    """A line that another one has taken doesn't take a third; a bare number looks at the line after its heading."""
+    rows = ["1. Wraps", "2. Wraps —too", "3. And —on", "Article", "12", "13", "16.", "Procedure that", "goes—on", "17.", "lower", "Article", "7bis"]
+    df = spark.createDataFrame([("x", i, 1, t) for i, t in enumerate(rows)], "source_id string, line_no int, page int, line string")
+    lines = lambda bare: [(r["line_no"], r["line"]) for r in I.iter_lines(df, bare).orderBy("line_no").collect()]
+    assert lines(False) == [(0, "1. Wraps 2. Wraps —too"), (2, "3. And —on"), (3, "Article 12"), (6, "16."), (7, "Procedure that"), (8, "goes—on"), (9, "17."), (10, "lower"), (11, "Article 7bis")]
+    assert lines(True) == [(0, "1. Wraps 2. Wraps —too"), (2, "3. And —on"), (3, "Article 12"), (6, "16. Procedure that goes—on"), (9, "17."), (10, "lower"), (11, "Article 7bis")]
 
 
 def test_table_rows_keep_their_headers(spark):
