@@ -8,8 +8,6 @@ smaller chunk id.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -18,8 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.functions import text as T
-
 BLOCK, ROWS, K1, B = 1024, 1000, 1.2, 0.75
 Scorer = Callable[[pd.DataFrame], np.ndarray]
 
@@ -90,58 +86,6 @@ def cosine(queries: DataFrame, chunks: DataFrame, within: tuple[str, ...] = ("mo
     return top(reduce(DataFrame.union, parts), within, k) if parts else top(rows.limit(0).selectExpr("chunk_id as query_id", *within, "chunk_id", "0d as score"), within, k)
 
 
-_WORD = re.compile(T.WORD3)
-
-
-def _words(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
-
-
-def bm25(queries: DataFrame, chunks: DataFrame, within: tuple[str, ...] = (), k: int = 40) -> DataFrame:
-    """``query_id, <within>, chunk_id, score, rank``: BM25 over words of three characters or more. Counts are taken over all chunks in
-    one pass, scores in a second."""
-    rows, parts = chunks.where("text is not null").select("chunk_id", "text", *within), []
-    for block in blocks_of(queries.where("text is not null").select("query_id", "text", *within)):
-        asked = [sorted(set(_words(t))) for t in block["text"]]
-        vocabulary = {w: i for i, w in enumerate(sorted({w for words in asked for w in words}))}
-        if not vocabulary:
-            continue
-
-        def counts(batches: Iterator[pd.DataFrame], vocabulary: dict[str, int] = vocabulary) -> Iterator[pd.DataFrame]:
-            df: Counter = Counter()
-            for pdf in batches:
-                for text in pdf["text"]:
-                    words = _words(text)
-                    if words:
-                        df[-1] += 1
-                        df[-2] += len(words)
-                        df.update(vocabulary[w] for w in set(words) if w in vocabulary)
-            yield pd.DataFrame({"term": list(df), "n": list(df.values())}, dtype="int64")
-
-        df = dict(rows.select("text").mapInPandas(counts, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-        n, total = df.get(-1, 0), df.get(-2, 0)
-        if not n:
-            continue
-        held = np.array([df.get(i, 0) for i in range(len(vocabulary))], float)
-        idf = np.log(1 + (n - held + 0.5) / (held + 0.5))
-        wanted = np.zeros((len(vocabulary), len(block)))
-        for j, words in enumerate(asked):
-            wanted[[vocabulary[w] for w in words], j] = 1
-
-        def score(pdf: pd.DataFrame, vocabulary: dict[str, int] = vocabulary, idf: np.ndarray = idf, wanted: np.ndarray = wanted, mean: float = total / n) -> np.ndarray:
-            found = np.zeros((len(pdf), wanted.shape[1]))
-            for i, text in enumerate(pdf["text"]):
-                words = _words(text)
-                held = Counter(w for w in words if w in vocabulary)
-                if held:
-                    at, tf = [vocabulary[w] for w in held], np.array(list(held.values()), float)
-                    found[i] = (idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))) @ wanted[at]
-            return np.where(found > 0, found, -np.inf)
-
-        parts.append(best_rows(rows, block.drop(columns="text"), score, within, k))
-    return top(reduce(DataFrame.union, parts), within, k) if parts else top(rows.limit(0).selectExpr("chunk_id as query_id", *within, "chunk_id", "0d as score"), within, k)
-
-
 def containing(docs: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_id: str, needle_col: str, size: int = 50_000) -> DataFrame:
     """``<id_col>, <needle_id>`` of all pairs whose text contains the needle as it stands. One automaton of a block's needles reads each
     text once, so no text meets a needle that it doesn't hold. Empty needles are in no text."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
 from corpuslake.operators import blocks as K
+from corpuslake.operators.postings import Index
 
 RRF_K, CANDIDATES, SHOWN = 60, 40, 8
 
@@ -88,17 +89,17 @@ def by_locator(queries: DataFrame, chunks: DataFrame, within: tuple[str, ...] =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", *within, "chunk_id", "rank")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, graph: DataFrame, k: int = SHOWN, candidates: int = CANDIDATES) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, graph: DataFrame, index: Index, k: int = SHOWN, candidates: int = CANDIDATES) -> DataFrame:
     """``query_id, jurisdiction, rank, chunk_id``: the best ``k`` chunks for each (query, jurisdiction); jurisdictions never mix.
 
     ``queries``: query_id, jurisdiction, text, regimes, embedding, model. ``chunks``: chunk_id, jurisdiction, source_id, locator, regimes, header,
-    text, embedding, model. ``graph``: query_id, jurisdiction, chunk_id, rank, the list of the knowledge graph. The dense, lexical, locator and graph
+    text, embedding, model. ``graph``: query_id, jurisdiction, chunk_id, rank, the list of the knowledge graph. ``index``: the chunks' words within jurisdictions. The dense, lexical, locator and graph
     lists are fused, a shared regime adds what a tenth place is worth, one hit stays for each locator; the first ``candidates`` are reranked, and
     graph hits get their slots. Texts are joined to the few fused hits only.
     """
     within = ("jurisdiction",)
     lists = {
-        "dense": K.cosine(queries, chunks, ("model", "jurisdiction"), candidates), "lexical": K.bm25(queries, chunks, within, candidates),
+        "dense": K.cosine(queries, chunks, ("model", "jurisdiction"), candidates), "lexical": index.search(queries, candidates),
         "locator": by_locator(queries, chunks, within), "graph": graph,
     }
     asked = queries.select("query_id", "jurisdiction", F.col("text").alias("query"), F.col("regimes").alias("asked"))

@@ -9,9 +9,12 @@ from corpuslake.functions import text as T
 from corpuslake.operators import blocks as K
 from corpuslake.operators import evidence as E
 from corpuslake.operators import graph as G
+from corpuslake.operators import ivf as N
 from corpuslake.operators import models as M
+from corpuslake.operators import postings as I
 from corpuslake.operators import retrieval as R
 from corpuslake.plans.queries import CHUNKS, TERMS, query
+from corpuslake.sources import files
 from corpuslake.sources import passages as S
 from corpuslake.sources import views as V
 
@@ -57,6 +60,20 @@ def f2_locator_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", T.locator_matches(F.concat(F.lit("s."), (d % 40).cast("string")), actual).alias("covered"))
 
 
+_STORED: dict[tuple[str, str], tuple[str, I.Index]] = {}
+
+
+def stored_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, I.Index]:
+    """Passages with their vectors and the index of their words, written once for an application and a folder of tables, as ingest would."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = files.shared_folder(spark, "corpus")
+        S.embedded(S.passages(spark, sf_dir)).write.partitionBy("jurisdiction").parquet(f"{path}/passages")
+        _STORED[key] = path, I.Index(f"{path}/index", ("jurisdiction",)).add(spark.read.parquet(f"{path}/passages"), 1)
+    path, index = _STORED[key]
+    return spark.read.parquet(f"{path}/passages"), index
+
+
 def _bm25_sql(chunks: str, asked: str, within: str = "") -> str:
     """CTEs up to ``lexical`` (query_id, chunk_id, score, rank)."""
     extra = f", {within}" if within else ""
@@ -69,15 +86,50 @@ lexical AS (SELECT query_id{extra}, chunk_id, score, row_number() OVER (PARTITIO
 
 @query(f"WITH {CHUNKS}, asked AS (SELECT item_id AS query_id, text FROM benchmark), {_bm25_sql('chunks', 'asked')} SELECT query_id, chunk_id, score, rank FROM lexical")
 def r2_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.bm25(V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), V.chunks(spark, sf_dir))
+    """Questions over the stored index of all lines, whatever their jurisdiction."""
+    _, index = stored_corpus(spark, sf_dir)
+    return index.search(V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), within=())
+
+
+@query(f"WITH {CHUNKS}, posted AS (SELECT chunk_id, lower(w) AS term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '{T.WORD3}')) AS w FROM chunks WHERE doc_id % 3 <> 1) GROUP BY ALL) SELECT term, count(*) AS df FROM posted GROUP BY term")
+def r2_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after three versions were added, one of them again in another form, and one was dropped."""
+    chunks, index = V.chunks(spark, sf_dir), I.Index(files.shared_folder(spark, "index"))
+    part = lambda n: chunks.where(F.col("doc_id") % 3 == n)
+    index.add(part(0), 0).add(part(1), 1).add(part(0), 2).add(part(2), 2).drop(spark, 1)
+    return index.terms(spark)
+
 
+_DENSE = f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e, label % 2 AS model FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, model, vec_id AS chunk_id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM q JOIN embeddings ON label % 2 = model)
+SELECT query_id, model, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= {R.CANDIDATES}"""
 
-@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e, label % 2 AS model FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, model, vec_id AS chunk_id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM q JOIN embeddings ON label % 2 = model)
-SELECT query_id, model, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= {R.CANDIDATES}""")
+
+@query(_DENSE)
 def r1_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector asks; every vector of its model is searched."""
+    asked, rows = _vectors(spark, sf_dir)
+    return K.cosine(asked, rows)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = V.table(spark, sf_dir, "embeddings").withColumn("model", F.col("label") % 2)
-    return K.cosine(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"))
+    return e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id")
+
+
+@query(_DENSE)
+def r1_cells_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lists by way of cells: nearest cells first, then only those that the triangle inequality leaves open."""
+    asked, rows = _vectors(spark, sf_dir)
+    return N.build(rows, files.shared_folder(spark, "cells"), ("model",)).search(asked, exact=True)
+
+
+@query()
+def r1_cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists from as many nearest cells as the index holds enough, against exact ones: for each query how many of its hits were found (recall is their sum's ratio). Approximate, so without a twin."""
+    asked, rows = _vectors(spark, sf_dir)
+    index = N.build(rows, files.shared_folder(spark, "cells"), ("model",))
+    near, exact = (df.select("query_id", "chunk_id") for df in (index.search(asked), K.cosine(asked, rows)))
+    return exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"))
 
 
 #: ``vectors`` (id, e): the default embedder's counts before they are brought to unit length.
@@ -149,9 +201,9 @@ shown AS (SELECT r.query_id, r.jurisdiction, r.place AS rank, CASE WHEN t1 AND r
 @query(f"WITH {_HYBRID} SELECT * FROM shown")
 def r7_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense, lexical, locator and graph lists of every question and jurisdiction, fused, reranked, with the graph's slots."""
-    chunks = S.passages(spark, sf_dir)
+    chunks, index = stored_corpus(spark, sf_dir)
     graph = G.graph_chunks(_links(spark, sf_dir), S.cited_edges(spark, sf_dir), chunks)
-    return R.hybrid(S.asked(spark, sf_dir), S.embedded(chunks), graph)
+    return R.hybrid(S.asked(spark, sf_dir), chunks, graph, index)
 
 
 @query(f"""WITH {_HYBRID}, golden AS (SELECT item_id AS query_id, CASE WHEN lang = 'en' THEN 'IN' ELSE 'INTL' END AS jurisdiction, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from corpuslake.operators import blocks as K
 from corpuslake.operators import graph as G
+from corpuslake.operators import ivf as N
+from corpuslake.operators import postings as I
 from corpuslake.operators import retrieval as R
 
 
@@ -27,7 +29,7 @@ def corpus(spark):
 
 
 @pytest.mark.parametrize("size", [2, 1000])
-def test_lists_equal_brute_force_in_any_blocks(spark, corpus, monkeypatch, size):
+def test_lists_equal_brute_force_in_any_blocks(spark, corpus, monkeypatch, tmp_path, size):
     rows, chunks = corpus
     asked = [(1, "River stone", [1.0, 0.0, 1.0, 0.0], 0), (2, "leaf leaf tree", [0.0, 1.0, 0.0, 0.0], 1), (3, "of a", [0.0] * 4, 1), (4, None, None, 0)]
     queries = spark.createDataFrame(asked, "query_id long, text string, embedding array<double>, model int")
@@ -42,14 +44,51 @@ def test_lists_equal_brute_force_in_any_blocks(spark, corpus, monkeypatch, size)
             s = sum(math.log(1 + (len(known) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in set(words(text)) if x in w)
             scored += [(-round(s, 6), i)] * (s > 0)
         want |= {(q, i, rank) for rank, (_, i) in enumerate(sorted(scored)[:10], 1)}
-    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in K.bm25(queries, chunks, k=10).collect()} == want
+    index = I.Index(str(tmp_path / "index"))
+    index.add(chunks.where("chunk_id < 40"), 1).add(chunks.where("chunk_id >= 40"), 2).add(chunks, 3).drop(spark, 3)
+    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in index.search(queries, 10).collect()} == want
+    assert index.search(queries.limit(0)).count() == 0
+    plan = index.search(queries)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and not re.search("Python|Pandas|Arrow", plan)
     want = set()
     for q, _, e, m in asked:
         if e and any(e):
             scored = sorted((-round(float(np.dot(e, v) / np.linalg.norm(e) / np.linalg.norm(v)), 6), i) for i, _, v, n in rows if v and any(v) and n == m)
             want |= {(q, i, rank) for rank, (_, i) in enumerate(scored[:10], 1)}
     assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in K.cosine(queries, chunks, k=10).collect()} == want
-    assert K.bm25(queries.limit(0), chunks).count() == 0 and K.cosine(queries, chunks.limit(0)).count() == 0
+    assert K.cosine(queries, chunks.limit(0)).count() == 0
+
+
+def test_index_versions(spark, tmp_path):
+    rows = spark.createDataFrame([(i, t, j) for i, (t, j) in enumerate([("river stone", "IN"), ("river river", "INTL"), (None, "IN"), ("of a", "IN")])], "chunk_id long, text string, jurisdiction string")
+    index = I.Index(str(tmp_path / "i"), ("jurisdiction",)).add(rows, 7).add(rows.where("chunk_id = 0"), 7).add(rows.where("chunk_id = 1"), 8)
+    assert {tuple(r) for r in index.terms(spark).collect()} == {("river", 2), ("stone", 1)}
+    ask = spark.createDataFrame([(1, "the river", "INTL"), (2, "a stone", "INTL")], "query_id long, text string, jurisdiction string")
+    assert [(r["query_id"], r["chunk_id"]) for r in index.search(ask).collect()] == [(1, 1)]
+    assert sorted((r["query_id"], r["chunk_id"]) for r in index.search(ask.drop("jurisdiction"), within=()).collect()) == [(1, 0), (1, 1), (2, 0)]
+    (tmp_path / "i/postings/version=9/bucket=0").mkdir(parents=True)  # a version whose insertion broke off
+    (tmp_path / "i/terms/version=9").mkdir(parents=True)
+    assert index.terms(spark).count() == 2
+    index.drop(spark, 8)
+    assert {tuple(r) for r in index.terms(spark).collect()} == {("river", 1), ("stone", 1)}
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_cells_find_what_brute_force_finds(spark, tmp_path, monkeypatch, exact):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((6, 8)) * 3
+    rows = [(i, [float(x) for x in centres[i % 6] + rng.standard_normal(8)], i % 2) for i in range(900)] + [(900 + i, [1.0] * 8, 0) for i in range(400)] + [(2000, None, 0), (2001, [0.0] * 8, 1)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, model int")
+    monkeypatch.setattr(N, "PART", 100)
+    index = N.build(df, str(tmp_path / "cells"), ("model",), sample=500)
+    assert index.vectors(spark).select("chunk_id").distinct().count() == 1300  # all but the null and the zero vector
+    ask = spark.createDataFrame([(i, rows[i * 37][1], rows[i * 37][2]) for i in range(20)] + [(50, None, 0), (51, [0.0] * 8, 0)], "query_id long, embedding array<double>, model int")
+    want = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in K.cosine(ask, df, k=10).collect()}
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in index.search(ask, k=10, probes=3 if exact else None, exact=exact).collect()}
+    if exact:
+        assert got == want
+    else:
+        assert len({(q, c) for (q, _), (c, _) in got.items()} & {(q, c) for (q, _), (c, _) in want.items()}) >= 0.9 * len(want)
 
 
 def test_containing_equals_plain_search(spark):
@@ -119,13 +158,14 @@ def test_graph_chunks_two_an_edge_and_eight_in_all(spark):
     assert [r["chunk_id"] for r in got.where("query_id = 1 and jurisdiction = 'INTL'").collect()] == [99] and got.where("query_id = 3").count() == 0
 
 
-def test_hybrid_keeps_jurisdictions_apart_and_named_provisions_on_top(spark):
+def test_hybrid_keeps_jurisdictions_apart_and_named_provisions_on_top(spark, tmp_path):
     rows = [(i, "IN", "a", f"s.{i}", ["patent"], "h", "many rare words about rivers here", [0.0, 1.0], "m") for i in range(10, 20)]
     rows += [(3, "IN", "a", "s.3", ["food"], "h", "nothing alike", [0.0, 1.0], "m"), (50, "IN", "a", "s.50", ["gi"], "h", "rare tale", [1.0, 0.0], "m"), (60, "INTL", "b", "s.3", ["gi"], "h", "rare words about rivers", [1.0, 0.0], "m")]
     chunks = spark.createDataFrame(rows, "chunk_id long, jurisdiction string, source_id string, locator string, regimes array<string>, header string, text string, embedding array<double>, model string")
     ask = spark.createDataFrame([(1, j, "rare words about rivers under section 3", ["patent"], [1.0, 0.0], "m") for j in ("IN", "INTL")], "query_id long, jurisdiction string, text string, regimes array<string>, embedding array<double>, model string")
     none = spark.createDataFrame([], "query_id long, jurisdiction string, chunk_id long, rank int")
-    got = {j: [r["chunk_id"] for r in R.hybrid(ask, chunks, none).where(F.col("jurisdiction") == j).orderBy("rank").collect()] for j in ("IN", "INTL")}
+    index = I.Index(str(tmp_path / "index"), ("jurisdiction",)).add(chunks, 1)
+    got = {j: [r["chunk_id"] for r in R.hybrid(ask, chunks, none, index).where(F.col("jurisdiction") == j).orderBy("rank").collect()] for j in ("IN", "INTL")}
     assert got == {"IN": [3, *range(10, 17)], "INTL": [60]}
     graph = spark.createDataFrame([(1, "IN", 50, 1)], none.schema)
-    assert 50 in [r["chunk_id"] for r in R.hybrid(ask, chunks, graph).where("jurisdiction = 'IN'").collect()]
+    assert 50 in [r["chunk_id"] for r in R.hybrid(ask, chunks, graph, index).where("jurisdiction = 'IN'").collect()]
