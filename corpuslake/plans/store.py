@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from corpuslake.operators import corpus as P
 from corpuslake.operators import models as M
-from corpuslake.plans.queries import EDGES, ITEMS, LOG, VERSIONS, query
+from corpuslake.operators import upsert as U
+from corpuslake.plans.queries import EDGES, ITEMS, LOG, SQL, VERSIONS, query
 from corpuslake.plans.search import PASSAGES, quoted
 from corpuslake.sources import files as I
 from corpuslake.sources import passages as S
 from corpuslake.sources import views as V
+from corpuslake.sources.store import Store
 from corpuslake.streaming import sessions as L
+from corpuslake.streaming import streams as Z
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,28 +268,97 @@ def r12_recent_when_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("seen"), "item"))).where("place <= 4")
 
 
-@query("WITH e AS (SELECT user_id AS session_id, ts, event_id, CAST(ts AS DATE) AS day FROM events), newest AS (SELECT max(day) AS d FROM e) SELECT day, count(*) AS n FROM e, newest WHERE day > d - 7 GROUP BY 1")
+def _retained(spark: SparkSession, sf_dir: str) -> str:
+    """Events streamed into a table by day that keeps seven days; its folder."""
+    path, inbox = I.shared_folder(spark, "retained"), I.shared_folder(spark, "inbox")
+    V.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).repartition(4).write.parquet(inbox)
+    stream = spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 2).parquet(inbox)
+    stream.writeStream.foreachBatch(Z.retain(path, 7)).option("checkpointLocation", I.shared_folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+_DAYS = "WITH e AS (SELECT CAST(ts AS DATE) AS day FROM events), newest AS (SELECT max(day) AS d FROM e)"
+
+
+@query(f"{_DAYS} SELECT day, count(*) AS n FROM e, newest WHERE day > d - 7 GROUP BY 1")
 def s6_retention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events streamed into a table by day, of which the last seven are kept."""
-    from corpuslake.streaming import streams as Z
+    """What the table holds after the stream: nothing of days that the newest one leaves behind is on disk."""
+    return spark.read.parquet(f"{_retained(spark, sf_dir)}/data").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
-    path, events = I.shared_folder(spark, "retained"), V.table(spark, sf_dir, "events")
-    inbox = I.shared_folder(spark, "inbox")
-    events.select("event_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(inbox)
-    stream = spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 2).parquet(inbox)
-    stream.writeStream.foreachBatch(Z.retain(path, "7 days", spark)).option("checkpointLocation", I.shared_folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return Z.retained(spark.read.parquet(path), 7).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
+@query(f"{_DAYS} SELECT day, CAST(count(*) AS BIGINT) AS purged FROM e, newest WHERE day <= d - 7 GROUP BY 1")
+def s6_retention_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit rows of the same run: each expired row was deleted once, with whatever batch it came."""
+    return spark.read.parquet(f"{_retained(spark, sf_dir)}/audit").groupBy("day").agg(F.sum("purged").alias("purged"))
+
+
+def _ahead(log: DataFrame) -> DataFrame:
+    """The log as a stream of shuffled rows."""
+    spark, inbox = log.sparkSession, I.shared_folder(log.sparkSession, "inbox")
+    log.repartition(3, F.xxhash64("event_id")).write.parquet(inbox)
+    return spark.readStream.schema(log.schema).parquet(inbox)
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """All that a stream gives, by way of a Parquet sink."""
+    spark, path = stream.sparkSession, I.shared_folder(stream.sparkSession, "out")
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", I.shared_folder(spark, "checkpoint")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+_PASSED = "epoch_us(ts) < (epoch_ms(max(ts) OVER ()) - 21600000) * 1000"
 
-@query("SELECT 'new_version' AS outcome, count(DISTINCT text) AS n FROM documents")
-def s7_continuous_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as arriving files, in batches: every distinct text becomes one version, also when all of them arrive a second time."""
-    from corpuslake.streaming import streams as Z
 
-    inbox, path, checkpoint = (I.shared_folder(spark, n) for n in ("inbox", "versions", "checkpoint"))
-    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text").repartition(3)
+@query(SQL["s5_consent_gate"].replace("SELECT event_id, coalesce(", f"SELECT event_id, allowed FROM (SELECT event_id, kind, {_PASSED} AS passed, coalesce(").replace("AS allowed FROM x WHERE kind = 'ask'", "AS allowed FROM x) WHERE kind = 'ask' AND passed"))
+def s5_consent_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asks that the watermark (six hours behind the newest event) has passed, in the order of their times though they arrive in none."""
+    return _drained(Z.consent_gate(_ahead(V.sessions(spark, sf_dir)), late="6 hours"))
+
+
+@query(SQL["s1_rate_limit"].replace("SELECT event_id, allowed FROM b", f"SELECT b.event_id, allowed FROM b JOIN (SELECT event_id, {_PASSED} AS passed FROM log) p ON p.event_id = b.event_id WHERE passed"))
+def s1_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on events that the watermark has passed; buckets that are full again keep no state."""
+    return _drained(Z.rate_limit(_ahead(V.sessions(spark, sf_dir)), late="6 hours"))
+
+
+@query("SELECT count(DISTINCT text) AS n_versions, CAST(0 AS BIGINT) AS n_superseded, (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT text FROM documents)) WHERE trim(line, ' ') <> '') AS n_chunks FROM documents")
+def s7_continuous_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as arriving files, in batches, to chunks: every distinct text becomes one version, also when all of them arrive a second time."""
+    store, inbox, checkpoint = U.corpus_store(I.shared_folder(spark, "store")), I.shared_folder(spark, "inbox"), I.shared_folder(spark, "checkpoint")
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text").repartition(2)
     for _ in range(2):
         docs.write.mode("append").parquet(inbox)
         files = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
-        Z.continuous_ingest(files, path, S.MODEL, checkpoint).awaitTermination()
-    return spark.read.parquet(path).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+        Z.continuous_ingest(files, store, S.MODEL, M.embedding, checkpoint).awaitTermination()
+    counts = store.read(spark, "versions").agg(F.count(F.lit(1)).alias("n_versions"), F.count_if("superseded").alias("n_superseded"))
+    return counts.crossJoin(U.searchable(store, spark).agg(F.count(F.lit(1)).alias("n_chunks")))
+
+
+_TWO_LOADS = """one AS (SELECT sha256(text) AS h, min(source) AS source_id, any_value(text) AS text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL GROUP BY 1),
+two AS (SELECT sha256(text) AS h, min(source) AS source_id, any_value(text) AS text FROM documents WHERE doc_id % 2 = 1 AND text IS NOT NULL AND sha256(text) NOT IN (SELECT h FROM one) GROUP BY 1),
+versions AS (SELECT *, 1 AS since FROM one UNION ALL SELECT *, 2 FROM two),
+sized AS (SELECT *, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS n, row_number() OVER (PARTITION BY source_id ORDER BY since DESC, h DESC) AS nth FROM versions)"""
+
+
+def _two_loads(spark: SparkSession, sf_dir: str) -> Store:
+    """Documents with even, then with odd ids, as texts of their sources."""
+    store, docs = U.corpus_store(I.shared_folder(spark, "store")), V.table(spark, sf_dir, "documents")
+    for k in (0, 1):
+        U.ingest(store, docs.where(F.col("doc_id") % 2 == k).select(F.col("source").alias("source_id"), "text"), S.MODEL, M.embedding)
+    return store
+
+
+@query(f"WITH {_TWO_LOADS} SELECT source_id, count(*) AS n_versions, count(*) FILTER (nth > 1) AS n_superseded, max(h) FILTER (nth = 1) AS newest FROM sized GROUP BY 1")
+def u2_supersede_in_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of each source after two loads: known contents make none, of the others the last is in force."""
+    newest = F.max(F.when(~F.col("superseded"), F.col("sha256"))).alias("newest")
+    return _two_loads(spark, sf_dir).read(spark, "versions").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_versions"), F.count_if("superseded").alias("n_superseded"), newest)
+
+
+@query(f"WITH {_TWO_LOADS} SELECT source_id, CAST(coalesce(sum(n) FILTER (nth = 1), 0) AS BIGINT) AS n_current, CAST(sum(n) AS BIGINT) AS n_all FROM sized GROUP BY 1 HAVING sum(n) > 0")
+def j1_historical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that a search sees, and with the historical switch."""
+    store = _two_loads(spark, sf_dir)
+    every = U.searchable(store, spark, historical=True).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_all"))
+    now = U.searchable(store, spark).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_current"))
+    return every.join(now, "source_id", "left").select("source_id", F.coalesce("n_current", F.lit(0)).alias("n_current"), "n_all")

@@ -28,9 +28,9 @@ def latest_consent(log: DataFrame) -> DataFrame:
 
 
 def consent_gate(log: DataFrame) -> DataFrame:
-    """Each ask with the consent in force at its time: the latest mark at or before it (an as-of join as one window)."""
+    """Each ask with the consent in force at its time: the latest mark at or before it (an as-of join as one window). Without a time nothing is in force, and a mark without one is none."""
     order = Window.partitionBy("session_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    state = F.last(F.when(F.col("kind") != "ask", F.col("kind")), ignorenulls=True).over(order)
+    state = F.last(F.when((F.col("kind") != "ask") & F.col("ts").isNotNull(), F.col("kind")), ignorenulls=True).over(order)
     return log.withColumn("state", state).where("kind = 'ask'").select("event_id", F.coalesce(F.col("state") == "grant", F.lit(False)).alias("allowed"))
 
 
@@ -42,7 +42,7 @@ def revoke(log: DataFrame) -> DataFrame:
 
 
 def rate_limit(log: DataFrame, per_day: float = 2.0, burst: float = 2.0) -> DataFrame:
-    """Token bucket for each session: ``event_id, allowed``. An ordered fold that holds one bucket and one batch of rows, however long a session is."""
+    """Token bucket for each session: ``event_id, allowed``. An ordered fold that holds one bucket and one batch of rows, however long a session is. Events without a time are not allowed and cost nothing."""
     rate = per_day / 86_400e6
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,10 @@ def rate_limit(log: DataFrame, per_day: float = 2.0, burst: float = 2.0) -> Data
             for now, us in zip(batch["session_id"].to_pylist(), batch["us"].to_pylist(), strict=True):
                 if fresh or now != session:
                     session, tokens, last, fresh = now, burst, None, False
-                have = min(burst, tokens + (0.0 if us is None or last is None else (us - last) * rate))
+                if us is None:
+                    out.append(False)
+                    continue
+                have = min(burst, tokens + (0.0 if last is None else (us - last) * rate))
                 out.append(have >= 1)
                 tokens, last = have - out[-1], us
             yield pa.RecordBatch.from_arrays([batch["event_id"], pa.array(out, pa.bool_())], ["event_id", "allowed"])

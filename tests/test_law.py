@@ -112,13 +112,6 @@ def _run(df, name, folder):
     return df.sparkSession.table(name)
 
 
-def test_stateful_streams_equal_their_batch_forms(spark, tmp_path):
-    rows = [(i, f"2024-01-01 {i // 6:02d}:{i % 6}0:00", i % 3, ("grant", "ask", "ask", "revoke", "ask")[i % 5]) for i in range(60)]
-    log, stream = _stream(spark, rows, "event_id long, ts string, session_id long, kind string", str(tmp_path / "log"))
-    for name, batch, live in (("limited", L.rate_limit(log, 20.0, 2.0), Z.rate_limit(stream, 20.0, 2.0)), ("gated", L.consent_gate(log), Z.consent_gate(stream))):
-        assert {tuple(r) for r in _run(live, name, tmp_path).collect()} == {tuple(r) for r in batch.collect()}
-
-
 def test_repeated_questions_are_answered_once_in_a_stream(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00", "a"), (2, "2024-01-01 01:00:00", "a"), (3, "2024-01-01 02:00:00", "b"), (4, "2024-01-01 03:00:00", "b")]
     log, stream = _stream(spark, rows, "event_id long, ts string, cache_key string", str(tmp_path / "log"))
