@@ -16,8 +16,9 @@ the members with a likely partner in another component, then the sets of these,
 most one link a member. Larger nodes branch again. What is still larger at the last level is compared in pairs of
 chunks, so nothing is capped; so are members of more than ``weight`` shingles together.
 
-Sets are made for the documents that need them only: up to ``sent`` ids go to every task, so texts don't move; more
-are joined by a shuffle, with the same result.
+Sets are made for the documents that need them only, by one plan at every size: a bitmap of WORDS_OF_BITS words of 64 bits, so of
+a size that doesn't grow, tells every task which ids can be needed; the texts of these alone meet the ids themselves. What share of other
+texts the bitmap lets through is at most the needed ids over its bits; a full one lets all through, with the same result.
 
 Hot groups: a member that many others are held against is replicated to slices of SLICE pairs each; counts
 and least members are partly aggregated before the shuffle; joins on a node's or a component's number carry
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, stage
 
-WORDS, POSITIONS, BRANCHES, LIKELY, SLICE, SENT_IDS = 5, 64, 2, 0.45, 2000, 500_000
+WORDS, POSITIONS, BRANCHES, LIKELY, SLICE, WORDS_OF_BITS = 5, 64, 2, 0.45, 2000, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -230,7 +231,7 @@ def _cut(rows: DataFrame, block: int, weight: int) -> DataFrame:
     return dealt.withColumn("other", other).select("c", "comp", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 8, leaf: int = 24, block: int = 2000, weight: int = 2_000_000, depth: int = 8, sent: int = SENT_IDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 8, leaf: int = 24, block: int = 2000, weight: int = 2_000_000, depth: int = 8, bit_words: int = WORDS_OF_BITS) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for every row of ``docs``."""
     texts = ids_and_text(docs, id_col, text_col)
     signed = stage(texts.mapInPandas(_sign, "id long, n_shingles long, key long, key2 long, sig array<int>"))
@@ -248,7 +249,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = stage(_meet(ids, classes.select("c", "id", "key"), "c"))
-        needed = texts.join(F.broadcast(wanted) if wanted.count() <= sent else wanted, "id")
+        placed = lambda rows: rows.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(64 * bit_words))).withColumn("word", F.floor(F.col("bit") / 64)).withColumn("bit", (F.col("bit") % 64).cast("int"))
+        bitmap = placed(wanted.select("id")).groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
+        possible = placed(texts).join(F.broadcast(bitmap), "word").where(F.getbit("bits", F.col("bit")) == 1)
+        needed = _meet(possible.select("id", "text"), wanted, "id")
         return stage(needed.select("c", "key", "text").mapInPandas(_sets, "c long, tokens array<bigint>"))
 
     paired = stage(likely.select("a").union(likely.select("b")).distinct().withColumnRenamed("a", "c"))

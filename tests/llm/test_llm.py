@@ -60,8 +60,8 @@ def test_near_duplicates_equal_brute_force_through_every_kind_of_node(spark):
                 a, b = root[i], root[j]
                 root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
     # nodes in a task; deeper levels; chunks of what is too large at the last level
-    for leaf, block, weight, depth, sent in ((4, 2000, 900, 2, 0), (4, 10, 10**6, 3, 10**6), (4, 10, 10**6, 1, 10**6)):
-        got = {r["id"]: r["component_id"] for r in neardup.near_duplicates(df, leaf=leaf, block=block, weight=weight, depth=depth, sent=sent).collect()}
+    for leaf, block, weight, depth, bit_words in ((4, 2000, 900, 2, 1), (4, 10, 10**6, 3, 1 << 20), (4, 10, 10**6, 1, 3)):
+        got = {r["id"]: r["component_id"] for r in neardup.near_duplicates(df, leaf=leaf, block=block, weight=weight, depth=depth, bit_words=bit_words).collect()}
         assert got == root
 
 
