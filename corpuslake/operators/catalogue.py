@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslake.operators.blocks import containing
+from corpuslake.operators.blocks import blocks_of, containing
+
+COMMON, LOOSE = 200, 20_000
+FIELDS = ("name", "botanical", "aliases", "themes", "headline", "body")
+SORTS = ("relevance", "alpha", "easiest", "oldest", "rarest")
 
 
 def facet_tally(items: DataFrame, facets: list[str]) -> DataFrame:
@@ -15,24 +23,36 @@ def facet_tally(items: DataFrame, facets: list[str]) -> DataFrame:
     return items.select(F.explode(each).alias("x")).select("x.*").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def related(items: DataFrame, k: int = 4) -> DataFrame:
+def related(items: DataFrame, k: int = 4, common: int = COMMON) -> DataFrame:
     """The k items most alike: 3 for each shared tag, 4 for the same family; ties by id.
 
-    Pairs come from groups of equal tag sets and families, whose weights are the same for all their members, so
-    only the k smallest ids of a group can be among anyone's best; a group gives k candidates (k + 1 with itself).
+    Items of one tag set and family are one group, of which only the k + 1 smallest ids can be among anyone's best. Groups meet over
+    tags and families that at most ``common`` groups have, so these rows grow with the groups. What more groups have is a group's signature. Items that
+    share nothing else with a group weigh the same for it if their signatures are equal, so of each signature the k + 1 smallest ids are enough, and
+    only distinct signatures meet: a tag of half of all items costs a row for each of them, not for each pair.
     """
     kinds = items.select("item_id", F.array_sort("tags").alias("kind"), "family")
-    order = Window.partitionBy("kind", "family").orderBy("item_id")
-    heads = kinds.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1).drop("at")
-    groups = heads.select("kind", "family").distinct()
-    left, right = groups.select(F.col("kind").alias("k1"), F.col("family").alias("f1")), groups.select(F.col("kind").alias("k2"), F.col("family").alias("f2"))
-    by_tag = left.withColumn("t", F.explode("k1")).join(right.withColumn("t", F.explode("k2")), "t").select("k1", "f1", "k2", "f2")
-    by_family = left.join(right, F.col("f1") == F.col("f2"))
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("item_id"))
+    groups = kinds.select("kind", "family").distinct()
+    marks = F.array_distinct(F.concat(F.transform("kind", lambda t: F.concat(F.lit("t:"), t)), F.array(F.concat(F.lit("f:"), F.coalesce("family", F.lit(""))))))
+    held = groups.select("kind", "family", F.explode(marks).alias("mark"))
+    often = held.groupBy("mark").agg((F.count(F.lit(1)) > common).alias("often"))
+    held = held.join(often, "mark")
+    left = held.where("not often").select(F.col("kind").alias("k1"), F.col("family").alias("f1"), "mark")
+    pairs = left.join(left.select(F.col("k1").alias("k2"), F.col("f1").alias("f2"), "mark"), "mark").select("k1", "f1", "k2", "f2").distinct()
+    heads = kinds.withColumn("at", order("kind", "family")).where(F.col("at") <= k + 1)
+    by_group = pairs.join(heads.select(F.col("kind").alias("k2"), F.col("family").alias("f2"), F.col("item_id").alias("other")), ["k2", "f2"])
+    signed = held.where("often").groupBy("kind", "family").agg(F.array_sort(F.collect_list("mark")).alias("signature"))
+    first = kinds.join(signed, ["kind", "family"]).withColumn("at", order("signature")).where(F.col("at") <= k + 1)
+    distinct = signed.select("signature").distinct()
+    each = distinct.select("signature", F.explode("signature").alias("mark"))
+    met = each.join(each.select(F.col("signature").alias("theirs"), "mark"), "mark").select("signature", "theirs").distinct()
+    by_signature = signed.join(met, "signature").join(first.select(F.col("signature").alias("theirs"), F.col("kind").alias("k2"), F.col("family").alias("f2"), F.col("item_id").alias("other")), "theirs")
+    near = by_group.select("k1", "f1", "k2", "f2", "other").union(by_signature.select("kind", "family", "k2", "f2", "other")).distinct()
     weight = 3 * F.size(F.array_intersect("k1", "k2")) + F.when(F.col("f1") == F.col("f2"), 4).otherwise(0)
-    scored = by_tag.union(by_family.select("k1", "f1", "k2", "f2")).distinct().withColumn("weight", weight)
-    near = scored.join(heads.select(F.col("kind").alias("k2"), F.col("family").alias("f2"), F.col("item_id").alias("other")), ["k2", "f2"])
-    best = near.withColumn("at", F.row_number().over(Window.partitionBy("k1", "f1").orderBy(F.desc("weight"), "other"))).where(F.col("at") <= k + 1)
-    mine = kinds.join(best, (F.col("kind") == F.col("k1")) & (F.col("family") == F.col("f1"))).where("other <> item_id")
+    scored = near.withColumn("weight", weight).where("weight > 0")
+    best = scored.withColumn("at", F.row_number().over(Window.partitionBy("k1", "f1").orderBy(F.desc("weight"), "other"))).where(F.col("at") <= k + 1)
+    mine = kinds.join(best, F.col("kind").eqNullSafe(F.col("k1")) & F.col("family").eqNullSafe(F.col("f1"))).where("other <> item_id")
     ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("weight"), "other")))
     return ranked.where(F.col("rank") <= k).select("item_id", "other", F.col("weight").cast("long").alias("weight"), "rank")
 
@@ -54,6 +74,106 @@ def search(items: DataFrame, query: str) -> DataFrame:
     return items.where(ok).select("item_id", score.cast("long").alias("score"))
 
 
+def within_filters(filters: Column, facets: Column) -> Column:
+    """Any of the wanted values within a facet, and all facets that want any. Both are maps of a facet to its values."""
+    return F.forall(F.map_entries(filters), lambda f: (F.size(f["value"]) == 0) | F.coalesce(F.arrays_overlap(F.element_at(facets, f["key"]), f["value"]), F.lit(False)))
+
+
+def active_filters(filters: Column, saved_only: Column) -> Column:
+    """How many filters are set."""
+    return F.aggregate(F.map_values(filters), F.lit(0), lambda n, v: n + F.size(v)) + F.coalesce(saved_only, F.lit(False)).cast("int")
+
+
+def subsequences(tokens: list[str], name: str) -> Iterator[tuple[str, float]]:
+    """Tokens of three characters or more that the name holds in order, with gaps: one walk down the sorted tokens' common beginnings. A token's
+    score falls with what lies between its first and its last character."""
+    places: list[int] = []  # of the characters of the last token, as far as the name has them
+    before = ""
+    for token in tokens:
+        same = 0
+        while same < min(len(before), len(token)) and before[same] == token[same]:
+            same += 1
+        before, fits = token, len(places) >= same
+        del places[same:]
+        while fits and len(places) < len(token):
+            at = name.find(token[len(places)], places[-1] + 1 if places else 0)
+            fits = at >= 0
+            if fits:
+                places.append(at)
+        if fits and len(token) >= 3:
+            yield token, max(0.0, 1 - (places[-1] - places[0] + 1 - len(token)) / (len(name) + 1))
+
+
+def loose(items: DataFrame, words: DataFrame) -> DataFrame:
+    """``item_id, word, closeness`` by ``subsequences`` of names (item_id, name) and words (word), block by block of the words."""
+    parts = []
+    for block in blocks_of(words.select(F.xxhash64("word").alias("query_id"), "word"), LOOSE):
+        tokens = sorted(set(block["word"]))
+
+        def walk(batches: Iterator[pd.DataFrame], tokens: list[str] = tokens) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(i, t, c) for i, name in zip(pdf["item_id"], pdf["name"], strict=True) for t, c in subsequences(tokens, name)]
+                yield pd.DataFrame(rows, columns=["item_id", "word", "closeness"]).astype({"item_id": "int64", "closeness": "float64"})
+
+        parts.append(items.select("item_id", "name").mapInPandas(walk, "item_id long, word string, closeness double"))
+    return reduce(DataFrame.union, parts) if parts else items.sparkSession.createDataFrame([], "item_id long, word string, closeness double")
+
+
+def sort_keys(sort: Column, score: Column) -> list[Column]:
+    """The order of hits: relevance, name, difficulty, first record or rarity; names, then ids, break ties."""
+    first = F.when(sort == "easiest", F.col("difficulty").cast("double")).when(sort == "oldest", F.col("year").cast("double")).when(sort == "rarest", F.col("rarity").cast("double")).when(sort == "alpha", F.lit(0.0)).otherwise(-score)
+    return [first.asc_nulls_last(), F.col("name").asc(), F.col("item_id").asc()]
+
+
+def catalogue_search(queries: DataFrame, items: DataFrame, saved: DataFrame | None = None, k: int | None = 10) -> DataFrame:
+    """``query_id, place, item_id, score``: the first ``k`` hits (None: all) of queries (query_id, text, sort, filters, saved_only) in items (item_id, name, botanical, aliases, themes, headline, body,
+    facets, difficulty, year, rarity; names distinct from text by case only). ``saved`` (query_id, item_id): what queries with ``saved_only`` are kept to.
+
+    Every word of a query must score. Words are worked on once, however many queries have them: an automaton finds the texts that hold them, and only
+    where a word is nowhere in an item a walk for gaps decides. Queries without words show what their filters leave: items meet them over the
+    values of one facet, or, without any filter, as one list for each order. Facets' values meet by equality; no query meets an item that shares nothing with it.
+    """
+    spark = queries.sparkSession
+    low = items.select("item_id", *[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in FIELDS], "facets", "difficulty", "year", "rarity")
+    words = F.filter(F.array_distinct(F.split(F.lower(F.trim("text")), r"\s+")), lambda w: w != "")
+    asked = queries.select("query_id", "sort", "saved_only", F.coalesce("filters", F.create_map().cast("map<string,array<string>>")).alias("filters"), words.alias("words"))
+    # a word that a query has twice scores twice
+    each = queries.select("query_id", F.explode(F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda w: w != "")).alias("word")).groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("times"))
+    known = each.select("word").distinct().withColumn("w", F.xxhash64("word"))
+    held = containing(low.select("item_id", F.concat_ws("\n", *FIELDS).alias("hay")), "item_id", "hay", known, "w", "word").join(known, "w").drop("w")
+    word, name = F.col("word"), F.col("name")
+    has = lambda c, points: F.when(F.contains(c, word), points).otherwise(0)
+    mentions = (F.char_length("body") - F.char_length(F.replace(F.col("body"), word, F.lit("")))) / F.char_length(word)
+    points = F.when(name == word, 1000).when(F.startswith(name, word), 620).when(F.contains(name, word), 380).otherwise(0) + has("botanical", 320) + has("aliases", 280) + has("themes", 150) + has("headline", 240)
+    points = points + F.when(mentions > 0, 45 + F.least(mentions, F.lit(6)) * 22).otherwise(0)
+    exact = held.join(low.drop("facets", "difficulty", "year", "rarity"), "item_id").select("item_id", "word", points.cast("double").alias("points")).where("points > 0")
+    near = loose(low, known).join(exact, ["item_id", "word"], "left_anti").select("item_id", "word", (F.col("closeness") * 220).alias("points")).where("points > 0")
+    needed = each.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
+    scored = each.join(exact.unionByName(near), "word").groupBy("query_id", "item_id").agg(F.sum(F.col("points") * F.col("times")).alias("score"), F.count(F.lit(1)).alias("met")).join(needed, "query_id").where("met = needed")
+    about = low.select("item_id", "name", "facets", "difficulty", "year", "rarity")
+    found = scored.join(asked.drop("words"), "query_id").join(about, "item_id")
+    silent = asked.where(F.size("words") == 0).drop("words")
+    some = F.filter(F.map_entries("filters"), lambda f: F.size(f["value"]) > 0)
+    filtered = silent.withColumn("f", F.get(some, F.lit(0))).where("f is not null").select("*", F.col("f.key").alias("facet"), F.explode(F.array_distinct("f.value")).alias("value"))
+    values = about.select("item_id", F.explode("facets").alias("facet", "v")).select("item_id", "facet", F.explode(F.array_distinct("v")).alias("value"))
+    browsed = filtered.join(values, ["facet", "value"]).select("query_id", "sort", "saved_only", "filters", "item_id").dropDuplicates(["query_id", "item_id"]).join(about, "item_id").withColumn("score", F.lit(0.0))
+    plain = silent.where(F.size(some) == 0)
+    if saved is not None:
+        own = plain.where("saved_only").join(saved.select("query_id", "item_id").distinct(), "query_id").join(about, "item_id").withColumn("score", F.lit(0.0))
+        browsed, plain = browsed.unionByName(own.select(browsed.columns)), plain.where("not coalesce(saved_only, false)")
+    modes = spark.createDataFrame([(m,) for m in SORTS], "sort string")
+    shelf = about.crossJoin(F.broadcast(modes)).withColumn("place", F.row_number().over(Window.partitionBy("sort").orderBy(*sort_keys(F.col("sort"), F.lit(0.0)))))
+    shelf = shelf.where(F.col("place") <= k) if k else shelf
+    listed = plain.select("query_id", F.when(F.col("sort").isin(*SORTS), F.col("sort")).otherwise("relevance").alias("sort")).join(shelf.select("sort", "place", "item_id"), "sort").select("query_id", "place", "item_id", F.lit(0.0).alias("score"))
+    hits = found.select("query_id", "sort", "saved_only", "filters", "item_id", "name", "facets", "difficulty", "year", "rarity", "score").unionByName(browsed).where(within_filters(F.col("filters"), F.col("facets")))
+    if saved is not None:
+        mine = saved.select("query_id", "item_id").distinct().withColumn("own", F.lit(True))
+        hits = hits.join(mine, ["query_id", "item_id"], "left").where(~F.coalesce("saved_only", F.lit(False)) | F.col("own").isNotNull())
+    hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*sort_keys(F.col("sort"), F.round("score", 6)))))
+    hits = hits.where(F.col("place") <= k) if k else hits
+    return hits.select("query_id", "place", "item_id", F.round("score", 6).alias("score")).unionByName(listed)
+
+
 def federated(queries: DataFrame, items: DataFrame, materials: DataFrame, pages: tuple[str, ...], most: tuple[int, int] = (7, 4)) -> DataFrame:
     """``query_id, section, entry, place``: the best items (section 1), materials (2: item_id, name, hay), pages (4), and an entry to ask for queries of three words or more (5).
 

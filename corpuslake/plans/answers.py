@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions import passages as G
 from corpuslake.functions import text as T
 from corpuslake.operators import answers as A
+from corpuslake.operators import catalogue as C
 from corpuslake.plans.queries import CHUNKS, EDGES, ITEMS, LOG, QUESTIONS, query
 from corpuslake.sources import views as V
 
@@ -261,3 +262,28 @@ def io9_export_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s8_stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.unix_micros("ts")
     return V.sessions(spark, sf_dir).select("event_id", (us - F.lag(us).over(Window.partitionBy("session_id").orderBy("ts", "event_id"))).alias("latency_us"))
+
+
+_HERBS = """herbs AS (SELECT p_partkey AS item_id, lower(p_name) AS name, lower(p_brand) AS botanical, 'alias' || (p_partkey % 50) AS aliases, lower(p_type) AS themes, CASE WHEN p_partkey % 4 = 0 THEN lower(p_type) ELSE '' END AS headline,
+  lower(p_name || ' ' || p_type || ' ' || p_name) AS body, string_split(p_name, ' ') AS f_themes, p_type, p_brand, p_size % 3 + 1 AS difficulty, p_partkey % 200 - 100 AS year, p_size % 5 AS rarity FROM part),
+asks AS (SELECT p_partkey AS query_id, CASE p_partkey % 7 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN substr(p_name, 1, 1) || substr(p_name, 3, 4) WHEN 2 THEN upper(p_name) WHEN 3 THEN split_part(p_type, ' ', 1) || ' ' || split_part(p_name, ' ', 1) WHEN 4 THEN 'brand alias7' WHEN 5 THEN '' ELSE ' zz qq' END AS text,
+  ['relevance', 'alpha', 'easiest', 'oldest', 'rarest'][p_partkey // 20 % 5 + 1] AS sort, p_partkey // 20 % 3 = 0 AS by_type, p_partkey // 20 % 4 = 0 AS by_brand, p_type AS want_type, p_brand AS want_brand FROM part WHERE p_partkey % 20 = 0)"""
+
+
+@query(rf"""WITH {_HERBS}, tokens AS (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(trim(text)), '\s+'), lambda w: w <> '')) AS word FROM asks), words AS (SELECT DISTINCT word FROM tokens),
+formed AS (SELECT word, array_to_string(list_transform(string_split(word, ''), lambda c, i: CASE WHEN i = 1 THEN regexp_escape(c) ELSE '[^' || regexp_escape(c) || ']*' || regexp_escape(c) END), '') AS form FROM words),
+exact AS (SELECT item_id, word, name, form, CASE WHEN name = word THEN 1000 WHEN starts_with(name, word) THEN 620 WHEN contains(name, word) THEN 380 ELSE 0 END + CASE WHEN contains(botanical, word) THEN 320 ELSE 0 END + CASE WHEN contains(aliases, word) THEN 280 ELSE 0 END
+  + CASE WHEN contains(themes, word) THEN 150 ELSE 0 END + CASE WHEN contains(headline, word) THEN 240 ELSE 0 END + CASE WHEN contains(body, word) THEN 45 + 22 * least(6, (length(body) - length(replace(body, word, ''))) / length(word)) ELSE 0 END AS points FROM formed, herbs),
+valued AS (SELECT item_id, word, CASE WHEN points > 0 THEN points WHEN length(word) >= 3 AND regexp_matches(name, form) THEN 220 * greatest(0, 1 - (length(regexp_extract(name, form)) - length(word)) / (length(name) + 1)::DOUBLE) ELSE 0 END AS points FROM exact),
+scored AS (SELECT query_id, item_id, sum(points) AS score FROM tokens JOIN valued USING (word) GROUP BY ALL HAVING min(points) > 0 UNION ALL SELECT query_id, item_id, 0 FROM asks, herbs WHERE query_id NOT IN (SELECT query_id FROM tokens))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE sort WHEN 'easiest' THEN difficulty WHEN 'oldest' THEN year WHEN 'rarest' THEN rarity WHEN 'alpha' THEN 0 ELSE -round(score, 6) END, name, item_id) AS INT) AS place, item_id, round(score, 6)::DOUBLE AS score
+FROM scored JOIN asks USING (query_id) JOIN herbs USING (item_id) WHERE (NOT by_type OR p_type = want_type) AND (NOT by_brand OR p_brand = want_brand) QUALIFY place <= 10""")
+def r10_catalogue_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth part asks: words, words with gaps, whole names, two words, nothing, or what nobody has; five orders and two filters take turns."""
+    k, first = F.col("p_partkey"), F.split("p_name", " ")[0]
+    turn = F.floor(k / 20)
+    text = F.when(k % 7 == 0, first).when(k % 7 == 1, F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 4))).when(k % 7 == 2, F.upper("p_name")).when(k % 7 == 3, F.concat_ws(" ", F.split("p_type", " ")[0], first)).when(k % 7 == 4, "brand alias7").when(k % 7 == 5, "").otherwise(" zz qq")
+    pick = lambda on, c: F.when(on, F.array(c)).otherwise(F.array().cast("array<string>"))
+    filters = F.create_map(F.lit("types"), pick(turn % 3 == 0, F.col("p_type")), F.lit("parts"), pick(turn % 4 == 0, F.col("p_brand")))
+    asked = V.table(spark, sf_dir, "part").where(k % 20 == 0).select(k.alias("query_id"), text.alias("text"), F.element_at(F.array(*[F.lit(m) for m in C.SORTS]), (turn % 5 + 1).cast("int")).alias("sort"), filters.alias("filters"), F.lit(False).alias("saved_only"))
+    return C.catalogue_search(asked, V.herbarium(spark, sf_dir))

@@ -52,6 +52,16 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("family"), F.col("p_type").alias("type"), F.split("p_name", " ").alias("tags"), (F.col("p_size") % 3 + 1).alias("difficulty"))
 
 
+def herbarium(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as full catalogue records: texts to search, facets, and what they are ordered by; years are signed."""
+    k, kind = F.col("p_partkey"), F.lower("p_type")
+    facets = F.create_map(F.lit("themes"), F.split("p_name", " "), F.lit("types"), F.array("p_type"), F.lit("parts"), F.array("p_brand"))
+    return table(spark, sf_dir, "part").select(
+        k.alias("item_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("botanical"), F.concat(F.lit("alias"), (k % 50).cast("string")).alias("aliases"), F.col("p_type").alias("themes"),
+        F.when(k % 4 == 0, kind).otherwise("").alias("headline"), F.concat_ws(" ", "p_name", kind, "p_name").alias("body"), facets.alias("facets"), (F.col("p_size") % 3 + 1).alias("difficulty"), (k % 200 - 100).alias("year"), (F.col("p_size") % 5).alias("rarity"),
+    )
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a session log: signup grants consent, error revokes it, everything else asks."""
     return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), F.when(F.col("event_type") == "signup", "grant").when(F.col("event_type") == "error", "revoke").otherwise("ask").alias("kind"))
