@@ -9,6 +9,7 @@ from corpuslake.functions import passages as G
 from corpuslake.functions import text as T
 from corpuslake.operators import answers as A
 from corpuslake.operators import catalogue as C
+from corpuslake.operators import classify as Y
 from corpuslake.plans.queries import CHUNKS, EDGES, ITEMS, LOG, QUESTIONS, query
 from corpuslake.sources import views as V
 
@@ -287,3 +288,30 @@ def r10_catalogue_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = F.create_map(F.lit("types"), pick(turn % 3 == 0, F.col("p_type")), F.lit("parts"), pick(turn % 4 == 0, F.col("p_brand")))
     asked = V.table(spark, sf_dir, "part").where(k % 20 == 0).select(k.alias("query_id"), text.alias("text"), F.element_at(F.array(*[F.lit(m) for m in C.SORTS]), (turn % 5 + 1).cast("int")).alias("sort"), filters.alias("filters"), F.lit(False).alias("saved_only"))
     return C.catalogue_search(asked, V.herbarium(spark, sf_dir))
+
+
+_CASES = "cases AS (SELECT c_custkey AS case_id, " + ", ".join(f"CASE c_custkey // {3**i} % 3 WHEN 1 THEN false WHEN 2 THEN {'true' if i else 'c_custkey % 2 = 0'} END AS a{i}" for i in range(len(Y.FORMULATION))) + " FROM customer)"
+_DECIDED = f"""{_CASES}, decided AS (SELECT case_id, CASE {" ".join(f"WHEN a{i} IS NULL THEN NULL WHEN a{i} THEN '{r.outcome}'" for i, r in enumerate(Y.FORMULATION))} ELSE '{Y.OTHERWISE}' END AS outcome,
+  CASE {" ".join(f"WHEN a{i} IS NULL THEN NULL WHEN a{i} THEN '{r.question}'" for i, r in enumerate(Y.FORMULATION))} ELSE 'all answers no' END AS decided_by, CASE {" ".join(f"WHEN a{i} IS NULL THEN '{r.question}' WHEN a{i} THEN NULL" for i, r in enumerate(Y.FORMULATION))} END AS next_question,
+  CAST(CASE {" ".join(f"WHEN a{i} IS NULL THEN {i} WHEN a{i} THEN {i + 1}" for i in range(len(Y.FORMULATION)))} ELSE {len(Y.FORMULATION)} END AS INT) AS asked FROM cases)"""
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as cases: a question has no answer, no or yes by the digits of their number."""
+    k = F.col("c_custkey")
+    pairs = []
+    for i, r in enumerate(Y.FORMULATION):
+        digit = F.floor(k / 3**i) % 3
+        pairs.append(F.struct(F.lit(r.question).alias("key"), F.when(digit == 1, F.lit(False)).when(digit == 2, (k % 2 == 0) if i == 0 else F.lit(True)).alias("value")))
+    return Y.classify(V.table(spark, sf_dir, "customer").select(k.alias("case_id"), F.map_from_entries(F.array(*pairs)).alias("answers")))
+
+
+@query(f"WITH {_DECIDED} SELECT * FROM decided")
+def u10_classify_formulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir)
+
+
+@query(f"WITH {_DECIDED}, lines AS (SELECT *, CAST(row_number() OVER (PARTITION BY outcome, kind ORDER BY i) AS INT) AS position FROM (VALUES " + ", ".join(f"({i}, '{o}', '{k}', '{s}', '{loc}', {str(v).lower()})" for i, (o, k, s, loc, v) in enumerate(Y.CITES)) + ") t(i, outcome, kind, source_id, locator, verified)) SELECT case_id, outcome, kind, position, source_id, locator, verified FROM decided JOIN lines USING (outcome)")
+def u10_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each decided case has to meet, line by line, with the provision."""
+    return Y.requirements(_classified(spark, sf_dir), Y.cited_lines(spark))

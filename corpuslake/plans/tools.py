@@ -8,7 +8,7 @@ from corpuslake.plans.queries import QUERIES
 
 #: Tool and the registered query behind it.
 TOOLS = {
-    "search_corpus": "x5_search_corpus", "graph_neighbors": "j7_neighbourhood", "classify_formulation": "u10_classify", "abs_check": "u11_abs_route",
+    "search_corpus": "x5_search_corpus", "graph_neighbors": "j7_neighbourhood", "classify_formulation": "u10_classify_formulation", "abs_check": "u11_abs_route",
     "lookup_material_ipr": "x6_lookup_material", "treaty_membership": "j12_treaty_check", "registry_pointer": "j9_registry_pointers",
 }
 
