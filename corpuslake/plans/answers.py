@@ -10,7 +10,9 @@ from corpuslake.functions import text as T
 from corpuslake.operators import answers as A
 from corpuslake.operators import catalogue as C
 from corpuslake.operators import classify as Y
-from corpuslake.plans.queries import CHUNKS, EDGES, ITEMS, LOG, QUESTIONS, query
+from corpuslake.operators import corpus as P
+from corpuslake.operators import register as N
+from corpuslake.plans.queries import CHUNKS, EDGES, ITEMS, LOG, QUESTIONS, VERSIONS, query
 from corpuslake.sources import views as V
 
 LINES = "lines AS (SELECT doc_id, line, line_no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents))"
@@ -315,3 +317,39 @@ def u10_classify_formulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u10_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each decided case has to meet, line by line, with the provision."""
     return Y.requirements(_classified(spark, sf_dir), Y.cited_lines(spark))
+
+
+_REGISTER = f"""{VERSIONS}, {CHUNKS}, counts AS (SELECT sha256, count(*) AS n_chunks FROM versions v JOIN (SELECT c.*, d.lang FROM chunks c JOIN documents d USING (doc_id)) c ON c.source_id = v.source_id AND c.lang = v.lang GROUP BY 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY first_doc DESC, sha256 DESC) > 1 AS superseded FROM versions),
+manifest AS (SELECT DISTINCT source AS source_id, CASE WHEN length(source) % 2 = 0 THEN 'IN' ELSE 'INTL' END AS jurisdiction FROM documents UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'IN' ELSE 'INTL' END FROM nation),
+files AS (SELECT source_id, CASE WHEN first_doc % 4 = 1 THEN 'other' ELSE sha256 END AS filed FROM placed WHERE NOT superseded AND first_doc % 5 <> 2 UNION ALL SELECT 'n' || n_nationkey, 'x' FROM nation WHERE n_nationkey % 3 = 0),
+stands AS (SELECT m.*, CASE WHEN p.sha256 IS NOT NULL AND filed <> p.sha256 THEN '{N.CHANGED}' WHEN p.sha256 IS NOT NULL THEN '{N.INGESTED}' WHEN filed IS NOT NULL THEN '{N.NOT_INGESTED}' ELSE '{N.MISSING}' END AS status, p.sha256, coalesce(n_chunks, 0) AS n_chunks
+  FROM manifest m LEFT JOIN placed p ON p.source_id = m.source_id AND NOT p.superseded LEFT JOIN counts c ON c.sha256 = p.sha256 LEFT JOIN files f ON f.source_id = m.source_id)"""
+
+
+def _register(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Sources of documents, a version for each language, and nations as sources that nobody ingested; some files are gone, some are others than the version in force."""
+    docs, versions = V.table(spark, sf_dir, "documents"), P.superseded(V.versions(spark, sf_dir))
+    place = lambda even: F.when(even, "IN").otherwise("INTL").alias("jurisdiction")
+    nation = V.table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source_id"), "n_nationkey")
+    manifest = docs.select(F.col("source").alias("source_id")).distinct().select("source_id", place(F.char_length("source_id") % 2 == 0)).union(nation.select("source_id", place(F.col("n_nationkey") % 2 == 0)))
+    d = F.col("first_doc")
+    files = versions.where(~F.col("superseded") & (d % 5 != 2)).select("source_id", F.when(d % 4 == 1, "other").otherwise(F.col("sha256")).alias("sha256")).union(nation.where("n_nationkey % 3 = 0").select("source_id", F.lit("x")))
+    lines = V.chunks(spark, sf_dir).select("doc_id", "source_id").join(docs.select("doc_id", "lang"), "doc_id")
+    counts = versions.select("source_id", "lang", "sha256").join(lines, ["source_id", "lang"]).groupBy("sha256").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return {"manifest": manifest, "files": files, "versions": versions.select("source_id", F.col("lang").alias("version"), "sha256", d.alias("retrieved"), "superseded"), "counts": counts}
+
+
+@query(f"WITH {_REGISTER} SELECT CASE WHEN grouping(source_id) = 0 THEN 'source' WHEN grouping(status) = 0 THEN 'status' WHEN grouping(jurisdiction) = 0 THEN 'jurisdiction' ELSE 'all' END AS level, jurisdiction, status, source_id, sha256, count(*) AS n_sources, CAST(sum(n_chunks) AS BIGINT) AS n_chunks FROM stands GROUP BY GROUPING SETS ((jurisdiction, status, source_id, sha256), (jurisdiction, status), (jurisdiction), ())")
+def a10_register_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every source stands, its version in force, and totals of states and jurisdictions."""
+    return N.register(N.standing(**_register(spark, sf_dir)))
+
+
+@query(f"WITH {_REGISTER} SELECT m.source_id, count(p.sha256) AS n_versions, coalesce(string_agg(concat_ws(':', p.lang, substr(p.sha256, 1, 8), p.first_doc, CASE WHEN superseded THEN 'old' ELSE 'now' END, coalesce(n_chunks, 0)), ',' ORDER BY first_doc DESC, p.sha256 DESC) FILTER (p.sha256 IS NOT NULL), '') AS versions FROM manifest m LEFT JOIN placed p USING (source_id) LEFT JOIN counts c ON c.sha256 = p.sha256 GROUP BY 1")
+def a9_nested_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's nested versions, newest first with their chunks, told as one text."""
+    t = _register(spark, sf_dir)
+    nested = N.source_catalogue(t["manifest"], t["versions"], t["counts"])
+    told = F.transform("versions", lambda v: F.concat_ws(":", v["version"], F.substring(v["sha256"], 1, 8), v["retrieved"].cast("string"), F.when(v["superseded"], "old").otherwise("now"), v["n_chunks"].cast("string")))
+    return nested.select("source_id", F.size("versions").cast("long").alias("n_versions"), F.array_join(told, ",").alias("versions"))
