@@ -9,7 +9,7 @@ use counts of the other folds only, so the trees don't see a row's own label in
 quarter of the learning rows for the isotonic calibration.
 
 Learning uses at most MAX_ROWS labelled rows (``max_rows``), the ones with the smallest id hashes; a lexicon
-holds at most MAX_TERMS terms, those of the largest ratios; ratios are taken of every term of these rows. Everything
+holds every term of these rows that passes the ratio and stands in three rows of label 1, so only the rows bound it. Everything
 else covers all rows. All regular expressions read a text once, however long its runs of letters are.
 
 Nulls and edge cases: null and empty texts have all features 0 and get a score like any other; null labels
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, labelled_sample, stage
 
-MAX_ROWS, MAX_TERMS, MIN_RATIO, FOLDS, NEAR = 12_000, 4_000, 18.0, 4, 4
+MAX_ROWS, MIN_RATIO, FOLDS, NEAR = 12_000, 18.0, 4, 4
 TREES, DEPTH = 20, 4
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine sie ihr euch tu te toi ton ta tes vous votre tú ti tuyo usted ustedes vos".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -119,8 +119,7 @@ def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
         views.append(F.struct(*(c.alias(k) for c, k in zip(_ratio(p, n, whole[1], whole[0]), ("ratio", "weight"), strict=True)), (p >= 3).alias("often")) if all(whole) else F.struct(F.lit(0.0).alias("ratio"), F.lit(0.0).alias("weight"), F.lit(False).alias("often")))
     scored = wide.select("term", F.array(*views).alias("v")).where(F.exists("v", lambda x: x["often"] & (x["ratio"] >= MIN_RATIO)))
     rows = scored.collect()
-    best = lambda k: sorted(((r["v"][k]["ratio"], r["term"], r["v"][k]["weight"]) for r in rows if r["v"][k]["often"] and r["v"][k]["ratio"] >= MIN_RATIO), reverse=True)[:MAX_TERMS]
-    return [{t: w for _, t, w in best(k)} for k in range(FOLDS + 1)]
+    return [{r["term"]: r["v"][k]["weight"] for r in rows if r["v"][k]["often"] and r["v"][k]["ratio"] >= MIN_RATIO} for k in range(FOLDS + 1)]
 
 
 def _vectors(rows: DataFrame, lexicons: list[dict[str, float]], cols: str) -> DataFrame:
