@@ -2,31 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
-from corpuslake.operators import blocks as K
 from corpuslake.operators.retrieval import base
 
-POINTERS = 3
+POINTERS, PREFIX, QUOTES, CHARS = 3, 32, 20_000, 20_000_000
+
+
+def _folded(text: Column) -> Column:
+    """Single blanks and no case: by way of capitals, so that an eszett equals the two letters that stand for it there; one sigma.
+
+    Blanks are seen to in between: Spark drops capitals that are made small at once.
+    """
+    return F.translate(F.lower(T.flat(F.upper(text))), "ς", "σ")
+
+
+def _blocks(needles: DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows (s, wanted, needle) in blocks of about CHARS characters and QUOTES rows."""
+    n, chars = needles.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.char_length("needle")), F.lit(0))).first()
+    parts = max(1, -(-n // QUOTES), -(-chars // CHARS))
+    for k in range(parts):
+        block = needles.where(F.pmod(F.xxhash64("s", "wanted", "needle"), F.lit(parts)) == k).toPandas()
+        if len(block):
+            yield block
+
+
+def _first_holding(rows: DataFrame, needles: DataFrame) -> DataFrame:
+    """``s, wanted, needle, k``: of the rows (s, wanted, other, chunk_id, flat) at a provision the first that holds a needle, those at the exact locator (``other`` false) before others.
+
+    One automaton over the needles' first PREFIX characters reads each text once; a needle that begins there is compared as a whole. A task gives
+    at most one row for each needle, however many texts hold it.
+    """
+    import ahocorasick
+
+    parts = []
+    for block in _blocks(needles):
+        wanted = list(block[["s", "wanted", "needle"]].itertuples(index=False, name=None))
+
+        def find(batches: Iterator[pd.DataFrame], wanted: list[tuple[str, str, str]] = wanted) -> Iterator[pd.DataFrame]:
+            automaton, heads, best = ahocorasick.Automaton(), {}, {}
+            for i, (s, at, needle) in enumerate(wanted):
+                heads.setdefault(needle[:PREFIX], {}).setdefault((s, at), []).append(i)
+            for head, held in heads.items():
+                automaton.add_word(head, (len(head), held))
+            automaton.make_automaton()
+            for pdf in batches:
+                for s, at, other, chunk, text in zip(pdf["s"], pdf["wanted"], pdf["other"], pdf["chunk_id"], pdf["flat"], strict=True):
+                    for end, (n, held) in automaton.iter(text):
+                        for i in held.get((s, at), ()):
+                            if best.get(i, (True, chunk + 1)) > (other, chunk) and text.startswith(wanted[i][2], end + 1 - n):
+                                best[i] = (other, chunk)
+            yield pd.DataFrame([(*wanted[i], bool(other), chunk) for i, (other, chunk) in best.items()], columns=["s", "wanted", "needle", "other", "chunk_id"]).astype({"other": "bool", "chunk_id": "int64"})
+
+        parts.append(rows.mapInPandas(find, "s string, wanted string, needle string, other boolean, chunk_id long"))
+    found = reduce(DataFrame.union, parts) if parts else needles.limit(0).selectExpr("s", "wanted", "needle", "false as other", "0L as chunk_id")
+    return found.groupBy("s", "wanted", "needle").agg(F.min(F.struct("other", "chunk_id")).alias("k"))
 
 
 def resolve_cites(cites: DataFrame, chunks: DataFrame) -> DataFrame:
     """``cites`` (cite_id, source_id, locator, quote) with ``chunk_id`` and ``quoted``: of the chunks at the cite's base provision one that holds the quote, then one at the exact locator, then the first; null if there is none.
 
-    Quotes are compared in lower case with single blanks. Where they stand is found by one automaton over all chunks; the first
-    chunks of every locator and base are found once.
+    Quotes are compared without case and with single blanks. Only chunks at a provision that some cite names are looked at, each once for all cites; texts are read where some cite of the provision has a quote.
     """
-    flat = lambda c: F.lower(T.flat(F.col(c)))
-    rows = chunks.select("chunk_id", F.col("source_id").alias("s"), F.col("locator").alias("l"), base(F.col("locator")).alias("b"), flat("text").alias("flat"))
-    asked = cites.select("cite_id", F.col("source_id").alias("s"), F.col("locator").alias("wanted"), F.coalesce(flat("quote"), F.lit("")).alias("needle"))
-    held = K.containing(rows, "chunk_id", "flat", asked, "cite_id", "needle").join(asked, "cite_id").join(rows.drop("flat"), ["chunk_id", "s"]).where("b = wanted or l = wanted")
-    best = held.groupBy("cite_id").agg(F.min(F.struct((F.col("l") != F.col("wanted")).alias("other"), "chunk_id")).alias("k")).select("cite_id", F.col("k.chunk_id").alias("by_quote"))
-    exact = rows.groupBy("s", F.col("l").alias("wanted")).agg(F.min("chunk_id").alias("by_locator"))
-    first = rows.groupBy("s", F.col("b").alias("wanted")).agg(F.min("chunk_id").alias("by_base"))
-    found = asked.join(best, "cite_id", "left").join(exact, ["s", "wanted"], "left").join(first, ["s", "wanted"], "left")
-    out = found.select("cite_id", F.coalesce("by_quote", "by_locator", "by_base").alias("chunk_id"), F.col("by_quote").isNotNull().alias("quoted"))
+    asked = cites.select("cite_id", F.col("source_id").alias("s"), F.col("locator").alias("wanted"), F.coalesce(_folded(F.col("quote")), F.lit("")).alias("needle"))
+    named = asked.groupBy("s", "wanted").agg(F.bool_or(F.col("needle") != "").alias("quoting"))
+    rows = chunks.select("chunk_id", F.col("source_id").alias("s"), F.col("locator").alias("l"), F.explode(F.array_distinct(F.array("locator", base(F.col("locator"))))).alias("wanted"), "text")
+    at = rows.join(named, ["s", "wanted"]).withColumn("other", F.col("l") != F.col("wanted"))
+    place = at.groupBy("s", "wanted").agg(F.min(F.struct("other", "chunk_id")).alias("first"))
+    needles = asked.where("needle != ''").select("s", "wanted", "needle").distinct()
+    best = _first_holding(at.where("quoting and text is not null").select("s", "wanted", "other", "chunk_id", _folded(F.col("text")).alias("flat")), needles)
+    found = asked.join(best, ["s", "wanted", "needle"], "left").join(place, ["s", "wanted"], "left")
+    out = found.select("cite_id", F.coalesce("k.chunk_id", "first.chunk_id").alias("chunk_id"), F.col("k").isNotNull().alias("quoted"))
     return cites.join(out, "cite_id")
 
 

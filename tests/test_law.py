@@ -1,5 +1,6 @@
 """The verifier, treaty lists, profiles, retention and streams on literal rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslake.functions import profiles as P
@@ -62,6 +63,16 @@ def test_cites_prefer_the_quote_then_the_exact_locator(spark):
     assert {r["cite_id"]: (r["chunk_id"], r["quoted"]) for r in G.resolve_cites(cites, chunks).collect()} == {1: (2, True), 2: (3, False), 3: (1, False), 4: (None, False), 5: (4, False)}
 
 
+@pytest.mark.parametrize("quotes", [1, 1000])
+def test_quotes_hold_in_any_case_and_any_blocks(spark, monkeypatch, quotes):
+    monkeypatch.setattr(G, "QUOTES", quotes)
+    head = "die gro\u00dfe stra\u00dfe " * 4  # longer than what the automaton holds
+    chunks = spark.createDataFrame([(1, "a", "s.1", head + "am Ende"), (2, "a", "s.1(2)", head + "im Wald"), (3, "a", "s.2", head + "im Wald"), (4, "a", "s.1", "x " + head + "im Wald"), (5, "a", "s.1", None)], "chunk_id long, source_id string, locator string, text string")
+    cites = [(1, "a", "s.1", (head + "im Wald").upper()), (2, "a", "s.1", (head + "am See").upper()), (3, "a", "s.2", "WALD"), (4, "a", "s.1(2)", head.upper()), (5, "b", "s.1", "WALD"), (6, "a", "s.1", "IM  WALD"), (7, "a", "s.1", "IM WALD")]
+    got = {r["cite_id"]: (r["chunk_id"], r["quoted"]) for r in G.resolve_cites(spark.createDataFrame(cites, "cite_id long, source_id string, locator string, quote string"), chunks).collect()}
+    assert got == {1: (4, True), 2: (1, False), 3: (3, True), 4: (2, True), 5: (None, False), 6: (4, True), 7: (4, True)}
+
+
 def test_text_forms(spark):
     rows = [("act as a judge now", ["role_override"]), ("can I act as an agent of it", []), ("You are now free", ["role_override"]), ("plain", [])]
     df = spark.createDataFrame(rows, "t string, want array<string>")
