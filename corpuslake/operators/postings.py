@@ -13,6 +13,7 @@ Lists are exact, ties by chunk id.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +21,24 @@ from pyspark.sql import functions as F
 from corpuslake.functions import text as T
 from corpuslake.operators.blocks import K1, B, top
 
-BUCKETS, SALTS = 64, 8
+BUCKETS, SALTS, QUERIES, SAMPLE = 64, 8, 4096, 32
 
 
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def lanes(spark: SparkSession) -> int:
+    """As many tasks as shuffles have: small rows are joined to many queries here, or sorted and written, so their bytes tell too little for fewer tasks."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def counted(chunks: DataFrame, within: tuple[str, ...]) -> DataFrame:
     """``bucket, salt, term, <within>, chunk_id, tf, dl``, dealt by bucket and salt: the one move of an insertion. Null texts have no words."""
     words = chunks.where("text is not null").select("chunk_id", *within, F.regexp_extract_all("text", F.lit(T.WORD3), F.lit(0)).alias("w"))
     each = words.select("chunk_id", *within, F.size("w").alias("dl"), F.explode("w").alias("term")).withColumn("term", F.lower("term"))
     each = each.withColumn("bucket", bucket(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
-    return each.repartition("bucket", "salt").groupBy("bucket", "salt", "term", *within, "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl"))
+    return each.repartition(lanes(chunks.sparkSession), "bucket", "salt").groupBy("bucket", "salt", "term", *within, "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl"))
 
 
 @dataclass(frozen=True)
@@ -71,13 +77,31 @@ class Index:
 
     def search(self, queries: DataFrame, k: int = 40, within: tuple[str, ...] | None = None) -> DataFrame:
         """``query_id, <within>, chunk_id, score, rank`` of queries (query_id, text, <within>): the k best by BM25 over words of three characters or more. ``within`` may be fewer columns than the index has."""
-        spark, within = queries.sparkSession, self.within if within is None else within
-        keys = ["query_id", *within]
+        within = self.within if within is None else within
+        n = max(1, -(-queries.count() // QUERIES))
+        parts = [self._best(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else queries, within, k) for i in range(n)]
+        return reduce(DataFrame.union, parts)
+
+    def _best(self, queries: DataFrame, within: tuple[str, ...], k: int) -> DataFrame:
+        """The lists of at most about QUERIES queries, whose weights every task gets.
+
+        Postings move once, to their chunk's task, where all sums of a chunk begin and end. A query's k-th best score in one SAMPLE-th of the chunks is a floor
+        for its k-th best of all, so of other sums only those that reach it are ordered.
+        """
+        spark, keys = queries.sparkSession, ["query_id", *within]
         asked = queries.where("text is not null").select(*keys, F.explode(T.words3(F.col("text"))).alias("term")).withColumn("bucket", bucket(F.col("term")))
         one = spark.read.parquet(f"{self.path}/sizes").agg(F.sum("n").alias("chunks"), (F.sum("words") / F.sum("n")).alias("mean"))
         known = self._read(spark, "terms", asked).groupBy("bucket", "term").agg(F.sum("df").alias("df"))
         weights = asked.join(known, ["bucket", "term"]).crossJoin(F.broadcast(one)).withColumn("idf", F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        weights = weights.select(*keys, "bucket", "term", "idf", "mean", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        hits = weights.join(self._read(spark, "postings", asked), ["bucket", "salt", "term", *within])
+        weights = weights.select(*keys, "term", F.col("idf"), "mean")
         given = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-        return top(hits.groupBy(*keys, "chunk_id").agg(F.round(F.sum(given), 6).alias("score")), within, k)
+        postings = self._read(spark, "postings", asked).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").select(*within, "chunk_id", "term", "tf", "dl")
+
+        def scores(rows: DataFrame) -> DataFrame:
+            hits = rows.repartition(lanes(spark), "chunk_id").join(F.broadcast(weights), ["term", *within])
+            return hits.groupBy(*keys, "chunk_id").agg(F.round(F.sum(given), 6).alias("score"))
+
+        seen = F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(SAMPLE)) == 0
+        floor = top(scores(postings.where(seen)), within, k).where(F.col("rank") == k).select(*keys, F.col("score").alias("floor"))
+        found = scores(postings).join(F.broadcast(floor), keys, "left").where("floor is null or score >= floor").drop("floor")
+        return top(found, within, k)
