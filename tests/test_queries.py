@@ -87,3 +87,18 @@ def test_folds_gather_no_group_in_one_row(spark, capsys):
     # One event a minute at one token a minute: each is allowed, over many batches.
     assert limited.where("allowed").count() == limited.count() == 30_000
     assert packed.groupBy("unit").agg(F.max("chunk_no").alias("m")).select("m").collect() == [(7499,), (7499,)]
+
+
+def test_words_that_cancel_leave_no_vector(spark, tmp_path):
+    """On tables with a text whose two words add up to nothing, one of them null, one without words."""
+    from corpuslake.operators.models import _place
+
+    words = [f"w{c}{d}" for c in "abcdefghijklmnop" for d in "abcdefghijklmnop"]
+    one, two = next((a, b) for a in words for b in words if _place(a)[0] == _place(b)[0] and _place(a)[1] == -_place(b)[1])
+    texts = [f"{one} {two}", f"{one} {two} {one}", f"{one} {two}", f"{two} {one}", None, "a", ".", one]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT unnest(?::BIGINT[]) AS doc_id, unnest(?::VARCHAR[]) AS text", [list(range(len(texts))), texts])
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    want = sorted(map(repr, con.execute(registry.oracle_sql()["u3_reembed_stale"]).fetchall()))
+    got = sorted(repr(tuple(r)) for r in registry.queries()["u3_reembed_stale"](spark, str(tmp_path)).select("doc_id", "state", "has_vector").collect())
+    assert got == want and "(0, 'fresh', False)" in got and "(1, 'fresh', True)" in got and "(2, 'kept', True)" in got
