@@ -5,8 +5,8 @@ written once, its ``sizes`` last: a version without is not there for readers, an
 dropped by version; nothing of other versions is read or written for that.
 
 A search reads the buckets of its terms only (partitions are pruned while it runs) and is one plan of JVM operators, however many
-queries there are: query terms meet their postings, sums by query and chunk are begun before they move, and the k best of
-each query are cut in every task before they meet. A term that most chunks have is dealt in SALTS parts, on disk and in the join.
+queries there are (in blocks of about QUERIES, whose weights go to every task): postings of query terms move once, to the task of their chunk, which
+adds up its scores for all queries; what stays under a query's floor isn't ordered. A term that most chunks have is dealt in SALTS parts on disk.
 Lists are exact, ties by chunk id.
 """
 
