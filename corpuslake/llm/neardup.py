@@ -3,9 +3,11 @@
 A document's set holds its distinct five-word shingles (64-bit hashes of them). Documents with equal
 sets are collapsed into one class first. Every class has a minwise signature; a tree sends a class from a
 node to the children named by the tokens at the positions which that node selects, so two sets of
-similarity s stay together along one edge with probability s. ``trees`` independent trees are grown, with
-two children per node: a pair of similarity 0.75 is lost by one tree with probability at most 1/9 at any depth,
-by eight trees with probability at most 2.4e-8. Pairs must also agree in LIKELY of their signature positions
+similarity s stay together along one edge with probability s. ``trees`` independent trees are grown. A root is
+named by the tokens at two positions, so texts that share a common line or passage and no more rarely meet;
+deeper nodes have two children each. A pair of similarity 0.75 meets in a root with probability 0.5625 and is lost below
+it with probability at most 1/9 at any depth, so one tree loses it with probability at most 1/2 and 26 trees with at most
+1.5e-8. Pairs must also agree in LIKELY of their signature positions
 before their sets are compared, which loses 1.0e-7 of the pairs at 0.75 (binomial, 64 positions).
 
 Links are confirmed on full 64-bit sets before anything is built on them. Small nodes are compared pair by
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.llm.common import ids_and_text, stage
 
-WORDS, POSITIONS, BRANCHES, LIKELY, SLICE, WORDS_OF_BITS = 5, 64, 2, 0.45, 2000, 1 << 20
+WORDS, POSITIONS, ROOT, BRANCHES, LIKELY, SLICE, WORDS_OF_BITS = 5, 64, 2, 2, 0.45, 2000, 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -231,7 +233,7 @@ def _cut(rows: DataFrame, block: int, weight: int) -> DataFrame:
     return dealt.withColumn("other", other).select("c", "comp", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 8, leaf: int = 24, block: int = 2000, weight: int = 2_000_000, depth: int = 8, bit_words: int = WORDS_OF_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, trees: int = 26, leaf: int = 24, block: int = 2000, weight: int = 2_000_000, depth: int = 8, bit_words: int = WORDS_OF_BITS) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for every row of ``docs``."""
     texts = ids_and_text(docs, id_col, text_col)
     signed = stage(texts.mapInPandas(_sign, "id long, n_shingles long, key long, key2 long, sig array<int>"))
@@ -241,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(known.groupBy("key", "key2").agg(first).select("key", "key2", "r.id", F.col("r.n_shingles").alias("size"), "r.sig", mark, F.monotonically_increasing_id().alias("c")))
     marks = classes.select("c", "size", "mark")
 
-    keys = F.array(*[F.xxhash64(F.lit(p), F.col("sig")[p % POSITIONS]) for p in range(trees * BRANCHES)])
+    keys = F.array(*[F.xxhash64(F.lit(t), *[F.col("sig")[(ROOT * t + p) % POSITIONS] for p in range(ROOT)]) for t in range(trees)])
     level = stage(_crowds(classes.select("c", F.explode(keys).alias("node"))))
     stars = lambda rows: rows.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b"))
     small, crowd = level.where(F.col("n") <= leaf).select("c", "node"), level.where(F.col("n") > leaf)

@@ -66,6 +66,15 @@ def test_near_duplicates_equal_brute_force_through_every_kind_of_node(spark):
         assert got == root
 
 
+def test_texts_with_a_common_passage_alone_rarely_meet(spark, monkeypatch):
+    common = " ".join(f"c{i}" for i in range(16))
+    df = spark.createDataFrame([(i, common + " " + " ".join(f"p{i}_{j}" for j in range(50))) for i in range(300)], "doc_id long, text string")
+    rows, crowds = [], neardup._crowds
+    monkeypatch.setattr(neardup, "_crowds", lambda level: rows.append(crowds(level).where("n > 24").count()) or crowds(level))
+    assert neardup.near_duplicates(df).where("kept").count() == 300
+    assert sum(rows) <= 2 * 300  # each text has 26 keys
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=12), min_size=2, max_size=25), st.data())
 def test_links_across_unite_what_brute_force_unites(raw, data):
