@@ -219,8 +219,9 @@ def kept_texts(docs: DataFrame, references: DataFrame, lines: DataFrame | None =
     lines = lines_of(docs, id_col, text_col) if lines is None else lines
     dropped = lines.join(references.where("n_docs > 1").select("key", "owner"), "key").where("id <> owner")
     lost = stage(dropped.groupBy("id", "t").agg(F.collect_set("at").alias("lost")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct("*").alias("row")).withColumn("t", F.xxhash64("text"))
-    out = rows.join(lost, ["id", "t"], "left").withColumn("cut", F.pandas_udf(_without, "string")(F.when(F.col("lost").isNotNull(), F.col("text")), F.col("lost")))
+    # a text travels once, in its row
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.struct("*").alias("row"))
+    out = rows.join(lost, ["id", "t"], "left").withColumn("text", F.coalesce(F.col("row")[text_col], F.lit(""))).withColumn("cut", F.pandas_udf(_without, "string")(F.when(F.col("lost").isNotNull(), F.col("text")), F.col("lost")))
     return out.select("id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"), F.coalesce("cut", "text").alias("kept_text"), "row")
 
 

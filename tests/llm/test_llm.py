@@ -114,6 +114,12 @@ def test_near_duplicates_of_an_id_with_several_texts(spark):
     assert [r for r in got if r[0] < 100] == sorted([(1, 46, 1, True), (2, 47, 1, False), (2, 47, 1, False), (3, 46, 1, False), (4, 46, 4, True), (4, 46, 4, True), (5, 0, 5, True), (6, 0, 6, True)])
 
 
+def test_line_dedup_moves_a_text_once(docs):
+    plan = linededup.dedup_lines(docs).select("kept_text", "row")._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("Join LeftOuter") :].splitlines()[1]
+    assert "struct(" in moved and " AS text#" not in moved, moved
+
+
 def plain_line_dedup(rows):
     """Kept texts by plain Python: {(id, text): kept}."""
     blank = " \t\n\x0b\x0c\r"
