@@ -1,7 +1,7 @@
 """A store of tables that change together: staged data, then one published manifest.
 
 A table's rows lie in folders by bucket (a hash of its key column). A change writes the buckets it touches anew into a folder of its own, and then a
-manifest that names every table's folder for every bucket. Publishing is one rename that fails if another writer has taken the number: readers see
+manifest that names every table's folder for every bucket. A bucket is written by as many tasks as its size asks for (Spark's rebalancing). Publishing is one rename that fails if another writer has taken the number: readers see
 all of a change or nothing, a writer that dies before leaves folders that nobody names, and a reader keeps the manifest it opened. A
 change may carry a token (a stream's name and batch number); one that was published before is not applied again.
 """
@@ -64,7 +64,7 @@ class Store:
         tables, mark = {t: dict(p) for t, p in base["tables"].items()}, uuid.uuid4().hex
         for table, (buckets, rows) in changed.items():
             folder = f"{self.path}/data/{table}-{mark}"
-            rows.select(*spark.createDataFrame([], self.schemas[table]).columns).withColumn("bucket", self.bucket(table)).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+            rows.select(*spark.createDataFrame([], self.schemas[table]).columns).withColumn("bucket", self.bucket(table)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(folder)
             _, fs, _ = self._files(spark)
             for b in buckets:
                 tables[table].pop(str(b), None)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuslake.operators import ingest as I
 from corpuslake.sources import files as S
+from corpuslake.sources.store import Store
 
 ACT = """<<page 1>>
 THE ACT
@@ -168,3 +169,14 @@ def test_chunks_replace_their_own_partition(spark, tmp_path):
     S.write_chunks(df([("a", 1, "x"), ("b", 2, "y")]), path)
     S.write_chunks(df([("a", 3, "z")]), path)
     assert {(r["source_id"], r["chunk_id"]) for r in spark.read.parquet(path).collect()} == {("a", 3), ("b", 2)}
+
+
+def test_a_hot_bucket_is_written_by_several_tasks(spark, tmp_path):
+    store, was = Store(str(tmp_path), {"t": "k string, v long"}, {"t": "k"}), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    rows = spark.range(0, 200_000, 1, 8).select(F.lit("hot").alias("k"), F.xxhash64("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300k")
+    try:
+        store.publish(spark, store.manifest(spark), {"t": (store.touched("t", rows), rows)})
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
+    assert store.read(spark, "t").count() == 200_000 and len(list(tmp_path.glob("data/*/bucket=*/part-*.parquet"))) > 2
