@@ -123,8 +123,12 @@ def pieces(quote: Column) -> Column:
     return F.filter(F.transform(F.split(quote, r"\.{3,}|…"), for_match), lambda p: p != "")
 
 
-def quote_in(quote: Column, source: Column) -> Column:
-    """Are the quote's pieces (cut at ellipses) in the source, in order? The longest must have MIN_PIECE characters."""
-    parts, hay = pieces(quote), for_match(source)
+def held(parts: Column, hay: Column) -> Column:
+    """Are a quote's ``pieces`` in a text, in order? Both as compared already, in columns of their own, so that neither is made anew for each look. The longest must have MIN_PIECE characters."""
     step = lambda at, p: F.when((at > 0) & (F.call_function("locate", p, hay, at) > 0), F.call_function("locate", p, hay, at) + F.char_length(p)).otherwise(F.lit(0))
     return (F.coalesce(F.array_max(F.transform(parts, F.char_length)), F.lit(0)) >= MIN_PIECE) & (F.aggregate(parts, F.lit(1), step) > 0)
+
+
+def quote_in(quote: Column, source: Column) -> Column:
+    """``held`` of a quote (cut at its ellipses) and a source, both as written."""
+    return held(pieces(quote), for_match(source))

@@ -22,9 +22,10 @@ def pick(values: tuple[str, ...], n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
 
 
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every non-blank line of ``documents``; articles, sections, clause ranges and rules take turns."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"), "lang", F.posexplode(F.split("text", "\n")).alias("at", "text")).where(F.trim("text") != "")
+def passages(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    """Every non-blank line of ``documents``; articles, sections, clause ranges and rules take turns. ``first``: of each document's first so many lines only, without a look at others."""
+    split = F.split("text", "\n") if first is None else F.slice(F.split("text", "\n", first + 1), 1, first)
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"), "lang", F.posexplode(split).alias("at", "text")).where(F.trim("text") != "")
     i = (F.col("at") + 1).cast("string")
     kind = F.col("at") % 4
     locator = F.when(kind == 3, F.concat(F.lit("Art. "), i)).when(kind == 0, F.concat(F.lit("s."), i)).when(kind == 1, F.concat(F.lit("s."), i, F.lit("(a)–(c)"))).otherwise(F.concat(F.lit("Rule "), i))
@@ -72,14 +73,14 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was retrieved for an answer: the first five lines of its document, and the first line of the next one."""
     line = F.col("chunk_id") % LINE_IDS
-    rows = passages(spark, sf_dir).select("doc_id", line.alias("line"), "chunk_id", "jurisdiction", "source_id", "locator", "header", "text")
-    own, after = rows.where("line <= 5"), rows.where("line = 1")
-    return own.select(F.col("doc_id").alias("answer_id"), F.col("line").alias("rank"), *rows.columns[2:]).union(after.select((F.col("doc_id") - 1).alias("answer_id"), F.lit(9).cast("long").alias("rank"), *rows.columns[2:]))
+    shown = lambda first: passages(spark, sf_dir, first).select("doc_id", line.alias("line"), "chunk_id", "jurisdiction", "source_id", "locator", "header", "text")
+    own, after = shown(5), shown(1)
+    return own.select(F.col("doc_id").alias("answer_id"), F.col("line").alias("rank"), *own.columns[2:]).union(after.select((F.col("doc_id") - 1).alias("answer_id"), F.lit(9).cast("long").alias("rank"), *own.columns[2:]))
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven citations of each document with a first line: right, of the next line, of what wasn't retrieved, repeated, of the next document, with an omission, invented."""
-    rows = passages(spark, sf_dir).select("doc_id", (F.col("chunk_id") % LINE_IDS).alias("line"), "chunk_id", "text")
+    rows = passages(spark, sf_dir, 2).select("doc_id", (F.col("chunk_id") % LINE_IDS).alias("line"), "chunk_id", "text")
     one, two = rows.where("line = 1"), rows.where("line = 2").select("doc_id", F.col("text").alias("second"))
     after = one.select((F.col("doc_id") - 1).alias("doc_id"), F.col("chunk_id").alias("next_id"), F.col("text").alias("next"))
     all_ = one.join(two, "doc_id", "left").join(after, "doc_id", "left")

@@ -29,6 +29,14 @@ def test_verifier(spark):
     assert verdict == {1: (4, 2, 5, True), 2: (0, 0, 0, False)}
 
 
+def test_texts_and_quotes_are_brought_into_form_once(spark):
+    answers = spark.createDataFrame([(1, "IN")], "answer_id long, jurisdiction string").repartition(2)
+    cites = spark.createDataFrame([(1, 1, 10, "a long enough quotation")], "answer_id long, pos long, chunk_id long, quote string").repartition(2)
+    shown = spark.createDataFrame([(1, 1, 10, "IN", "a long enough quotation")], "answer_id long, rank long, chunk_id long, jurisdiction string, text string").repartition(2)
+    plan = W.verify_citations(answers, cites, shown)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\s*-\s*") == 2
+
+
 def test_negatives_need_a_complete_list(spark):
     lines = ["Status on July 14, 2026", "Parties (Total: 3)", "India ....... – July 8, 2013", "Korea (Republic of) .. May 1, 2000 May 2, 2001", "Belgium12, 13 ..... July 1, 1892 –", "no row at all"]
     df = lambda total: spark.createDataFrame([("intl-madrid-parties", i, 1 + i // 4, t.replace("3)", f"{total})")) for i, t in enumerate(lines)], "source_id string, line_no int, page int, line string")
