@@ -78,6 +78,13 @@ def test_parse_is_chosen_by_type_and_yield(spark):
     assert got == {"dashed": ("dashed", {"Rule 1", "Rule 2"}), "bare": ("bare", {"Rule 1", "Rule 2"}), "treaty": ("articles", {"Art. 1"}), "manual": ("pages", {"p.1", "p.2"}), "odd": ("pages", {"p.1"}), "hindi": ("dashed", {"Rule 2"})}
 
 
+def test_choice_of_parse_looks_at_lines_once(spark):
+    sources = spark.createDataFrame([(1, "statute", "1. Short title.—This Act may be called so."), (2, "manual", "हिन्दी पाठ जो बहुत लम्बा है और यहाँ रहता है"), (3, "manual", "A plain page of some length 12345.")], "source_id long, doc_type string, text string")
+    units = I.choose_parse(I.scan_normalised(sources), sources)
+    assert "Renumbered" not in units._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["source_id"], r["style"], r["locator"]) for r in units.collect()} == {(1, "dashed", "s.1"), (3, "pages", "p.1")}
+
+
 def test_first_substantial_or_longest(spark):
     rows = [(1, "Art. 1", "a" * 30), (2, "Art. 1", "b" * 200), (3, "Art. 1", "c" * 300), (4, "Art. 2", "d" * 40), (5, "Art. 2", "e" * 50), (6, "Art. 2", "f" * 50)]
     df = spark.createDataFrame([("x", u, loc, "", "", 1, t) for u, loc, t in rows], "source_id string, unit long, locator string, heading string, chapter string, page int, text string")
