@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslake.operators.blocks import top
+from corpuslake.operators.blocks import _allowed, _merged, top
 
-SAMPLE, MOST_CELLS, ROUNDS, PART, QUERIES, TARGET = 20_000, 4096, 12, 50_000, 1024, 0.95
+SAMPLE, MOST_CELLS, ROUNDS, PART, QUERIES, TARGET, AT_ONCE = 20_000, 4096, 12, 50_000, 1024, 0.95, 2048
 
 
 def _unit(e: np.ndarray) -> np.ndarray:
@@ -62,6 +62,22 @@ def enough_probes(sample: np.ndarray, centre: np.ndarray, k: int = 40, share: fl
     return int(np.quantile(ranks, share, method="higher")) + 1
 
 
+def best_of_cell(ask: pd.DataFrame, rows: pd.DataFrame, keys: list[str], within: tuple[str, ...], k: int) -> pd.DataFrame:
+    """``<keys>, chunk_id, score`` of each query's k best of a cell's rows, AT_ONCE of which are scored at a time: no matrix of all queries and all rows is held."""
+    unit = _unit(np.stack(ask["embedding"].to_list()))
+    held = [(np.empty(0, np.int64), np.empty(0)) for _ in range(len(ask))]
+    for at in range(0, len(rows), AT_ONCE):
+        part = rows.iloc[at : at + AT_ONCE]
+        ids, found = part["chunk_id"].to_numpy(), np.round(unit @ _unit(np.stack(part["embedding"].to_list())).T, 6)
+        found[~_allowed(ask, part, within)] = -np.inf
+        least = np.array([s[-1] if len(s) == k else -np.inf for _, s in held])
+        hits = (found >= least[:, None]) & (found > -np.inf)
+        for j in np.flatnonzero(hits.any(axis=1)):
+            held[j] = _merged(np.concatenate([held[j][0], ids[hits[j]]]), np.concatenate([held[j][1], found[j, hits[j]]]), k)
+    of = np.repeat(np.arange(len(ask)), [len(i) for i, _ in held])
+    return ask[keys].iloc[of].assign(chunk_id=np.concatenate([i for i, _ in held]), score=np.concatenate([s for _, s in held]))
+
+
 def _usable(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns, F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
 
@@ -86,8 +102,8 @@ class Cells:
         numbers, radius = known["cell"].to_numpy(), known["radius"].to_numpy()
 
         def visits(batches: Iterator[pd.DataFrame], again: bool) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf) or not len(numbers):
+            for pdf in (whole.iloc[i : i + AT_ONCE] for whole in batches for i in range(0, len(whole), AT_ONCE)):
+                if not len(numbers):
                     continue
                 like = _unit(np.stack(pdf["embedding"].to_list())) @ centre.T
                 nearest = np.argsort(-like, axis=1, kind="stable")[:, :probes]
@@ -97,7 +113,8 @@ class Cells:
                     could = np.cos(np.maximum(np.arccos(np.clip(like, -1, 1)) - radius, 0))
                     wanted = ~wanted & (could >= pdf["floor"].to_numpy(float)[:, None] - 1e-5)
                 q, c = np.nonzero(wanted)
-                yield pdf[[*keys, "embedding"]].iloc[q].assign(cell=numbers[c])
+                for i in range(0, len(q), AT_ONCE):
+                    yield pdf[[*keys, "embedding"]].iloc[q[i : i + AT_ONCE]].assign(cell=numbers[c[i : i + AT_ONCE]])
 
         def scored(asked: DataFrame) -> DataFrame:
             many = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks")).where("blocks > 0")
@@ -109,14 +126,7 @@ class Cells:
             def score(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
                 if not len(ask) or not len(rows):
                     return pd.DataFrame(columns=[*keys, "chunk_id", "score"])
-                found = np.round(_unit(np.stack(ask["embedding"].to_list())) @ _unit(np.stack(rows["embedding"].to_list())).T, 6)
-                for c in within:
-                    found[ask[c].to_numpy()[:, None] != rows[c].to_numpy()[None, :]] = -np.inf
-                ids = rows["chunk_id"].to_numpy()
-                best = [i[np.lexsort((ids[i], -s[i]))[:k]] for s in found for i in [np.flatnonzero(s > -np.inf)]]
-                of = np.repeat(np.arange(len(ask)), [len(i) for i in best])
-                at = np.concatenate(best) if best else np.zeros(0, int)
-                return ask[keys].iloc[of].assign(chunk_id=ids[at], score=found[of, at])
+                return best_of_cell(ask, rows, keys, within, k)
 
             group = ["cell", "part", "block"]
             return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(score, ", ".join([*[f"{c} {kinds[c]}" for c in keys], "chunk_id long", "score double"]))

@@ -196,3 +196,25 @@ def test_hybrid_keeps_jurisdictions_apart_and_named_provisions_on_top(spark, tmp
     assert got == {"IN": [3, *range(10, 17)], "INTL": [60]}
     graph = spark.createDataFrame([(1, "IN", 50, 1)], none.schema)
     assert 50 in [r["chunk_id"] for r in R.hybrid(ask, chunks, graph, index).where("jurisdiction = 'IN'").collect()]
+
+
+def test_cells_hold_no_matrix_of_all_queries_and_rows():
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    ask = pd.DataFrame({"query_id": range(200), "model": np.arange(200) % 2, "embedding": list(rng.normal(size=(200, 8)))})
+    rows = pd.DataFrame({"chunk_id": rng.permutation(30_000), "model": np.arange(30_000) % 2, "embedding": list(rng.integers(-2, 3, (30_000, 8)).astype(float) + 0.5)})
+    tracemalloc.start()
+    got = N.best_of_cell(ask, rows, ["query_id", "model"], ("model",), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * 30_000 * 8 / 2
+    full = np.round(N._unit(np.stack(ask["embedding"].to_list())) @ N._unit(np.stack(rows["embedding"].to_list())).T, 6)
+    ids = rows["chunk_id"].to_numpy()
+    for q in range(200):
+        own = np.flatnonzero(rows["model"].to_numpy() == q % 2)
+        best = own[np.lexsort((ids[own], -full[q, own]))[:5]]
+        mine = got[got["query_id"] == q].sort_values(["score", "chunk_id"], ascending=[False, True])
+        assert mine["chunk_id"].tolist() == ids[best].tolist() and mine["score"].tolist() == full[q, best].tolist()
