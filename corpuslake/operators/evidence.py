@@ -48,6 +48,17 @@ def row_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     return words.groupBy("page", row).agg(F.array_join(F.transform(in_order, lambda w: w["word"]), " ").alias("line"))
 
 
+def page_lines(pages: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """``row_lines`` of pages that come as one row each, ``page, words`` (an array of x, y, word). Words are ordered by row where they are, so none of them moves."""
+    placed = F.transform("words", lambda w: F.struct(F.bround(w["y"] / tolerance).cast("long").alias("row"), w["x"].alias("x"), w["word"].alias("word")))
+    rows = pages.where(F.size("words") > 0).select("page", F.array_sort(placed).alias("words"))
+    opens = lambda i: (i == 0) | ~F.get("words", i)["row"].eqNullSafe(F.get("words", i - 1)["row"])
+    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("words") - 1), opens))
+    words = lambda s, i: F.slice("words", s + 1, F.coalesce(F.get("starts", i + 1), F.size("words")) - s)
+    line = lambda s, i: F.struct(F.get("words", s)["row"].alias("row"), F.array_join(F.transform(words(s, i), lambda w: w["word"]), " ").alias("line"))
+    return rows.select("page", F.explode(F.transform("starts", line)).alias("r")).select("page", "r.*")
+
+
 def skip_to(lines: Column, first: Column) -> Column:
     """The lines from the first one that equals ``first``; null if there is none."""
     at = F.array_position(lines, first)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpuslake.operators import evidence as E
+from corpuslake.plans import registry
 
 
 def test_row_lines_read_left_to_right(spark):
@@ -56,3 +57,16 @@ def test_near_locators_and_a_document_without_any(spark):
     chunks = spark.createDataFrame([(7, i, f"s.{i}") for i in range(9)], "doc_id int, chunk_id int, locator string")
     missing = spark.createDataFrame([(1, 7), (2, 8)], "item_id int, doc_id int")
     assert {r["item_id"]: r["suggestions"] for r in E.near_locators(missing, chunks).collect()} == {1: "s.0,s.1,s.2,s.3,s.4,s.5", 2: None}
+
+
+def test_lines_of_a_page_move_nothing(spark):
+    words = [(1, 5.0, 0.0, "b"), (1, 1.0, 0.4, "a"), (1, 2.0, 12.0, "c"), (1, 2.0, None, "z"), (2, 1.0, 3.1, "d"), (2, 1.0, 2.9, "d"), (2, 0.0, 3.0, None)]
+    flat = spark.createDataFrame(words, "page long, x double, y double, word string")
+    pages = flat.groupBy("page").agg(F.collect_list(F.struct("x", "y", "word")).alias("words")).union(spark.createDataFrame([(3, []), (4, None)], "page long, words array<struct<x:double,y:double,word:string>>"))
+    got = E.page_lines(pages)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in E.row_lines(flat).collect()} and got.columns == ["page", "row", "line"]
+
+
+def test_row_lines_query_moves_nothing(spark):
+    plan = registry.queries()["n5_row_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
