@@ -5,6 +5,7 @@ import os
 import random
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,40 @@ def test_continuous_ingest_survives_a_replay(spark, tmp_path):
     assert want[1] == {("a", "one more"), ("a", "line"), ("b", "two")} and number == 2
     Z.continuous_ingest(files(), store, "m", M.embedding, str(tmp_path / "c2")).awaitTermination(150)  # all batches come again
     assert state(store, spark) == want and store.number(spark) == number
+
+
+def test_a_look_at_a_session_is_few_calls_on_its_state():
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                if name == "appendList":
+                    self.held += given[0]
+                elif name == "appendValue":
+                    self.held.append(given[0])
+                return iter(self.held) if name == "get" and self.held else bool(self.held) if name == "exists" else None
+
+            return call
+
+    class Handle(State):
+        def getListState(self, *_):  # noqa: N802
+            return State()
+
+        def getValueState(self, *_):  # noqa: N802
+            return State()
+
+    class Times:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 10
+
+    gate = Z.Gate(None)
+    gate.init(Handle())
+    list(gate.handleInputRows((1,), iter([pd.DataFrame({"us": [1, 0], "event_id": [7, 8], "kind": ["ask", "ask"]})]), None))
+    out = pd.concat(gate.handleExpiredTimer((1,), Times(), None))
+    assert calls == ["appendList", "registerTimer", "get", "get", "clear"]
+    assert out.to_dict("list") == {"event_id": [8, 7], "allowed": [False, False]}
