@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslake.sources.files import staged
+
 BLOCK, ROWS, K1, B = 1024, 1000, 1.2, 0.75
 Scorer = Callable[[pd.DataFrame], np.ndarray]
 
@@ -86,27 +88,97 @@ def cosine(queries: DataFrame, chunks: DataFrame, within: tuple[str, ...] = ("mo
     return top(reduce(DataFrame.union, parts), within, k) if parts else top(rows.limit(0).selectExpr("chunk_id as query_id", *within, "chunk_id", "0d as score"), within, k)
 
 
-def containing(docs: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_id: str, needle_col: str, size: int = 50_000) -> DataFrame:
-    """``<id_col>, <needle_id>`` of all pairs whose text contains the needle as it stands. One automaton of a block's needles reads each
-    text once, so no text meets a needle that it doesn't hold. Empty needles are in no text."""
-    import ahocorasick
-
-    wanted = needles.where(F.length(needle_col) > 0).select(F.col(needle_id).alias("query_id"), F.col(needle_col).alias("needle"))
-    rows, parts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), []
-    for block in blocks_of(wanted, size):
-        pairs = list(zip(block["query_id"].tolist(), block["needle"], strict=True))
-
-        def find(batches: Iterator[pd.DataFrame], pairs: list[tuple[int, str]] = pairs) -> Iterator[pd.DataFrame]:
-            automaton, ids = ahocorasick.Automaton(), {}
-            for i, needle in pairs:
-                ids.setdefault(needle, []).append(i)
-            for needle, held in ids.items():
-                automaton.add_word(needle, held)
-            automaton.make_automaton()
-            for pdf in batches:
-                found = [(d, {i for _, held in automaton.iter(t) for i in held}) for d, t in zip(pdf["doc"], pdf["text"], strict=True)]
-                yield pd.DataFrame([(d, i) for d, held in found for i in held], columns=["doc", "needle"], dtype="int64")
-
-        parts.append(rows.mapInPandas(find, "doc long, needle long"))
-    both = reduce(DataFrame.union, parts) if parts else rows.limit(0).selectExpr("doc", "doc as needle")
-    return both.select(F.col("doc").alias(id_col), F.col("needle").alias(needle_id))
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+
+
+def _windows(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """For k = 0, 1, ...: a hash of the 2 ** k code points from every place, made from the one before."""
+    h, width = (codes.astype(np.uint64) + _MIX[2]) * _MIX[0], 1
+    while len(h):
+        h ^= h >> np.uint64(29)
+        yield h
+        h, width = h[:-width] * _MIX[1] + (h[width:] ^ _MIX[2]) * _MIX[0], 2 * width
+
+
+def _bit(h: np.ndarray, width: int, size: int) -> np.ndarray:
+    """Where a hash stands in a bitmap of ``size`` words of 64 bits."""
+    x = (h ^ np.uint64(width)) * _MIX[2]
+    return ((x ^ (x >> np.uint64(31))) * _MIX[0] >> np.uint64(20)) % np.uint64(64 * size)
+
+
+def _ends(first: np.ndarray, last: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """A hash of a needle by its first and its last 2 ** k code points, which overlap or touch, so nothing is left out."""
+    return first * _MIX[2] ^ (last + np.asarray(length, np.uint64)) * _MIX[1]
+
+
+def _spans(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``codes, starts, numbers`` of texts end to end, about ``most`` code points at a time; a text is never cut."""
+    held, n = [], 0
+    for i, text in enumerate(texts):
+        held.append(i)
+        n += len(text)
+        if n >= most or i == len(texts) - 1:
+            starts = np.cumsum([0, *(len(texts[j]) for j in held)])
+            yield np.frombuffer("".join(texts[j] for j in held).encode("utf-32-le", "surrogatepass"), np.uint32), starts, np.array(held)
+            held, n = [], 0
+
+
+def _marked(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A bitmap of needles: for each its first 2 ** k code points, the largest power that it has, and its ``_ends``."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(size, np.uint64)
+        for pdf in batches:
+            for codes, starts, _ in _spans(pdf["needle"].tolist()):
+                length = np.diff(starts)
+                for k, h in enumerate(_windows(codes)):
+                    own = (length >> k) == 1
+                    first, last = h[starts[:-1][own]], h[(starts[1:] - (1 << k))[own]]
+                    for at in (_bit(first, k, size), _bit(_ends(first, last, length[own]), 64 + k, size)):
+                        np.bitwise_or.at(bits, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        full = np.flatnonzero(bits)
+        yield pd.DataFrame({"word": full, "bits": bits[full].view(np.int64)})
+
+    return mark
+
+
+def _candidates(bits: np.ndarray, lengths: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``doc, needle``: pieces of every text that the bitmap lets through, each once; all needles are among them."""
+    has = lambda at: bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            docs, texts = pdf["doc"].to_numpy(), pdf["text"].tolist()
+            for codes, starts, numbers in _spans(texts):
+                found = set()
+                for k, h in enumerate(_windows(codes)):
+                    if lengths[-1] < 1 << k:
+                        break
+                    wanted = [n for n in lengths if n >> k == 1]
+                    places = np.flatnonzero(has(_bit(h, k, len(bits)))) if wanted else np.empty(0, np.int64)
+                    text = np.searchsorted(starts, places, "right") - 1
+                    for n in wanted:
+                        inside = places + n <= starts[text + 1]
+                        at, own = places[inside], text[inside]
+                        hit = has(_bit(_ends(h[at], h[at + n - (1 << k)], n), 64 + k, len(bits)))
+                        found.update((numbers[t], texts[numbers[t]][p : p + n]) for p, t in zip((at[hit] - starts[own[hit]]).tolist(), own[hit].tolist(), strict=True))
+                yield pd.DataFrame({"doc": docs[[i for i, _ in found]] if found else docs[:0], "needle": [piece for _, piece in found]}).astype({"needle": object})
+
+    return find
+
+
+def containing(docs: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_id: str, needle_col: str, size: int = 1 << 20) -> DataFrame:
+    """``<id_col>, <needle_id>`` of all pairs whose text contains the needle as it stands. Empty needles are in no text.
+
+    Each text is read once, however many needles there are: a bitmap of ``size`` words of 64 bits, of a size that doesn't grow, tells which of its pieces
+    can be needles, by hashes of windows; these pieces meet the needles by equality. A full bitmap lets more pieces through, with the same result.
+    """
+    wanted = staged(needles.where(F.length(needle_col) > 0).select(F.col(needle_id).alias("query_id"), F.col(needle_col).alias("needle")), "needles")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    lengths = sorted(r["n"] for r in wanted.select(F.char_length("needle").alias("n")).distinct().collect())
+    marks = wanted.select("needle").mapInPandas(_marked(size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(size, np.uint64)
+    bits[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64).view(np.uint64)
+    kind = dict(rows.dtypes)["doc"]
+    found = rows.mapInPandas(_candidates(bits, lengths), f"doc {kind}, needle string") if lengths else rows.select("doc", F.col("text").alias("needle")).limit(0)
+    return found.join(wanted, "needle").select(F.col("doc").alias(id_col), F.col("query_id").alias(needle_id))

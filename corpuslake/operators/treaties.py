@@ -60,7 +60,7 @@ def keys(country: Column) -> Column:
 
 def checks(questions: DataFrame, lines: DataFrame, lists: DataFrame) -> DataFrame:
     """``query_id, treaty, country, listed, date, page, total``: for each treaty that a question (query_id, text) names and has a complete list, up to two
-    of the countries that it names, longest first (India if none). Countries are found by one automaton, not by holding every question against every name.
+    of the countries that it names, longest first (India if none). A question is read once for all countries, not held against every name.
     """
     complete, rows = complete_lists(lines), status_rows(lines)
     low = questions.select("query_id", F.lower("text").alias("text"))

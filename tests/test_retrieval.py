@@ -1,6 +1,7 @@
 """Ranked lists against brute force, fusion, slots, entities and graph hits on literal rows."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -125,6 +126,24 @@ def test_containing_equals_plain_search(spark):
     assert {tuple(r) for r in got.collect()} == {(d, n) for d, t in docs for n, x in needles if x and t and x in t}
 
 
+@pytest.mark.parametrize("size", [1, 1 << 20])
+def test_containing_with_a_full_and_an_ample_bitmap(spark, size):
+    rng = random.Random(5)
+    docs = [(i % 200, "".join(rng.choices("ab日\U0001f33f \0", k=rng.randrange(90)))) for i in range(210)]
+    needles = [(i, t[at : at + rng.randrange(1, 70)]) for i, (_, t) in enumerate(docs[:120]) for at in [rng.randrange(len(t) + 1)]] + [(500 + n, "a" * n) for n in range(9)]
+    got = K.containing(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(needles, "item_id long, needle string"), "item_id", "needle", size)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((d, n) for d, t in docs for n, x in needles if x and x in t)
+
+
+def test_containing_reads_texts_once_for_many_needles(spark, capsys):
+    docs = spark.range(50).select("id", F.concat(F.lit("no "), F.col("id") * 2000, F.lit(".")).alias("text"))
+    needles = spark.range(100_001).select(F.col("id").alias("n"), F.concat(F.lit(" "), F.col("id"), F.lit(".")).alias("needle"))
+    got = K.containing(docs, "id", "text", needles, "n", "needle")
+    got.explain()
+    assert capsys.readouterr().out.count("MapInPandas") == 1
+    assert {tuple(r) for r in got.collect()} == {(i, i * 2000) for i in range(50)}
+
+
 def test_locators_exact_then_same_base(spark):
     chunks = spark.createDataFrame([(1, "IN", "s.3(k)–(p)"), (2, "IN", "s.30"), (3, "IN", "s.3"), (4, "INTL", "s.3"), (5, "IN", "s.3(p)"), (6, "IN", "Art. 3")], "chunk_id long, jurisdiction string, locator string")
     ask = spark.createDataFrame([(1, "IN", "what of section 3(p)?"), (2, "IN", "nothing")], "query_id long, jurisdiction string, text string")
