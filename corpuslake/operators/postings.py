@@ -36,11 +36,17 @@ def lanes(spark: SparkSession) -> int:
 def counted(chunks: DataFrame, within: tuple[str, ...]) -> DataFrame:
     """``bucket, salt, term, <within>, chunk_id, tf, dl``, dealt by bucket and salt: the one move of an insertion. Null texts have no words."""
     words = chunks.where("text is not null").select("chunk_id", *within, F.regexp_extract_all("text", F.lit(T.WORD3), F.lit(0)).alias("w"))
-    each = words.select("chunk_id", *within, F.size("w").alias("dl"), F.explode("w").alias("term")).withColumn("term", F.lower("term"))
+    # an outer explode: a plain one has Spark ask first whether there are words, which looks for all of them twice
+    each = words.select("chunk_id", *within, F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null").withColumn("term", F.lower("term"))
     each = each.withColumn("bucket", bucket(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
     return each.repartition(lanes(chunks.sparkSession), "bucket", "salt").groupBy("bucket", "salt", "term", *within, "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl"))
 
 
+def sized(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, dl`` of the chunks with words, by the chunks themselves: they are far fewer rows than their postings."""
+    return chunks.select("chunk_id", F.regexp_count("text", F.lit(T.WORD3)).alias("dl")).groupBy("chunk_id").agg(F.max("dl").alias("dl")).where("dl > 0")
+
+
 @dataclass(frozen=True)
 class Index:
     path: str
@@ -53,9 +59,9 @@ class Index:
         rows = counted(chunks, self.within)
         rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
         written = chunks.sparkSession.read.schema(rows.schema).parquet(at("postings"))
-        written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").partitionBy("bucket").parquet(at("terms"))
-        each = written.groupBy("chunk_id").agg(F.max("dl").alias("dl"))
-        each.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).write.mode("overwrite").parquet(at("sizes"))
+        df = written.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+        df.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(at("terms"))  # a file a bucket, not one for each task and bucket
+        sized(chunks).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).write.mode("overwrite").parquet(at("sizes"))
         return self
 
     def drop(self, spark: SparkSession, version: int) -> None:

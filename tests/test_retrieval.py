@@ -144,6 +144,18 @@ def test_containing_reads_texts_once_for_many_needles(spark, capsys):
     assert {tuple(r) for r in got.collect()} == {(i, i * 2000) for i in range(50)}
 
 
+def test_an_index_has_a_file_of_terms_a_bucket_and_the_sizes_of_its_chunks(spark, tmp_path):
+    rows = [(i, " ".join(f"word{i * 7 + k}" for k in range(60))) for i in range(40)] + [(50, None), (51, ""), (52, "a b"), (53, "same same"), (53, "same")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many tasks as a large table has
+    try:
+        index = I.Index(str(tmp_path / "index")).add(spark.createDataFrame(rows, "chunk_id long, text string").repartition(4), 3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(len(list(b.glob("*.parquet"))) for b in (tmp_path / "index/terms/version=3").iterdir() if b.is_dir()) == 1
+    assert [(r["n"], r["words"]) for r in spark.read.parquet(f"{index.path}/sizes").collect()] == [(41, 2402)]
+    assert {r["term"]: r["df"] for r in index.terms(spark).collect()} == {**Counter(w for i, t in rows[:40] for w in t.split()), "same": 1}
+
+
 def test_locators_exact_then_same_base(spark):
     chunks = spark.createDataFrame([(1, "IN", "s.3(k)–(p)"), (2, "IN", "s.30"), (3, "IN", "s.3"), (4, "INTL", "s.3"), (5, "IN", "s.3(p)"), (6, "IN", "Art. 3")], "chunk_id long, jurisdiction string, locator string")
     ask = spark.createDataFrame([(1, "IN", "what of section 3(p)?"), (2, "IN", "nothing")], "query_id long, jurisdiction string, text string")
