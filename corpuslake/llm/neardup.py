@@ -174,9 +174,11 @@ def _close(rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b; staged) with 100 * |intersection| >= percent * |union| on the full sets. An ``a`` of many pairs is replicated to slices."""
     slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    left = _meet(slices, sets.withColumnRenamed("c", "a"), "a").select("a", F.col("tokens").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    dealt = _meet(pairs, slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slices").cast("long")).cast("int").alias("slice"))
-    both = _meet(_meet(dealt, sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b"), left, ["a", "slice"])
+    # both sides meet ``sets`` as they are, columns unnamed anew, so that Spark moves the sets once and reads that shuffle twice
+    own = _meet(slices.withColumnRenamed("a", "c"), sets, "c")
+    left = own.select(F.col("c").alias("a"), F.col("tokens").alias("x"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    dealt = _meet(pairs, slices, "a").select("a", F.col("b").alias("c"), F.pmod(F.xxhash64("b"), F.col("slices").cast("long")).cast("int").alias("slice"))
+    both = _meet(_meet(dealt, sets, "c").select("a", "slice", F.col("c").alias("b"), F.col("tokens").alias("y")), left, ["a", "slice"])
     common = F.size(F.array_intersect("x", "y"))
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct()
 

@@ -496,3 +496,17 @@ def test_html_joins_stretches_of_one_parent():
     story, end = "<p>" + "Many words of the story. " * 40 + "</p>", "<p>Short closing words.</p>"
     page = f"<body><div>{story}<div class=ad><p>Buy now</p></div>{end}</div><nav>x</nav><div><p>Elsewhere.</p></div></body>"
     assert html.main_text(page).endswith("story.\n\nShort closing words.")
+
+
+def test_confirming_moves_the_sets_once(spark, tmp_path, capsys):
+    spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 3, 4, 5]), (3, [7]), (4, [2, 3, 4])], "c long, tokens array<bigint>").write.parquet(str(tmp_path / "sets"))
+    spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 4)], "a long, b long").write.parquet(str(tmp_path / "pairs"))
+    found = neardup._confirm(spark.read.parquet(str(tmp_path / "sets")), spark.read.parquet(str(tmp_path / "pairs")), 75)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (1, 4)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # only then a plan shows what is used again before it runs
+    try:
+        found.select("a", "b").explain()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    shown = capsys.readouterr().out
+    assert any("ReusedExchange" in line and "tokens" in line for line in shown.splitlines())
