@@ -5,12 +5,14 @@ import os
 import random
 from types import SimpleNamespace
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslake.operators import models as M
 from corpuslake.operators import upsert as U
+from corpuslake.plans import registry
 from corpuslake.sources.store import Conflict
 from corpuslake.streaming import sessions as L
 from corpuslake.streaming import streams as Z
@@ -68,6 +70,19 @@ def test_retention_deletes_days_and_says_so(spark, tmp_path):
     assert kept() == [4, 7]
 
 
+@pytest.mark.parametrize("days", [30, 3, 0])
+def test_retention_queries_equal_their_sql(spark, tmp_path, days):
+    """Also with nothing expired, and with no events at all."""
+    sql = f"SELECT id AS event_id, timestampadd(HOUR, CAST(id * 7 % {max(days, 1) * 24} AS INT), timestamp'2024-01-01') AS ts FROM range({days * 20})"
+    spark.sql(sql).union(spark.sql("SELECT -1L, CAST(NULL AS TIMESTAMP)")).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT event_id, ts::TIMESTAMP AS ts FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("s6_retention_audit",):
+        want = sorted(con.execute(registry.oracle_sql()[name]).fetchall())
+        assert sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()) == want
+        assert bool(want) == (days > 7 or (days > 0 and name == "s6_retention_stream"))
+
+
 def texts(spark, rows):
     return spark.createDataFrame(rows, "source_id string, text string")
 
