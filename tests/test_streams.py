@@ -77,7 +77,7 @@ def test_retention_queries_equal_their_sql(spark, tmp_path, days):
     spark.sql(sql).union(spark.sql("SELECT -1L, CAST(NULL AS TIMESTAMP)")).write.parquet(str(tmp_path / "events.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT event_id, ts::TIMESTAMP AS ts FROM '{tmp_path}/events.parquet/*.parquet'")
-    for name in ("s6_retention_audit",):
+    for name in ("s6_retention_stream", "s6_retention_audit"):
         want = sorted(con.execute(registry.oracle_sql()[name]).fetchall())
         assert sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()) == want
         assert bool(want) == (days > 7 or (days > 0 and name == "s6_retention_stream"))
