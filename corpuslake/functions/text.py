@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,19 @@ WORD3 = "[A-Za-z][A-Za-z0-9]{2,}"
 MAX_QUESTION, SCRIPT_CHARS, MIN_PIECE = 2000, 3, 12
 
 
+class Known(dict):
+    """What a function gives for a word, kept for at most ``most`` words: a look at a known word is a look in a dictionary."""
+
+    def __init__(self, of: Callable[[str], int], most: int = 200_000):
+        self.of, self.most = of, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = self.of(word)
+        return found
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility forms composed (NFKC). Only texts beyond ASCII go through Arrow."""
 

@@ -8,18 +8,22 @@ smaller chunk id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslake.functions import text as T
 from corpuslake.sources.files import staged
 
-BLOCK, ROWS, K1, B = 1024, 1000, 1.2, 0.75
-Scorer = Callable[[pd.DataFrame], np.ndarray]
+BLOCK, ROWS, POSTINGS, K1, B = 1024, 1000, 1 << 18, 1.2, 0.75
+Scorer = Callable[[pd.DataFrame, np.ndarray], np.ndarray]
 
 
 def blocks_of(queries: DataFrame, size: int = BLOCK) -> Iterator[pd.DataFrame]:
@@ -44,20 +48,29 @@ def _merged(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def best_rows(rows: DataFrame, block: pd.DataFrame, score: Scorer, within: tuple[str, ...], k: int) -> DataFrame:
-    """``query_id, <within>, chunk_id, score``: every task's k best rows of each query. ``score`` gives a matrix (rows, queries), -inf for no hit."""
-    keys = ["query_id", *within]
+    """``query_id, <within>, chunk_id, score``: every task's k best rows of each query. ``score`` gives a matrix of rows and of those queries whose places in the block it is given, -inf for no hit."""
+    keys, places = ["query_id", *within], {}
+    for j, value in enumerate(zip(*[block[c] for c in within], strict=True) if within else [()] * len(block)):
+        places.setdefault(value, []).append(j)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [(np.empty(0, np.int64), np.empty(0)) for _ in range(len(block))]
+        held, least = [(np.empty(0, np.int64), np.empty(0)) for _ in range(len(block))], np.full(len(block), -np.inf)
+        groups = [(value, np.array(own)) for value, own in places.items()]
         for pdf in batches:
-            for at in range(0, len(pdf), ROWS):
-                part = pdf.iloc[at : at + ROWS]
-                ids = part["chunk_id"].to_numpy()
-                found = np.where(_allowed(part, block, within), np.round(score(part), 6), -np.inf)
-                least = np.array([s[-1] if len(s) == k else -np.inf for _, s in held])
-                for j in np.flatnonzero((found >= least).any(axis=0) & (found > -np.inf).any(axis=0)):
-                    hit = np.flatnonzero((found[:, j] > -np.inf) & (found[:, j] >= least[j]))
-                    held[j] = _merged(np.concatenate([held[j][0], ids[hit]]), np.concatenate([held[j][1], found[hit, j]]), k)
+            for whole in (pdf.iloc[at : at + ROWS] for at in range(0, len(pdf), ROWS)):
+                for value, own in groups:
+                    same = np.ones(len(whole), bool)
+                    for c, v in zip(within, value, strict=True):
+                        same &= (whole[c] == v).to_numpy(bool)
+                    if not same.any():
+                        continue
+                    part = whole[same]
+                    ids, found = part["chunk_id"].to_numpy(), np.round(score(part, own), 6)
+                    good = (found >= least[own]) & (found > -np.inf)
+                    for i in np.flatnonzero(good.any(axis=0)):
+                        hit, j = np.flatnonzero(good[:, i]), own[i]
+                        held[j] = _merged(np.concatenate([held[j][0], ids[hit]]), np.concatenate([held[j][1], found[hit, i]]), k)
+                        least[j] = held[j][1][-1] if len(held[j][1]) == k else -np.inf
         counts = [len(i) for i, _ in held]
         out = {c: np.repeat(block[c].to_numpy(), counts) for c in keys}
         yield pd.DataFrame({**out, "chunk_id": np.concatenate([i for i, _ in held]), "score": np.concatenate([s for _, s in held])})
@@ -72,22 +85,113 @@ def top(scored: DataFrame, within: tuple[str, ...], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cosine(queries: DataFrame, chunks: DataFrame, within: tuple[str, ...] = ("model",), k: int = 40) -> DataFrame:
-    """``query_id, <within>, chunk_id, score, rank``: exact cosine list of queries and chunks with equal ``within`` columns. Null and zero vectors are no hits."""
-    rows, parts = chunks.where("embedding is not null").select("chunk_id", "embedding", *within), []
+def cosine(queries: DataFrame, chunks: DataFrame, within: tuple[str, ...] = ("model",), k: int = 40, load: Callable[[], Callable[[list[str]], np.ndarray]] | None = None) -> DataFrame:
+    """``query_id, <within>, chunk_id, score, rank``: exact cosine list of queries and chunks with equal ``within`` columns. Null and zero vectors are no hits.
+
+    Chunks have an ``embedding``, or a ``text`` that the model of ``load`` reads where it's scored: vectors that one batch of queries needs once are then neither moved nor written.
+    """
+    of, parts = "text" if load else "embedding", []
+    rows = chunks.where(F.col(of).isNotNull()).select("chunk_id", of, *within)
     for block in blocks_of(queries.where("embedding is not null").select("query_id", "embedding", *within)):
         q = np.stack(block["embedding"].to_list()).astype(float)
-        size = np.linalg.norm(q, axis=1)
+        parts.append(best_rows(rows, block.drop(columns="embedding"), _cosine_score(q, load), within, k))
+    return _lists(parts, rows, within, k)
+
+
+def _cosine_score(q: np.ndarray, load: Callable[[], Callable[[list[str]], np.ndarray]] | None) -> Scorer:
+    size, loaded = np.linalg.norm(q, axis=1), []
 
-        def score(pdf: pd.DataFrame, q: np.ndarray = q, size: np.ndarray = size) -> np.ndarray:
-            e = np.stack(pdf["embedding"].to_list()).astype(float)
-            both = np.linalg.norm(e, axis=1)[:, None] * size[None, :]
-            return np.where(both > 0, (e @ q.T) / np.where(both > 0, both, 1), -np.inf)
+    def score(pdf: pd.DataFrame, own: np.ndarray) -> np.ndarray:
+        if load and not loaded:
+            loaded.append(load())
+        e = loaded[0](pdf["text"].to_list()) if load else np.stack(pdf["embedding"].to_list()).astype(float)
+        both = np.linalg.norm(e, axis=1)[:, None] * size[own][None, :]
+        return np.where(both > 0, (e @ q[own].T) / np.where(both > 0, both, 1), -np.inf)
 
-        parts.append(best_rows(rows, block.drop(columns="embedding"), score, within, k))
+    return score
+
+
+def _lists(parts: list[DataFrame], rows: DataFrame, within: tuple[str, ...], k: int) -> DataFrame:
     return top(reduce(DataFrame.union, parts), within, k) if parts else top(rows.limit(0).selectExpr("chunk_id as query_id", *within, "chunk_id", "0d as score"), within, k)
 
 
+def _tallied(number: dict[str, int], columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``<columns>, dl, terms, tfs`` of every row (<columns>, text) with words: how many it has, and how often each of those that have a number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, find = T.Known(lambda word: number.get(word.lower(), -1)), re.compile(T.WORD3).findall
+        for whole in batches:
+            for batch in (whole.slice(at, ROWS) for at in range(0, len(whole), ROWS)):
+                words = [find(text) for text in batch.column("text").to_pylist()]
+                dl = np.fromiter(map(len, words), np.int64, len(words))
+                term = np.fromiter(map(wanted.__getitem__, chain.from_iterable(words)), np.int64, int(dl.sum()))
+                place = np.repeat(np.arange(len(words)) * max(len(number), 1), dl)
+                found, tf = np.unique((place + term)[term >= 0], return_counts=True)
+                row, term = np.divmod(found, max(len(number), 1))
+                ends = pa.array(np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (term, tf)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(dl), *lists], names=[*columns, "dl", "terms", "tfs"]).filter(pa.array(dl > 0))
+
+    return run
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, within: tuple[str, ...] = (), k: int = 40) -> DataFrame:
+    """``query_id, <within>, chunk_id, score, rank``: the lists that ``postings.Index.search`` gives, without an index, for questions that are asked of a corpus once. Ids of chunks are unique.
+
+    A chunk is read once for a block of queries: its length and how often it has their words are staged, which tells how many chunks have a word. Nothing is shuffled but that
+    count and every task's k best of a query. A word that many of the block ask is a column of a matrix, others are added up by pair of row and query.
+    """
+    rows, parts = chunks.where("text is not null").select("chunk_id", *within, "text"), []
+    columns, kinds, words = ["chunk_id", *within], dict(rows.dtypes), re.compile(T.WORD3).findall
+    for block in blocks_of(queries.where("text is not null").select("query_id", "text", *within)):
+        asked = [sorted({w.lower() for w in words(text)}) for text in block["text"]]
+        number = {w: i for i, w in enumerate(sorted(set().union(*asked)))}
+        held = staged(rows.mapInArrow(_tallied(number, columns), ", ".join([*[f"{c} {kinds[c]}" for c in columns], "dl long, terms array<int>, tfs array<int>"])), "tallies")
+        whole, df = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first(), np.zeros(len(number))
+        for r in held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect():
+            df[r["term"]] = r["df"]
+        idf = np.log(1 + (whole["n"] - df + 0.5) / (df + 0.5))
+        parts.append(best_rows(held, block.drop(columns="text"), _bm25_score([np.array([number[w] for w in ws], np.int64) for ws in asked], idf, whole["mean"]), within, k))
+    return _lists(parts, rows, within, k)
+
+
+def _bm25_score(asked: list[np.ndarray], idf: np.ndarray, mean: float) -> Scorer:
+    """Of rows (dl, terms, tfs) and queries by the numbers of their words."""
+    made = {}
+
+    def prepared(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The column of each word that many ask, a matrix of such words and queries; of others the number of queries, where they begin, and the queries."""
+        term, query = np.concatenate([asked[j] for j in own]), np.repeat(np.arange(len(own)), [len(asked[j]) for j in own])
+        order = np.argsort(term, kind="stable")
+        term, query = term[order], query[order]
+        many = np.bincount(term, minlength=len(idf))
+        often = np.flatnonzero(many > max(4, len(own) // 32))
+        column = np.full(len(idf), -1)
+        column[often] = np.arange(len(often))
+        ask, dense = np.zeros((len(often), len(own))), column[term] >= 0
+        ask[column[term[dense]], query[dense]] = 1
+        return column, ask, np.where(column < 0, many, 0), np.cumsum(many) - many, query
+
+    def score(part: pd.DataFrame, own: np.ndarray) -> np.ndarray:
+        if own[0] not in made:
+            made[own[0]] = prepared(own)
+        column, ask, many, begin, query = made[own[0]]
+        size = np.fromiter(map(len, part["terms"]), np.int64, len(part))
+        row, term, tf = np.repeat(np.arange(len(part)), size), np.concatenate(part["terms"].to_list()), np.concatenate(part["tfs"].to_list())
+        given = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * part["dl"].to_numpy()[row] / mean))
+        dense, often = np.zeros((len(part), len(ask))), column[term] >= 0
+        dense[row[often], column[term[often]]] = given[often]
+        found = dense @ ask
+        for at in range(0, len(term), POSTINGS):
+            n = many[term[at : at + POSTINGS]]
+            i = np.repeat(np.arange(at, at + len(n)), n)
+            of = query[begin[term[i]] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+            found += np.bincount(row[i] * len(own) + of, weights=given[i], minlength=found.size).reshape(found.shape)
+        return np.where(found > 0, found, -np.inf)
+
+    return score
+
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 

@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,12 +29,18 @@ def _place(word: str) -> tuple[int, int]:
 def hashing_encoder() -> Encoder:
     """The default model, without any download: words of three characters or more, each added or subtracted at one of DIM places by its hash, at unit length."""
 
+    def slot(word: str) -> int:
+        at, sign = _place(word.lower())
+        return 2 * at + (sign < 0)
+
+    slots = T.Known(slot)
+
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), DIM))
-        for i, text in enumerate(texts):
-            for word in _WORD.findall(text):
-                at, sign = _place(word.lower())
-                out[i, at] += sign
+        words = [_WORD.findall(text) for text in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(slots.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        counts = np.bincount(np.repeat(np.arange(len(texts)) * 2 * DIM, sizes) + at, minlength=len(texts) * 2 * DIM).reshape(-1, DIM, 2)
+        out = (counts[..., 0] - counts[..., 1]).astype(float)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return encode
@@ -45,12 +52,12 @@ def embedding(text: Column, load: Callable[[], Encoder] = hashing_encoder, batch
     def encode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in series:
-            out, known = pd.Series([None] * len(texts), dtype=object), np.flatnonzero(texts.notna().to_numpy())
+            out, known = np.empty(len(texts), object), np.flatnonzero(texts.notna().to_numpy())
             for at in range(0, len(known), batch):
                 rows = known[at : at + batch]
                 for i, v in zip(rows, model(texts.iloc[rows].tolist()), strict=True):
-                    out.iloc[i] = v
-            yield out
+                    out[i] = v
+            yield pd.Series(out)
 
     encode.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(encode, kind)(text)

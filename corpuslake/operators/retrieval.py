@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from corpuslake.functions import text as T
 from corpuslake.operators import blocks as K
+from corpuslake.operators.models import Encoder
 from corpuslake.operators.postings import Index
+from corpuslake.sources.files import staged
 
 RRF_K, CANDIDATES, SHOWN = 60, 40, 8
 
@@ -78,33 +80,35 @@ def base(locator: Column) -> Column:
 def by_locator(queries: DataFrame, chunks: DataFrame, within: tuple[str, ...] = (), k: int = 10) -> DataFrame:
     """Chunks at the provisions that a question names, in the order named; after them, others of the same base provision by id.
 
-    Only the first ``k`` chunks of a locator and of a base can be shown, so chunks are cut to those before they meet a question.
+    Only the first ``k`` chunks of a locator and of a base can be shown, so chunks at bases that some question names are cut to those before they meet a question.
     """
-    narrow = chunks.select(*within, "chunk_id", "locator", base(F.col("locator")).alias("base"))
+    wanted = queries.select("query_id", *within, F.posexplode(T.locators(F.col("text"))).alias("at", "wanted")).withColumn("base", base(F.col("wanted")))
+    narrow = chunks.select(*within, "chunk_id", "locator", base(F.col("locator")).alias("base")).join(F.broadcast(wanted.select("base").distinct()), "base", "left_semi")
     first = lambda c: F.row_number().over(Window.partitionBy(*within, c).orderBy("chunk_id"))
     heads = narrow.withColumn("n", first("locator")).where(F.col("n") <= k).drop("n").union(narrow.withColumn("n", first("base")).where(F.col("n") <= k).drop("n")).distinct()
-    wanted = queries.select("query_id", *within, F.posexplode(T.locators(F.col("text"))).alias("at", "wanted")).withColumn("base", base(F.col("wanted")))
     found = wanted.join(heads, [*within, "base"]).groupBy("query_id", *within, "chunk_id").agg(F.min(F.when(F.col("wanted") == F.col("locator"), F.col("at"))).alias("at"))
     order = Window.partitionBy("query_id", *within).orderBy(F.asc_nulls_last("at"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", *within, "chunk_id", "rank")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, graph: DataFrame, index: Index, k: int = SHOWN, candidates: int = CANDIDATES) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, graph: DataFrame, index: Index | None = None, k: int = SHOWN, candidates: int = CANDIDATES, load: Callable[[], Encoder] | None = None) -> DataFrame:
     """``query_id, jurisdiction, rank, chunk_id``: the best ``k`` chunks for each (query, jurisdiction); jurisdictions never mix.
 
     ``queries``: query_id, jurisdiction, text, regimes, embedding, model. ``chunks``: chunk_id, jurisdiction, source_id, locator, regimes, header,
-    text, embedding, model. ``graph``: query_id, jurisdiction, chunk_id, rank, the list of the knowledge graph. ``index``: the chunks' words within jurisdictions. The dense, lexical, locator and graph
+    text, model, and embedding, unless ``load`` gives the model that reads their texts. ``graph``: query_id, jurisdiction, chunk_id, rank, the list of the knowledge graph. ``index``: the chunks' words within jurisdictions; without one they are
+    read once for the words asked. The dense, lexical, locator and graph
     lists are fused, a shared regime adds what a tenth place is worth, one hit stays for each locator; the first ``candidates`` are reranked, and
     graph hits get their slots. Texts are joined to the few fused hits only.
     """
     within = ("jurisdiction",)
     lists = {
-        "dense": K.cosine(queries, chunks, ("model", "jurisdiction"), candidates), "lexical": index.search(queries, candidates),
+        "dense": K.cosine(queries, chunks, ("model", "jurisdiction"), candidates, load), "lexical": index.search(queries, candidates) if index else K.bm25(queries, chunks, within, candidates),
         "locator": by_locator(queries, chunks, within), "graph": graph,
     }
     asked = queries.select("query_id", "jurisdiction", F.col("text").alias("query"), F.col("regimes").alias("asked"))
     about = chunks.select("chunk_id", "source_id", F.col("locator").alias("provision"), "regimes", F.concat("header", F.lit("\n"), "text").alias("passage"))
-    hits = fuse(lists, within).join(about, "chunk_id").join(asked, ["query_id", "jurisdiction"])
+    fused = staged(fuse(lists, within), "fused")  # its size is known then, so few hits go to the chunks and no text is moved
+    hits = about.join(fused, "chunk_id").join(asked, ["query_id", "jurisdiction"])
     hits = hits.withColumn("score", F.round(F.col("score") + F.when(F.arrays_overlap("regimes", "asked"), 1.0 / (RRF_K + 10)).otherwise(0.0), 9))
     order = lambda *by: F.row_number().over(Window.partitionBy("query_id", "jurisdiction", *by).orderBy(F.desc("score"), "first", "chunk_id"))
     cut = hits.withColumn("at", order("source_id", "provision")).where("at = 1").withColumn("pos", order()).where(F.col("pos") <= candidates)

@@ -9,11 +9,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslake.functions import text as T
 from corpuslake.operators import blocks as K
 from corpuslake.operators import graph as G
 from corpuslake.operators import ivf as N
+from corpuslake.operators import models as M
 from corpuslake.operators import postings as I
 from corpuslake.operators import retrieval as R
+from corpuslake.plans import search
 
 
 def words(t):
@@ -249,3 +252,51 @@ def test_cells_hold_no_matrix_of_all_queries_and_rows():
         best = own[np.lexsort((ids[own], -full[q, own]))[:5]]
         mine = got[got["query_id"] == q].sort_values(["score", "chunk_id"], ascending=[False, True])
         assert mine["chunk_id"].tolist() == ids[best].tolist() and mine["score"].tolist() == full[q, best].tolist()
+
+
+@pytest.mark.parametrize("size", [3, 1024])
+def test_lists_of_one_scan_equal_those_of_the_index(spark, corpus, monkeypatch, tmp_path, size):
+    rng, pool = random.Random(8), [f"word{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choices(pool, weights=range(1, 13), k=rng.randrange(0, 30))) + (" UNIQUE" if i == 9 else ""), "AB"[i % 2]) for i in range(150)] + [(150, None, "A"), (151, "to be", "B"), (152, "Word1 wörd2 Kelvin 2word3", "A")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string, side string").repartition(3)
+    asked = [(q, " ".join(rng.choices(["Word11", "WORD10", "word3", "unique", "nowhere", "an", "word1"], k=5)), side) for q in range(14) for side in "AB"] + [(90, None, "A"), (91, "of", "B"), (92, "word1", "C")]
+    queries = spark.createDataFrame(asked, "query_id long, text string, side string")
+    monkeypatch.setattr(K, "blocks_of", lambda q, s=size, _old=K.blocks_of: _old(q, size))
+    monkeypatch.setattr(K, "ROWS", 7)
+    monkeypatch.setattr(K, "POSTINGS", 5)
+    index = I.Index(str(tmp_path / "index"), ("side",)).add(chunks, 1)
+    rows_of = lambda df: sorted(tuple(r[c] for c in ("query_id", "chunk_id", "score", "rank")) for r in df.collect())
+    for within, ask in ((("side",), queries), ((), queries.where("side = 'A'"))):
+        found = rows_of(K.bm25(ask, chunks, within, 10))
+        assert found == rows_of(index.search(ask, 10, within)) and len(found) > 100
+    assert K.bm25(queries.limit(0), chunks, ("side",)).count() == 0 and K.bm25(queries, chunks.limit(0), ("side",)).count() == 0
+
+
+def test_vectors_made_where_they_are_scored_give_the_same_list(spark, corpus):
+    chunks = corpus[1].drop("embedding")
+    queries = spark.createDataFrame([(1, "River stone", 0), (2, "leaf leaf tree", 1), (3, "of a", 1)], "query_id long, text string, model int").withColumn("embedding", M.embedding(F.col("text")))
+    want = {tuple(r) for r in K.cosine(queries, chunks.withColumn("embedding", M.embedding(F.col("text")))).collect()}
+    assert len(want) > 60 and {tuple(r) for r in K.cosine(queries, chunks, load=M.hashing_encoder).collect()} == want
+
+
+def test_hashing_encoder_adds_words_up_whatever_is_remembered(monkeypatch):
+    texts = ["River river STONE", "", "ab 12", "wörd river2 2stone"] * 3
+    want = np.zeros((len(texts), M.DIM))
+    for i, text in enumerate(texts):
+        for word in words(text):
+            at, sign = M._place(word)
+            want[i, at] += sign
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    assert np.array_equal(M.hashing_encoder()(texts), want) and M.hashing_encoder()([]).shape == (0, M.DIM)
+    known = T.Known(len, most=2)
+    assert [known[w] for w in ("a", "bb", "ccc", "a")] == [1, 2, 3, 1] and len(known) <= 2
+
+
+def test_hybrid_search_writes_no_index_and_moves_no_text(spark, monkeypatch):
+    """Questions that are asked once: chunks are read for their words, and few hits go to the texts."""
+    monkeypatch.setattr(I.Index, "add", lambda *_: pytest.fail("an index for one batch of questions"))
+    monkeypatch.setattr(search, "_STORED", {})
+    shown = search.r7_hybrid_search(spark, "/root/testdata/sf0.001")
+    plan = shown._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "embedding" not in search.stored_passages(spark, "/root/testdata/sf0.001").columns and shown.count() > 0
