@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -119,16 +118,17 @@ def _tallied(number: dict[str, int], columns: list[str]) -> Callable[[Iterator[p
     """``<columns>, dl, terms, tfs`` of every row (<columns>, text) with words: how many it has, and how often each of those that have a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, find = T.Known(lambda word: number.get(word.lower(), -1)), re.compile(T.WORD3).findall
+        base = max(len(number), 1)
         for whole in batches:
             for batch in (whole.slice(at, ROWS) for at in range(0, len(whole), ROWS)):
-                words = [find(text) for text in batch.column("text").to_pylist()]
-                dl = np.fromiter(map(len, words), np.int64, len(words))
-                term = np.fromiter(map(wanted.__getitem__, chain.from_iterable(words)), np.int64, int(dl.sum()))
-                place = np.repeat(np.arange(len(words)) * max(len(number), 1), dl)
-                found, tf = np.unique((place + term)[term >= 0], return_counts=True)
-                row, term = np.divmod(found, max(len(number), 1))
-                ends = pa.array(np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32))
+                dl, pairs = np.zeros(len(batch), np.int64), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+                for row, at, words in T.word_places(batch.column("text").to_pylist()):
+                    dl += np.bincount(row, minlength=len(dl))
+                    term = np.array([number.get(w, -1) for w in words], np.int64)[at]
+                    pairs.append(np.unique((row * base + term)[term >= 0], return_counts=True))
+                found, tf = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                row, term = np.divmod(found, base)
+                ends = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (term, tf)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(dl), *lists], names=[*columns, "dl", "terms", "tfs"]).filter(pa.array(dl > 0))
 

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,29 +14,28 @@ from corpuslake.functions import text as T
 
 Encoder = Callable[[list[str]], np.ndarray]
 DIM = 64
-_WORD = re.compile(T.WORD3)
 
 
-@lru_cache(200_000)
 def _place(word: str) -> tuple[int, int]:
-    digest = hashlib.md5(word.encode()).hexdigest()
-    return int(digest[:2], 16) % DIM, 1 - int(digest[2], 16) % 2 * 2
+    digest = hashlib.md5(word.encode()).digest()
+    return digest[0] % DIM, 1 - (digest[1] >> 4) % 2 * 2
 
 
 def hashing_encoder() -> Encoder:
     """The default model, without any download: words of three characters or more, each added or subtracted at one of DIM places by its hash, at unit length."""
 
     def slot(word: str) -> int:
-        at, sign = _place(word.lower())
+        at, sign = _place(word)
         return 2 * at + (sign < 0)
 
     slots = T.Known(slot)
 
     def encode(texts: list[str]) -> np.ndarray:
-        words = [_WORD.findall(text) for text in texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(slots.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
-        counts = np.bincount(np.repeat(np.arange(len(texts)) * 2 * DIM, sizes) + at, minlength=len(texts) * 2 * DIM).reshape(-1, DIM, 2)
+        counts = np.zeros(len(texts) * 2 * DIM, np.int64)
+        for row, number, words in T.word_places(texts):
+            at = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
+            counts += np.bincount(row * 2 * DIM + at[number], minlength=len(counts))
+        counts = counts.reshape(-1, DIM, 2)
         out = (counts[..., 0] - counts[..., 1]).astype(float)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 

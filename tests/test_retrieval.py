@@ -292,6 +292,15 @@ def test_hashing_encoder_adds_words_up_whatever_is_remembered(monkeypatch):
     assert [known[w] for w in ("a", "bb", "ccc", "a")] == [1, 2, 3, 1] and len(known) <= 2
 
 
+@pytest.mark.parametrize("most", [1, 7, 1 << 20])
+def test_words_found_by_bytes_are_those_of_the_pattern(most):
+    rng, pieces = random.Random(1), ["a", "B", "z", "0", "9", " ", "\n", "é", "\u212a", "İ", "-", "longword", "ABCDEFGHI", "\0", "x1", "\ud800", "日"]
+    for _ in range(400):
+        texts = ["".join(rng.choices(pieces, k=rng.randrange(14))) for _ in range(rng.randrange(6))]
+        found = [(int(r), held[n]) for row, number, held in T.word_places(texts, most) for r, n in zip(row, number, strict=True)]
+        assert found == [(i, w) for i, text in enumerate(texts) for w in words(text)]
+
+
 def test_hybrid_search_writes_no_index_and_moves_no_text(spark, monkeypatch):
     """Questions that are asked once: chunks are read for their words, and few hits go to the texts."""
     monkeypatch.setattr(I.Index, "add", lambda *_: pytest.fail("an index for one batch of questions"))
