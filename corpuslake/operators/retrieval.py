@@ -82,8 +82,8 @@ def by_locator(queries: DataFrame, chunks: DataFrame, within: tuple[str, ...] =
 
     Only the first ``k`` chunks of a locator and of a base can be shown, so chunks at bases that some question names are cut to those before they meet a question.
     """
-    wanted = queries.select("query_id", *within, F.posexplode(T.locators(F.col("text"))).alias("at", "wanted")).withColumn("base", base(F.col("wanted")))
-    narrow = chunks.select(*within, "chunk_id", "locator", base(F.col("locator")).alias("base")).join(F.broadcast(wanted.select("base").distinct()), "base", "left_semi")
+    wanted = staged(queries.select("query_id", *within, F.posexplode(T.locators(F.col("text"))).alias("at", "wanted")).withColumn("base", base(F.col("wanted"))), "wanted")
+    narrow = chunks.select(*within, "chunk_id", "locator", base(F.col("locator")).alias("base")).join(wanted.select("base").distinct(), "base", "left_semi")
     first = lambda c: F.row_number().over(Window.partitionBy(*within, c).orderBy("chunk_id"))
     heads = narrow.withColumn("n", first("locator")).where(F.col("n") <= k).drop("n").union(narrow.withColumn("n", first("base")).where(F.col("n") <= k).drop("n")).distinct()
     found = wanted.join(heads, [*within, "base"]).groupBy("query_id", *within, "chunk_id").agg(F.min(F.when(F.col("wanted") == F.col("locator"), F.col("at"))).alias("at"))

@@ -318,3 +318,8 @@ def test_search_tool_moves_no_text(spark):
     rows = {(r["query_id"], r["jurisdiction"], r["rank"]): (r["chunk_id"], r["snippet"]) for r in found.collect()}
     texts = {r["chunk_id"]: r["text"] for r in search.S.passages(spark, "/root/testdata/sf0.001").select("chunk_id", "text").collect()}
     assert rows and all(rank <= 6 and snippet == texts[chunk][:900] for (_, _, rank), (chunk, snippet) in rows.items())
+
+
+def test_stored_passages_of_no_documents(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert search.stored_passages(spark, str(tmp_path)).count() == 0
